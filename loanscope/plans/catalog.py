@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import kpis
+from ..operators import crisis, kpis, scorecard, trends
 from .book import loan_book
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,38 @@ def _state_throughput_topn(spark, sf):
 @query("state_month_throughput")
 def _state_month_throughput(spark, sf):
     return kpis.state_month_throughput(loan_book(spark, sf).loans_with_borrowers())
+
+
+def _rollup(spark, sf, segment=None):
+    return kpis.monthly_kpi_rollup(loan_book(spark, sf).book(), segment=segment, exact=True)
+
+
+@query("monthly_trends")
+def _monthly_trends(spark, sf):
+    t = trends.monthly_trends(_rollup(spark, sf))
+    return kpis.to_output(t, keep=["metric_month"], ints=["total_applications"])
+
+
+@query("degraded_alerts")
+def _degraded_alerts(spark, sf):
+    return trends.detect_degraded(_rollup(spark, sf))
+
+
+@query("crisis_yearly")
+def _crisis_yearly(spark, sf):
+    return crisis.crisis_yearly(loan_book(spark, sf).book())
+
+
+@query("crisis_analysis")
+def _crisis_analysis(spark, sf):
+    return crisis.crisis_analysis(loan_book(spark, sf).book())
+
+
+@query("latest_vs_previous")
+def _latest_vs_previous(spark, sf):
+    return scorecard.latest_vs_previous(_rollup(spark, sf))
+
+
+@query("kpi_scorecard")
+def _kpi_scorecard(spark, sf):
+    return scorecard.kpi_scorecard(_rollup(spark, sf))

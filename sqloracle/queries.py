@@ -11,10 +11,19 @@ def register(name: str, sql: str, extra: str = "") -> None:
     SQL[name] = with_book(sql, extra)
 
 
-def _rollup_sql(seg: str = "") -> tuple[str, str]:
+ROLLUP_COLS = ["total_applications", "total_funded_volume", "total_requested_volume",
+               "funding_fulfillment_rate", "avg_interest_rate", "default_rate", "delinquency_rate",
+               "total_charged_off_prncp", "net_recovery_rate", "collection_cost_ratio",
+               "unverified_backlog_share", "mom_volume_growth_pct", "mom_default_rate_delta",
+               "yoy_volume_growth_pct", "yoy_default_rate_delta", "rolling_3m_avg_funded_volume",
+               "total_recoveries"]
+
+
+def rollup_ctes(seg: str = "") -> str:
+    """CTEs ``mb`` (monthly base), ``mt`` (lags) and ``ro`` (exact rollup)."""
     part = f"PARTITION BY {seg} " if seg else ""
     segc = f"{seg}, " if seg else ""
-    base = f"""
+    return f"""
 mb AS (
   SELECT {segc}issue_month AS metric_month,
     COUNT(loan_id) AS total_applications,
@@ -40,34 +49,34 @@ mt AS (
     SUM(total_funded_volume) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS r3s,
     COUNT(total_funded_volume) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS r3c
   FROM mb WINDOW w AS ({part}ORDER BY metric_month)
+),
+ro AS (
+  SELECT {segc}metric_month, total_applications, total_funded_volume, total_requested_volume,
+    funding_fulfillment_rate, avg_interest_rate, default_rate, delinquency_rate,
+    coalesce(total_charged_off_prncp, 0) AS total_charged_off_prncp,
+    coalesce(net_recovery_rate, 0) AS net_recovery_rate,
+    coalesce(collection_cost_ratio, 0) AS collection_cost_ratio,
+    unverified_backlog_share,
+    {xr('total_funded_volume - v1', 'v1', 2, 100)} AS mom_volume_growth_pct,
+    default_rate - d1 AS mom_default_rate_delta,
+    {xr('total_funded_volume - v12', 'v12', 2, 100)} AS yoy_volume_growth_pct,
+    default_rate - d12 AS yoy_default_rate_delta,
+    {xr('r3s', 'r3c')} AS rolling_3m_avg_funded_volume,
+    coalesce(total_recoveries, 0) AS total_recoveries
+  FROM mt
 )"""
-    sel = f"""
-SELECT {segc}metric_month,
-  CAST(total_applications AS BIGINT) AS total_applications,
-  CAST(total_funded_volume AS DOUBLE) AS total_funded_volume,
-  CAST(total_requested_volume AS DOUBLE) AS total_requested_volume,
-  CAST(funding_fulfillment_rate AS DOUBLE) AS funding_fulfillment_rate,
-  CAST(avg_interest_rate AS DOUBLE) AS avg_interest_rate,
-  CAST(default_rate AS DOUBLE) AS default_rate,
-  CAST(delinquency_rate AS DOUBLE) AS delinquency_rate,
-  CAST(coalesce(total_charged_off_prncp, 0) AS DOUBLE) AS total_charged_off_prncp,
-  CAST(coalesce(net_recovery_rate, 0) AS DOUBLE) AS net_recovery_rate,
-  CAST(coalesce(collection_cost_ratio, 0) AS DOUBLE) AS collection_cost_ratio,
-  CAST(unverified_backlog_share AS DOUBLE) AS unverified_backlog_share,
-  CAST({xr('total_funded_volume - v1', 'v1', 2, 100)} AS DOUBLE) AS mom_volume_growth_pct,
-  CAST(default_rate - d1 AS DOUBLE) AS mom_default_rate_delta,
-  CAST({xr('total_funded_volume - v12', 'v12', 2, 100)} AS DOUBLE) AS yoy_volume_growth_pct,
-  CAST(default_rate - d12 AS DOUBLE) AS yoy_default_rate_delta,
-  CAST({xr('r3s', 'r3c')} AS DOUBLE) AS rolling_3m_avg_funded_volume,
-  CAST(coalesce(total_recoveries, 0) AS DOUBLE) AS total_recoveries
-FROM mt"""
-    return base, sel
-
-
-_b, _s = _rollup_sql()
-register("monthly_kpi_rollup", _s + " ORDER BY metric_month", _b)
-_b, _s = _rollup_sql("grade")
-register("monthly_kpi_by_grade", _s + " ORDER BY grade, metric_month", _b)
+
+
+def cast_cols(cols, ints=()):
+    return ",\n  ".join(f"CAST({c} AS {'BIGINT' if c in ints else 'DOUBLE'}) AS {c}" for c in cols)
+
+
+register("monthly_kpi_rollup", f"""
+SELECT metric_month, {cast_cols(ROLLUP_COLS, ['total_applications'])}
+FROM ro ORDER BY metric_month""", rollup_ctes())
+register("monthly_kpi_by_grade", f"""
+SELECT grade, metric_month, {cast_cols(ROLLUP_COLS, ['total_applications'])}
+FROM ro ORDER BY grade, metric_month""", rollup_ctes("grade"))
 
 register("grade_quality", f"""
 SELECT grade,
