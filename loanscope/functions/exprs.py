@@ -54,12 +54,14 @@ def lit_map(mapping: dict) -> Column:
 def exact_ratio(num: Column, den: Column, digits: int = 2, mult: int = 1) -> Column:
     """``round(mult * num / den, digits)`` half away from zero, as an exact decimal.
 
-    ``num`` and ``den`` must be exact (integral or decimal, scale <= 6).
-    Returns NULL when ``den`` is 0 or NULL, like ``x / NULLIF(den, 0)``.
+    ``num`` and ``den`` must be exact (integral or decimal, scale <= 10).
+    Both are scaled to integers first, so the division is an exact integral
+    ``div``. Returns NULL when ``den`` is 0 or NULL, like ``x / NULLIF(den, 0)``.
     """
-    n = num.cast("decimal(32,6)") * F.lit(mult * 10 ** digits).cast("decimal(20,0)")
-    d = F.nullif(den.cast("decimal(32,6)"), F.lit(0).cast("decimal(32,6)"))
-    # floor(|n|/|d| + 1/2) == (2|n| + |d|) div 2|d|, exact integral division
+    scale = F.lit(10 ** 10).cast("decimal(11,0)")
+    n = (num * scale).cast("decimal(38,0)") * F.lit(mult * 10 ** digits).cast("decimal(20,0)")
+    d = F.nullif((den * scale).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
+    # floor(|n|/|d| + 1/2) == (2|n| + |d|) div 2|d|
     q = F.call_function("div", F.abs(n) * 2 + F.abs(d), F.abs(d) * 2)
     signed = F.when((n < 0) != (d < 0), -q).otherwise(q)
     unit = F.lit(Decimal(1).scaleb(-digits)) if digits else F.lit(1)

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import crisis, kpis, scorecard, trends
+from ..operators import crisis, kpis, scorecard, trends, whatif
 from .book import loan_book
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,59 @@ def _latest_vs_previous(spark, sf):
 @query("kpi_scorecard")
 def _kpi_scorecard(spark, sf):
     return scorecard.kpi_scorecard(_rollup(spark, sf))
+
+
+@query("whatif_underwriting")
+def _whatif_underwriting(spark, sf):
+    return whatif.what_if_underwriting(loan_book(spark, sf).book(), min_fico=660, max_dti=35.0)
+
+
+@query("whatif_underwriting_sweep")
+def _whatif_underwriting_sweep(spark, sf):
+    return whatif.underwriting_sweep(loan_book(spark, sf).book())
+
+
+@query("whatif_pricing")
+def _whatif_pricing(spark, sf):
+    return whatif.what_if_pricing(loan_book(spark, sf).loans_with_payments(), bps=150)
+
+
+@query("whatif_pricing_sweep")
+def _whatif_pricing_sweep(spark, sf):
+    return whatif.pricing_sweep(loan_book(spark, sf).loans_with_payments())
+
+
+@query("whatif_funding")
+def _whatif_funding(spark, sf):
+    return whatif.what_if_funding(loan_book(spark, sf).loans(), threshold=95.0)
+
+
+@query("whatif_funding_sweep")
+def _whatif_funding_sweep(spark, sf):
+    return whatif.funding_sweep(loan_book(spark, sf).loans())
+
+
+@query("whatif_collections")
+def _whatif_collections(spark, sf):
+    return whatif.what_if_collections(loan_book(spark, sf).loans_with_payments(), uplift=25.0, fee=16.0)
+
+
+@query("whatif_collections_sweep")
+def _whatif_collections_sweep(spark, sf):
+    return whatif.collections_sweep(loan_book(spark, sf).loans_with_payments())
+
+
+@query("whatif_verification")
+def _whatif_verification(spark, sf):
+    return whatif.what_if_verification(loan_book(spark, sf).book(), pct=30.0, cost=35.0)
+
+
+@query("whatif_verification_sweep")
+def _whatif_verification_sweep(spark, sf):
+    return whatif.verification_sweep(loan_book(spark, sf).book())
+
+
+@query("whatif_all_scenarios")
+def _whatif_all(spark, sf):
+    b = loan_book(spark, sf)
+    return whatif.run_all_scenarios(b.book(), b.loans_with_payments(), b.loans())

@@ -1,6 +1,6 @@
 """DuckDB oracle SQL for the registered queries (correctness gate)."""
 
-from . import analysis  # noqa: F401  (registers its SQL)
+from . import analysis, whatif  # noqa: F401  (register their SQL)
 from .queries import SQL
 
 __all__ = ["SQL"]

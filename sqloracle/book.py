@@ -14,10 +14,10 @@ CO_POLICY = "Does not meet the credit policy. Status:Charged Off"
 def xr(num: str, den: str, digits: int = 2, mult: int = 1) -> str:
     """SQL for round(mult*num/den, digits), half away from zero, exact (DECIMAL).
 
-    ``num``/``den`` must be exact (integer or DECIMAL with scale <= 6).
+    ``num``/``den`` must be exact (integer or DECIMAL with scale <= 10).
     """
-    n = f"CAST(({num}) * {mult * 10 ** digits} * 1000000 AS HUGEINT)"
-    d = f"NULLIF(CAST(({den}) * 1000000 AS HUGEINT), 0)"
+    n = f"(CAST(({num}) * 10000000000 AS HUGEINT) * {mult * 10 ** digits})"
+    d = f"NULLIF(CAST(({den}) * 10000000000 AS HUGEINT), 0)"
     q = f"((2 * abs({n}) + abs({d})) // (2 * abs({d})))"
     signed = f"(CASE WHEN ({n} < 0) <> ({d} < 0) THEN -{q} ELSE {q} END)"
     if digits == 0:
