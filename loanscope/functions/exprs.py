@@ -51,6 +51,20 @@ def lit_map(mapping: dict) -> Column:
     return F.create_map(*items)
 
 
+def lit_array(values, sql_type: str) -> Column:
+    """A literal array built in one SQL expression (one JVM call, any length)."""
+    items = ", ".join(f"CAST('{v}' AS {sql_type})" for v in values)
+    return F.expr(f"array({items})")
+
+
+def lit_structs(rows, fields) -> Column:
+    """A literal array of structs; ``fields`` is [(name, sql_type)], rows are tuples."""
+    def one(r):
+        parts = ", ".join(f"'{n}', CAST('{v}' AS {t})" for v, (n, t) in zip(r, fields))
+        return f"named_struct({parts})"
+    return F.expr("array(" + ", ".join(one(r) for r in rows) + ")")
+
+
 def exact_ratio(num: Column, den: Column, digits: int = 2, mult: int = 1) -> Column:
     """``round(mult * num / den, digits)`` half away from zero, as an exact decimal.
 

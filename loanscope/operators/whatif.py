@@ -43,6 +43,17 @@ def _txt(c: Column, digits: int) -> Column:
     return F.round(c, digits).cast("string")
 
 
+def _chain(df: DataFrame, stages) -> DataFrame:
+    """Add columns stage by stage, so later expressions refer to earlier ones by name.
+
+    Keeps each expression tree small (the exact ratios reference their inputs
+    several times), which keeps analysis fast on the driver.
+    """
+    for st in stages:
+        df = df.select("*", *[v.alias(k) for k, v in st.items()])
+    return df
+
+
 def resolved(df: DataFrame) -> DataFrame:
     """FLT3: loans with a final outcome (pushed down as an ``In`` filter)."""
     return df.filter(F.col("loan_status").isin(*RESOLVED_STATUSES))
@@ -54,22 +65,24 @@ def _uw_metrics(n, vol, dflt, loss, bn, bvol, bdef, bloss):
     """Simulated-vs-baseline columns of the underwriting scenario."""
     zero = F.lit(0).cast("decimal(38,2)")
     n, bn, dflt, bdef = (x.cast("decimal(38,0)") for x in (n, bn, dflt, bdef))
-    sim_rate = F.when(n > 0, exact_ratio(dflt, n, 2, 100)).otherwise(zero)
+    c = F.col
     # delta = 100*(d/n - bd/bn) exactly; 0-kept -> -baseline rate
-    delta_num = F.when(n > 0, dflt * bn - bdef * n).otherwise(-bdef * F.lit(1))
-    delta_den = F.when(n > 0, n * bn).otherwise(bn)
-    return {
+    s1 = {"_dnum": F.when(n > 0, dflt * bn - bdef * n).otherwise(-bdef),
+          "_dden": F.when(n > 0, n * bn).otherwise(bn),
+          "_dvol": vol - bvol}
+    s2 = {
         "sim_loan_count": n.cast("bigint"),
         "sim_funded_volume": vol,
-        "sim_default_rate_pct": sim_rate,
+        "sim_default_rate_pct": F.when(n > 0, exact_ratio(dflt, n, 2, 100)).otherwise(zero),
         "sim_credit_losses": loss,
-        "volume_change_pct": exact_ratio(vol - bvol, bvol, 2, 100),
-        "default_rate_delta_pts": exact_ratio(delta_num, delta_den, 2, 100),
+        "volume_change_pct": exact_ratio(c("_dvol"), bvol, 2, 100),
+        "default_rate_delta_pts": exact_ratio(c("_dnum"), c("_dden"), 2, 100),
         "losses_saved_dollars": bloss - loss,
         "volume_sacrificed_dollars": bvol - vol,
-        "_vc6": exact_ratio(vol - bvol, bvol, 6, 100),
-        "_dd6": exact_ratio(delta_num, delta_den, 6, 100),
+        "_vc6": exact_ratio(c("_dvol"), bvol, 6, 100),
+        "_dd6": exact_ratio(c("_dnum"), c("_dden"), 6, 100),
     }
+    return [s1, s2]
 
 
 def _uw_recommendation(min_fico: Column, max_dti: Column) -> Column:
@@ -109,8 +122,7 @@ def what_if_underwriting(book: DataFrame, min_fico: float = 660, max_dti: float
     c = F.col
     m = _uw_metrics(c("_n"), c("_vol"), c("_def"), c("_loss"), c("baseline_loan_count"),
                     c("baseline_funded_volume"), c("_bdef"), c("baseline_credit_losses"))
-    a = a.select("*", exact_ratio(c("_bdef"), c("baseline_loan_count"), 2, 100).alias("baseline_default_rate_pct"),
-                 *[v.alias(k) for k, v in m.items()])
+    a = _chain(a, [{"baseline_default_rate_pct": exact_ratio(c("_bdef"), c("baseline_loan_count"), 2, 100)}] + m)
     return a.select(
         F.lit("Underwriting Tightening (FICO / DTI)").alias("scenario_name"),
         _dec(min_fico).cast("double").alias("min_fico"), _dec(max_dti).cast("double").alias("max_dti"),
@@ -131,7 +143,7 @@ def _num_text(v) -> str:
 
 def _thresholds_passed(x: Column, thresholds, strict: bool = False) -> Column:
     """Number of sorted thresholds ``t`` with ``t <= x`` (``t < x`` if strict); 0 for NULL."""
-    arr = F.array(*[F.lit(Decimal(str(t))) for t in thresholds])
+    arr = X.lit_array(thresholds, "decimal(18,2)")
     cnt = F.size(F.filter(arr, (lambda t: t < x) if strict else (lambda t: t <= x)))
     return F.when(x.isNull(), F.lit(0)).otherwise(cnt)
 
@@ -171,9 +183,9 @@ def underwriting_sweep(book: DataFrame, fico_grid=range(600, 751, 10), dti_grid=
     pick = s2.filter((F.col("fi") >= 1) & (F.col("dj") < nd))
     c = F.col
     m = _uw_metrics(c("n"), c("vol"), c("dflt"), c("loss"), c("bn"), c("bvol"), c("bdef"), c("bloss"))
-    fico_val = F.element_at(F.array(*[F.lit(v) for v in fg]), c("fi"))
-    dti_val = F.element_at(F.array(*[F.lit(v) for v in dg]), c("dj") + 1)
-    res = pick.select(fico_val.alias("min_fico"), dti_val.alias("max_dti"), *[v.alias(k) for k, v in m.items()])
+    fico_val = F.element_at(X.lit_array(fg, "decimal(18,2)"), c("fi"))
+    dti_val = F.element_at(X.lit_array(dg, "decimal(18,2)"), c("dj") + 1)
+    res = _chain(pick.select("*", fico_val.alias("min_fico"), dti_val.alias("max_dti")), m)
     return res.select(
         X.out(c("min_fico"), "min_fico"), X.out(c("max_dti"), "max_dti"),
         c("sim_loan_count").cast("bigint").alias("sim_loan_count"),
@@ -210,31 +222,32 @@ def _pricing_agg(loans_payments: DataFrame) -> DataFrame:
     ).na.fill(0)
 
 
-def _pricing_cols(bps: Column, factor: Column) -> dict:
+PRICING_COLS = ["baseline_gross_interest_income", "baseline_expected_losses", "baseline_net_yield",
+                "sim_gross_interest_income", "sim_expected_losses", "sim_net_yield",
+                "interest_income_delta", "net_yield_delta", "net_yield_growth_pct"]
+
+
+def _pricing_stages(bps: Column, factor: Column) -> list:
     c = F.col
     sub = F.coalesce(c("sub_funded"), F.lit(0).cast(MONEY38))
-    sim_income = (c("base_income") + sub * bps * _dec("0.0001")).cast("decimal(38,6)")
-    sim_losses = (c("base_losses") * factor).cast("decimal(38,6)")
-    base_net = c("base_income") - c("base_losses")
-    sim_net = sim_income - sim_losses
-    return {
-        "baseline_gross_interest_income": c("base_income"),
-        "baseline_expected_losses": c("base_losses"),
-        "baseline_net_yield": base_net,
-        "sim_gross_interest_income": sim_income,
-        "sim_expected_losses": sim_losses,
-        "sim_net_yield": sim_net,
-        "interest_income_delta": sim_income - c("base_income"),
-        "net_yield_delta": sim_net - base_net,
-        "net_yield_growth_pct": exact_ratio(sim_net - base_net, F.abs(base_net), 2, 100),
-    }
+    return [
+        {"baseline_gross_interest_income": c("base_income"),
+         "baseline_expected_losses": c("base_losses"),
+         "baseline_net_yield": c("base_income") - c("base_losses"),
+         "sim_gross_interest_income": (c("base_income") + sub * bps * _dec("0.0001")).cast("decimal(38,6)"),
+         "sim_expected_losses": (c("base_losses") * factor).cast("decimal(38,6)")},
+        {"sim_net_yield": c("sim_gross_interest_income") - c("sim_expected_losses"),
+         "interest_income_delta": c("sim_gross_interest_income") - c("base_income")},
+        {"net_yield_delta": c("sim_net_yield") - c("baseline_net_yield")},
+        {"net_yield_growth_pct": exact_ratio(c("net_yield_delta"), F.abs(c("baseline_net_yield")), 2, 100)},
+    ]
 
 
 def what_if_pricing(loans_payments: DataFrame, bps: int = 150) -> DataFrame:
     """OP18: +bps on grades C-G; losses scale by 1 + bps/100 * 0.008 (floor 0.9 when bps <= 0)."""
     a = _pricing_agg(loans_payments)
-    cols = _pricing_cols(F.lit(int(bps)), F.lit(_pricing_factor(int(bps))))
-    r = a.select(*[v.alias(k) for k, v in cols.items()])
+    cols = PRICING_COLS
+    r = _chain(a, _pricing_stages(F.lit(int(bps)), F.lit(_pricing_factor(int(bps)))))
     c = F.col
     sign = f"{int(bps):+d}"
     rec = F.when(c("net_yield_delta") > 0, F.concat(
@@ -252,12 +265,12 @@ def what_if_pricing(loans_payments: DataFrame, bps: int = 150) -> DataFrame:
 def pricing_sweep(loans_payments: DataFrame, bps_grid=range(-300, 401, 25)) -> DataFrame:
     """OP22/JN7: the pricing scenario for each bps setting, from one aggregate row."""
     a = _pricing_agg(loans_payments)
-    params = F.array(*[F.struct(F.lit(int(b)).alias("bps"), F.lit(_pricing_factor(int(b))).cast("decimal(10,6)").alias("factor"))
-                       for b in bps_grid])
+    params = X.lit_structs([(int(b), _pricing_factor(int(b))) for b in bps_grid],
+                           [("bps", "int"), ("factor", "decimal(10,6)")])
     p = a.select("*", F.explode(params).alias("p"))
-    cols = _pricing_cols(F.col("p.bps"), F.col("p.factor"))
-    return p.select(F.col("p.bps").cast("bigint").alias("apr_delta_bps"),
-                    *[X.out(_r2(v), k) for k, v in cols.items() if not k.startswith("baseline")])
+    r = _chain(p, _pricing_stages(F.col("p.bps"), F.col("p.factor")))
+    return r.select(F.col("p.bps").cast("bigint").alias("apr_delta_bps"),
+                    *[X.out(_r2(F.col(k)), k) for k in PRICING_COLS if not k.startswith("baseline")])
 
 
 # ---- OP19 funding ------------------------------------------------------------
@@ -310,7 +323,7 @@ def funding_sweep(loans: DataFrame, thresholds=range(80, 101)) -> DataFrame:
     f, l = F.col("funded_amnt"), F.col("loan_amnt")
     # number of thresholds t with funded*100 >= t*loan (0 when loan is 0)
     passed = F.when(l == 0, F.lit(0)).otherwise(
-        F.size(F.filter(F.array(*[F.lit(t) for t in ts]), lambda t: f * 100 >= t * l)))
+        F.size(F.filter(X.lit_array(ts, "decimal(18,2)"), lambda t: f * 100 >= t * l)))
     cells = loans.groupBy(passed.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum("funded_amnt").alias("vol"))
     spark = loans.sparkSession
     dense = spark.range(0, len(ts) + 1).select(F.col("id").cast("int").alias("k")).join(cells, "k", "left")
@@ -324,7 +337,7 @@ def funding_sweep(loans: DataFrame, thresholds=range(80, 101)) -> DataFrame:
                  F.max(F.when(F.col("k") == 0, F.col("vol"))).over(whole).alias("bvol")).filter(F.col("k") >= 1)
     c = F.col
     return s.select(
-        X.out(F.element_at(F.array(*[F.lit(t) for t in ts]), c("k")), "min_fulfillment_threshold_pct"),
+        X.out(F.element_at(X.lit_array(ts, "decimal(18,2)"), c("k")), "min_fulfillment_threshold_pct"),
         c("n").cast("bigint").alias("qualified_loans_count"),
         X.out(exact_ratio(c("n"), c("total"), 2, 100), "qualified_loans_pct"),
         X.out(c("vol"), "sim_funded_volume"),
@@ -345,32 +358,33 @@ def _collections_agg(loans_payments: DataFrame) -> DataFrame:
     )
 
 
-def _collections_cols(uplift: Column, fee: Column) -> dict:
+COLLECTIONS_COLS = ["baseline_gross_recoveries", "baseline_collection_fees", "baseline_net_recovered_cash",
+                    "baseline_recovery_rate_pct", "sim_gross_recoveries", "sim_collection_fees",
+                    "sim_net_recovered_cash", "sim_recovery_rate_pct", "net_cash_delta", "net_cash_uplift_pct"]
+
+
+def _collections_stages(uplift: Column, fee: Column) -> list:
     c = F.col
-    sim_rec = (c("base_rec") * (1 + uplift * _dec("0.01"))).cast("decimal(38,8)")
-    sim_fees = (sim_rec * fee * _dec("0.01")).cast("decimal(38,8)")
-    base_net = c("base_rec") - c("base_fees")
-    sim_net = sim_rec - sim_fees
-    delta = sim_net - base_net
-    return {
-        "baseline_gross_recoveries": c("base_rec"),
-        "baseline_collection_fees": c("base_fees"),
-        "baseline_net_recovered_cash": base_net,
-        "baseline_recovery_rate_pct": exact_ratio(c("base_rec"), c("base_loss"), 2, 100),
-        "sim_gross_recoveries": sim_rec,
-        "sim_collection_fees": sim_fees,
-        "sim_net_recovered_cash": sim_net,
-        "sim_recovery_rate_pct": exact_ratio(sim_rec, c("base_loss"), 2, 100),
-        "net_cash_delta": delta,
-        "net_cash_uplift_pct": exact_ratio(delta, F.greatest(base_net, F.lit(1).cast(MONEY38)), 2, 100),
-    }
+    return [
+        {"baseline_gross_recoveries": c("base_rec"),
+         "baseline_collection_fees": c("base_fees"),
+         "baseline_net_recovered_cash": c("base_rec") - c("base_fees"),
+         "baseline_recovery_rate_pct": exact_ratio(c("base_rec"), c("base_loss"), 2, 100),
+         "sim_gross_recoveries": (c("base_rec") * (1 + uplift * _dec("0.01"))).cast("decimal(38,8)")},
+        {"sim_collection_fees": (c("sim_gross_recoveries") * fee * _dec("0.01")).cast("decimal(38,8)"),
+         "sim_recovery_rate_pct": exact_ratio(c("sim_gross_recoveries"), c("base_loss"), 2, 100)},
+        {"sim_net_recovered_cash": c("sim_gross_recoveries") - c("sim_collection_fees")},
+        {"net_cash_delta": c("sim_net_recovered_cash") - c("baseline_net_recovered_cash")},
+        {"net_cash_uplift_pct": exact_ratio(c("net_cash_delta"), F.greatest(
+            c("baseline_net_recovered_cash"), F.lit(1).cast(MONEY38)), 2, 100)},
+    ]
 
 
 def what_if_collections(loans_payments: DataFrame, uplift: float = 25.0, fee: float = 16.0) -> DataFrame:
     """OP20: recoveries x (1 + uplift%), fees = fee% of the new recoveries."""
     a = _collections_agg(loans_payments)
-    cols = _collections_cols(_dec(uplift), _dec(fee))
-    r = a.select(*[v.alias(k) for k, v in cols.items()])
+    cols = COLLECTIONS_COLS
+    r = _chain(a, _collections_stages(_dec(uplift), _dec(fee)))
     c = F.col
     rec = F.concat(
         F.lit(f"Collections Enhancement (+{_num_text(uplift)}% recovery uplift, {_num_text(fee)}% fee cap): "
@@ -389,13 +403,11 @@ def what_if_collections(loans_payments: DataFrame, uplift: float = 25.0, fee: fl
 def collections_sweep(loans_payments: DataFrame, uplifts=range(0, 61, 5), fees=range(10, 26)) -> DataFrame:
     """OP22/JN7: collections scenario over an (uplift, fee) grid from one aggregate row."""
     a = _collections_agg(loans_payments)
-    params = F.array(*[F.struct(F.lit(Decimal(u)).cast("decimal(10,2)").alias("u"),
-                                F.lit(Decimal(f)).cast("decimal(10,2)").alias("f"))
-                       for u in uplifts for f in fees])
+    params = X.lit_structs([(u, f) for u in uplifts for f in fees], [("u", "decimal(10,2)"), ("f", "decimal(10,2)")])
     p = a.select("*", F.explode(params).alias("p"))
-    cols = _collections_cols(F.col("p.u"), F.col("p.f"))
-    return p.select(X.out(F.col("p.u"), "recovery_rate_uplift_pct"), X.out(F.col("p.f"), "fee_commission_pct"),
-                    *[X.out(_r2(v), k) for k, v in cols.items() if not k.startswith("baseline")])
+    r = _chain(p, _collections_stages(F.col("p.u"), F.col("p.f")))
+    return r.select(X.out(F.col("p.u"), "recovery_rate_uplift_pct"), X.out(F.col("p.f"), "fee_commission_pct"),
+                    *[X.out(_r2(F.col(k)), k) for k in COLLECTIONS_COLS if not k.startswith("baseline")])
 
 
 # ---- OP21 verification -----------------------------------------------------------
@@ -409,32 +421,37 @@ def _verification_agg(book: DataFrame) -> DataFrame:
     )
 
 
-def _verification_cols(pct: Column, cost: Column) -> dict:
+VERIFICATION_COLS = ["unverified_loans_count", "unverified_share_pct", "total_portfolio_loans",
+                     "converted_loans_count", "new_unverified_share_pct", "credit_losses_saved",
+                     "capacity_processing_cost", "net_economic_benefit"]
+
+
+def _verification_stages(pct: Column, cost: Column) -> list:
     c = F.col
-    n_verify = F.floor(c("n_unv") * pct * _dec("0.01")).cast("bigint")
-    den = F.greatest(c("n_unv"), F.lit(1))
-    saved_num = c("unv_loss") * n_verify * _dec("0.16")
-    cost_total = (n_verify * cost).cast("decimal(38,6)")
-    return {
-        "unverified_loans_count": c("n_unv"),
-        "unverified_share_pct": exact_ratio(c("n_unv"), c("total"), 2, 100),
-        "total_portfolio_loans": c("total"),
-        "converted_loans_count": n_verify,
-        "new_unverified_share_pct": exact_ratio(c("n_unv") - n_verify, c("total"), 2, 100),
-        "credit_losses_saved": exact_ratio(saved_num, den),
-        "capacity_processing_cost": _r2(cost_total),
-        "net_economic_benefit": exact_ratio(saved_num - cost_total * den, den),
-        "_net_sign": F.signum(saved_num - cost_total * den),
-        "_saved0": exact_ratio(saved_num, den, 0),
-        "_net0": exact_ratio(saved_num - cost_total * den, den, 0),
-    }
+    return [
+        {"converted_loans_count": F.floor(c("n_unv") * pct * _dec("0.01")).cast("bigint"),
+         "_den": F.greatest(c("n_unv"), F.lit(1))},
+        {"_saved_num": c("unv_loss") * c("converted_loans_count") * _dec("0.16"),
+         "_cost": (c("converted_loans_count") * cost).cast("decimal(38,6)")},
+        {"_net_num": c("_saved_num") - c("_cost") * c("_den")},
+        {"unverified_loans_count": c("n_unv"),
+         "unverified_share_pct": exact_ratio(c("n_unv"), c("total"), 2, 100),
+         "total_portfolio_loans": c("total"),
+         "new_unverified_share_pct": exact_ratio(c("n_unv") - c("converted_loans_count"), c("total"), 2, 100),
+         "credit_losses_saved": exact_ratio(c("_saved_num"), c("_den")),
+         "capacity_processing_cost": _r2(c("_cost")),
+         "net_economic_benefit": exact_ratio(c("_net_num"), c("_den")),
+         "_net_sign": F.signum(c("_net_num")),
+         "_saved0": exact_ratio(c("_saved_num"), c("_den"), 0),
+         "_net0": exact_ratio(c("_net_num"), c("_den"), 0)},
+    ]
 
 
 def what_if_verification(book: DataFrame, pct: float = 30.0, cost: float = 35.0) -> DataFrame:
     """OP21: verify ``pct`` % of unverified loans at ``cost`` each; saves 16 % of their mean loss."""
     a = _verification_agg(book)
-    cols = _verification_cols(_dec(pct), _dec(cost))
-    r = a.select(*[v.alias(k) for k, v in cols.items()])
+    cols = VERIFICATION_COLS
+    r = _chain(a, _verification_stages(_dec(pct), _dec(cost)))
     c = F.col
     fmt = lambda x: F.concat(F.lit("$"), F.format_number(x, 0))
     cost0 = F.round(c("capacity_processing_cost"), 0)
@@ -459,15 +476,13 @@ def what_if_verification(book: DataFrame, pct: float = 30.0, cost: float = 35.0)
 def verification_sweep(book: DataFrame, pcts=range(10, 81, 5), costs=range(15, 61, 5)) -> DataFrame:
     """OP22/JN7: verification scenario over a (pct, cost) grid from one aggregate row."""
     a = _verification_agg(book)
-    params = F.array(*[F.struct(F.lit(Decimal(p)).cast("decimal(10,2)").alias("p"),
-                                F.lit(Decimal(q)).cast("decimal(10,2)").alias("q"))
-                       for p in pcts for q in costs])
+    params = X.lit_structs([(p, q) for p in pcts for q in costs], [("p", "decimal(10,2)"), ("q", "decimal(10,2)")])
     x = a.select("*", F.explode(params).alias("prm"))
-    cols = _verification_cols(F.col("prm.p"), F.col("prm.q"))
+    r = _chain(x, _verification_stages(F.col("prm.p"), F.col("prm.q")))
     ints = ("unverified_loans_count", "total_portfolio_loans", "converted_loans_count")
-    return x.select(X.out(F.col("prm.p"), "additional_verified_pct"), X.out(F.col("prm.q"), "review_cost_per_loan"),
-                    *[v.cast("bigint").alias(k) if k in ints else X.out(v, k)
-                      for k, v in cols.items() if not k.startswith("_")])
+    return r.select(X.out(F.col("prm.p"), "additional_verified_pct"), X.out(F.col("prm.q"), "review_cost_per_loan"),
+                    *[F.col(k).cast("bigint").alias(k) if k in ints else X.out(F.col(k), k)
+                      for k in VERIFICATION_COLS])
 
 
 # ---- OP22 run-all --------------------------------------------------------------

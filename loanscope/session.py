@@ -22,6 +22,8 @@ _DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Python call-site capture costs several JVM round trips per Column call.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
