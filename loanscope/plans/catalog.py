@@ -10,7 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import crisis, kpis, scorecard, trends, whatif
+from pyspark.sql import functions as F
+
+from ..operators import crisis, kpis, scorecard, star, trends, validate, whatif
 from .book import loan_book
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +165,67 @@ def _whatif_verification_sweep(spark, sf):
 def _whatif_all(spark, sf):
     b = loan_book(spark, sf)
     return whatif.run_all_scenarios(b.book(), b.loans_with_payments(), b.loans())
+
+
+@query("monthly_kpi_calendar")
+def _monthly_kpi_calendar(spark, sf):
+    return kpis.monthly_kpi_rollup(loan_book(spark, sf).book(), calendar=True)
+
+
+@query("fact_loans")
+def _fact_loans(spark, sf):
+    return star.fact_loans(loan_book(spark, sf).book())
+
+
+@query("dim_borrower")
+def _dim_borrower(spark, sf):
+    return star.dim_borrower(loan_book(spark, sf).borrowers())
+
+
+@query("dim_date")
+def _dim_date(spark, sf):
+    return star.dim_date(star.fact_loans(loan_book(spark, sf).book(), exact=True))
+
+
+@query("dim_geography")
+def _dim_geography(spark, sf):
+    return star.dim_geography(star.fact_loans(loan_book(spark, sf).book(), exact=True))
+
+
+@query("dim_loan_grade")
+def _dim_loan_grade(spark, sf):
+    fact = star.fact_loans(loan_book(spark, sf).book(), exact=True)
+    grades = fact.select("grade").distinct()
+    return grades.join(F.broadcast(star.dim_loan_grade(spark)), "grade", "inner")
+
+
+@query("dax_measures_by_month")
+def _dax_by_month(spark, sf):
+    return star.dax_measures_by_month(loan_book(spark, sf).book())
+
+
+@query("dax_measures_by_grade")
+def _dax_by_grade(spark, sf):
+    return star.dax_measures(loan_book(spark, sf).book(), "grade")
+
+
+@query("state_efficiency")
+def _state_efficiency(spark, sf):
+    return star.state_efficiency(loan_book(spark, sf).book())
+
+
+@query("cohort_matrix")
+def _cohort_matrix(spark, sf):
+    return star.cohort_matrix(loan_book(spark, sf).book())
+
+
+@query("collections_funnel")
+def _collections_funnel(spark, sf):
+    return star.collections_funnel(loan_book(spark, sf).book())
+
+
+@query("validate_tables")
+def _validate_tables(spark, sf):
+    b = loan_book(spark, sf)
+    rollup = kpis.monthly_kpi_rollup(b.book(), exact=True)
+    return validate.validate(b.loans(), b.borrowers(), b.payments(), rollup)
