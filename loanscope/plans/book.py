@@ -21,7 +21,6 @@ splits a skewed customer partition when one customer holds many loans).
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -159,40 +158,57 @@ def _with_payment_columns(df: DataFrame) -> DataFrame:
         "total_pymnt", (F.col("total_rec_prncp") + F.col("total_rec_int") + F.col("recoveries")).cast(X.MONEY))
 
 
-@dataclass
 class LoanBook:
-    """Lazy handles on the three tables plus the joined book."""
+    """Lazy handles on the three tables plus the joined book.
 
-    spark: SparkSession
-    sf_dir: str
+    The DataFrames are logical plans (no data is cached); each is built once
+    per book and reused, since building a plan costs driver round trips.
+    """
 
-    def _orders(self) -> DataFrame:
-        return scan(self.spark, self.sf_dir, "orders")
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+        self._plans: dict[str, DataFrame] = {}
+
+    def _memo(self, name: str, build) -> DataFrame:
+        if name not in self._plans:
+            self._plans[name] = build()
+        return self._plans[name]
 
     def loans(self) -> DataFrame:
-        return _loans_from_orders(self._orders())
+        return self._memo("loans", lambda: _loans_from_orders(scan(self.spark, self.sf_dir, "orders")))
 
     def borrowers(self) -> DataFrame:
-        return _borrowers_from_customers(scan(self.spark, self.sf_dir, "customer"))
+        return self._memo("borrowers", lambda: _borrowers_from_customers(scan(self.spark, self.sf_dir, "customer")))
 
     def loans_with_payments(self) -> DataFrame:
         """Loans inner-joined with their payments (orders without lines drop out)."""
-        ret = _returned_value_per_order(scan(self.spark, self.sf_dir, "lineitem"))
-        return _with_payment_columns(self.loans().join(ret, "loan_key", "inner"))
+        def build():
+            ret = _returned_value_per_order(scan(self.spark, self.sf_dir, "lineitem"))
+            return _with_payment_columns(self.loans().join(ret, "loan_key", "inner"))
+        return self._memo("loans_with_payments", build)
 
     def payments(self) -> DataFrame:
-        return self.loans_with_payments().select("loan_key", *PAYMENT_COLUMNS)
+        return self._memo("payments", lambda: self.loans_with_payments().select("loan_key", *PAYMENT_COLUMNS))
 
     def loans_with_borrowers(self) -> DataFrame:
-        return self.loans().join(self.borrowers().drop("borrower_id"), "borrower_key", "inner")
+        return self._memo("loans_with_borrowers", lambda: self.loans().join(
+            self.borrowers().drop("borrower_id"), "borrower_key", "inner"))
 
     def book(self) -> DataFrame:
         """The three-way join (JN3): loans x borrowers x payments."""
-        return self.loans_with_payments().join(self.borrowers().drop("borrower_id"), "borrower_key", "inner")
+        return self._memo("book", lambda: self.loans_with_payments().join(
+            self.borrowers().drop("borrower_id"), "borrower_key", "inner"))
+
+
+_BOOKS: dict[tuple, LoanBook] = {}
 
 
 def loan_book(spark: SparkSession, sf_dir: str) -> LoanBook:
-    return LoanBook(spark, sf_dir)
+    """The loan book over the driver tables in ``sf_dir`` (one per session and folder)."""
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir)
+    if key not in _BOOKS:
+        _BOOKS[key] = LoanBook(spark, sf_dir)
+    return _BOOKS[key]
 
 
 def published(df: DataFrame, columns: list[str]) -> DataFrame:
