@@ -218,3 +218,48 @@ def published(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def col_or(df: DataFrame, name: str, default: Column) -> Column:
     return F.col(name) if name in df.columns else default
+
+
+def raw_text_rows(book: DataFrame) -> DataFrame:
+    """The book rendered as raw loan-file text, with the decorations real files carry.
+
+    Amounts as ``$12,345.67``, rates as ``13.50%``, dates as ``Mar-1995``,
+    mixed case and padding, recoded verification text and some blank cells,
+    chosen by fixed rules on the loan key, so the ETL has real cleaning work.
+    """
+    k = F.col("loan_key")
+    s = lambda c: F.col(c).cast("string")
+    blank = F.lit("")
+    return book.select(
+        F.concat(F.lit("L"), s("loan_id")).alias("id"),
+        F.concat(F.lit("$"), F.format_number("loan_amnt", 2)).alias("loan_amnt"),
+        s("funded_amnt").alias("funded_amnt"),
+        F.when(k % 7 == 0, blank).otherwise(s("funded_amnt_inv")).alias("funded_amnt_inv"),
+        F.concat(F.lit(" "), F.col("term")).alias("term"),
+        F.concat(s("int_rate"), F.lit("%")).alias("int_rate"),
+        s("installment").alias("installment"),
+        F.when(k % 2 == 0, F.lower("grade")).otherwise(F.col("grade")).alias("grade"),
+        F.when(k % 9 == 0, blank).otherwise(F.col("sub_grade")).alias("sub_grade"),
+        F.col("emp_length"),
+        F.lower("home_ownership").alias("home_ownership"),
+        s("annual_inc").alias("annual_inc"),
+        F.when((F.col("verification_status") == "Verified") & (k % 2 == 0), F.lit("VERIFIED - income"))
+        .otherwise(F.col("verification_status")).alias("verification_status"),
+        F.date_format("issue_date", "MMM-yyyy").alias("issue_d"),
+        F.concat(F.lit(" "), F.col("loan_status"), F.lit(" ")).alias("loan_status"),
+        F.upper("purpose").alias("purpose"),
+        F.lower("addr_state").alias("addr_state"),
+        s("dti").alias("dti"),
+        s("open_acc").alias("open_acc"),
+        s("revol_bal").alias("revol_bal"),
+        F.concat(s("revol_util"), F.lit("%")).alias("revol_util"),
+        s("total_acc").alias("total_acc"),
+        s("total_pymnt").alias("total_pymnt"),
+        s("total_rec_prncp").alias("total_rec_prncp"),
+        s("total_rec_int").alias("total_rec_int"),
+        s("total_rec_late_fee").alias("total_rec_late_fee"),
+        s("recoveries").alias("recoveries"),
+        s("collection_recovery_fee").alias("collection_recovery_fee"),
+        blank.alias("last_pymnt_d"),
+        s("last_pymnt_amnt").alias("last_pymnt_amnt"),
+    )

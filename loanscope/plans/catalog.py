@@ -229,3 +229,24 @@ def _validate_tables(spark, sf):
     b = loan_book(spark, sf)
     rollup = kpis.monthly_kpi_rollup(b.book(), exact=True)
     return validate.validate(b.loans(), b.borrowers(), b.payments(), rollup)
+
+
+CLEAN_COLUMNS = ["loan_id", "issue_month", "issue_year", "loan_amnt", "funded_amnt", "funded_amnt_inv",
+                 "term", "int_rate", "installment", "grade", "sub_grade", "purpose", "loan_status",
+                 "is_default", "is_delinquent", "is_fully_funded", "home_ownership", "verification_status",
+                 "addr_state", "fico_range_low", "fico_range_high", "dti", "revol_util", "annual_inc",
+                 "emp_length", "total_rec_prncp", "recoveries", "charged_off_principal"]
+
+
+@query("clean_raw_loans")
+def _clean_raw_loans(spark, sf):
+    from .book import raw_text_rows
+    from .etl import clean_loans
+    from ..sources.raw import valid_rows
+    raw = valid_rows(raw_text_rows(loan_book(spark, sf).book()))
+    wide = clean_loans(raw, dense_ids=False)
+    df = wide.select(*CLEAN_COLUMNS, F.col("issue_date").cast("string").alias("issue_date"))
+    return kpis.to_output(df, keep=["loan_id", "issue_month", "term", "grade", "sub_grade", "purpose",
+                                    "loan_status", "home_ownership", "verification_status", "addr_state",
+                                    "emp_length", "issue_date"],
+                          ints=["issue_year", "is_default", "is_delinquent", "is_fully_funded"])
