@@ -215,6 +215,24 @@ def format_currency(col: Column) -> Column:
             .otherwise(F.format_string("$%.2f", v)))
 
 
+def format_currency_exact(col: Column) -> Column:
+    """PRJ18 on an exact decimal: same tiers, rounded half away from zero."""
+    v = col.cast("decimal(20,2)")
+    a = F.abs(v)
+    txt = lambda scale, digits, unit: F.concat(
+        F.lit("$"), F.round(v * F.lit(Decimal(scale)), digits).cast("string"), F.lit(unit))
+    return (F.when(v.isNull(), F.lit("$0"))
+            .when(a >= 10 ** 9, txt("0.000000001", 2, "B"))
+            .when(a >= 10 ** 6, txt("0.000001", 2, "M"))
+            .when(a >= 10 ** 3, txt("0.001", 1, "K"))
+            .otherwise(F.concat(F.lit("$"), F.round(v, 2).cast("string"))))
+
+
+def format_percent_exact(col: Column) -> Column:
+    return F.when(col.isNull(), F.lit("0.00%")).otherwise(
+        F.concat(F.round(col.cast("decimal(20,4)"), 2).cast("string"), F.lit("%")))
+
+
 def format_percent(col: Column) -> Column:
     v = col.cast("double")
     return F.when(v.isNull() | F.isnan(v), F.lit("0.00%")).otherwise(F.format_string("%.2f%%", v))

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from ..operators import crisis, kpis, scorecard, star, trends, validate, whatif
+from ..functions import exprs as X
+from ..operators import classifier, crisis, drivers, forecast, kpis, scorecard, star, trends, validate, whatif
 from .book import loan_book
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -250,3 +251,102 @@ def _clean_raw_loans(spark, sf):
                                     "loan_status", "home_ownership", "verification_status", "addr_state",
                                     "emp_length", "issue_date"],
                           ints=["issue_year", "is_default", "is_delinquent", "is_fully_funded"])
+
+
+# ---- ML, forecasting, sampling, presentation ---------------------------------
+
+@query("loan_features")
+def _loan_features(spark, sf):
+    f = classifier.loan_features(loan_book(spark, sf).loans_with_borrowers())
+    return f.withColumn("annual_inc", F.round("annual_inc", 8)).withColumn("is_default", F.col("is_default").cast("bigint"))
+
+
+@query("sampled_loans")
+def _sampled_loans(spark, sf):
+    lb = classifier.resolved(loan_book(spark, sf).loans_with_borrowers())
+    s = classifier.sample_rows(lb, 2000, seed=42)
+    return s.select("loan_id", F.col("is_default").cast("bigint").alias("is_default"), "grade",
+                    F.col("int_rate").cast("double").alias("int_rate"))
+
+
+@query("stratified_split")
+def _stratified_split(spark, sf):
+    lb = classifier.resolved(loan_book(spark, sf).loans_with_borrowers())
+    return classifier.split_flag(lb.select("loan_id", F.col("is_default").cast("bigint").alias("is_default")))
+
+
+@query("score_metrics")
+def _score_metrics(spark, sf):
+    lb = classifier.resolved(loan_book(spark, sf).loans_with_borrowers())
+    scored = lb.select((F.col("int_rate") / 100).cast("double").alias("score"), "is_default")
+    return classifier.evaluate_scores(scored, "score", "is_default", threshold=0.15)
+
+
+@query("driver_correlations")
+def _driver_correlations(spark, sf):
+    return drivers.driver_correlations(drivers.driver_frame(loan_book(spark, sf).loans_with_borrowers()))
+
+
+@query("driver_importance")
+def _driver_importance(spark, sf):
+    return drivers.driver_importance(drivers.driver_frame(loan_book(spark, sf).loans_with_borrowers()),
+                                     num_trees=20, max_depth=5)
+
+
+@query("default_scores")
+def _default_scores(spark, sf):
+    b = loan_book(spark, sf)
+    feats = classifier.loan_features(b.loans_with_borrowers())
+    bundle = classifier.train_default_classifier(feats, max_iter=10)
+    apps = classifier.resolved(b.loans_with_borrowers()).select(
+        "loan_id", "loan_amnt", "term", "int_rate", "installment", "grade", "annual_inc", "dti",
+        "fico_range_low", "revol_util", "open_acc", "verification_status", "home_ownership")
+    return classifier.score_loans(bundle.model, apps).select(
+        "loan_id", "default_probability_pct", "risk_tier", "underwriting_recommendation")
+
+
+@query("classifier_metrics")
+def _classifier_metrics(spark, sf):
+    feats = classifier.loan_features(loan_book(spark, sf).loans_with_borrowers())
+    return classifier.train_default_classifier(feats, max_iter=10).metrics
+
+
+@query("linear_trend_forecast")
+def _linear_trend_forecast(spark, sf):
+    return forecast.linear_forecast(_rollup(spark, sf))
+
+
+@query("linear_trend_forecast_by_grade")
+def _linear_trend_forecast_by_grade(spark, sf):
+    return forecast.linear_forecast(_rollup(spark, sf, "grade"), segment="grade")
+
+
+@query("holt_forecast")
+def _holt_forecast(spark, sf):
+    return forecast.holt_forecast(_rollup(spark, sf))
+
+
+@query("holt_forecast_by_grade")
+def _holt_forecast_by_grade(spark, sf):
+    return forecast.holt_forecast(_rollup(spark, sf, "grade"), segment="grade")
+
+
+@query("annuity_instalment")
+def _annuity_instalment(spark, sf):
+    l = loan_book(spark, sf).loans()
+    return l.select("loan_id", F.col("funded_amnt").cast("double").alias("funded_amnt"),
+                    F.col("int_rate").cast("double").alias("int_rate"),
+                    F.col("term_months").cast("bigint").alias("term_months"),
+                    F.round(X.annuity(F.col("funded_amnt"), F.col("int_rate"), F.col("term_months")), 2)
+                    .alias("monthly_instalment"))
+
+
+@query("formatted_kpis")
+def _formatted_kpis(spark, sf):
+    r = _rollup(spark, sf)
+    return r.select("metric_month",
+                    X.format_currency_exact(F.col("total_funded_volume")).alias("funded_volume_text"),
+                    X.format_currency_exact(F.col("total_charged_off_prncp")).alias("charged_off_text"),
+                    X.format_currency_exact(F.col("total_recoveries")).alias("recoveries_text"),
+                    X.format_percent_exact(F.col("default_rate")).alias("default_rate_text"),
+                    X.format_percent_exact(F.col("mom_volume_growth_pct")).alias("mom_growth_text"))
