@@ -79,7 +79,7 @@ def exact_ratio(num: Column, den: Column, digits: int = 2, mult: int = 1) -> Col
     q = F.call_function("div", F.abs(n) * 2 + F.abs(d), F.abs(d) * 2)
     signed = F.when((n < 0) != (d < 0), -q).otherwise(q)
     unit = F.lit(Decimal(1).scaleb(-digits)) if digits else F.lit(1)
-    return signed.cast("decimal(38,0)") * unit
+    return signed.cast("decimal(20,0)") * unit  # the quotient is a long; keeps scale = digits
 
 
 def exact_mean(col: Column, digits: int = 2) -> Column:
