@@ -223,6 +223,13 @@ def state_month_throughput(loans_borrowers: DataFrame) -> DataFrame:
     return to_output(df, keep=["addr_state", "metric_month"], ints=["loans_processed"])
 
 
+def filter_states(df: DataFrame, states=None) -> DataFrame:
+    """FLT5: keep the selected states (``None`` or ``"ALL"`` keeps all), before any rollup."""
+    if states is None or states == "ALL" or (isinstance(states, (list, tuple)) and "ALL" in states):
+        return df
+    return df.where(F.col("addr_state").isin(*([states] if isinstance(states, str) else states)))
+
+
 def distinct_states(borrowers: DataFrame) -> DataFrame:
     """SRC4: sorted distinct state codes (the filter list)."""
     return borrowers.select("addr_state").distinct().orderBy("addr_state")

@@ -270,3 +270,20 @@ def state_efficiency(book: DataFrame) -> DataFrame:
     m = dax_measures(book, "addr_state")
     return m.select("addr_state", F.col("regional_throughput").alias("processing_throughput"),
                     F.col("backlog_share").alias("unverified_share"), "default_rate")
+
+
+def star_report(fact: DataFrame, dim_geo: DataFrame, dim_grade: DataFrame) -> DataFrame:
+    """JN5: fact joined to its geography and grade dimensions; measures by region and risk tier.
+
+    Dimensions are small by construction (states, grades), so they are
+    broadcast; the fact side is never shuffled for the joins.
+    """
+    j = fact.join(F.broadcast(dim_geo.select("addr_state", "region")), "addr_state", "left") \
+        .join(F.broadcast(dim_grade.select("grade", "risk_tier")), "grade", "left")
+    g = j.groupBy("region", "risk_tier").agg(
+        F.count(F.lit(1)).alias("loans"),
+        F.sum("funded_amnt").alias("total_funded_volume"),
+        _divide(F.sum("is_default"), F.count(F.lit(1)), 0).alias("default_rate"),
+        _divide(F.sum(F.col("funded_amnt") * F.col("int_rate")), F.sum("funded_amnt"), 0).alias("weighted_apr"),
+    )
+    return to_output(g, keep=["region", "risk_tier"], ints=["loans"])

@@ -350,3 +350,20 @@ def _formatted_kpis(spark, sf):
                     X.format_currency_exact(F.col("total_recoveries")).alias("recoveries_text"),
                     X.format_percent_exact(F.col("default_rate")).alias("default_rate_text"),
                     X.format_percent_exact(F.col("mom_volume_growth_pct")).alias("mom_growth_text"))
+
+
+@query("distinct_states")
+def _distinct_states(spark, sf):
+    return kpis.distinct_states(loan_book(spark, sf).borrowers())
+
+
+@query("monthly_kpi_rollup_states")
+def _monthly_kpi_rollup_states(spark, sf):
+    book = kpis.filter_states(loan_book(spark, sf).book(), ["CA", "NY", "TX"])
+    return kpis.monthly_kpi_rollup(book)
+
+
+@query("star_report")
+def _star_report(spark, sf):
+    fact = star.fact_loans(loan_book(spark, sf).book(), exact=True)
+    return star.star_report(fact, star.dim_geography(fact), star.dim_loan_grade(spark))

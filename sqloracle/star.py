@@ -187,3 +187,19 @@ register("validate_tables", "\nUNION ALL\n".join([
          "SELECT COUNT(CASE WHEN funding_fulfillment_rate IS NULL OR funding_fulfillment_rate < 50 THEN 1 END) FROM ro"),
     _chk("non_empty", "monthly_kpi_rollup", "SELECT CAST(COUNT(*) = 0 AS INTEGER) FROM ro"),
 ]), rollup_ctes())
+
+register("distinct_states", "SELECT DISTINCT addr_state FROM borrowers_b ORDER BY addr_state")
+
+register("monthly_kpi_rollup_states", f"""
+SELECT metric_month, {cast_cols(ROLLUP_COLS, ['total_applications'])}
+FROM ro ORDER BY metric_month""", rollup_ctes().replace("FROM book GROUP BY", "FROM book WHERE addr_state IN ('CA', 'NY', 'TX') GROUP BY"))
+
+register("star_report", f"""
+SELECT coalesce(g.region, 'Other') AS region, d.risk_tier,
+  CAST(COUNT(*) AS BIGINT) AS loans, CAST(SUM(funded_amnt) AS DOUBLE) AS total_funded_volume,
+  CAST({_div('SUM(is_default)', 'COUNT(*)', 0)} AS DOUBLE) AS default_rate,
+  CAST({_div('SUM(funded_amnt * int_rate)', 'SUM(funded_amnt)', 0)} AS DOUBLE) AS weighted_apr
+FROM book f
+LEFT JOIN (VALUES {_STATES}) g(addr_state, state_name, region) ON f.addr_state = g.addr_state
+LEFT JOIN (VALUES {_GRADES}) d(grade, grade_name, risk_tier, subprime_flag) ON f.grade = d.grade
+GROUP BY coalesce(g.region, 'Other'), d.risk_tier""")
