@@ -300,3 +300,34 @@ SELECT CAST(p AS DOUBLE) AS additional_verified_pct, CAST(q AS DOUBLE) AS review
   {_ver_select(_ver_cols('p', 'q'))}
 FROM va JOIN (SELECT CAST(p AS DECIMAL(10,2)) AS p, CAST(q AS DECIMAL(10,2)) AS q
               FROM range(10, 81, 5) t1(p), range(15, 61, 5) t2(q)) prm ON TRUE""", _VA)
+
+# ---- run-all: the five default scenarios as (scenario, metric, value) rows ----------
+
+_ALL = {
+    "whatif_underwriting": ["min_fico", "max_dti", "baseline_loan_count", "baseline_funded_volume",
+                            "baseline_default_rate_pct", "baseline_credit_losses", "sim_loan_count",
+                            "sim_funded_volume", "sim_default_rate_pct", "sim_credit_losses", "volume_change_pct",
+                            "default_rate_delta_pts", "losses_saved_dollars", "volume_sacrificed_dollars"],
+    "whatif_pricing": ["apr_delta_bps"] + list(_P150),
+    "whatif_funding": ["min_fulfillment_threshold_pct", "total_applications", "baseline_qualified_loans_pct",
+                       "baseline_funded_volume", "qualified_loans_count", "qualified_loans_pct", "sim_funded_volume",
+                       "cancelled_loans_count", "volume_impact_pct"],
+    "whatif_collections": ["recovery_rate_uplift_pct", "fee_commission_pct"] + list(_C),
+    "whatif_verification": ["additional_verified_pct", "review_cost_per_loan"]
+    + [k for k in _V if not k.startswith("_")],
+}
+
+
+def _long(name: str, cols: list[str]) -> str:
+    from .queries import SQL
+    casts = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in cols)
+    return (f"SELECT scenario_name, metric, value FROM (UNPIVOT (SELECT scenario_name, {casts} FROM ({SQL[name]}) s) "
+            f"ON {', '.join(cols)} INTO NAME metric VALUE value)")
+
+
+def _register_all():
+    from .queries import SQL
+    SQL["whatif_all_scenarios"] = "\nUNION ALL\n".join(_long(n, c) for n, c in _ALL.items())
+
+
+_register_all()
