@@ -26,8 +26,8 @@ SELECT loan_id, CAST(is_default AS BIGINT) AS is_default,
   coalesce(CAST(fico_range_low AS DOUBLE), 0.0) AS fico_range_low,
   coalesce({clip('CAST(revol_util AS DOUBLE)', '0.0', '120.0')}, 0.0) AS revol_util,
   coalesce(CAST(open_acc AS DOUBLE), 0.0) AS open_acc,
-  CASE WHEN verification_status = 'Not Verified' THEN 1.0 ELSE 0.0 END AS is_unverified,
-  CASE WHEN home_ownership IN ('OWN', 'MORTGAGE') THEN 1.0 ELSE 0.0 END AS is_homeowner
+  CAST(CASE WHEN verification_status = 'Not Verified' THEN 1 ELSE 0 END AS DOUBLE) AS is_unverified,
+  CAST(CASE WHEN home_ownership IN ('OWN', 'MORTGAGE') THEN 1 ELSE 0 END AS DOUBLE) AS is_homeowner
 FROM lb WHERE {RESOLVED}""")
 
 register("sampled_loans", f"""
