@@ -275,10 +275,12 @@ def state_efficiency(book: DataFrame) -> DataFrame:
 def star_report(fact: DataFrame, dim_geo: DataFrame, dim_grade: DataFrame) -> DataFrame:
     """JN5: fact joined to its geography and grade dimensions; measures by region and risk tier.
 
-    Dimensions are small by construction (states, grades), so they are
-    broadcast; the fact side is never shuffled for the joins.
+    The grade dimension is a fixed 7-row table and is broadcast. The
+    geography dimension is derived from the data (distinct states), so its
+    join is left to AQE, which broadcasts it only when its runtime size is
+    under the threshold and keeps the shuffle join otherwise.
     """
-    j = fact.join(F.broadcast(dim_geo.select("addr_state", "region")), "addr_state", "left") \
+    j = fact.join(dim_geo.select("addr_state", "region"), "addr_state", "left") \
         .join(F.broadcast(dim_grade.select("grade", "risk_tier")), "grade", "left")
     g = j.groupBy("region", "risk_tier").agg(
         F.count(F.lit(1)).alias("loans"),
