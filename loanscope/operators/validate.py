@@ -40,25 +40,35 @@ def count_where(df: DataFrame, cond) -> DataFrame:
     return df.agg(F.count(F.when(cond, 1)).alias("v"))
 
 
+def _rows(stats: DataFrame, checks) -> DataFrame:
+    """Several report rows from one aggregation row: checks = [(name, table, column)]."""
+    arr = F.array(*[F.struct(F.lit(n).alias("check_name"), F.lit(t).alias("table_name"),
+                             F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias("violations"))
+                    for n, t, c in checks])
+    return stats.select(F.inline(arr)).withColumn("passed", F.col("violations") == 0)
+
+
 def validate(loans: DataFrame, borrowers: DataFrame, payments: DataFrame, rollup: DataFrame | None = None) -> DataFrame:
     any_null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in LOAN_NOT_NULL])
+    empty = (F.count(F.lit(1)) == 0).cast("int")
     checks = [
         _row("primary_key_unique", "loans", duplicate_keys(loans, "loan_id")),
         _row("primary_key_unique", "borrowers", duplicate_keys(borrowers, "borrower_id")),
         _row("primary_key_unique", "payments_recoveries", duplicate_keys(payments, "loan_id")),
         _row("foreign_key_present", "loans", missing_parents(loans, "borrower_id", borrowers, "borrower_id")),
         _row("foreign_key_present", "payments_recoveries", missing_parents(payments, "loan_id", loans, "loan_id")),
-        _row("not_null", "loans", count_where(loans, any_null)),
-        _row("non_empty", "loans", loans.agg((F.count(F.lit(1)) == 0).cast("int").alias("v"))),
-        _row("non_empty", "borrowers", borrowers.agg((F.count(F.lit(1)) == 0).cast("int").alias("v"))),
-        _row("non_empty", "payments_recoveries", payments.agg((F.count(F.lit(1)) == 0).cast("int").alias("v"))),
+        # one pass per table for the row-level checks
+        _rows(loans.agg(F.count(F.when(any_null, 1)).alias("nn"), empty.alias("ne")),
+              [("not_null", "loans", "nn"), ("non_empty", "loans", "ne")]),
+        _rows(borrowers.agg(empty.alias("ne")), [("non_empty", "borrowers", "ne")]),
+        _rows(payments.agg(empty.alias("ne")), [("non_empty", "payments_recoveries", "ne")]),
     ]
     if rollup is not None:
         dr, ff = F.col("default_rate"), F.col("funding_fulfillment_rate")
-        checks += [
-            _row("default_rate_in_0_100", "monthly_kpi_rollup",
-                 count_where(rollup, dr.isNull() | (dr < 0) | (dr > 100))),
-            _row("fulfillment_at_least_50", "monthly_kpi_rollup", count_where(rollup, ff.isNull() | (ff < 50))),
-            _row("non_empty", "monthly_kpi_rollup", rollup.agg((F.count(F.lit(1)) == 0).cast("int").alias("v"))),
-        ]
+        checks.append(_rows(rollup.agg(
+            F.count(F.when(dr.isNull() | (dr < 0) | (dr > 100), 1)).alias("dr"),
+            F.count(F.when(ff.isNull() | (ff < 50), 1)).alias("ff"), empty.alias("ne")),
+            [("default_rate_in_0_100", "monthly_kpi_rollup", "dr"),
+             ("fulfillment_at_least_50", "monthly_kpi_rollup", "ff"),
+             ("non_empty", "monthly_kpi_rollup", "ne")]))
     return reduce(DataFrame.unionByName, checks)

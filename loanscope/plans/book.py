@@ -184,7 +184,8 @@ class LoanBook:
         """Loans inner-joined with their payments (orders without lines drop out)."""
         def build():
             ret = _returned_value_per_order(scan(self.spark, self.sf_dir, "lineitem"))
-            return _with_payment_columns(self.loans().join(ret, "loan_key", "inner"))
+            # one row per order on both sides: it grows with the data, so never broadcast it
+            return _with_payment_columns(self.loans().join(ret.hint("merge"), "loan_key", "inner"))
         return self._memo("loans_with_payments", build)
 
     def payments(self) -> DataFrame:
