@@ -1,5 +1,6 @@
 import os
 import tempfile
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,7 @@ def test_scoring_runs_on_a_stream(spark):
         "verification_status string, home_ownership string")
     apps.repartition(3).write.parquet(src)
     q = start_scoring(model, read_applications(spark, src, apps.schema, max_files_per_trigger=1), out,
-                      name="test_scoring")
+                      name=f"test_scoring_{uuid.uuid4().hex[:8]}")  # a fixed name would resume
     q.awaitTermination(120)
     res = spark.read.parquet(out)
     assert res.count() == 30
