@@ -48,11 +48,14 @@ def get_session(master: str | None = None, app_name: str = "loanscope",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the deployment sets it to shared storage. Only when it is
-    unset (tests, a laptop) do we pick a private scratch folder.
+    On a cluster the deployment must set it to shared storage. Only a local
+    session (tests, a laptop) gets a private scratch folder where it is unset.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
         path = tempfile.mkdtemp(prefix="loanscope-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
