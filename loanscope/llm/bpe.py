@@ -30,6 +30,8 @@ from .common import Memo, byte_texts, id_and_text
 
 #: Below this length a fragment is merged by scanning, above it with a heap.
 SCAN_LENGTH = 24
+#: What the file's split pattern (a fixed value) comes to on printable lower-case ASCII, whose byte symbols are itself.
+_ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
 
 class ForcedBoundaryBPE:
@@ -107,6 +109,11 @@ class ForcedBoundaryBPE:
 
     def chunk_ids(self, chunk: str) -> list[int]:
         out: list[int] = []
+        if chunk.isascii() and chunk.isprintable() and "<|" not in chunk:
+            for word in _ASCII_WORDS.findall(chunk.lower()):
+                for fragment in self.cut(word):
+                    out.extend(self.fragment_ids[fragment])
+            return out
         for piece in self._special.split(chunk) if "<|" in chunk else (chunk,):
             if piece in self.added:
                 out.append(self.added[piece])

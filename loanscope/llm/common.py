@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from loanscope.session import table_path
 
-#: Entries kept in a worker's lookup of already handled words.
-CACHE_ENTRIES = 400_000
+#: Entries in each of the two generations of a worker's lookup of already handled words.
+CACHE_ENTRIES = 250_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,15 +52,22 @@ def byte_texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
 
 
 class Memo(dict):
-    """A lookup that fills itself with ``fn(key)`` and starts afresh at ``limit`` entries."""
+    """A lookup that fills itself with ``fn(key)``.
+
+    At ``limit`` entries it becomes the older generation, whose entries come back
+    when asked for, and a new one begins: at most twice ``limit`` are held.
+    """
 
     def __init__(self, fn: Callable, limit: int = CACHE_ENTRIES):
         super().__init__()
-        self.fn, self.limit = fn, limit
+        self.fn, self.limit, self.older = fn, limit, {}
 
     def __missing__(self, key):
-        value = self.fn(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.fn(key)
         if len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
         self[key] = value
         return value

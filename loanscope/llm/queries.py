@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, tokenfile, viterbi
-from .common import documents
+from loanscope.session import table_path
+
+from . import bpe, brown, jaccard, langid, lines, quality, rindex, tiling, tokenfile, viterbi
+from .common import documents, fold_col
 
 
 def tokenizer_path(name: str) -> str:
@@ -14,19 +16,50 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score(documents(spark, sf_dir))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.contaminated(documents(spark, sf_dir), spark.read.parquet(table_path(sf_dir, "benchmark")))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return viterbi.count_tokens(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("held_out", fold_col("doc_id", 4) == 2)
+    model = langid.train(docs.filter("not held_out"))
+    return langid.predict(docs, model, keep=["doc_id", "held_out"])
+
+
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir))
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rindex.remove_repeats(documents(spark, sf_dir)).drop("spans")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = tokenfile.new_folder(spark)
     tokenfile.write_tokens(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), folder)
     return tokenfile.read_tokens(spark, folder)
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op6_bpe, op9_token_files)}
-SQL: dict[str, str] = {}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest_columns(lines.remove_repeats(documents(spark, sf_dir)))
+
+
+QUERIES = {f.__name__: f for f in (op1_brown, op2_decontamination, op3_token_counts, op4_language, op5_jaccard,
+                                    op6_bpe, op7_quality, op8_suffix_dedup, op9_token_files, op10_line_dedup)}
+SQL: dict[str, str] = {"op10_line_dedup": lines.ORACLE}
