@@ -419,12 +419,18 @@ def cut_out(text: bytes, ranges: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, text[at:]])
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """Per row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans``; with ``with_text`` also ``kept`` (binary).
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False,
+                   keep: list[str] | None = None) -> DataFrame:
+    """Per row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans``.
 
-    ``spans`` are the removed runs ``(start, end)`` in bytes of the original text.
+    ``spans`` are the removed runs ``(start, end)`` in bytes of the original text. With
+    ``with_text`` there is also ``kept``, the rest as text (a character cut in two goes whole),
+    and with ``keep`` a struct ``row`` of the named input columns as fields c0, c1, ...
     """
-    docs = id_and_text(df, id_col, text_col).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("k"), F.sha2("text", 256).alias("h"), "text")
+    row = [F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]).alias("row")] if keep else []
+    extra = ["row"] * bool(keep)
+    docs = id_and_text(df, id_col, text_col, *row).select(
+        F.coalesce("doc_id", F.lit(NULL_ID)).alias("k"), F.sha2("text", 256).alias("h"), "text", *extra)
     # The first row of each text, and a number that tells apart rows of one id with different texts.
     narrow = docs.groupBy("k", "h").agg(F.first(F.lit(1)).alias("one")).select("k", "h")
     ranked = narrow.select("k", "h", (F.row_number().over(Window.partitionBy("k").orderBy("h")) - 1).alias("d"))
@@ -432,20 +438,20 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     known = ranked.join(first, "h").select(
         F.col("k").alias("rk"), F.col("h").alias("rh"), "d", ((F.col("k") != F.col("first.k")) | (F.col("d") != F.col("first.d"))).alias("again"))
     # Texts are dealt by k alone, once, for all three uses; the hash is compared beside it.
-    base = docs.join(known, (F.col("k") == F.col("rk")) & (F.concat("h", F.lit("")) == F.concat("rh", F.lit("")))).select("k", "d", "again", "text")
+    base = docs.join(known, (F.col("k") == F.col("rk")) & (F.concat("h", F.lit("")) == F.concat("rh", F.lit("")))).select("k", "d", "again", "text", *extra)
     whole = base.filter(F.octet_length("text") >= LENGTH)
-    anchors = whole.filter("not again").select("k", "d", "text").mapInArrow(_anchors, _ANCHORS)
+    anchors = whole.filter("not again").select("k", "d", "text", *extra).mapInArrow(_anchors, _ANCHORS)
     spots = anchors.repartition("key").sortWithinPartitions("key").mapInArrow(_repeating, "k long, d int, spot long")
     by_doc = spots.groupBy("k").agg(F.collect_list(F.struct("d", "spot")).alias("spots")).withColumnRenamed("k", "sk")
-    segments = (whole.filter("not again").join(by_doc, F.col("k") == F.col("sk")).select("k", "d", "spots", "text").mapInArrow(_segments, _SEGMENT_DDL))
+    segments = (whole.filter("not again").join(by_doc, F.col("k") == F.col("sk")).select("k", "d", "spots", "text", *extra).mapInArrow(_segments, _SEGMENT_DDL))
     ranges = segments.repartition("key").sortWithinPartitions("key").mapInArrow(_judged, "k long, d int, start long, end long")
     by_doc = ranges.groupBy("k").agg(F.collect_list(F.struct("d", "start", "end")).alias("ranges")).withColumnRenamed("k", "sk")
-    joined = base.join(by_doc, F.col("k") == F.col("sk"), "left").select("k", "d", "again", "ranges", "text")
+    joined = base.join(by_doc, F.col("k") == F.col("sk"), "left").select("k", "d", "again", "ranges", "text", *extra)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
-                            ("kept_sha256", pa.string()), ("spans", kind), *([("kept", pa.binary())] if with_text else [])])
+                            ("kept_sha256", pa.string()), ("spans", kind), *([("kept", pa.string())] if with_text else [])])
         for batch in batches:
             out = []
             for k, d, again, ranges, text in zip(*(batch.column(c).to_pylist() for c in ("k", "d", "again", "ranges")), byte_texts(batch)):
@@ -455,8 +461,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     runs = merged([(r["start"], r["end"]) for r in ranges or () if r["d"] == d])
                 kept = cut_out(text, runs)
                 out.append([None if k == NULL_ID else k, len(text), len(text) - len(kept), len(runs), sha256(kept).hexdigest(),
-                            [{"start": a, "end": b} for a, b in runs], kept][:len(schema)])
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
+                            [{"start": a, "end": b} for a, b in runs], *([kept.decode(errors="ignore")] if with_text else [])])
+            cols = [pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)]
+            yield pa.RecordBatch.from_arrays([*cols, *(batch.column(c) for c in extra)], names=[*schema.names, *extra])
 
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: bigint, end: bigint>>"
-    return joined.mapInArrow(rest, ddl + ", kept binary" * with_text)
+    ddl += ", kept string" * with_text + (f", row {joined.schema['row'].dataType.simpleString()}" if keep else "")
+    return joined.mapInArrow(rest, ddl)
