@@ -17,8 +17,6 @@ the tokenizers library has it.
 from __future__ import annotations
 
 import heapq
-import json
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
@@ -26,35 +24,28 @@ from hashlib import sha256
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .chunks import ChunkWords
 from .common import Memo, byte_texts, id_and_text
 
 #: Below this length a fragment is merged by scanning, above it with a heap.
 SCAN_LENGTH = 24
-#: What the file's split pattern (a fixed value) comes to on printable lower-case ASCII, whose byte symbols are itself.
-_ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
 
 class ForcedBoundaryBPE:
     """BPE with an end-of-word suffix, as given by a tokenizers JSON file."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        model = spec["model"]
+        self.split = ChunkWords(path)
+        model = self.split.spec["model"]
         self.suffix = model["end_of_word_suffix"] or ""
         self.ids: dict[str, int] = dict(model["vocab"])
         pairs = (tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"])
         self.ranks = {p: i for i, p in enumerate(pairs)}
-        self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens = {i: t for t, i in (self.ids | self.added).items()}
+        self.tokens = {i: t for t, i in (self.ids | self.split.added).items()}
         bare = [t.removesuffix(self.suffix) for t in self.ids]
         self.inside = {t[i:i + 2] for t in bare for i in range(len(t) - 1)}
-        self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
-        lib = Tokenizer.from_file(path)
-        self._normalize, self._split = lib.normalizer.normalize_str, lib.pre_tokenizer.pre_tokenize_str
         self.fragment_ids = Memo(self._merge)
+        self.words = Memo(self._word)
         self.chunks = Memo(self._chunk)
 
     def cut(self, word: str) -> list[str]:
@@ -77,13 +68,16 @@ class ForcedBoundaryBPE:
         if len(symbols) > SCAN_LENGTH:
             symbols = self._merge_long(symbols)
         else:
-            ranks = self.ranks
-            while len(symbols) > 1:
-                found = [(r, i) for i, p in enumerate(zip(symbols, symbols[1:])) if (r := ranks.get(p)) is not None]
-                if not found:
-                    break
-                _, i = min(found)
+            ranks, never = self.ranks, len(self.ranks)
+            order = [ranks.get(p, never) for p in zip(symbols, symbols[1:])]
+            while order and (best := min(order)) < never:
+                i = order.index(best)
                 symbols[i:i + 2] = [symbols[i] + symbols[i + 1]]
+                del order[i]
+                if i:
+                    order[i - 1] = ranks.get((symbols[i - 1], symbols[i]), never)
+                if i < len(order):
+                    order[i] = ranks.get((symbols[i], symbols[i + 1]), never)
         return tuple(self.ids[s] for s in symbols)
 
     def _merge_long(self, symbols: list[str]) -> list[str]:
@@ -107,26 +101,17 @@ class ForcedBoundaryBPE:
                     heapq.heappush(heap, (r, k, live[k], live[m]))
         return [s for s in live if s is not None]
 
-    def chunk_ids(self, chunk: str) -> list[int]:
-        out: list[int] = []
-        if chunk.isascii() and chunk.isprintable() and "<|" not in chunk:
-            for word in _ASCII_WORDS.findall(chunk.lower()):
-                for fragment in self.cut(word):
-                    out.extend(self.fragment_ids[fragment])
-            return out
-        for piece in self._special.split(chunk) if "<|" in chunk else (chunk,):
-            if piece in self.added:
-                out.append(self.added[piece])
-            elif piece:
-                for word, _ in self._split(self._normalize(piece)):
-                    for fragment in self.cut(word):
-                        out.extend(self.fragment_ids[fragment])
-        return out
+    def _word(self, word: str) -> tuple[bytes, bytes]:
+        """Decimal ids and token texts of a word, each followed by a space."""
+        if word in self.split.added:
+            ids = [self.split.added[word]]
+        else:
+            ids = [i for fragment in self.cut(word) for i in self.fragment_ids[fragment]]
+        return b"".join([b"%d " % i for i in ids]), "".join([self.tokens[i] + " " for i in ids]).encode()
 
     def _chunk(self, chunk: bytes) -> tuple[bytes, bytes]:
-        """Decimal ids and token texts of a chunk, each followed by a space."""
-        ids = self.chunk_ids(chunk.decode())
-        return b"".join(b"%d " % i for i in ids), "".join(self.tokens[i] + " " for i in ids).encode()
+        found = [self.words[w] for w in self.split.words(chunk.decode())]
+        return found[0] if len(found) == 1 else (b"".join([f[0] for f in found]), b"".join([f[1] for f in found]))
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for c in text.encode().split() for i in self.chunks[c][0].split()]

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from loanscope.session import table_path
 
 #: Entries in each of the two generations of a worker's lookup of already handled words.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 300_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
