@@ -20,7 +20,7 @@ writes no shard and reads back empty; other columns are ignored.
 
 from __future__ import annotations
 
-import os
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from loanscope.session import checkpoint_dir, materialize
 
+from .chunks import ChunkWords
 from .common import Memo, byte_texts, id_and_text
 
 MAGIC, MAGIC_END, VERSION = b"TIDZ", b"ZDIT", 1
@@ -47,21 +48,23 @@ LEVEL = 3
 
 
 class ChunkEncoder:
-    """The tokenizers library's ids of white-space separated chunks, each distinct one asked for once."""
+    """The tokenizers library's ids of white-space separated chunks; its model sees each distinct word once."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.lib = Tokenizer.from_file(path)
-        self.lib.no_truncation()
-        self.lib.no_padding()
-        size = self.lib.get_vocab_size(with_added_tokens=True)
+        self.split = ChunkWords(path)
+        size = self.split.lib.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        self.chunks = Memo(self._encode)
+        self._pack = {n: struct.Struct(f"<{n}{'H' if self.dtype.itemsize == 2 else 'I'}").pack for n in range(64)}
+        self._model = self.split.lib.model.tokenize
+        self.words = Memo(self._word)
+        self.chunks = Memo(self._chunk)
+
+    def _word(self, word: str) -> bytes:
+        ids = [self.split.added[word]] if word in self.split.added else [t.id for t in self._model(word)]
+        return self._pack[len(ids)](*ids) if len(ids) < 64 else np.array(ids, self.dtype).tobytes()
 
-    def _encode(self, chunk: bytes) -> bytes:
-        return np.array(self.lib.encode(chunk.decode(), add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+    def _chunk(self, chunk: bytes) -> bytes:
+        return b"".join([self.words[w] for w in self.split.words(chunk.decode())])
 
     def encode(self, text: bytes, end: bytes) -> bytes:
         get = self.chunks.__getitem__
