@@ -40,13 +40,12 @@ from pyspark.sql import functions as F
 
 from .common import byte_texts, id_and_text, mix64
 
-LENGTH, GRAM = 100, 20
+LENGTH, GRAM = 100, 32  # the gram is whole eight-byte words
 _SPREAD = LENGTH - GRAM  # an anchor lies 0 to _SPREAD bytes into its windows
 #: Bytes whose anchors are found together, and bytes of segments indexed together.
-BLOCK, INDEX_BYTES = 2 << 20, 2 << 20
+BLOCK, INDEX_BYTES = 1 << 19, 1 << 18
 NULL_ID = -(1 << 63)
 _BASE = 0x9E3779B97F4A7C15
-_LARGEST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def _sliding(x: np.ndarray, size: int, f) -> np.ndarray:
@@ -64,13 +63,12 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     if n <= 0:
         return np.empty(0, np.uint64)
     with np.errstate(over="ignore"):
-        # Two eight-byte words and one of four, read unaligned.
-        wide = np.concatenate((data, np.zeros(8, np.uint8)))
-        word = np.ndarray((len(data) + 1,), dtype="<u8", buffer=wide, strides=(1,))
-        out = mix64(word[:n] + np.uint64(1)) * np.uint64(_BASE)
-        out = (out ^ word[8:n + 8]) * np.uint64(0xC2B2AE3D27D4EB4F)
-        out ^= out >> np.uint64(29)
-        return mix64((out ^ (word[16:n + 16] & np.uint64(0xFFFFFFFF))) * np.uint64(_BASE))
+        # Eight-byte words, read unaligned.
+        word = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
+        out = mix64(word[:n] + np.uint64(1))
+        for k in range(8, GRAM, 8):
+            out = mix64((out ^ word[k:n + k]) * np.uint64(_BASE))
+        return out
 
 
 def anchored(texts: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -305,8 +303,8 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: dict[bytes, tuple] = {}
             gone = []
-            for k, d, spots, text in zip(batch.column("k").to_pylist(), batch.column("d").to_pylist(), batch.column("spots").to_pylist(), byte_texts(batch)):
-                for spot in (s["spot"] for s in spots if s["d"] == d):
+            for k, d, spots, later, text in zip(*(batch.column(c).to_pylist() for c in ("k", "d", "spots", "later")), byte_texts(batch)):
+                for spot in (s["spot"] for s in spots if s["d"] == d and not (later and d in later)):
                     first, more, offset = spot >> 16, (spot >> 8) & 255, spot & 255
                     piece = text[first:first + more + LENGTH]
                     digest = blake2b(piece, digest_size=16).digest()
@@ -429,24 +427,28 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     row = [F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]).alias("row")] if keep else []
     extra = ["row"] * bool(keep)
-    docs = id_and_text(df, id_col, text_col, *row).select(
-        F.coalesce("doc_id", F.lit(NULL_ID)).alias("k"), F.sha2("text", 256).alias("h"), "text", *extra)
-    # The first row of each text, and a number that tells apart rows of one id with different texts.
-    narrow = docs.groupBy("k", "h").agg(F.first(F.lit(1)).alias("one")).select("k", "h")
-    ranked = narrow.select("k", "h", (F.row_number().over(Window.partitionBy("k").orderBy("h")) - 1).alias("d"))
-    first = ranked.groupBy("h").agg(F.min(F.struct("k", "d")).alias("first"))
-    known = ranked.join(first, "h").select(
-        F.col("k").alias("rk"), F.col("h").alias("rh"), "d", ((F.col("k") != F.col("first.k")) | (F.col("d") != F.col("first.d"))).alias("again"))
-    # Texts are dealt by k alone, once, for all three uses; the hash is compared beside it.
-    base = docs.join(known, (F.col("k") == F.col("rk")) & (F.concat("h", F.lit("")) == F.concat("rh", F.lit("")))).select("k", "d", "again", "text", *extra)
-    whole = base.filter(F.octet_length("text") >= LENGTH)
-    anchors = whole.filter("not again").select("k", "d", "text", *extra).mapInArrow(_anchors, _ANCHORS)
+    docs = id_and_text(df, id_col, text_col, *row).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("k"), "text", *extra)
+    hashed = docs.select("k", F.sha2("text", 256).alias("h"))
+    if hashed.groupBy("k").count().filter("count > 1").isEmpty():
+        docs, ranked = docs.withColumn("d", F.lit(0)), hashed.withColumn("d", F.lit(0))
+    else:  # rows that share an id are numbered by text
+        ranked = hashed.distinct().withColumn("d", (F.row_number().over(Window.partitionBy("k").orderBy("h")) - 1).cast("int"))
+        known = ranked.select(F.col("k").alias("rk"), F.col("h").alias("rh"), "d")
+        docs = docs.join(known, (F.col("k") == F.col("rk")) & (F.sha2("text", 256) == F.col("rh"))).drop("rk", "rh")
+    docs = docs.select("k", "d", "text", *extra)
+    first = ranked.groupBy("h").agg(F.min(F.struct("k", "d")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    later = ranked.join(first, "h").filter((F.col("k") != F.col("first.k")) | (F.col("d") != F.col("first.d")))
+    later = later.groupBy("k").agg(F.collect_list("d").alias("later")).withColumnRenamed("k", "lk")
+    anchors = docs.mapInArrow(_anchors, _ANCHORS)
     spots = anchors.repartition("key").sortWithinPartitions("key").mapInArrow(_repeating, "k long, d int, spot long")
     by_doc = spots.groupBy("k").agg(F.collect_list(F.struct("d", "spot")).alias("spots")).withColumnRenamed("k", "sk")
-    segments = (whole.filter("not again").join(by_doc, F.col("k") == F.col("sk")).select("k", "d", "spots", "text", *extra).mapInArrow(_segments, _SEGMENT_DDL))
+    by_doc = by_doc.join(later, F.col("sk") == F.col("lk"), "left").select("sk", "spots", "later")
+    # Texts are dealt by k, with the same columns here and below, so that the exchange is made once.
+    segments = docs.join(by_doc, F.col("k") == F.col("sk")).select("k", "d", "spots", "later", "text", *extra).mapInArrow(_segments, _SEGMENT_DDL)
     ranges = segments.repartition("key").sortWithinPartitions("key").mapInArrow(_judged, "k long, d int, start long, end long")
     by_doc = ranges.groupBy("k").agg(F.collect_list(F.struct("d", "start", "end")).alias("ranges")).withColumnRenamed("k", "sk")
-    joined = base.join(by_doc, F.col("k") == F.col("sk"), "left").select("k", "d", "again", "ranges", "text", *extra)
+    by_doc = by_doc.join(later, F.col("sk") == F.col("lk"), "full").select(F.coalesce("sk", "lk").alias("sk"), "ranges", "later")
+    joined = docs.join(by_doc, F.col("k") == F.col("sk"), "left").select("k", "d", "ranges", "later", "text", *extra)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -454,8 +456,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                             ("kept_sha256", pa.string()), ("spans", kind), *([("kept", pa.string())] if with_text else [])])
         for batch in batches:
             out = []
-            for k, d, again, ranges, text in zip(*(batch.column(c).to_pylist() for c in ("k", "d", "again", "ranges")), byte_texts(batch)):
-                if again:
+            for k, d, ranges, later, text in zip(*(batch.column(c).to_pylist() for c in ("k", "d", "ranges", "later")), byte_texts(batch)):
+                if d in (later or ()):
                     runs = [(0, len(text))] if len(text) >= LENGTH else []
                 else:
                     runs = merged([(r["start"], r["end"]) for r in ranges or () if r["d"] == d])
