@@ -65,21 +65,26 @@ def lit_structs(rows, fields) -> Column:
     return F.expr("array(" + ", ".join(one(r) for r in rows) + ")")
 
 
-def exact_ratio(num: Column, den: Column, digits: int = 2, mult: int = 1) -> Column:
+def exact_ratio(num: Column, den: Column, digits: int = 2, mult: int = 1, scale: int = 10) -> Column:
     """``round(mult * num / den, digits)`` half away from zero, as an exact decimal.
 
-    ``num`` and ``den`` must be exact (integral or decimal, scale <= 10).
-    Both are scaled to integers first, so the division is an exact integral
-    ``div``. Returns NULL when ``den`` is 0 or NULL, like ``x / NULLIF(den, 0)``.
+    ``num`` and ``den`` must be exact, with at most ``scale`` decimal places
+    (0 for counts). Both are scaled to integers; whole part and rest of the
+    division are taken apart, so ``mult * num * 10**scale`` has all 38 digits
+    for itself and the result may have 18 before the point. Returns NULL when
+    ``den`` is 0 or NULL, like ``x / NULLIF(den, 0)``.
     """
-    scale = F.lit(10 ** 10).cast("decimal(11,0)")
-    n = (num * scale).cast("decimal(38,0)") * F.lit(mult * 10 ** digits).cast("decimal(20,0)")
-    d = F.nullif((den * scale).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
-    # floor(|n|/|d| + 1/2) == (2|n| + |d|) div 2|d|
-    q = F.call_function("div", F.abs(n) * 2 + F.abs(d), F.abs(d) * 2)
-    signed = F.when((n < 0) != (d < 0), -q).otherwise(q)
-    unit = F.lit(Decimal(1).scaleb(-digits)) if digits else F.lit(1)
-    return signed.cast("decimal(20,0)") * unit  # the quotient is a long; keeps scale = digits
+    def whole(c: Column) -> Column:
+        return (c * F.lit(10 ** scale).cast(f"decimal({scale + 1},0)")).cast("decimal(38,0)") if scale else c.cast("decimal(38,0)")
+    n = whole(num) * F.lit(mult).cast("decimal(5,0)")
+    d = F.nullif(whole(den), F.lit(0).cast("decimal(38,0)"))
+    a, b = F.abs(n), F.abs(d)
+    # round(|n|/|d|) = |n| div |d| and the rest, to ``digits`` places: (2 r 10^digits + |d|) div 2|d|
+    rest = (a % b) * F.lit(2 * 10 ** digits).cast("decimal(12,0)") + b
+    part = F.call_function("div", rest, b * 2).cast("decimal(20,0)")
+    unit = F.lit(Decimal(1).scaleb(-digits)) if digits else F.lit(Decimal(1))
+    q = F.call_function("div", a, b).cast("decimal(20,0)") + part * unit
+    return F.when((n < 0) != (d < 0), -q).otherwise(q)
 
 
 def exact_mean(col: Column, digits: int = 2) -> Column:
@@ -89,7 +94,7 @@ def exact_mean(col: Column, digits: int = 2) -> Column:
 
 def pct_of_rows(flag: Column, digits: int = 2) -> Column:
     """``round(sum(flag) * 100 / count(*), digits)`` as an aggregate."""
-    return exact_ratio(F.sum(flag), F.count(F.lit(1)), digits, mult=100)
+    return exact_ratio(F.sum(flag), F.count(F.lit(1)), digits, mult=100, scale=0)
 
 
 def out(col: Column, name: str, kind: str = "double") -> Column:

@@ -1,12 +1,11 @@
 """Loan-level default classifier (OP13-OP16) and deterministic sampling (SRT4).
 
 * features: built-in column expressions (one narrow projection)
-* sampling / splitting: md5 of (loan id, seed) - repeatable, engine independent
+* sampling / splitting: md5 of (loan id, seed) - repeatable, engine independent;
+  the split is stratified: the same share of each label
 * model: Spark ML ``GBTClassifier`` in a ``Pipeline`` (distributed training)
 * metrics: exact ROC-AUC and average precision from cumulative counts per
-  distinct score; scores are snapped to ``resolution`` first, so the ordered
-  pass runs over a bounded number of distinct values (1e6+1 for
-  probabilities at 1e-6), whatever the number of loans
+  distinct score, summed in score ranges
 * scoring: ``model.transform`` on any batch or streaming DataFrame
 """
 
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..functions.exprs import RESOLVED_STATUSES
+from ..session import materialize
 
 FEATURES = ["loan_amnt", "term_months", "int_rate", "installment", "grade_code", "annual_inc", "dti",
             "fico_range_low", "revol_util", "open_acc", "is_unverified", "is_homeowner"]
@@ -34,35 +34,59 @@ def md5_order(key, seed: int):
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed))))
 
 
-def sample_rows(df: DataFrame, n: int, seed: int = 42, key: str = "loan_id",
-                prefilter: bool = True) -> DataFrame:
+def sample_rows(df: DataFrame, n: int, seed: int = 42, key: str = "loan_id") -> DataFrame:
     """SRT4: a repeatable random sample: the first ``n`` rows in md5 order.
 
-    md5 values are uniform, so the rows whose 32-bit md5 prefix is below
-    ``t`` are exactly the first rows of the md5 order. With ``prefilter`` the
-    frame is first cut to the prefix range expected to hold about 1.5 n rows
-    (widened until it holds at least n), so the final top-n merge sees
-    O(n) rows instead of n per partition.
+    md5 values are uniform, so all rows up to some md5 prefix are the first rows
+    of that order. The prefix is found from histograms of the key column: 65,536
+    counts of the next 16 bits at a time, until the rows up to it are few more
+    than ``n``. The histogram is an eager job; the sample itself is lazy.
     """
     order = md5_order(key, seed)
-    if not prefilter:
-        return df.orderBy(order).limit(n)
-    u = F.conv(F.substring(order, 1, 8), 16, 10).cast("long")
-    total = df.count()
-    frac = min(1.0, 1.5 * n / max(total, 1) + 1e-4)
-    while True:
-        t = int(frac * 2 ** 32)
-        cut = df.where(u < t) if frac < 1.0 else df
-        if frac >= 1.0 or cut.count() >= min(n, total):
-            return cut.orderBy(order).limit(n)
-        frac = min(1.0, frac * 2)
-
-
-def split_flag(df: DataFrame, test_pct: int = 20, seed: int = 42, key: str = "loan_id") -> DataFrame:
-    """Deterministic train/test split by hash bucket (label-independent, so each class
-    splits in the same proportion in expectation). Adds ``split`` = train/test."""
-    bucket = F.conv(F.substring(md5_order(key, seed), 1, 8), 16, 10).cast("long") % 100
-    return df.withColumn("split", F.when(bucket < test_pct, "test").otherwise("train"))
+    keys = df.select(key)
+    low, taken = "", 0  # rows with a prefix below ``low`` are all in the sample
+    for _ in range(4):
+        depth = len(low) + 4
+        cell = F.substring(order, 1, depth)
+        found = keys.where(order.startswith(low)) if low else keys
+        counts = sorted((r["cell"], r["n"]) for r in found.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect())
+        for prefix, many in counts:
+            if taken + many >= n:
+                break
+            taken += many
+        else:
+            return df.orderBy(order)  # fewer rows than asked for
+        low = prefix
+        if taken + many <= 2 * n:
+            break
+    return df.where(F.substring(order, 1, len(low)) <= low).orderBy(order).limit(n)
+
+
+def split_flag(df: DataFrame, test_pct: int = 20, seed: int = 42, key: str = "loan_id", label: str = "is_default",
+               bits: int = 16) -> DataFrame:
+    """Stratified split: of each label the first ``test_pct`` % rows (rounded down) in md5 order are ``test``.
+
+    The cut is found per label from a histogram of md5 prefixes (``2**bits`` cells at most);
+    only rows of the one cell in which a label's cut falls are ordered among themselves.
+    """
+    order = md5_order(key, seed)
+    cell = F.substring(order, 1, bits // 4)
+    keyed = df.withColumns({"_order": order, "_cell": cell})
+    counts = keyed.groupBy(F.col(label).alias("_label"), F.col("_cell").alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy("_label").orderBy("_c").rowsBetween(Window.unboundedPreceding, 0)
+    sums = counts.withColumns({"_upto": F.sum("_n").over(upto), "_all": F.sum("_n").over(Window.partitionBy("_label"))})
+    want = F.floor(F.col("_all") * test_pct / 100)
+    cut = sums.where((F.col("_upto") - F.col("_n") <= want) & (F.col("_upto") > want)).select(
+        "_label", F.col("_c").alias("_cut"), (want - F.col("_upto") + F.col("_n")).alias("_rest"))
+    # one row per label
+    marked = keyed.join(F.broadcast(cut), F.col(label).eqNullSafe(F.col("_label")), "left")
+    edge = marked.where(F.col("_cell") == F.col("_cut")).withColumn(
+        "_r", F.row_number().over(Window.partitionBy("_label").orderBy("_order", key)))
+    rest = marked.where(~F.coalesce(F.col("_cell") == F.col("_cut"), F.lit(False)))
+    test = F.col("_cell") < F.col("_cut")
+    both = edge.withColumn("split", F.when(F.col("_r") <= F.col("_rest"), "test").otherwise("train")).drop("_r").unionByName(
+        rest.withColumn("split", F.when(test, "test").otherwise("train")))
+    return both.select(*df.columns, "split")
 
 
 def resolved(df: DataFrame) -> DataFrame:
@@ -93,7 +117,7 @@ def _transform(df: DataFrame, training: bool) -> DataFrame:
         "fico_range_low": d("fico_range_low"),
         "revol_util": X.clip(d("revol_util"), 0.0, 120.0),
         "open_acc": d("open_acc"),
-        "is_unverified": (F.col("verification_status") == "Not Verified").cast("double"),
+        "is_unverified": X.unverified_flag(F.col("verification_status")).cast("double"),
         "is_homeowner": F.col("home_ownership").isin("OWN", "MORTGAGE").cast("double"),
     }
     return df.withColumns({k: F.coalesce(v, F.lit(0.0)) for k, v in cols.items()})
@@ -114,35 +138,43 @@ def score_defaults(df: DataFrame) -> DataFrame:
 
 # ---- metrics ---------------------------------------------------------------
 
-def evaluate_scores(df: DataFrame, score: str = "score", label: str = "is_default",
-                    threshold: float = 0.25, resolution: float | None = 1e-6) -> DataFrame:
+def evaluate_scores(df: DataFrame, score: str = "score", label: str = "is_default", threshold: float = 0.25,
+                    ranges: int | None = None) -> DataFrame:
     """OP15: one row with roc_auc, average_precision, prior and the confusion matrix.
 
     ROC-AUC counts ties as half (Mann-Whitney); average precision is the
-    step-wise sum of precision x recall increments over distinct scores.
+    step-wise sum of precision x recall increments over distinct scores. The
+    counts per distinct score are cut into score ranges and written once; each
+    range is summed on its own, and its running counts start from the sums of
+    the ranges above it, so no task sees more than one range.
     """
-    s = F.col(score).cast("double")
-    if resolution:
-        s = F.round(s / resolution) * resolution
-    y = F.col(label).cast("long")
-    per = df.select(s.alias("s"), y.alias("y"), F.col(score).cast("double").alias("raw")).groupBy("s").agg(
-        F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"),
-        F.count(F.when((F.col("raw") >= threshold) & (F.col("y") == 1), 1)).alias("tp"),
-        F.count(F.when((F.col("raw") >= threshold) & (F.col("y") == 0), 1)).alias("fp"))
-    # one row per distinct (snapped) score: bounded by the resolution
-    w = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    cum = per.select("*", F.sum("pos").over(w).alias("cpos"), F.sum("neg").over(w).alias("cneg"))
+    s, y = F.col(score).cast("double"), F.col(label).cast("long")
+    per = df.select(s.alias("s"), y.alias("y")).groupBy("s").agg(
+        F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    spark = df.sparkSession
+    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cut = materialize(per.repartitionByRange(n, F.desc("s")).withColumn("part", F.spark_partition_id()), "score-ranges")
+    big = "decimal(38,0)"
+    # one row per range
+    above = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut.groupBy("part").agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"))
+    starts = sums.select(F.col("part").alias("_part"), F.coalesce(F.sum("p").over(above), F.lit(0)).alias("p0"),
+                         F.coalesce(F.sum("q").over(above), F.lit(0)).alias("q0"))
+    w = Window.partitionBy("part").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
+    cum = cut.select("*", F.sum("pos").over(w).alias("p1"), F.sum("neg").over(w).alias("q1")).join(
+        starts, F.col("part") == F.col("_part")).withColumns({"cpos": F.col("p0") + F.col("p1"), "cneg": F.col("q0") + F.col("q1")})
+    c = F.col
+    hit = c("s") >= threshold
     a = cum.agg(
         F.sum("pos").alias("P"), F.sum("neg").alias("N"),
         # twice the Mann-Whitney count: integral, so exact in any order
-        F.sum(F.col("neg") * (F.col("cpos") * 2 - F.col("pos"))).alias("auc_num2"),
-        F.sum(F.when(F.col("pos") > 0, F.col("cpos") / (F.col("cpos") + F.col("cneg")) * F.col("pos"))).alias("ap_num"),
-        F.sum("tp").alias("tp"), F.sum("fp").alias("fp"))
-    c = F.col
+        F.sum((c("neg").cast("decimal(19,0)") * (c("cpos") * 2 - c("pos")).cast("decimal(19,0)")).cast(big)).alias("auc_num2"),
+        F.sum(F.when(c("pos") > 0, c("cpos") / (c("cpos") + c("cneg")) * c("pos"))).alias("ap_num"),
+        F.sum(F.when(hit, c("pos")).otherwise(0)).alias("tp"), F.sum(F.when(hit, c("neg")).otherwise(0)).alias("fp"))
     return a.select(
         F.round(c("auc_num2").cast("double") / (c("P").cast("double") * c("N") * 2), 6).alias("roc_auc"),
         F.round(c("ap_num") / c("P"), 6).alias("average_precision"),
-        X.exact_ratio(c("P"), c("P") + c("N"), 2, 100).cast("double").alias("default_prior_pct"),
+        X.exact_ratio(c("P"), c("P") + c("N"), 2, 100, 0).cast("double").alias("default_prior_pct"),
         (c("P") + c("N")).cast("bigint").alias("n"),
         c("tp").cast("bigint").alias("tp"), c("fp").cast("bigint").alias("fp"),
         (c("P") - c("tp")).cast("bigint").alias("fn"), (c("N") - c("fp")).cast("bigint").alias("tn"),
@@ -209,7 +241,11 @@ def score_loans(model, requests: DataFrame) -> DataFrame:
     """OP16: score a batch (or stream) of applications: probability %, tier, action."""
     feats = _transform(score_defaults(requests), training=False)
     scored = score_frame(model, feats)
-    pct = F.round(F.col("probability_default") * 100.0, 2)
-    tier, action = X.risk_tier(pct)
-    return scored.withColumns({"default_probability_pct": pct, "risk_tier": tier,
-                               "underwriting_recommendation": action})
+    return with_risk_tier(scored, F.col("probability_default") * 100.0)
+
+
+def with_risk_tier(df: DataFrame, percent) -> DataFrame:
+    """Tier and action of a default probability in percent: cut on the raw value, shown to 2 places."""
+    tier, action = X.risk_tier(percent)
+    return df.withColumns({"default_probability_pct": F.round(percent, 2), "risk_tier": tier,
+                           "underwriting_recommendation": action})

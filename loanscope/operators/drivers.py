@@ -1,8 +1,7 @@
 """Default-driver ranking (OP10, AGG14) and the root-cause bundle (OP11).
 
 Correlations are ten ``corr`` aggregates in one pass. Categorical codes are
-alphabetical indices of the distinct values: the distinct values are ranked
-(a small table) and joined back, rather than ranking every loan row.
+alphabetical indices of the distinct values, found by one small aggregate.
 """
 
 from __future__ import annotations
@@ -46,12 +45,16 @@ NARRATIVES = {
 # --------------------------------------------------------------------------
 
 
-def _code(df: DataFrame, col: str, out: str) -> DataFrame:
-    """Alphabetical 0-based code of a text column (label encoding)."""
-    vals = df.select(F.col(col).cast("string").alias(col)).distinct()
-    # one row per distinct category
-    ranked = vals.select(col, (F.dense_rank().over(Window.orderBy(col)) - 1).cast("double").alias(out))
-    return df.withColumn(col, F.col(col).cast("string")).join(ranked, col, "left")
+def _codes(df: DataFrame, columns: list[str]) -> dict:
+    """0-based alphabetical codes of text columns (label encoding) as expressions.
+
+    The distinct labels (NULL is the label ``None``) come from one small aggregate;
+    a row's code is its place in that literal array, so no join meets a hot label.
+    """
+    text = {c: F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in columns}
+    found = df.agg(*[F.sort_array(F.collect_set(t)).alias(c) for c, t in text.items()]).first()
+    return {c: (F.array_position(F.array(*[F.lit(v) for v in found[c]]), t) - 1).cast("double") if found[c] else F.lit(None).cast("double")
+            for c, t in text.items()}
 
 
 def driver_frame(loans_borrowers: DataFrame, sample: int | None = None, seed: int = 42) -> DataFrame:
@@ -65,10 +68,10 @@ def driver_frame(loans_borrowers: DataFrame, sample: int | None = None, seed: in
         X.grade_code(F.col("grade"), 4).cast("double").alias("grade_encoded"),
         d("int_rate").alias("int_rate"), d("dti").alias("dti"), d("fico_range_low").alias("fico_range_low"),
         d("annual_inc").alias("annual_inc"), d("revol_util").alias("revol_util"), d("loan_amnt").alias("loan_amnt"),
-        (F.col("verification_status") == "Not Verified").cast("double").alias("is_unverified"),
+        X.unverified_flag(F.col("verification_status")).cast("double").alias("is_unverified"),
         "home_ownership", "purpose")
-    df = _code(df, "home_ownership", "home_encoded")
-    return _code(df, "purpose", "purpose_encoded")
+    codes = _codes(df, ["home_ownership", "purpose"])
+    return df.withColumns({"home_encoded": codes["home_ownership"], "purpose_encoded": codes["purpose"]})
 
 
 def driver_correlations(frame: DataFrame) -> DataFrame:
@@ -105,6 +108,16 @@ def driver_importance(frame: DataFrame, num_trees: int = 100, max_depth: int = 8
         "diagnostic_narrative")
 
 
+def driver_directions(frame: DataFrame) -> DataFrame:
+    """OP10 without the forest's weight: each driver's name, correlation, direction and narrative."""
+    info = frame.sparkSession.createDataFrame([(k, DRIVER_NAMES[k], NARRATIVES[k]) for k in DRIVER_FEATURES],
+                                              "driver_key string, driver_name string, diagnostic_narrative string")
+    # ten rows on either side
+    j = driver_correlations(frame).join(F.broadcast(info), "driver_key")
+    r = F.coalesce(F.col("correlation_with_default"), F.lit(0.0))
+    return j.withColumn("direction", F.when(r >= 0, "Positive (+)").otherwise("Negative (-)"))
+
+
 def root_cause(book: DataFrame, loans_borrowers: DataFrame, crisis_years=(1995, 1996, 1997),
                sample: int | None = None) -> dict[str, DataFrame]:
     """OP11: the crisis comparison and the ranked drivers."""

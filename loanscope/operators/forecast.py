@@ -5,27 +5,25 @@ Input: the monthly rollup (one row per segment and month). Two methods:
 * ``linear_forecast`` - degree-1 least-squares trend over the row index
   (``regr_slope`` / ``regr_intercept``) plus bands from the population std of
   the last 12 points; pure aggregates and windows.
-* ``holt_forecast`` - damped additive Holt per series, fitted inside
-  ``groupBy(segment).applyInPandas``: each series is one small group (its
-  months), so many segments fit in parallel. For fixed (alpha, beta, phi) the
-  one-step errors are affine in the initial level and trend, which are
-  solved by least squares; (alpha, beta, phi) come from a coarse-then-fine
-  grid minimising the squared error. A series the fit cannot handle falls
-  back to the straight line, as the reference does.
+* ``holt_forecast`` - damped additive Holt per series: the months of a series are
+  a sorted array, the parameter grid is exploded beside it, one-step errors are
+  folded with ``aggregate`` and the best triple is the least struct.
 
 Rules shared by both: fewer than ``min_points`` months -> no forecast; rate
-clipped to [0.5, 30]; volume floored at 1,000,000; band = +-1.96 x population
-std of the last 12 actuals (constant width), lower bound >= 0; 2 places.
+clipped to [0.5, 30]; volume floored at ``volume_floor`` (the portfolio-wide floor
+is 1,000,000; segments have none); band = +-1.96 x population std of the last 12
+actuals (constant width), lower bound >= 0; 2 places.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import exprs as X
+
 RATE_CLIP = (0.5, 30.0)
+#: Floor of the portfolio-wide volume (fixed value).
 VOLUME_FLOOR = 1_000_000.0
 Z95 = 1.96
 
@@ -34,7 +32,8 @@ def _seg(segment):
     return [] if segment is None else ([segment] if isinstance(segment, str) else list(segment))
 
 
-def linear_forecast(rollup: DataFrame, periods: int = 12, segment=None, min_points: int = 10) -> DataFrame:
+def linear_forecast(rollup: DataFrame, periods: int = 12, segment=None, min_points: int = 10,
+                    volume_floor: float | None = None) -> DataFrame:
     """AGG15 + AGG16: straight-line forecast with constant-width bands."""
     seg = _seg(segment)
     w = Window.partitionBy(*seg).orderBy("metric_month")
@@ -54,138 +53,96 @@ def linear_forecast(rollup: DataFrame, periods: int = 12, segment=None, min_poin
     steps = fit.select("*", F.explode(F.sequence(F.lit(1), F.lit(periods))).alias("h"))
     x = F.col("n") - 1 + F.col("h")
     rate = F.least(F.greatest(F.col("r_icpt") + F.col("r_slope") * x, F.lit(RATE_CLIP[0])), F.lit(RATE_CLIP[1]))
-    vol = F.greatest(F.col("v_icpt") + F.col("v_slope") * x, F.lit(VOLUME_FLOOR))
+    vol = F.col("v_icpt") + F.col("v_slope") * x
+    if volume_floor is not None:
+        vol = F.greatest(vol, F.lit(volume_floor))
     first = F.to_date(F.concat(F.col("last_month"), F.lit("-01")))
     month = F.date_format(F.add_months(first, F.col("h")), "yyyy-MM")
-    return steps.select(
-        *seg, month.alias("metric_month"), F.col("h").cast("bigint").alias("step"),
-        F.round(rate, 2).alias("forecast_default_rate"),
-        F.round(F.greatest(rate - Z95 * F.col("r_std"), F.lit(0.0)), 2).alias("default_rate_lower"),
-        F.round(rate + Z95 * F.col("r_std"), 2).alias("default_rate_upper"),
-        F.round(vol, 2).alias("forecast_funded_volume"),
-        F.round(F.greatest(vol - Z95 * F.col("v_std"), F.lit(0.0)), 2).alias("volume_lower"),
-        F.round(vol + Z95 * F.col("v_std"), 2).alias("volume_upper"),
-    )
-
-
-# ---- damped Holt (per series, numpy) --------------------------------------
-
-def _holt_sse_grid(y: np.ndarray, alpha, beta, phi):
-    """SSE and fitted initial state for every (alpha, beta, phi) triple (vectors of length G)."""
-    g = alpha.shape[0]
-    # state = [level, trend] for three inputs: basis l0, basis b0, data with zero init
-    lv = np.zeros((3, g)); tr = np.zeros((3, g))
-    lv[0] = 1.0; tr[1] = 1.0
-    inp = np.zeros((3, 1))
-    errs = np.zeros((len(y), 3, g))
-    for t, yt in enumerate(y):
-        fc = lv + phi * tr
-        inp[2, 0] = yt
-        errs[t] = inp - fc          # data row: y - fc; basis rows: -fc
-        new_lv = alpha * inp + (1 - alpha) * fc
-        tr = beta * (new_lv - lv) + (1 - beta) * phi * tr
-        lv = new_lv
-    # e(theta) = e_data + e_basis @ theta  ->  least squares in theta = (l0, b0)
-    a = errs[:, :2, :].transpose(2, 0, 1)          # (g, n, 2)
-    b = errs[:, 2, :].T                             # (g, n)
-    ata = np.einsum("gni,gnj->gij", a, a) + 1e-9 * np.eye(2)
-    atb = np.einsum("gni,gn->gi", a, b)
-    theta = -np.linalg.solve(ata, atb[..., None])[..., 0]
-    resid = b + np.einsum("gni,gi->gn", a, theta)
-    return (resid ** 2).sum(axis=1), theta
-
-
-def _holt_run(y, alpha, beta, phi, l0, b0):
-    lv, tr = l0, b0
-    for yt in y:
-        fc = lv + phi * tr
-        new_lv = alpha * yt + (1 - alpha) * fc
-        tr = beta * (new_lv - lv) + (1 - beta) * phi * tr
-        lv = new_lv
-    return lv, tr
-
-
-def holt_fit_forecast(y: np.ndarray, periods: int) -> np.ndarray:
-    """Damped additive Holt forecast of ``periods`` steps (grid + least squares)."""
-    best = None
-    grids = [(np.linspace(0.05, 0.95, 10), np.linspace(0.0, 0.6, 7), np.linspace(0.8, 0.995, 6))]
-    for level in range(2):
-        a, b, p = grids[-1]
-        aa, bb, pp = [m.ravel() for m in np.meshgrid(a, b, p, indexing="ij")]
-        keep = bb <= aa  # trend smoothing no faster than level smoothing
-        aa, bb, pp = aa[keep], bb[keep], pp[keep]
-        sse, theta = _holt_sse_grid(y, aa, bb, pp)
-        i = int(np.nanargmin(sse))
-        best = (aa[i], bb[i], pp[i], theta[i, 0], theta[i, 1])
-        if level == 0:
-            da, db, dp = 0.05, 0.05, 0.02
-            grids.append((np.clip(np.linspace(best[0] - da, best[0] + da, 7), 0.01, 0.99),
-                          np.clip(np.linspace(best[1] - db, best[1] + db, 7), 0.0, 0.99),
-                          np.clip(np.linspace(best[2] - dp, best[2] + dp, 5), 0.8, 0.995)))
-    alpha, beta, phi, l0, b0 = best
-    lv, tr = _holt_run(y, alpha, beta, phi, l0, b0)
-    damp = np.cumsum(phi ** np.arange(1, periods + 1))
-    fc = lv + damp * tr
-    if not np.all(np.isfinite(fc)):
-        raise FloatingPointError("non-finite Holt forecast")
-    return fc
-
-
-def _linear(y: np.ndarray, periods: int) -> np.ndarray:
-    x = np.arange(len(y))
-    z = np.polyfit(x, y, 1)
-    return np.polyval(z, np.arange(len(y), len(y) + periods))
-
-
-def _forecast_group(pdf: pd.DataFrame, periods: int, min_points: int, seg: list[str]) -> pd.DataFrame:
-    pdf = pdf.sort_values("metric_month")
-    cols = seg + ["metric_month", "step", "method", "forecast_default_rate", "default_rate_lower",
-                  "default_rate_upper", "forecast_funded_volume", "volume_lower", "volume_upper"]
-    if len(pdf) < min_points:
-        return pd.DataFrame(columns=cols)
-    out = {}
-    method = "holt"
-    for key, y in (("r", pdf["default_rate"].astype(float).to_numpy()),
-                   ("v", pdf["total_funded_volume"].astype(float).to_numpy())):
-        try:
-            fc = holt_fit_forecast(y, periods)
-        except Exception:  # noqa: BLE001 - the reference falls back to a line on any failure
-            fc, method = _linear(y, periods), "linear"
-        std = float(np.std(y[-12:]))
-        out[key] = (fc, std)
-    r, r_std = out["r"]
-    v, v_std = out["v"]
-    r = np.clip(r, *RATE_CLIP)
-    v = np.maximum(VOLUME_FLOOR, v)
-    last = pd.Period(pdf["metric_month"].iloc[-1], freq="M")
-    res = pd.DataFrame({
-        "metric_month": [str(last + i) for i in range(1, periods + 1)],
-        "step": np.arange(1, periods + 1, dtype="int64"),
-        "method": method,
-        "forecast_default_rate": np.round(r, 2),
-        "default_rate_lower": np.round(np.maximum(0.0, r - Z95 * r_std), 2),
-        "default_rate_upper": np.round(r + Z95 * r_std, 2),
-        "forecast_funded_volume": np.round(v, 2),
-        "volume_lower": np.round(np.maximum(0.0, v - Z95 * v_std), 2),
-        "volume_upper": np.round(v + Z95 * v_std, 2),
-    })
-    for s in seg:
-        res[s] = pdf[s].iloc[0]
-    return res[cols]
-
-
-def holt_forecast(rollup: DataFrame, periods: int = 12, segment=None, min_points: int = 10) -> DataFrame:
-    """OP12: damped-Holt forecast per series (one applyInPandas group per series)."""
+    valued = steps.select(*seg, month.alias("metric_month"), F.col("h").cast("bigint").alias("step"),
+                          rate.alias("r"), vol.alias("v"), "r_std", "v_std")
+    return _banded(valued, seg)
+
+
+# ---- damped Holt ------------------------------------------------------------
+
+#: Smoothing parameters that the fit tries (trend smoothing no faster than level smoothing).
+ALPHAS = tuple(round(0.05 + 0.1 * i, 2) for i in range(10))
+BETAS = tuple(round(0.1 * i, 1) for i in range(7))
+PHIS = (0.8, 0.84, 0.88, 0.92, 0.96, 0.98)
+
+
+def holt_grid() -> list[tuple[float, float, float]]:
+    return [(a, b, p) for a in ALPHAS for b in BETAS if b <= a for p in PHIS]
+
+
+def _fitted(series: DataFrame, seg: list[str], value: str, grid) -> DataFrame:
+    """Per series the triple of least squared one-step errors, with its final level and trend.
+
+    Level starts at the first value, trend at the first difference. The months of a
+    series are one sorted array; every triple folds it once.
+    """
+    triples = X.lit_structs(grid, [("a", "double"), ("b", "double"), ("p", "double")])
+    tried = series.select(*seg, "n", value, F.explode(triples).alias("t"))
+    y, t = F.col(value), F.col("t")
+
+    def step(s, x):
+        ahead = s["l"] + t["p"] * s["b"]
+        level = t["a"] * x + (1.0 - t["a"]) * ahead
+        trend = t["b"] * (level - s["l"]) + (1.0 - t["b"]) * t["p"] * s["b"]
+        error = x - ahead
+        return F.struct(level.alias("l"), trend.alias("b"), (s["e"] + error * error).alias("e"))
+
+    start = F.struct(y[0].alias("l"), (y[1] - y[0]).alias("b"), F.lit(0.0).alias("e"))
+    folded = tried.select(*seg, "t", F.aggregate(F.slice(y, 2, F.col("n") - 1), start, step).alias("s"))
+    best = F.min(F.struct(F.col("s.e"), F.col("t.a"), F.col("t.b"), F.col("t.p"), F.col("s.l").alias("l"), F.col("s.b").alias("k"))).alias(f"{value}_fit")
+    return folded.groupBy(*seg).agg(best)
+
+
+def holt_forecast(rollup: DataFrame, periods: int = 12, segment=None, min_points: int = 10,
+                  volume_floor: float | None = None, grid=None) -> DataFrame:
+    """OP12: damped additive Holt forecast of every series, in built-in expressions.
+
+    The smoothing triple is the best of ``grid`` (default: :func:`holt_grid`) by squared
+    one-step error, ties to the smaller triple.
+    """
     seg = _seg(segment)
-    data = rollup.select(*seg, "metric_month", F.col("default_rate").cast("double").alias("default_rate"),
-                         F.col("total_funded_volume").cast("double").alias("total_funded_volume"))
-    seg_schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in data.schema.fields if f.name in seg)
-    schema = (seg_schema + "metric_month string, step long, method string, forecast_default_rate double, "
-              "default_rate_lower double, default_rate_upper double, forecast_funded_volume double, "
-              "volume_lower double, volume_upper double")
-    fn = lambda pdf: _forecast_group(pdf, periods, min_points, seg)
-    if seg:
-        return data.groupBy(*seg).applyInPandas(fn, schema)
-    # a single series: group on a constant (the group is the months of one series)
-    return data.withColumn("_series", F.lit(0)).groupBy("_series").applyInPandas(
-        lambda pdf: _forecast_group(pdf.drop(columns=["_series"]), periods, min_points, []), schema)
+    w = Window.partitionBy(*seg).orderBy(F.desc("metric_month"))
+    data = rollup.select(*seg, "metric_month", F.col("default_rate").cast("double").alias("r"),
+                         F.col("total_funded_volume").cast("double").alias("v"), F.row_number().over(w).alias("back"))
+    recent = F.col("back") <= 12
+    ordered = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("metric_month", c))), lambda x: x[c])
+    series = data.groupBy(*seg).agg(
+        F.count(F.lit(1)).cast("int").alias("n"), F.max("metric_month").alias("last_month"), ordered("r").alias("r"), ordered("v").alias("v"),
+        F.stddev_pop(F.when(recent, F.col("r"))).alias("r_std"), F.stddev_pop(F.when(recent, F.col("v"))).alias("v_std"),
+    ).where(F.col("n") >= max(2, min_points))
+    grid = list(grid or holt_grid())
+    fits = [_fitted(series, seg, v, grid) for v in ("r", "v")]
+    joined = series.select(*seg, "last_month", "r_std", "v_std")
+    for f in fits:  # one row per series
+        joined = joined.join(f, seg) if seg else joined.crossJoin(F.broadcast(f))
+    steps = joined.select("*", F.explode(F.sequence(F.lit(1), F.lit(periods))).alias("h"))
+
+    def ahead(fit):
+        damp = F.aggregate(F.sequence(F.lit(1), F.col("h")), F.struct(F.lit(0.0).alias("s"), F.lit(1.0).alias("q")),
+                           lambda s, _: F.struct((s["s"] + s["q"] * F.col(f"{fit}.p")).alias("s"), (s["q"] * F.col(f"{fit}.p")).alias("q")), lambda s: s["s"])
+        return F.col(f"{fit}.l") + damp * F.col(f"{fit}.k")
+
+    rate = F.least(F.greatest(ahead("r_fit"), F.lit(RATE_CLIP[0])), F.lit(RATE_CLIP[1]))
+    volume = ahead("v_fit")
+    if volume_floor is not None:
+        volume = F.greatest(volume, F.lit(volume_floor))
+    first = F.to_date(F.concat(F.col("last_month"), F.lit("-01")))
+    valued = steps.select(*seg, F.date_format(F.add_months(first, F.col("h")), "yyyy-MM").alias("metric_month"),
+                          F.col("h").cast("bigint").alias("step"), rate.alias("r"), volume.alias("v"), "r_std", "v_std")
+    return _banded(valued, seg)
+
+
+def _banded(df: DataFrame, seg: list[str]) -> DataFrame:
+    """Forecasts ``r`` and ``v`` with constant-width bands, 2 places."""
+    r, v = F.col("r"), F.col("v")
+    return df.select(
+        *seg, "metric_month", "step", F.round(r, 2).alias("forecast_default_rate"),
+        F.round(F.greatest(r - Z95 * F.col("r_std"), F.lit(0.0)), 2).alias("default_rate_lower"),
+        F.round(r + Z95 * F.col("r_std"), 2).alias("default_rate_upper"), F.round(v, 2).alias("forecast_funded_volume"),
+        F.round(F.greatest(v - Z95 * F.col("v_std"), F.lit(0.0)), 2).alias("volume_lower"),
+        F.round(v + Z95 * F.col("v_std"), 2).alias("volume_upper"))

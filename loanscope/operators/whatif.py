@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..functions.exprs import RESOLVED_STATUSES, exact_ratio
+from ..session import materialize
 
 MONEY38 = "decimal(38,2)"
 
@@ -55,7 +56,7 @@ def _chain(df: DataFrame, stages) -> DataFrame:
 
 
 def resolved(df: DataFrame) -> DataFrame:
-    """FLT3: loans with a final outcome (pushed down as an ``In`` filter)."""
+    """FLT3: loans with a final outcome (status is derived, so the filter runs before the shuffle, not in the scan)."""
     return df.filter(F.col("loan_status").isin(*RESOLVED_STATUSES))
 
 
@@ -73,14 +74,14 @@ def _uw_metrics(n, vol, dflt, loss, bn, bvol, bdef, bloss):
     s2 = {
         "sim_loan_count": n.cast("bigint"),
         "sim_funded_volume": vol,
-        "sim_default_rate_pct": F.when(n > 0, exact_ratio(dflt, n, 2, 100)).otherwise(zero),
+        "sim_default_rate_pct": F.when(n > 0, exact_ratio(dflt, n, 2, 100, 0)).otherwise(zero),
         "sim_credit_losses": loss,
-        "volume_change_pct": exact_ratio(c("_dvol"), bvol, 2, 100),
-        "default_rate_delta_pts": exact_ratio(c("_dnum"), c("_dden"), 2, 100),
+        "volume_change_pct": exact_ratio(c("_dvol"), bvol, 2, 100, 2),
+        "default_rate_delta_pts": exact_ratio(c("_dnum"), c("_dden"), 2, 100, 0),
         "losses_saved_dollars": bloss - loss,
         "volume_sacrificed_dollars": bvol - vol,
-        "_vc6": exact_ratio(c("_dvol"), bvol, 6, 100),
-        "_dd6": exact_ratio(c("_dnum"), c("_dden"), 6, 100),
+        "_vc6": exact_ratio(c("_dvol"), bvol, 6, 100, 2),
+        "_dd6": exact_ratio(c("_dnum"), c("_dden"), 6, 100, 0),
     }
     return [s1, s2]
 
@@ -107,22 +108,28 @@ def _uw_recommendation(min_fico: Column, max_dti: Column) -> Column:
 
 def what_if_underwriting(book: DataFrame, min_fico: float = 660, max_dti: float = 35.0) -> DataFrame:
     """OP17: keep resolved loans with ``fico >= min_fico and dti <= max_dti``."""
-    df = resolved(book)
-    keep = (F.col("fico_range_low") >= _dec(min_fico)) & (F.col("dti") <= _dec(max_dti))
-    a = df.agg(
-        F.count(F.lit(1)).alias("baseline_loan_count"),
-        F.sum("funded_amnt").alias("baseline_funded_volume"),
-        F.sum("is_default").alias("_bdef"),
-        F.sum("charged_off_principal").alias("baseline_credit_losses"),
+    return _underwriting_row(resolved(book).agg(*_underwriting_sums(F.lit(True), min_fico, max_dti)), min_fico, max_dti)
+
+
+def _underwriting_sums(base: Column, min_fico, max_dti) -> list[Column]:
+    keep = base & (F.col("fico_range_low") >= _dec(min_fico)) & (F.col("dti") <= _dec(max_dti))
+    return [
+        F.count(F.when(base, 1)).alias("baseline_loan_count"),
+        F.sum(F.when(base, F.col("funded_amnt"))).alias("baseline_funded_volume"),
+        F.sum(F.when(base, F.col("is_default"))).alias("_bdef"),
+        F.sum(F.when(base, F.col("charged_off_principal"))).alias("baseline_credit_losses"),
         F.count(F.when(keep, 1)).alias("_n"),
         F.coalesce(F.sum(F.when(keep, F.col("funded_amnt"))), F.lit(0).cast(MONEY38)).alias("_vol"),
         F.coalesce(F.sum(F.when(keep, F.col("is_default"))), F.lit(0).cast("bigint")).alias("_def"),
         F.coalesce(F.sum(F.when(keep, F.col("charged_off_principal"))), F.lit(0).cast(MONEY38)).alias("_loss"),
-    )
+    ]
+
+
+def _underwriting_row(a: DataFrame, min_fico, max_dti) -> DataFrame:
     c = F.col
     m = _uw_metrics(c("_n"), c("_vol"), c("_def"), c("_loss"), c("baseline_loan_count"),
                     c("baseline_funded_volume"), c("_bdef"), c("baseline_credit_losses"))
-    a = _chain(a, [{"baseline_default_rate_pct": exact_ratio(c("_bdef"), c("baseline_loan_count"), 2, 100)}] + m)
+    a = _chain(a, [{"baseline_default_rate_pct": exact_ratio(c("_bdef"), c("baseline_loan_count"), 2, 100, 0)}] + m)
     return a.select(
         F.lit("Underwriting Tightening (FICO / DTI)").alias("scenario_name"),
         _dec(min_fico).cast("double").alias("min_fico"), _dec(max_dti).cast("double").alias("max_dti"),
@@ -212,14 +219,17 @@ def _pricing_factor(bps: int) -> Decimal:
     return f if bps > 0 else max(Decimal("0.9"), f)
 
 
-def _pricing_agg(loans_payments: DataFrame) -> DataFrame:
-    df = resolved(loans_payments)
+def _pricing_sums(base: Column) -> list[Column]:
     fr = F.col("funded_amnt") * F.col("int_rate")
-    return df.agg(
-        (F.sum(fr) * _dec("0.01")).cast("decimal(38,6)").alias("base_income"),
-        (F.sum(F.when(F.col("grade").isin(*SUBPRIME_PRICING_GRADES), F.col("funded_amnt")))).alias("sub_funded"),
-        F.sum("charged_off_principal").alias("base_losses"),
-    ).na.fill(0)
+    return [
+        F.coalesce((F.sum(F.when(base, fr)) * _dec("0.01")).cast("decimal(38,6)"), F.lit(0).cast("decimal(38,6)")).alias("base_income"),
+        F.sum(F.when(base & F.col("grade").isin(*SUBPRIME_PRICING_GRADES), F.col("funded_amnt"))).alias("sub_funded"),
+        F.coalesce(F.sum(F.when(base, F.col("charged_off_principal"))), F.lit(0).cast(MONEY38)).alias("base_losses"),
+    ]
+
+
+def _pricing_agg(loans_payments: DataFrame) -> DataFrame:
+    return resolved(loans_payments).agg(*_pricing_sums(F.lit(True)))
 
 
 PRICING_COLS = ["baseline_gross_interest_income", "baseline_expected_losses", "baseline_net_yield",
@@ -245,7 +255,10 @@ def _pricing_stages(bps: Column, factor: Column) -> list:
 
 def what_if_pricing(loans_payments: DataFrame, bps: int = 150) -> DataFrame:
     """OP18: +bps on grades C-G; losses scale by 1 + bps/100 * 0.008 (floor 0.9 when bps <= 0)."""
-    a = _pricing_agg(loans_payments)
+    return _pricing_row(_pricing_agg(loans_payments), bps)
+
+
+def _pricing_row(a: DataFrame, bps: int) -> DataFrame:
     cols = PRICING_COLS
     r = _chain(a, _pricing_stages(F.lit(int(bps)), F.lit(_pricing_factor(int(bps)))))
     c = F.col
@@ -289,11 +302,11 @@ def what_if_funding(loans: DataFrame, threshold: float = 95.0) -> DataFrame:
     )
     c = F.col
     a = a.select("*",
-                 exact_ratio(c("_full"), c("total_applications"), 2, 100).alias("baseline_qualified_loans_pct"),
-                 exact_ratio(c("qualified_loans_count"), c("total_applications"), 2, 100).alias("qualified_loans_pct"),
-                 exact_ratio(c("qualified_loans_count"), c("total_applications"), 1, 100).alias("_q1"),
+                 exact_ratio(c("_full"), c("total_applications"), 2, 100, 0).alias("baseline_qualified_loans_pct"),
+                 exact_ratio(c("qualified_loans_count"), c("total_applications"), 2, 100, 0).alias("qualified_loans_pct"),
+                 exact_ratio(c("qualified_loans_count"), c("total_applications"), 1, 100, 0).alias("_q1"),
                  (c("total_applications") - c("qualified_loans_count")).alias("cancelled_loans_count"),
-                 exact_ratio(c("sim_funded_volume") - c("baseline_funded_volume"), c("baseline_funded_volume"), 2, 100)
+                 exact_ratio(c("sim_funded_volume") - c("baseline_funded_volume"), c("baseline_funded_volume"), 2, 100, 2)
                  .alias("volume_impact_pct"))
     rec = F.concat(
         F.lit(f"Policy Threshold at {_num_text(threshold)}%: Qualifies "), c("_q1").cast("string"),
@@ -339,23 +352,27 @@ def funding_sweep(loans: DataFrame, thresholds=range(80, 101)) -> DataFrame:
     return s.select(
         X.out(F.element_at(X.lit_array(ts, "decimal(18,2)"), c("k")), "min_fulfillment_threshold_pct"),
         c("n").cast("bigint").alias("qualified_loans_count"),
-        X.out(exact_ratio(c("n"), c("total"), 2, 100), "qualified_loans_pct"),
+        X.out(exact_ratio(c("n"), c("total"), 2, 100, 0), "qualified_loans_pct"),
         X.out(c("vol"), "sim_funded_volume"),
         (c("total") - c("n")).cast("bigint").alias("cancelled_loans_count"),
-        X.out(exact_ratio(c("vol") - c("bvol"), c("bvol"), 2, 100), "volume_impact_pct"),
+        X.out(exact_ratio(c("vol") - c("bvol"), c("bvol"), 2, 100, 2), "volume_impact_pct"),
     )
 
 
 # ---- OP20 collections ----------------------------------------------------------
 
-def _collections_agg(loans_payments: DataFrame) -> DataFrame:
-    df = loans_payments.filter((F.col("is_default") == 1) & (F.col("charged_off_principal") > 0))
+def _charged_off() -> Column:
+    return (F.col("is_default") == 1) & (F.col("charged_off_principal") > 0)
+
+
+def _collections_sums(base: Column) -> list[Column]:
     zero = F.lit(0).cast(MONEY38)
-    return df.agg(
-        F.coalesce(F.sum("recoveries"), zero).alias("base_rec"),
-        F.coalesce(F.sum("collection_recovery_fee"), zero).alias("base_fees"),
-        F.coalesce(F.sum("charged_off_principal"), zero).alias("base_loss"),
-    )
+    return [F.coalesce(F.sum(F.when(base, F.col(x))), zero).alias(y) for x, y in
+            (("recoveries", "base_rec"), ("collection_recovery_fee", "base_fees"), ("charged_off_principal", "base_loss"))]
+
+
+def _collections_agg(loans_payments: DataFrame) -> DataFrame:
+    return loans_payments.filter(_charged_off()).agg(*_collections_sums(F.lit(True)))
 
 
 COLLECTIONS_COLS = ["baseline_gross_recoveries", "baseline_collection_fees", "baseline_net_recovered_cash",
@@ -369,7 +386,7 @@ def _collections_stages(uplift: Column, fee: Column) -> list:
         {"baseline_gross_recoveries": c("base_rec"),
          "baseline_collection_fees": c("base_fees"),
          "baseline_net_recovered_cash": c("base_rec") - c("base_fees"),
-         "baseline_recovery_rate_pct": exact_ratio(c("base_rec"), c("base_loss"), 2, 100),
+         "baseline_recovery_rate_pct": exact_ratio(c("base_rec"), c("base_loss"), 2, 100, 2),
          "sim_gross_recoveries": (c("base_rec") * (1 + uplift * _dec("0.01"))).cast("decimal(38,8)")},
         {"sim_collection_fees": (c("sim_gross_recoveries") * fee * _dec("0.01")).cast("decimal(38,8)"),
          "sim_recovery_rate_pct": exact_ratio(c("sim_gross_recoveries"), c("base_loss"), 2, 100)},
@@ -382,7 +399,10 @@ def _collections_stages(uplift: Column, fee: Column) -> list:
 
 def what_if_collections(loans_payments: DataFrame, uplift: float = 25.0, fee: float = 16.0) -> DataFrame:
     """OP20: recoveries x (1 + uplift%), fees = fee% of the new recoveries."""
-    a = _collections_agg(loans_payments)
+    return _collections_row(_collections_agg(loans_payments), uplift, fee)
+
+
+def _collections_row(a: DataFrame, uplift, fee) -> DataFrame:
     cols = COLLECTIONS_COLS
     r = _chain(a, _collections_stages(_dec(uplift), _dec(fee)))
     c = F.col
@@ -412,13 +432,17 @@ def collections_sweep(loans_payments: DataFrame, uplifts=range(0, 61, 5), fees=r
 
 # ---- OP21 verification -----------------------------------------------------------
 
-def _verification_agg(book: DataFrame) -> DataFrame:
-    unv = F.lower(F.col("verification_status").cast("string")).contains("not verified")
-    return book.agg(
-        F.count(F.lit(1)).alias("total"),
+def _verification_sums(base: Column) -> list[Column]:
+    unv = base & F.lower(F.col("verification_status").cast("string")).contains("not verified")
+    return [
+        F.count(F.when(base, 1)).alias("total"),
         F.count(F.when(unv, 1)).alias("n_unv"),
         F.coalesce(F.sum(F.when(unv, F.col("charged_off_principal"))), F.lit(0).cast(MONEY38)).alias("unv_loss"),
-    )
+    ]
+
+
+def _verification_agg(book: DataFrame) -> DataFrame:
+    return book.agg(*_verification_sums(F.lit(True)))
 
 
 VERIFICATION_COLS = ["unverified_loans_count", "unverified_share_pct", "total_portfolio_loans",
@@ -435,21 +459,24 @@ def _verification_stages(pct: Column, cost: Column) -> list:
          "_cost": (c("converted_loans_count") * cost).cast("decimal(38,6)")},
         {"_net_num": c("_saved_num") - c("_cost") * c("_den")},
         {"unverified_loans_count": c("n_unv"),
-         "unverified_share_pct": exact_ratio(c("n_unv"), c("total"), 2, 100),
+         "unverified_share_pct": exact_ratio(c("n_unv"), c("total"), 2, 100, 0),
          "total_portfolio_loans": c("total"),
-         "new_unverified_share_pct": exact_ratio(c("n_unv") - c("converted_loans_count"), c("total"), 2, 100),
-         "credit_losses_saved": exact_ratio(c("_saved_num"), c("_den")),
+         "new_unverified_share_pct": exact_ratio(c("n_unv") - c("converted_loans_count"), c("total"), 2, 100, 0),
+         "credit_losses_saved": exact_ratio(c("_saved_num"), c("_den"), scale=4),
          "capacity_processing_cost": _r2(c("_cost")),
-         "net_economic_benefit": exact_ratio(c("_net_num"), c("_den")),
+         "net_economic_benefit": exact_ratio(c("_net_num"), c("_den"), scale=6),
          "_net_sign": F.signum(c("_net_num")),
-         "_saved0": exact_ratio(c("_saved_num"), c("_den"), 0),
-         "_net0": exact_ratio(c("_net_num"), c("_den"), 0)},
+         "_saved0": exact_ratio(c("_saved_num"), c("_den"), 0, scale=4),
+         "_net0": exact_ratio(c("_net_num"), c("_den"), 0, scale=6)},
     ]
 
 
 def what_if_verification(book: DataFrame, pct: float = 30.0, cost: float = 35.0) -> DataFrame:
     """OP21: verify ``pct`` % of unverified loans at ``cost`` each; saves 16 % of their mean loss."""
-    a = _verification_agg(book)
+    return _verification_row(_verification_agg(book), pct, cost)
+
+
+def _verification_row(a: DataFrame, pct, cost) -> DataFrame:
     cols = VERIFICATION_COLS
     r = _chain(a, _verification_stages(_dec(pct), _dec(cost)))
     c = F.col
@@ -487,10 +514,24 @@ def verification_sweep(book: DataFrame, pcts=range(10, 81, 5), costs=range(15, 6
 
 # ---- OP22 run-all --------------------------------------------------------------
 
-def run_all_scenarios(book: DataFrame, loans_payments: DataFrame, loans: DataFrame) -> DataFrame:
-    """OP22: the five scenarios at their default settings, as (scenario, metric, value) rows."""
-    frames = [what_if_underwriting(book), what_if_pricing(loans_payments), what_if_funding(loans),
-              what_if_collections(loans_payments), what_if_verification(book)]
+def run_all_scenarios(loans_payments: DataFrame, borrowers: DataFrame, loans: DataFrame) -> DataFrame:
+    """OP22: the five scenarios at their default settings, as (scenario, metric, value) rows.
+
+    The four scenarios on payments share one pass: loans with payments, left-joined to their
+    borrowers (``borrower_key``; scenarios on the book count loans with a borrower only), are
+    reduced to one row of conditional sums, which is written and read by each scenario.
+    """
+    done = F.col("loan_status").isin(*RESOLVED_STATUSES)
+    known = F.coalesce(F.col("_borrower"), F.lit(False))
+    sums = {
+        "u": _underwriting_sums(known & done, 660, 35.0), "p": _pricing_sums(done),
+        "c": _collections_sums(_charged_off()), "v": _verification_sums(known),
+    }
+    joined = loans_payments.join(borrowers.withColumn("_borrower", F.lit(True)), "borrower_key", "left")
+    row = materialize(joined.agg(*[F.struct(*cols).alias(k) for k, cols in sums.items()]), "scenario-sums")
+    part = lambda k: row.select(f"{k}.*")
+    frames = [_underwriting_row(part("u"), 660, 35.0), _pricing_row(part("p"), 150), what_if_funding(loans),
+              _collections_row(part("c"), 25.0, 16.0), _verification_row(part("v"), 30.0, 35.0)]
     out = None
     for f in frames:
         metrics = [c for c in f.columns if c not in ("scenario_name", "recommendation")]

@@ -217,16 +217,7 @@ def loan_book(spark: SparkSession, sf_dir: str) -> LoanBook:
     return _BOOKS[key]
 
 
-def published(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Project to a reference table's columns (drops the internal long keys)."""
-    return df.select(*columns)
-
-
-def col_or(df: DataFrame, name: str, default: Column) -> Column:
-    return F.col(name) if name in df.columns else default
-
-
-def raw_text_rows(book: DataFrame) -> DataFrame:
+def raw_text_rows(book: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """The book rendered as raw loan-file text, with the decorations real files carry.
 
     Amounts as ``$12,345.67``, rates as ``13.50%``, dates as ``Mar-1995``,
@@ -268,4 +259,22 @@ def raw_text_rows(book: DataFrame) -> DataFrame:
         s("collection_recovery_fee").alias("collection_recovery_fee"),
         blank.alias("last_pymnt_d"),
         s("last_pymnt_amnt").alias("last_pymnt_amnt"),
+        *(keep or []),
     )
+
+
+def dirty_raw_rows(book: DataFrame) -> DataFrame:
+    """:func:`raw_text_rows` with the faults of real files, by fixed rules on the loan key.
+
+    Unreadable amounts (13th), missing issue dates (17th), a month that is none (19th),
+    missing ids (23rd), and on every 29th a supplied FICO. ``_pos`` is the row's place.
+    """
+    k = F.col("loan_key")
+    raw = raw_text_rows(book.withColumn("_pos", k), keep=["_pos"])
+    at = F.col("_pos")
+    return raw.withColumns({
+        "loan_amnt": F.when(at % 13 == 0, F.lit("n/a")).otherwise(F.col("loan_amnt")),
+        "issue_d": F.when(at % 17 == 0, F.lit("")).when(at % 19 == 0, F.lit("Xyz-1999")).otherwise(F.col("issue_d")),
+        "id": F.when(at % 23 == 0, F.lit("")).otherwise(F.col("id")),
+        "fico_range_low": F.when(at % 29 == 0, F.lit("705")).otherwise(F.lit("")),
+    })

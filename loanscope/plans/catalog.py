@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..session import materialize
 from ..operators import classifier, crisis, drivers, forecast, kpis, scorecard, star, trends, validate, whatif
 from .book import loan_book
 
@@ -165,7 +166,7 @@ def _whatif_verification_sweep(spark, sf):
 @query("whatif_all_scenarios")
 def _whatif_all(spark, sf):
     b = loan_book(spark, sf)
-    return whatif.run_all_scenarios(b.book(), b.loans_with_payments(), b.loans())
+    return whatif.run_all_scenarios(b.loans_with_payments(), b.borrowers().drop("borrower_id"), b.loans())
 
 
 @query("monthly_kpi_calendar")
@@ -195,9 +196,7 @@ def _dim_geography(spark, sf):
 
 @query("dim_loan_grade")
 def _dim_loan_grade(spark, sf):
-    fact = star.fact_loans(loan_book(spark, sf).book(), exact=True)
-    grades = fact.select("grade").distinct()
-    return grades.join(F.broadcast(star.dim_loan_grade(spark)), "grade", "inner")
+    return star.graded_loans(loan_book(spark, sf).loans())
 
 
 @query("dax_measures_by_month")
@@ -229,7 +228,8 @@ def _collections_funnel(spark, sf):
 def _validate_tables(spark, sf):
     b = loan_book(spark, sf)
     rollup = kpis.monthly_kpi_rollup(b.book(), exact=True)
-    return validate.validate(b.loans(), b.borrowers(), b.payments(), rollup)
+    floors = {"loans": 100, "borrowers": 10, "payments_recoveries": 100}
+    return validate.validate(b.loans(), b.borrowers(), b.payments(), rollup, floors)
 
 
 CLEAN_COLUMNS = ["loan_id", "issue_month", "issue_year", "loan_amnt", "funded_amnt", "funded_amnt_inv",
@@ -245,12 +245,47 @@ def _clean_raw_loans(spark, sf):
     from .etl import clean_loans
     from ..sources.raw import valid_rows
     raw = valid_rows(raw_text_rows(loan_book(spark, sf).book()))
-    wide = clean_loans(raw, dense_ids=False)
+    wide = clean_loans(raw)
     df = wide.select(*CLEAN_COLUMNS, F.col("issue_date").cast("string").alias("issue_date"))
-    return kpis.to_output(df, keep=["loan_id", "issue_month", "term", "grade", "sub_grade", "purpose",
-                                    "loan_status", "home_ownership", "verification_status", "addr_state",
-                                    "emp_length", "issue_date"],
-                          ints=["issue_year", "is_default", "is_delinquent", "is_fully_funded"])
+    return _cleaned(df)
+
+
+_CLEAN_TEXT = ["loan_id", "borrower_id", "issue_month", "term", "grade", "sub_grade", "purpose", "loan_status", "home_ownership",
+               "verification_status", "addr_state", "emp_length", "issue_date", "last_pymnt_d"]
+
+
+def _cleaned(df):
+    return kpis.to_output(df, keep=[c for c in df.columns if c in _CLEAN_TEXT],
+                          ints=[c for c in ("issue_year", "is_default", "is_delinquent", "is_fully_funded") if c in df.columns])
+
+
+def _etl_tables(spark, sf):
+    from .book import dirty_raw_rows
+    from .etl import etl
+    from ..sources.raw import valid_rows
+    return etl(valid_rows(dirty_raw_rows(loan_book(spark, sf).book())), order_by=["_pos"])
+
+
+@query("etl_loans")
+def _etl_loans(spark, sf):
+    return _cleaned(_etl_tables(spark, sf).loans.withColumn("issue_date", F.col("issue_date").cast("string")))
+
+
+@query("etl_borrowers")
+def _etl_borrowers(spark, sf):
+    return _cleaned(_etl_tables(spark, sf).borrowers)
+
+
+@query("etl_payments")
+def _etl_payments(spark, sf):
+    return _cleaned(_etl_tables(spark, sf).payments)
+
+
+@query("rejected_rows")
+def _rejected_rows(spark, sf):
+    from .book import dirty_raw_rows
+    from ..sources.raw import rejected_rows
+    return rejected_rows(dirty_raw_rows(loan_book(spark, sf).book())).select(F.col("_pos").alias("position"), "id", "loan_amnt", "issue_d", "reason")
 
 
 # ---- ML, forecasting, sampling, presentation ---------------------------------
@@ -282,22 +317,65 @@ def _score_metrics(spark, sf):
     return classifier.evaluate_scores(scored, "score", "is_default", threshold=0.15)
 
 
+def _driver_frame(spark, sf):
+    lb = loan_book(spark, sf).loans_with_borrowers()
+    # every 11th purpose is missing, as in real files
+    return drivers.driver_frame(lb.withColumn("purpose", F.when(F.col("loan_key") % 11 != 0, F.col("purpose"))))
+
+
 @query("driver_correlations")
 def _driver_correlations(spark, sf):
-    return drivers.driver_correlations(drivers.driver_frame(loan_book(spark, sf).loans_with_borrowers()))
+    return drivers.driver_correlations(_driver_frame(spark, sf))
+
+
+@query("driver_directions")
+def _driver_directions(spark, sf):
+    return drivers.driver_directions(_driver_frame(spark, sf))
+
+
+@query("risk_tiers")
+def _risk_tiers(spark, sf):
+    k = F.col("loan_key") % 9
+    percent = F.col("int_rate").cast("double") * 2
+    for i, v in enumerate((4.996, 5.0, 11.996, 12.0, 21.996, 22.0, 34.996, 35.0)):
+        percent = F.when(k == i, F.lit(v)).otherwise(percent)
+    tiers = classifier.with_risk_tier(loan_book(spark, sf).loans(), percent)
+    return tiers.select("loan_id", "default_probability_pct", "risk_tier", "underwriting_recommendation")
+
+
+@query("score_request_defaults")
+def _score_request_defaults(spark, sf):
+    lb = loan_book(spark, sf).loans_with_borrowers()
+    k = F.col("loan_key")
+    gaps = {"int_rate": 5, "annual_inc": 7, "grade": 3, "fico_range_low": 4}
+    asked = lb.select("loan_key", "loan_id", "loan_amnt", "term", "installment", "dti", "revol_util",
+                      *[F.when(k % n != 0, F.col(c)).alias(c) for c, n in gaps.items()])
+    d = classifier.score_defaults(asked)
+    return d.select("loan_id", "grade", *[F.col(c).cast("double").alias(c) for c in (
+        "loan_amnt", "term_months", "int_rate", "installment", "annual_inc", "dti", "fico_range_low", "revol_util", "open_acc")])
 
 
 @query("driver_importance")
 def _driver_importance(spark, sf):
-    return drivers.driver_importance(drivers.driver_frame(loan_book(spark, sf).loans_with_borrowers()),
-                                     num_trees=20, max_depth=5)
+    return drivers.driver_importance(drivers.driver_frame(loan_book(spark, sf).loans_with_borrowers()))
+
+
+_MODELS: dict[tuple, classifier.ClassifierBundle] = {}
+
+
+def _model(spark, sf) -> classifier.ClassifierBundle:
+    """The default classifier of the tables in ``sf``, trained once per session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _MODELS:
+        feats = materialize(classifier.loan_features(loan_book(spark, sf).loans_with_borrowers()), "loan-features")
+        _MODELS[key] = classifier.train_default_classifier(feats)
+    return _MODELS[key]
 
 
 @query("default_scores")
 def _default_scores(spark, sf):
     b = loan_book(spark, sf)
-    feats = classifier.loan_features(b.loans_with_borrowers())
-    bundle = classifier.train_default_classifier(feats, max_iter=10)
+    bundle = _model(spark, sf)
     apps = classifier.resolved(b.loans_with_borrowers()).select(
         "loan_id", "loan_amnt", "term", "int_rate", "installment", "grade", "annual_inc", "dti",
         "fico_range_low", "revol_util", "open_acc", "verification_status", "home_ownership")
@@ -307,13 +385,12 @@ def _default_scores(spark, sf):
 
 @query("classifier_metrics")
 def _classifier_metrics(spark, sf):
-    feats = classifier.loan_features(loan_book(spark, sf).loans_with_borrowers())
-    return classifier.train_default_classifier(feats, max_iter=10).metrics
+    return _model(spark, sf).metrics
 
 
 @query("linear_trend_forecast")
 def _linear_trend_forecast(spark, sf):
-    return forecast.linear_forecast(_rollup(spark, sf))
+    return forecast.linear_forecast(_rollup(spark, sf), volume_floor=forecast.VOLUME_FLOOR)
 
 
 @query("linear_trend_forecast_by_grade")
@@ -323,7 +400,7 @@ def _linear_trend_forecast_by_grade(spark, sf):
 
 @query("holt_forecast")
 def _holt_forecast(spark, sf):
-    return forecast.holt_forecast(_rollup(spark, sf))
+    return forecast.holt_forecast(_rollup(spark, sf), volume_floor=forecast.VOLUME_FLOOR)
 
 
 @query("holt_forecast_by_grade")
@@ -331,6 +408,13 @@ def _holt_forecast_by_grade(spark, sf):
     return forecast.holt_forecast(_rollup(spark, sf, "grade"), segment="grade")
 
 
+@query("holt_fixed_by_grade_state")
+def _holt_fixed_by_grade_state(spark, sf):
+    monthly = loan_book(spark, sf).book().groupBy("grade", "addr_state", F.col("issue_month").alias("metric_month")).agg(
+        X.pct_of_rows(F.col("is_default")).alias("default_rate"), F.sum("funded_amnt").alias("total_funded_volume"))
+    return forecast.holt_forecast(monthly, segment=["grade", "addr_state"], grid=[(0.45, 0.2, 0.92)])
+
+
 @query("annuity_instalment")
 def _annuity_instalment(spark, sf):
     l = loan_book(spark, sf).loans()
@@ -367,3 +451,20 @@ def _monthly_kpi_rollup_states(spark, sf):
 def _star_report(spark, sf):
     fact = star.fact_loans(loan_book(spark, sf).book(), exact=True)
     return star.star_report(fact, star.dim_geography(fact), star.dim_loan_grade(spark))
+
+
+@query("star_report_full")
+def _star_report_full(spark, sf):
+    b = loan_book(spark, sf)
+    fact = star.fact_loans(b.book(), exact=True)
+    return star.star_report_full(fact, star.dim_borrower(b.borrowers()), star.dim_date(fact), star.dim_geography(fact), star.dim_loan_grade(spark))
+
+
+@query("cohort_matrix_wide")
+def _cohort_matrix_wide(spark, sf):
+    return star.cohort_matrix(loan_book(spark, sf).book(), years=list(range(1992, 1999)))
+
+
+@query("kpi_scorecard_window")
+def _kpi_scorecard_window(spark, sf):
+    return scorecard.kpi_scorecard(_rollup(spark, sf), "1994-01", "1996-06")

@@ -1,8 +1,8 @@
 """ETL from merged raw loan rows to borrowers, loans and payments (OP1).
 
-One lazy plan of narrow projections; the only extra jobs are the dense
-row-position ids (a per-partition count, then offsets joined back by
-partition id), which the reference's ``BRW_%07d`` / ``LN_%07d`` ids need.
+Narrow projections; the only extra jobs are the dense row-position ids (rows
+written in ranges, a count per range, offsets joined back), which the
+reference's ``BRW_%07d`` / ``LN_%07d`` ids need.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..session import materialize
 from .book import BORROWER_COLUMNS, LOAN_COLUMNS, PAYMENT_COLUMNS
 
 # Numeric raw columns cleaned to double (missing -> 0.0).
@@ -30,16 +31,20 @@ VERIFICATION_RECODE = {"VERIFIED - income": "Verified"}
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition id above bit 33
 
 
-def dense_row_index(df: DataFrame, name: str = "row_no", start: int = 1) -> DataFrame:
-    """Add a dense 1..N row position in the frame's own order, without a global sort.
+def dense_row_index(df: DataFrame, order_by: list[str], name: str = "row_no", start: int = 1) -> DataFrame:
+    """Add a dense 1..N row position in the order of ``order_by``, without a global window.
 
-    Rows are numbered inside each partition by ``monotonically_increasing_id``;
-    a per-partition count (one row per partition) gives each partition its
-    offset. Needs a deterministic input (file scans and narrow projections are).
+    The frame is cut into ranges of that order and written once with the range and the
+    place in it, so both uses below see the same numbers; one row per range gives each
+    range its offset. Ties in ``order_by`` get positions in no particular order.
     """
-    tagged = df.withColumns({"_pid": F.spark_partition_id(), "_mid": F.monotonically_increasing_id()})
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tagged = df.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by).withColumns(
+        {"_pid": F.spark_partition_id(), "_mid": F.monotonically_increasing_id()})
+    tagged = materialize(tagged, "row-index")
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    # one row per partition: the ordered window runs over partitions, not rows
+    # one row per range: the ordered window runs over ranges, not rows
     offsets = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
                             .alias("_off"))
     local = F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
@@ -63,8 +68,13 @@ class Tables:
     wide: DataFrame
 
 
-def clean_loans(raw: DataFrame, dense_ids: bool = True) -> DataFrame:
-    """PRJ3-PRJ11 + FLT2 on merged raw rows: one wide, cleaned row per loan."""
+def clean_loans(raw: DataFrame, order_by: list[str] | None = None) -> DataFrame:
+    """PRJ3-PRJ11 + FLT2 on merged raw rows: one wide, cleaned row per loan.
+
+    Generated ids number the rows that are left: densely in the order of ``order_by``
+    (columns of ``raw``), or, without it, by a stable hash of the row (as ``BRW_`` and
+    16 hex digits), which needs no pass of its own.
+    """
     issue = X.parse_issue_date(F.col("issue_d"))
     df = raw.withColumn("issue_date", issue).where(F.col("issue_date").isNotNull())
     df = df.withColumns({
@@ -75,18 +85,21 @@ def clean_loans(raw: DataFrame, dense_ids: bool = True) -> DataFrame:
     df = df.withColumn("funded_amnt", F.when(F.col("funded_amnt") > 0, F.col("funded_amnt")).otherwise(F.col("loan_amnt")))
     df = df.withColumn("funded_amnt_inv", F.when(F.col("funded_amnt_inv") > 0, F.col("funded_amnt_inv"))
                        .otherwise(F.col("funded_amnt")))
-    # FICO proxy from the raw grade (before it is cleaned), as the reference does
+    # FICO proxy from the raw grade (before it is cleaned), where no FICO is supplied
     fico = X.grade_fico(_blank_to_null(F.col("grade"))).cast("double")
+    if "fico_range_low" in raw.columns:
+        given = F.trim(F.col("fico_range_low").cast("string")).try_cast("double")
+        fico = F.coalesce(F.nanvl(given, F.lit(None).cast("double")), fico)
     df = df.withColumns({"fico_range_low": fico, "fico_range_high": fico + 4})
-    if dense_ids:
-        df = dense_row_index(df, "_row")
-        pos = F.col("_row")
+    if order_by:
+        df = dense_row_index(df, order_by, "_row")
+        pos = F.format_string("%07d", F.col("_row"))
     else:
-        pos = F.monotonically_increasing_id() + 1
+        pos = F.lpad(F.hex(F.xxhash64(*[F.col(c) for c in raw.columns])), 16, "0")
     raw_id = F.trim(F.coalesce(F.col("id").cast("string"), F.lit("")))
     df = df.withColumns({
-        "loan_id": F.when(raw_id.isin(*MISSING_IDS), F.format_string("LN_%07d", pos)).otherwise(F.col("id")),
-        "borrower_id": F.format_string("BRW_%07d", pos),
+        "loan_id": F.when(raw_id.isin(*MISSING_IDS), F.concat(F.lit("LN_"), pos)).otherwise(F.col("id")),
+        "borrower_id": F.concat(F.lit("BRW_"), pos),
         "loan_status": X.clean_status(_blank_to_null(F.col("loan_status"))),
     })
     df = df.withColumns({
@@ -115,10 +128,16 @@ def clean_loans(raw: DataFrame, dense_ids: bool = True) -> DataFrame:
     return df.drop("_row")
 
 
-def etl(raw: DataFrame, dense_ids: bool = True) -> Tables:
-    """OP1: borrowers, loans and payments tables from merged raw rows."""
-    wide = clean_loans(raw, dense_ids)
-    borrowers = wide.select(*BORROWER_COLUMNS).dropDuplicates(["borrower_id"])
+def etl(raw: DataFrame, order_by: list[str] | None = None) -> Tables:
+    """OP1 / SET3: borrowers, loans and payments tables from merged raw rows.
+
+    Dense ids are unique by construction; hashed ids repeat where whole rows repeat, and
+    only then are borrowers deduplicated.
+    """
+    wide = clean_loans(raw, order_by)
+    borrowers = wide.select(*BORROWER_COLUMNS)
+    if not order_by:
+        borrowers = borrowers.dropDuplicates(["borrower_id"])
     loans = wide.select(*LOAN_COLUMNS)
     payments = wide.select(*PAYMENT_COLUMNS)
     return Tables(borrowers, loans, payments, wide)

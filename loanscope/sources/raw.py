@@ -1,9 +1,9 @@
 """Raw loan CSV files: read, align, validate and merge (SRC1, SRC2, SET1, FLT1, PRJ1-2, SNK5).
 
 Files may differ in column order and set, may start with a one-line
-preamble, and hold text cells with ``$ % ,`` decorations. Each file is read
+preamble, and hold text cells with ``$ % ,`` decorations. Files are read
 with an all-string schema (no inference pass), aligned to the 30 target
-columns by lower-cased header name, and the files are unioned by name.
+columns by lower-cased header name, and unioned by name.
 Header and preamble lines fall out through the row-validity filter.
 """
 
@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import csv
 from functools import reduce
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,30 +40,50 @@ def _strip_text(s: str) -> str:
     return s.strip(' \n\r"')
 
 
-def peek_header(spark: SparkSession, path: str) -> list[str]:
-    """Header cells of one file; skips one preamble line when the first line
-    mentions neither ``id`` nor ``loan_amnt``. Reads two lines only."""
-    lines = [r.value for r in spark.read.text(path).limit(2).collect()]
-    if not lines:
-        return []
-    first = lines[0]
-    header = first
-    if "id" not in first.lower() and "loan_amnt" not in first.lower() and len(lines) > 1:
-        header = lines[1]
-    return [_strip_text(c) for c in next(csv.reader([header]))]
+#: Quoting of the files (RFC 4180): a quote inside a quoted cell is doubled.
+DIALECT = {"quote": '"', "escape": '"'}
+
+
+def peek_headers(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
+    """Header cells of each file, by the file's path, found in one distributed pass.
+
+    One preamble line is skipped when the first line mentions neither ``id``
+    nor ``loan_amnt``. At most two lines of a file leave the executors.
+    """
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), "value",
+                                          F.col("_metadata.file_block_start").alias("start")).where("start = 0")
+
+    def first_two(batches):
+        seen: dict[str, int] = {}
+        for batch in batches:
+            keep = []
+            for path in batch.column("path").to_pylist():
+                seen[path] = seen.get(path, 0) + 1
+                keep.append(seen[path] <= 2)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    found: dict[str, list[str]] = {}
+    for r in lines.select("path", "value").mapInArrow(first_two, "path string, value string").collect():
+        found.setdefault(r.path, []).append(r.value)
+    out = {}
+    for path, two in found.items():
+        header = two[0]
+        if "id" not in header.lower() and "loan_amnt" not in header.lower() and len(two) > 1:
+            header = two[1]
+        out[path] = [_strip_text(c) for c in next(csv.reader([header]))]
+    return out
 
 
 def _num_text(c: Column, chars: str) -> Column:
     return F.trim(F.regexp_replace(c, f"[{chars}]", ""))
 
 
-def read_raw_file(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
-    """One raw file aligned to TARGET_COLUMNS (all strings, absent -> empty)."""
-    header = peek_header(spark, path)
+def read_raw_files(spark: SparkSession, paths: list[str], header: list[str], multiline: bool = False) -> DataFrame:
+    """Files of one header aligned to TARGET_COLUMNS (all strings, absent -> empty)."""
     n = max(len(header), MIN_FIELDS)
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(n)])
-    df = (spark.read.schema(schema).option("header", False).option("mode", "PERMISSIVE")
-          .option("multiLine", multiline).csv(path))
+    df = (spark.read.schema(schema).options(**DIALECT).option("header", False).option("mode", "PERMISSIVE")
+          .option("multiLine", multiline).csv(paths))
     pos = {c.lower(): i for i, c in enumerate(header)}
     cols = []
     for t in TARGET_COLUMNS:
@@ -72,12 +94,16 @@ def read_raw_file(spark: SparkSession, path: str, multiline: bool = False) -> Da
     return df.where(tail.isNotNull()).select(*cols)
 
 
+def _validity() -> tuple[Column, Column, Column]:
+    """FLT1's conditions: amount and rate parse, the issue date looks like one."""
+    return (_num_text(F.col("loan_amnt"), "$,").try_cast("double").isNotNull(), _num_text(F.col("int_rate"), "%").try_cast("double").isNotNull(),
+            F.coalesce(F.col("issue_d").rlike(ISSUE_D_PREFIX), F.lit(False)))
+
+
 def valid_rows(df: DataFrame) -> DataFrame:
     """FLT1 + PRJ2: amount and rate parse as numbers, issue_d looks like ``Mon-YYYY``."""
-    amt = _num_text(F.col("loan_amnt"), "$,")
-    rate = _num_text(F.col("int_rate"), "%")
-    ok = amt.try_cast("double").isNotNull() & rate.try_cast("double").isNotNull() \
-        & F.col("issue_d").rlike(ISSUE_D_PREFIX)
+    amt, rate = _num_text(F.col("loan_amnt"), "$,"), _num_text(F.col("int_rate"), "%")
+    ok = reduce(lambda a, b: a & b, _validity())
     nonempty = lambda c: F.when(F.col(c) != "", F.col(c))
     return df.where(ok).withColumns({
         "loan_amnt": amt,
@@ -88,20 +114,37 @@ def valid_rows(df: DataFrame) -> DataFrame:
     })
 
 
+def rejected_rows(df: DataFrame) -> DataFrame:
+    """The rows that FLT1 drops, as they came, with the reason."""
+    amt, rate, issue = _validity()
+    reason = F.when(~amt, "loan_amnt").when(~rate, "int_rate").when(~issue, "issue_d")
+    return df.withColumn("reason", reason).where(F.col("reason").isNotNull())
+
+
 def read_raw_loans(spark: SparkSession, paths, multiline: bool = False) -> DataFrame:
-    """SRC1 + SET1 + FLT1: merged, validated raw loan rows from several CSV files."""
+    """SRC1 + SET1 + FLT1: merged, validated raw loan rows from several CSV files.
+
+    Files of equal headers are read together, so the plan has one branch per
+    distinct header. ``multiline`` allows line ends inside quoted cells (such files
+    are not split). Files without a line have no rows.
+    """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    frames = [read_raw_file(spark, p, multiline) for p in paths]
-    merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    return valid_rows(merged)
+    by_header: dict[tuple, list[str]] = {}
+    for path, header in sorted(peek_headers(spark, paths).items()):
+        by_header.setdefault(tuple(header), []).append(unquote(path))
+    frames = [read_raw_files(spark, files, list(header), multiline) for header, files in by_header.items()]
+    if not frames:
+        return spark.createDataFrame([], ", ".join(f"{c} string" for c in TARGET_COLUMNS))
+    return valid_rows(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames))
 
 
 def write_merged(df: DataFrame, path: str) -> None:
     """SNK5: the merged raw file with the fixed 30-column header."""
-    df.select(*TARGET_COLUMNS).write.mode("overwrite").option("header", True).csv(path)
+    (df.select(*TARGET_COLUMNS).write.mode("overwrite").options(**DIALECT).option("header", True)
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("emptyValue", "").csv(path))
 
 
-def read_merged(spark: SparkSession, path: str) -> DataFrame:
+def read_merged(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """SRC2: the merged file back, all columns as strings (explicit schema, no inference)."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in TARGET_COLUMNS])
-    return spark.read.schema(schema).option("header", True).csv(path)
+    return spark.read.schema(schema).options(**DIALECT).option("header", True).option("multiLine", multiline).csv(path)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .book import UNVERIFIED, mean, pct, xr
-from .queries import ROLLUP_COLS, cast_cols, register, rollup_ctes
+from .queries import SQL, ROLLUP_COLS, cast_cols, register, rollup_ctes
 
 register("monthly_trends", f"""
 SELECT metric_month, {cast_cols(ROLLUP_COLS, ['total_applications'])},
@@ -156,3 +156,7 @@ register("kpi_scorecard", "\nUNION ALL\n".join([
     _sc_row(12, "Application Velocity vs Issuance", "coalesce(mom, 0)", "NULL",
             "(CASE WHEN mom_pos THEN 'positive' ELSE 'neutral' END)", "'info'"),
 ]), _SC)
+
+# The scorecard over a month window (FLT4): the months are cut before they are ranked.
+SQL["kpi_scorecard_window"] = SQL["kpi_scorecard"].replace(
+    "DESC) AS rn FROM ro)", "DESC) AS rn FROM ro WHERE metric_month BETWEEN '1994-01' AND '1996-06')", 1)

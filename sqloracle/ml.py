@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from .book import xr
-from .queries import register, rollup_ctes
+from loanscope.functions.exprs import RISK_TIERS
+from loanscope.operators.classifier import SCORE_DEFAULTS
+from loanscope.operators.drivers import DRIVER_NAMES, NARRATIVES
+from loanscope.operators.forecast import holt_grid
+
+from .book import pct, xr
+from .queries import SQL, register, rollup_ctes
 
 RESOLVED = "loan_status IN ('Fully Paid', 'Charged Off', 'Default')"
 GRADE_CODE = "CASE grade WHEN 'A' THEN 1 WHEN 'B' THEN 2 WHEN 'C' THEN 3 WHEN 'D' THEN 4 WHEN 'E' THEN 5 " \
@@ -35,9 +40,11 @@ SELECT loan_id, CAST(is_default AS BIGINT) AS is_default, grade, CAST(int_rate A
 FROM lb WHERE {RESOLVED} ORDER BY md5(loan_id || '42') LIMIT 2000""")
 
 register("stratified_split", f"""
-SELECT loan_id, CAST(is_default AS BIGINT) AS is_default,
-  CASE WHEN CAST('0x' || substr(md5(loan_id || '42'), 1, 8) AS BIGINT) % 100 < 20 THEN 'test' ELSE 'train' END AS split
-FROM lb WHERE {RESOLVED}""")
+SELECT loan_id, is_default, CASE WHEN r <= (20 * n) // 100 THEN 'test' ELSE 'train' END AS split
+FROM (SELECT loan_id, CAST(is_default AS BIGINT) AS is_default,
+        row_number() OVER (PARTITION BY is_default ORDER BY md5(loan_id || '42'), loan_id) AS r,
+        count(*) OVER (PARTITION BY is_default) AS n
+      FROM lb WHERE {RESOLVED}) t""")
 
 register("score_metrics", f"""
 SELECT round(auc2 / (CAST(P AS DOUBLE) * N * 2), 6) AS roc_auc,
@@ -60,7 +67,7 @@ FROM (
       GROUP BY s) g) c) t""")
 
 _DF = f"""
-rl AS (SELECT * FROM lb WHERE {RESOLVED}),
+rl AS (SELECT * REPLACE (CASE WHEN loan_key % 11 <> 0 THEN purpose ELSE 'None' END AS purpose) FROM lb WHERE {RESOLVED}),
 hc AS (SELECT home_ownership, CAST(dense_rank() OVER (ORDER BY home_ownership) - 1 AS DOUBLE) AS code
        FROM (SELECT DISTINCT home_ownership FROM rl) t),
 pc AS (SELECT purpose, CAST(dense_rank() OVER (ORDER BY purpose) - 1 AS DOUBLE) AS code
@@ -81,6 +88,33 @@ register("driver_correlations", "\nUNION ALL\n".join(
     f"SELECT '{f}' AS driver_key, round(corr({f}, is_default), 4) AS correlation_with_default FROM df"
     for f in _FEATS), _DF)
 
+_INFO = ", ".join(f"('{k}', '{DRIVER_NAMES[k]}', '{NARRATIVES[k]}')" for k in _FEATS)
+register("driver_directions", f"""
+SELECT c.driver_key, c.correlation_with_default, i.driver_name, i.diagnostic_narrative,
+  CASE WHEN coalesce(c.correlation_with_default, 0) >= 0 THEN 'Positive (+)' ELSE 'Negative (-)' END AS direction
+FROM ({" UNION ALL ".join(f"SELECT '{f}' AS driver_key, round(corr({f}, is_default), 4) AS correlation_with_default FROM df" for f in _FEATS)}) c
+JOIN (VALUES {_INFO}) i(driver_key, driver_name, diagnostic_narrative) ON c.driver_key = i.driver_key""", _DF)
+
+_EDGES = (4.996, 5.0, 11.996, 12.0, 21.996, 22.0, 34.996, 35.0)
+
+
+def _tier(i: int) -> str:
+    return "CASE " + " ".join(f"WHEN pct < {t[0]} THEN '{t[i]}'" for t in RISK_TIERS if t[0] is not None) + f" ELSE '{RISK_TIERS[-1][i]}' END"
+
+
+register("risk_tiers", f"""
+SELECT loan_id, round(pct, 2) AS default_probability_pct, {_tier(1)} AS risk_tier, {_tier(2)} AS underwriting_recommendation
+FROM (SELECT loan_id, CASE loan_key % 9 {" ".join(f"WHEN {i} THEN CAST('{v}' AS DOUBLE)" for i, v in enumerate(_EDGES))}
+        ELSE CAST(int_rate AS DOUBLE) * 2 END AS pct FROM loans_b) t""")
+
+_GAPS = {"int_rate": 5, "annual_inc": 7, "fico_range_low": 4}
+register("score_request_defaults", f"""
+SELECT loan_id, CASE WHEN loan_key % 3 <> 0 THEN grade ELSE '{SCORE_DEFAULTS['grade']}' END AS grade,
+  CAST(loan_amnt AS DOUBLE) AS loan_amnt, CAST(term_months AS DOUBLE) AS term_months, installment,
+  {", ".join(f"CAST(CASE WHEN loan_key % {n} <> 0 THEN {c} ELSE {SCORE_DEFAULTS[c]} END AS DOUBLE) AS {c}" for c, n in _GAPS.items())},
+  CAST(dti AS DOUBLE) AS dti, CAST(revol_util AS DOUBLE) AS revol_util, CAST({SCORE_DEFAULTS['open_acc']} AS DOUBLE) AS open_acc
+FROM lb""")
+
 
 def _linear(seg: str) -> str:
     part = f"PARTITION BY {seg} " if seg else ""
@@ -96,7 +130,7 @@ SELECT {segc}strftime(CAST(last_month || '-01' AS DATE) + to_months(CAST(h AS IN
   round(vol + 1.96 * v_std, 2) AS volume_upper
 FROM (
   SELECT *, least(greatest(ri + rs * (n - 1 + h), 0.5), 30.0) AS rate,
-    greatest(vi + vs * (n - 1 + h), 1000000.0) AS vol
+    {"vi + vs * (n - 1 + h)" if seg else "greatest(vi + vs * (n - 1 + h), 1000000.0)"} AS vol
   FROM (
     SELECT {segc}COUNT(*) AS n, max(metric_month) AS last_month,
       regr_slope(r, x) AS rs, regr_intercept(r, x) AS ri, regr_slope(v, x) AS vs, regr_intercept(v, x) AS vi,
@@ -113,6 +147,74 @@ FROM (
 register("linear_trend_forecast", _linear(""), rollup_ctes())
 register("linear_trend_forecast_by_grade", _linear("grade"), rollup_ctes("grade"))
 
+
+
+def _holt(seg: list[str], source: str, grid, floor: str | None) -> str:
+    """Damped Holt by recursion over the months of each series and triple."""
+    segc = "".join(f"{c}, " for c in seg)
+    part = f"PARTITION BY {', '.join(seg)} " if seg else ""
+    on = lambda a, b: "".join(f" AND {a}.{c} = {b}.{c}" for c in seg)
+    triples = ", ".join(f"(CAST('{a}' AS DOUBLE), CAST('{b}' AS DOUBLE), CAST('{p}' AS DOUBLE))" for a, b, p in grid)
+
+    def fit(y: str) -> str:
+        ahead = "(f.l + f.p * f.k)"
+        level = f"(f.a * s.{y} + (1.0 - f.a) * {ahead})"
+        return f"""
+{y}f AS (
+  SELECT {segc}a, b, p, i, CAST(l AS DOUBLE) AS l, CAST(k AS DOUBLE) AS k, CAST(0 AS DOUBLE) AS e
+  FROM (SELECT {segc}1 AS i, {y} AS l, {y}2 - {y} AS k FROM hs WHERE i = 1 AND n >= 10) z, hg
+  UNION ALL
+  SELECT {"".join(f"f.{c}, " for c in seg)}f.a, f.b, f.p, f.i + 1, {level}, f.b * ({level} - f.l) + (1.0 - f.b) * f.p * f.k,
+    f.e + (s.{y} - {ahead}) * (s.{y} - {ahead})
+  FROM {y}f f JOIN hs s ON s.i = f.i + 1{on('s', 'f')}
+),
+{y}b AS (
+  SELECT * FROM (SELECT f.*, row_number() OVER ({'PARTITION BY ' + ', '.join('f.' + c for c in seg) if seg else ''} ORDER BY e, a, b, p) AS rn
+    FROM {y}f f JOIN hl ON f.i = hl.n{on('f', 'hl')}) z WHERE rn = 1
+)"""
+    cte = f"""
+hs AS (
+  SELECT *, lead(r) OVER ({part}ORDER BY metric_month) AS r2, lead(v) OVER ({part}ORDER BY metric_month) AS v2
+  FROM (SELECT {segc}metric_month, CAST(default_rate AS DOUBLE) AS r, CAST(total_funded_volume AS DOUBLE) AS v,
+      row_number() OVER ({part}ORDER BY metric_month) AS i, row_number() OVER ({part}ORDER BY metric_month DESC) AS back,
+      count(*) OVER ({part.strip()}) AS n FROM {source}) z
+),
+hl AS (
+  SELECT {segc}max(n) AS n, max(metric_month) AS last_month,
+    stddev_pop(CASE WHEN back <= 12 THEN r END) AS r_std, stddev_pop(CASE WHEN back <= 12 THEN v END) AS v_std
+  FROM hs GROUP BY {segc.rstrip(', ') or '()'} HAVING max(n) >= 10
+),
+hg AS (SELECT * FROM (VALUES {triples}) g(a, b, p)),
+hd AS (
+  SELECT DISTINCT p, 1 AS h, CAST(p AS DOUBLE) AS s, CAST(p AS DOUBLE) AS q FROM hg
+  UNION ALL SELECT p, h + 1, s + q * p, q * p FROM hd WHERE h < 12
+),{fit('r')},{fit('v')}"""
+    volume = "vb.l + dv.s * vb.k"
+    return cte, f"""
+SELECT {segc}metric_month, step, round(rate, 2) AS forecast_default_rate,
+  round(greatest(rate - 1.96 * r_std, 0.0), 2) AS default_rate_lower, round(rate + 1.96 * r_std, 2) AS default_rate_upper,
+  round(vol, 2) AS forecast_funded_volume, round(greatest(vol - 1.96 * v_std, 0.0), 2) AS volume_lower,
+  round(vol + 1.96 * v_std, 2) AS volume_upper
+FROM (
+  SELECT {"".join(f"hl.{c}, " for c in seg)}strftime(CAST(last_month || '-01' AS DATE) + to_months(CAST(dr.h AS INTEGER)), '%Y-%m') AS metric_month,
+    CAST(dr.h AS BIGINT) AS step, r_std, v_std, least(greatest(rb.l + dr.s * rb.k, 0.5), 30.0) AS rate,
+    {f"greatest({volume}, {floor})" if floor else volume} AS vol
+  FROM hl JOIN rb ON TRUE{on('hl', 'rb')} JOIN vb ON TRUE{on('hl', 'vb')}
+  JOIN hd dr ON dr.p = rb.p JOIN hd dv ON dv.p = vb.p AND dv.h = dr.h) z"""
+
+
+def _register_holt(name: str, seg: list[str], ctes: str, source: str, grid, floor: str | None = None) -> None:
+    cte, sql = _holt(seg, source, grid, floor)
+    register(name, sql, ctes + "," + cte)
+    SQL[name] = SQL[name].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_register_holt("holt_forecast", [], rollup_ctes(), "ro", holt_grid(), "1000000.0")
+_register_holt("holt_forecast_by_grade", ["grade"], rollup_ctes("grade"), "ro", holt_grid())
+_register_holt("holt_fixed_by_grade_state", ["grade", "addr_state"], f"""
+gs AS (SELECT grade, addr_state, issue_month AS metric_month, {pct('is_default')} AS default_rate, SUM(funded_amnt) AS total_funded_volume
+       FROM book GROUP BY grade, addr_state, issue_month)""", "gs", [(0.45, 0.2, 0.92)])
+
 register("annuity_instalment", """
 SELECT loan_id, CAST(funded_amnt AS DOUBLE) AS funded_amnt, CAST(int_rate AS DOUBLE) AS int_rate,
   CAST(term_months AS BIGINT) AS term_months,

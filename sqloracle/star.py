@@ -73,9 +73,9 @@ LEFT JOIN (VALUES {_STATES}) g(addr_state, state_name, region) ON s.addr_state =
 
 _GRADES = ", ".join(f"('{g}', '{n}', '{t}', {f})" for g, n, t, f in GRADES)
 register("dim_loan_grade", f"""
-SELECT g.grade, g.grade_name, g.risk_tier, CAST(g.subprime_flag AS BIGINT) AS subprime_flag
-FROM (SELECT DISTINCT grade FROM book) f
-JOIN (VALUES {_GRADES}) g(grade, grade_name, risk_tier, subprime_flag) ON f.grade = g.grade""")
+SELECT g.grade, g.grade_name, g.risk_tier, CAST(g.subprime_flag AS BIGINT) AS subprime_flag, CAST(coalesce(f.n, 0) AS BIGINT) AS loan_count
+FROM (VALUES {_GRADES}) g(grade, grade_name, risk_tier, subprime_flag)
+LEFT JOIN (SELECT grade, count(*) AS n FROM loans_b GROUP BY grade) f ON f.grade = g.grade""")
 
 
 def _div(a, b, alt):
@@ -181,6 +181,9 @@ register("validate_tables", "\nUNION ALL\n".join([
     _chk("non_empty", "loans", "SELECT CAST(COUNT(*) = 0 AS INTEGER) FROM loans_b"),
     _chk("non_empty", "borrowers", "SELECT CAST(COUNT(*) = 0 AS INTEGER) FROM borrowers_b"),
     _chk("non_empty", "payments_recoveries", "SELECT CAST(COUNT(*) = 0 AS INTEGER) FROM lp"),
+    _chk("row_count_floor", "loans", "SELECT CAST(COUNT(*) < 100 AS INTEGER) FROM loans_b"),
+    _chk("row_count_floor", "borrowers", "SELECT CAST(COUNT(*) < 10 AS INTEGER) FROM borrowers_b"),
+    _chk("row_count_floor", "payments_recoveries", "SELECT CAST(COUNT(*) < 100 AS INTEGER) FROM lp"),
     _chk("default_rate_in_0_100", "monthly_kpi_rollup",
          "SELECT COUNT(CASE WHEN default_rate IS NULL OR default_rate < 0 OR default_rate > 100 THEN 1 END) FROM ro"),
     _chk("fulfillment_at_least_50", "monthly_kpi_rollup",
@@ -203,3 +206,22 @@ FROM book f
 LEFT JOIN (VALUES {_STATES}) g(addr_state, state_name, region) ON f.addr_state = g.addr_state
 LEFT JOIN (VALUES {_GRADES}) d(grade, grade_name, risk_tier, subprime_flag) ON f.grade = d.grade
 GROUP BY coalesce(g.region, 'Other'), d.risk_tier""")
+
+register("star_report_full", f"""
+SELECT CAST(year(issue_date) AS BIGINT) AS year, coalesce(g.region, 'Other') AS region, d.risk_tier, lower(verification_status) AS verification_status,
+  CAST(COUNT(*) AS BIGINT) AS loans, CAST(SUM(funded_amnt) AS DOUBLE) AS total_funded_volume,
+  CAST({_div('SUM(is_default)', 'COUNT(*)', 0)} AS DOUBLE) AS default_rate
+FROM book f
+LEFT JOIN (VALUES {_STATES}) g(addr_state, state_name, region) ON f.addr_state = g.addr_state
+LEFT JOIN (VALUES {_GRADES}) d(grade, grade_name, risk_tier, subprime_flag) ON f.grade = d.grade
+GROUP BY year(issue_date), coalesce(g.region, 'Other'), d.risk_tier, lower(verification_status)""")
+
+
+def _year(y: int) -> str:
+    here = f"issue_year = {y}"
+    rate = _div(f"SUM(CASE WHEN {here} THEN is_default END)", f"COUNT(CASE WHEN {here} THEN 1 END)", 0)
+    return (f'CAST(CASE WHEN COUNT(CASE WHEN {here} THEN 1 END) > 0 THEN {rate} END AS DOUBLE) AS "{y}_default_rate", '
+            f'CAST(SUM(CASE WHEN {here} THEN charged_off_principal END) AS DOUBLE) AS "{y}_gross_charged_off_principal"')
+
+
+register("cohort_matrix_wide", f"SELECT grade, home_ownership, {', '.join(map(_year, range(1992, 1999)))} FROM book GROUP BY grade, home_ownership")

@@ -4,7 +4,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from loanscope.plans.etl import dense_row_index, etl
-from loanscope.sources.raw import TARGET_COLUMNS, read_raw_loans, write_merged, read_merged
+from loanscope.sources.raw import TARGET_COLUMNS, peek_headers, read_merged, read_raw_loans, write_merged
 
 FILE_A = '''Notes offered by Prospectus (preamble line)
 "id","member_id","loan_amnt","funded_amnt","term","int_rate","grade","sub_grade","issue_d","loan_status","addr_state","verification_status","dti","revol_util","total_rec_prncp","home_ownership","purpose"
@@ -44,7 +44,7 @@ def test_read_align_validate_and_etl(spark):
     write_merged(raw, out)
     assert read_merged(spark, out).count() == 6
 
-    t = etl(raw)
+    t = etl(raw, order_by=["issue_d", "loan_amnt"])
     w = {r.loan_id: r for r in t.wide.collect()}
     assert len(w) == 6
     assert w["101"].grade == "B" and w["101"].fico_range_low == 660.0  # lower-case raw grade -> proxy 660
@@ -64,5 +64,48 @@ def test_read_align_validate_and_etl(spark):
 
 def test_dense_row_index_is_dense_over_partitions(spark):
     df = spark.range(0, 1000, numPartitions=7)
-    got = sorted(r.row_no for r in dense_row_index(df).collect())
-    assert got == list(range(1, 1001))
+    got = [(r.id, r.row_no) for r in dense_row_index(df.repartition(5), ["id"]).orderBy("id").collect()]
+    assert got == [(i, i + 1) for i in range(1000)]
+
+
+QUOTED = '''id,loan_amnt,funded_amnt,term,int_rate,issue_d,loan_status,purpose,emp_length
+1,1000,1000,36 months,10%,Dec-2011,Fully Paid,"say ""hi"", ok",10+ years
+2,2000,2000,36 months,10%,Dec-2011,Current,"a, b","line one
+line two"
+3,"3,000",3000,36 months,10%,Jan-2012,Current,"plain"," padded "
+'''
+
+
+def test_quoted_cells_survive_reading_and_writing(spark):
+    tmp = tempfile.mkdtemp(prefix="loanscope-quotes-")
+    raw = read_raw_loans(spark, write(tmp, "q.csv", QUOTED), multiline=True)
+    got = {r.id: r for r in raw.collect()}
+    assert sorted(got) == ["1", "2", "3"]
+    assert got["1"].purpose == 'say "hi", ok' and got["2"].purpose == "a, b" and got["2"].emp_length == "line one\nline two"
+    out = os.path.join(tmp, "merged")
+    write_merged(raw, out)
+    back = {r.id: r for r in read_merged(spark, out, multiline=True).collect()}
+    assert {k: (v.purpose, v.emp_length, v.loan_amnt) for k, v in back.items()} == {k: (v.purpose, v.emp_length, v.loan_amnt) for k, v in got.items()}
+
+
+def test_headers_of_many_files_come_from_one_pass(spark):
+    tmp = tempfile.mkdtemp(prefix="loanscope-many-")
+    paths = [write(tmp, f"f {i}.csv", FILE_B if i % 2 else FILE_A) for i in range(6)] + [write(tmp, "empty.csv", "")]
+    assert read_raw_loans(spark, paths).count() == 3 * 4 + 3 * 2
+    assert len(peek_headers(spark, paths)) == 6
+    assert read_raw_loans(spark, paths[-1]).collect() == []
+
+
+def test_hashed_ids_need_no_order(spark):
+    tmp = tempfile.mkdtemp(prefix="loanscope-hash-")
+    t = etl(read_raw_loans(spark, write(tmp, "a.csv", FILE_A)))
+    a, b = ([r.borrower_id for r in t.borrowers.orderBy("borrower_id").collect()] for _ in range(2))
+    assert a == b and len(set(a)) == 4 and all(x.startswith("BRW_") and len(x) == 20 for x in a)
+
+
+def test_supplied_fico_is_kept(spark):
+    from loanscope.plans.etl import clean_loans
+    raw = spark.createDataFrame([("1", "A", "701"), ("2", "A", ""), ("3", "B", "x"), ("4", "Z", None)], "id string, grade string, fico_range_low string")
+    full = raw.selectExpr("*", *[f"CAST(NULL AS string) AS {c}" for c in TARGET_COLUMNS if c not in raw.columns and c != "issue_d"], "'Dec-2011' AS issue_d")
+    got = {r.loan_id: (r.fico_range_low, r.fico_range_high) for r in clean_loans(full).collect()}
+    assert got == {"1": (701.0, 705.0), "2": (740.0, 744.0), "3": (700.0, 704.0), "4": (660.0, 664.0)}

@@ -23,9 +23,41 @@ def test_sampling_and_split_are_repeatable(spark, book):
     s1 = [r.loan_id for r in classifier.sample_rows(lb, 50, 7).collect()]
     s2 = [r.loan_id for r in classifier.sample_rows(lb, 50, 7).collect()]
     assert s1 == s2 and len(set(s1)) == 50
-    sp = classifier.split_flag(lb).groupBy("split").count().collect()
-    share = {r.split: r["count"] for r in sp}
-    assert 0.1 < share["test"] / (share["test"] + share["train"]) < 0.3
+    whole = sorted(lb.selectExpr("md5(concat(loan_id, '7')) AS h", "loan_id").collect())[:50]
+    assert s1 == [r.loan_id for r in whole]
+    assert classifier.sample_rows(lb, 10 ** 9, 7).count() == lb.count()
+    for bits in (4, 16):  # stratified: of each label exactly a fifth, rounded down
+        for r in classifier.split_flag(lb, bits=bits).groupBy("is_default").agg(F.count("*").alias("n"), F.sum(F.expr("int(split = 'test')")).alias("t")).collect():
+            assert r.t == r.n * 20 // 100
+
+
+def test_score_metrics_do_not_depend_on_ranges_and_hold_for_large_counts(spark):
+    rng = np.random.default_rng(3)
+    s, y = rng.integers(0, 200, 3000) / 1e9, rng.integers(0, 2, 3000)  # closer than any fixed resolution
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(s, y)], "score double, is_default int")
+    rows = [classifier.evaluate_scores(df, threshold=1e-7, ranges=n).first() for n in (1, 7)]
+    assert rows[0] == rows[1]
+    pos, neg = s[y == 1], s[y == 0]
+    auc = np.mean((pos[:, None] > neg) + 0.5 * (pos[:, None] == neg))
+    assert abs(rows[0].roc_auc - auc) < 1e-6
+    # counts of 1e12 loans stay exact
+    big = spark.createDataFrame([(0.9, 6 * 10 ** 11, 10 ** 11), (0.1, 10 ** 11, 5 * 10 ** 11)], "s double, pos long, neg long")
+    n = big.selectExpr("sum(CAST(CAST(neg AS decimal(19,0)) * CAST(2 * pos AS decimal(19,0)) AS decimal(38,0))) AS x").first().x
+    assert int(n) == 2 * (6 * 10 ** 22 + 5 * 10 ** 22)
+
+
+def test_tiers_are_cut_on_the_raw_percent(spark):
+    df = spark.createDataFrame([(4.9963,), (5.0,), (11.996,), (12.0,), (21.999,), (22.0,), (34.999,), (35.0,)], "p double")
+    got = [r.risk_tier.split(" (")[0] for r in classifier.with_risk_tier(df, F.col("p")).collect()]
+    assert got == ["Prime", "Near-Prime", "Near-Prime", "Subprime", "Subprime", "High Risk", "High Risk", "Critical Default Risk"]
+
+
+def test_missing_categories_are_a_category(spark):
+    from loanscope.operators import drivers
+    df = spark.createDataFrame([("OWN", "a"), (None, "b"), ("RENT", None), ("MORTGAGE", "a")], "home_ownership string, purpose string")
+    codes = drivers._codes(df, ["home_ownership", "purpose"])
+    got = df.select(codes["home_ownership"].alias("h"), codes["purpose"].alias("p")).collect()
+    assert [(r.h, r.p) for r in got] == [(2.0, 1.0), (1.0, 2.0), (3.0, 0.0), (0.0, 1.0)]  # MORTGAGE, None, OWN, RENT
 
 
 def test_classifier_learns_a_separable_rule(spark):
