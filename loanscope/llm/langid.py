@@ -28,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import CACHE_ENTRIES, byte_texts
+from .common import byte_texts
 
 TRAIN_DOCUMENTS, TRAIN_WORDS = 400, 3000
 WINDOW, EMBED, HIDDEN = 32, 12, 16
 EPOCHS, BATCH, RATE = 12, 128, 0.01
 #: Bytes of text whose words are looked up together.
 BLOCK = 4 << 20
+#: Distinct words that a worker remembers.
+CACHE_ENTRIES = 500_000
 UNDETERMINED = "und"
 
 _LETTER = np.zeros(256, dtype=bool)
@@ -51,12 +53,10 @@ def windows(word: bytes) -> list[bytes]:
 
 
 def _padded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes with a space before and after each word, as rows; and the row lengths."""
+    """Bytes with a space before and spaces after each word, as rows; and the row lengths with one space after."""
     lengths = np.array([len(w) + 2 for w in words])
-    rows = np.full((len(words), lengths.max()), 32, dtype=np.uint8)
-    for row, w in zip(rows, words):
-        row[1:len(w) + 1] = np.frombuffer(w, np.uint8)
-    return rows, lengths
+    width = int(lengths.max())
+    return np.frombuffer(b"".join([(b" " + w).ljust(width) for w in words]), np.uint8).reshape(len(words), width), lengths
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -104,16 +104,22 @@ class ByteGRU:
         e = np.exp(logits - logits.max(axis=2, keepdims=True))
         return e / e.sum(axis=2, keepdims=True), both, turn, trace_f, trace_b
 
-    def probabilities(self, words: list[bytes]) -> list[np.ndarray]:
-        """For each word (at most ``WINDOW`` bytes) its positions' distributions."""
-        out: list = [None] * len(words)
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+    def _in_batches(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Indices, rows and distributions of words of like length (at most ``WINDOW`` bytes each)."""
+        order = np.argsort([len(w) for w in words], kind="stable")
         for at in range(0, len(order), 1024):
             part = order[at:at + 1024]
-            probs = self._forward(*_padded([words[i] for i in part]))[0]
-            for k, i in enumerate(part):
-                out[i] = probs[k, 1:len(words[i]) + 1]
-        return out
+            rows, lengths = _padded([words[i] for i in part])
+            yield part, rows, self._forward(rows, lengths)[0]
+
+    def pooled(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of the letter positions' distributions and the number of such positions, per word."""
+        sums, counts = np.zeros((len(words), len(self.languages))), np.zeros(len(words), dtype=np.int64)
+        for part, rows, probs in self._in_batches(words):
+            letters = _LETTER[rows]
+            sums[part] = np.einsum("bt,btk->bk", letters.astype(np.float32), probs)
+            counts[part] = letters.sum(axis=1)
+        return sums, counts
 
     def label_positions(self, text: str) -> list[tuple[int, int, str]]:
         """``(byte offset, byte length, language)`` of the runs of equally labelled positions, word by word."""
@@ -121,7 +127,8 @@ class ByteGRU:
         for word in raw.split():
             at = raw.index(word, at)
             for part in windows(word):
-                for k, c in enumerate(self.probabilities([part])[0].argmax(axis=1)):
+                (_, _, probs), = self._in_batches([part])
+                for k, c in enumerate(probs[0, 1:len(part) + 1].argmax(axis=1)):
                     if out and out[-1][2] == self.languages[c] and sum(out[-1][:2]) == at + k:
                         out[-1] = (out[-1][0], out[-1][1] + 1, out[-1][2])
                     else:
@@ -224,14 +231,14 @@ class Pool:
         index = self.index
         missing = list({w for w in words if w not in index})
         if missing:
-            parts = [(i, part) for i, w in enumerate(missing) for part in windows(w)]
             sums, counts = np.zeros((len(missing), len(self.model.languages))), np.zeros(len(missing), dtype=np.int64)
-            for at in range(0, len(parts), 16384):
-                some = parts[at:at + 16384]
-                for (i, part), probs in zip(some, self.model.probabilities([p for _, p in some])):
-                    letters = _LETTER[np.frombuffer(part, np.uint8)]
-                    sums[i] += probs[letters].sum(axis=0)
-                    counts[i] += int(letters.sum())
+            cuts = [(i, w) for i, w in enumerate(missing) if len(w) <= WINDOW]
+            cuts += [(i, part) for i, w in enumerate(missing) if len(w) > WINDOW for part in windows(w)]
+            owner = np.array([i for i, _ in cuts])
+            for at in range(0, len(cuts), 1 << 16):
+                some, n = self.model.pooled([w for _, w in cuts[at:at + (1 << 16)]])
+                np.add.at(sums, owner[at:at + (1 << 16)], some)
+                np.add.at(counts, owner[at:at + (1 << 16)], n)
             index.update(zip(missing, range(len(index), len(index) + len(missing))))
             self.sums = np.concatenate((self.sums, sums)) if len(self.sums) else sums
             self.counts = np.concatenate((self.counts, counts)) if len(self.counts) else counts
