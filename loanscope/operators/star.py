@@ -54,8 +54,7 @@ GRADES = [
     ("F", "Grade F - Speculative Subprime", "Subprime", 1),
     ("G", "Grade G - Deep Subprime", "Subprime", 1),
 ]
-# --------------------------------------------------------------------------
-
+# Columns of the fact table, and which are whole numbers or text.
 FACT_COLUMNS = [
     "loan_id", "borrower_id", "issue_date", "issue_month", "issue_year", "grade", "addr_state",
     "loan_amnt", "funded_amnt", "term_months", "int_rate", "installment", "purpose", "loan_status",
@@ -65,6 +64,7 @@ FACT_COLUMNS = [
 FACT_INTS = ["issue_year", "term_months", "is_default", "is_delinquent", "is_fully_funded"]
 FACT_STRINGS = ["loan_id", "borrower_id", "issue_date", "issue_month", "grade", "addr_state",
                 "purpose", "loan_status"]
+# --------------------------------------------------------------------------
 
 
 def fact_loans(book: DataFrame, exact: bool = False) -> DataFrame:

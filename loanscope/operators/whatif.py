@@ -14,6 +14,7 @@ per-setting totals with cumulative sums over that grid.
 
 from __future__ import annotations
 
+import re
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,9 +24,37 @@ from ..functions import exprs as X
 from ..functions.exprs import RESOLVED_STATUSES, exact_ratio
 from ..session import materialize
 
+# --------------------------------------------------------------------------
+# Fixed values that must equal the reference's for equal results: scenario names and
+# recommendations.
+# --------------------------------------------------------------------------
+NAMES = {
+    "underwriting": "Underwriting Tightening (FICO / DTI)",
+    "pricing": "Risk-Based APR Repricing (Grades C-G)",
+    "funding": "Funding Fulfillment Policy Threshold",
+    "collections": "Collections Recovery & Fee Optimization",
+    "verification": "Verification Policy & Capacity Trade-off",
+}
+UNDERWRITING_GOOD = "Highly Recommended: Tightening to FICO >= {fico} & DTI <= {dti}% reduces default rate by {points} pts and saves {saved} in credit losses while sacrificing only {volume}% of origination volume."
+UNDERWRITING_DRAG = "Caution (Severe Volume Drag): Tightening eliminates {volume}% of origination volume ({sacrificed}). Although default rate drops by {points} pts, the revenue loss outweighs credit loss mitigation."
+UNDERWRITING_MIDDLE = "Moderate Trade-off: Saves {saved} in gross charge-offs with a {volume}% reduction in originations. Consider phased implementation."
+PRICING_GAIN = "Positive Net Return: Adjusting lower-grade pricing by {bps} bps increases annual interest revenue by {income}, yielding a net bottom-line gain of {net} after accounting for adverse selection."
+PRICING_LOSS = "Negative Trade-off: Rate adjustment of {bps} bps results in a net yield reduction of ${net} due to elevated borrower default sensitivity."
+FUNDING = "Policy Threshold at {threshold}%: Qualifies {qualified}% of origination pipeline. Drops {dropped} partially funded applications ({volume} volume impact). Guarantees near-complete investor backing and eliminates partial-origination servicing friction."
+COLLECTIONS = "Collections Enhancement (+{uplift}% recovery uplift, {fee}% fee cap): Recovers an additional {more} in delinquent balances, yielding {net} in net cash after fees. Increases portfolio recovery rate from {before}% to {after}%."
+VERIFICATION_GAIN = "Profitable Capacity Allocation: Converting {pct}% of unverified pipeline ({loans} loans) saves {saved} in credit losses against {cost} in verification review costs, delivering a net operational gain of {net}."
+VERIFICATION_WARNING = "Capacity Warning: Verification costs ({cost}) exceed the credit losses saved ({saved}). Target verification strictly on higher loan amounts (> $20k) or risk grades C-G."
+# --------------------------------------------------------------------------
+
 MONEY38 = "decimal(38,2)"
 
 
+def _fill(text: str, **values: Column) -> Column:
+    """``text`` with its fields replaced by columns."""
+    parts = re.split(r"{(\w+)}", text)
+    return F.concat(*[values[x] if i % 2 else F.lit(x) for i, x in enumerate(parts)])
+
+
 def _dec(v) -> Column:
     return F.lit(Decimal(str(v)))
 
@@ -89,21 +118,10 @@ def _uw_metrics(n, vol, dflt, loss, bn, bvol, bdef, bloss):
 def _uw_recommendation(min_fico: Column, max_dti: Column) -> Column:
     c = F.col
     vc, dd = F.abs(c("_vc6")), c("_dd6")
-    return (F.when((vc < 10) & (dd <= -1), F.concat(
-        F.lit("Highly Recommended: Tightening to FICO >= "), min_fico.cast("string"),
-        F.lit(" & DTI <= "), max_dti.cast("string"), F.lit("% reduces default rate by "),
-        _txt(F.abs(dd), 2), F.lit(" pts and saves "), _usd0(c("losses_saved_dollars")),
-        F.lit(" in credit losses while sacrificing only "), _txt(vc, 1),
-        F.lit("% of origination volume.")))
-        .when(vc > 25, F.concat(
-            F.lit("Caution (Severe Volume Drag): Tightening eliminates "), _txt(vc, 1),
-            F.lit("% of origination volume ("), _usd0(c("volume_sacrificed_dollars")),
-            F.lit("). Although default rate drops by "), _txt(F.abs(dd), 2),
-            F.lit(" pts, the revenue loss outweighs credit loss mitigation.")))
-        .otherwise(F.concat(
-            F.lit("Moderate Trade-off: Saves "), _usd0(c("losses_saved_dollars")),
-            F.lit(" in gross charge-offs with a "), _txt(vc, 1),
-            F.lit("% reduction in originations. Consider phased implementation."))))
+    fill = {"fico": min_fico.cast("string"), "dti": max_dti.cast("string"), "points": _txt(F.abs(dd), 2), "volume": _txt(vc, 1),
+            "saved": _usd0(c("losses_saved_dollars")), "sacrificed": _usd0(c("volume_sacrificed_dollars"))}
+    return (F.when((vc < 10) & (dd <= -1), _fill(UNDERWRITING_GOOD, **fill)).when(vc > 25, _fill(UNDERWRITING_DRAG, **fill))
+            .otherwise(_fill(UNDERWRITING_MIDDLE, **fill)))
 
 
 def what_if_underwriting(book: DataFrame, min_fico: float = 660, max_dti: float = 35.0) -> DataFrame:
@@ -131,7 +149,7 @@ def _underwriting_row(a: DataFrame, min_fico, max_dti) -> DataFrame:
                     c("baseline_funded_volume"), c("_bdef"), c("baseline_credit_losses"))
     a = _chain(a, [{"baseline_default_rate_pct": exact_ratio(c("_bdef"), c("baseline_loan_count"), 2, 100, 0)}] + m)
     return a.select(
-        F.lit("Underwriting Tightening (FICO / DTI)").alias("scenario_name"),
+        F.lit(NAMES["underwriting"]).alias("scenario_name"),
         _dec(min_fico).cast("double").alias("min_fico"), _dec(max_dti).cast("double").alias("max_dti"),
         c("baseline_loan_count").cast("bigint").alias("baseline_loan_count"),
         *[X.out(c(k), k) for k in ("baseline_funded_volume", "baseline_default_rate_pct", "baseline_credit_losses")],
@@ -263,14 +281,10 @@ def _pricing_row(a: DataFrame, bps: int) -> DataFrame:
     r = _chain(a, _pricing_stages(F.lit(int(bps)), F.lit(_pricing_factor(int(bps)))))
     c = F.col
     sign = f"{int(bps):+d}"
-    rec = F.when(c("net_yield_delta") > 0, F.concat(
-        F.lit(f"Positive Net Return: Adjusting lower-grade pricing by {sign} bps increases annual interest revenue by "),
-        _usd0(c("interest_income_delta")), F.lit(", yielding a net bottom-line gain of "),
-        _usd0(c("net_yield_delta")), F.lit(" after accounting for adverse selection."))).otherwise(F.concat(
-        F.lit(f"Negative Trade-off: Rate adjustment of {sign} bps results in a net yield reduction of $"),
-        F.round(F.abs(c("net_yield_delta")), 0).cast("decimal(38,0)").cast("string"),
-        F.lit(" due to elevated borrower default sensitivity.")))
-    return r.select(F.lit("Risk-Based APR Repricing (Grades C-G)").alias("scenario_name"),
+    shown = {"bps": F.lit(sign), "income": _usd0(c("interest_income_delta"))}
+    rec = F.when(c("net_yield_delta") > 0, _fill(PRICING_GAIN, net=_usd0(c("net_yield_delta")), **shown)).otherwise(
+        _fill(PRICING_LOSS, net=F.round(F.abs(c("net_yield_delta")), 0).cast("decimal(38,0)").cast("string"), **shown))
+    return r.select(F.lit(NAMES["pricing"]).alias("scenario_name"),
                     F.lit(int(bps)).cast("bigint").alias("apr_delta_bps"),
                     *[X.out(_r2(c(k)), k) for k in cols], rec.alias("recommendation"))
 
@@ -308,15 +322,11 @@ def what_if_funding(loans: DataFrame, threshold: float = 95.0) -> DataFrame:
                  (c("total_applications") - c("qualified_loans_count")).alias("cancelled_loans_count"),
                  exact_ratio(c("sim_funded_volume") - c("baseline_funded_volume"), c("baseline_funded_volume"), 2, 100, 2)
                  .alias("volume_impact_pct"))
-    rec = F.concat(
-        F.lit(f"Policy Threshold at {_num_text(threshold)}%: Qualifies "), c("_q1").cast("string"),
-        F.lit("% of origination pipeline. Drops "), F.format_number(c("cancelled_loans_count"), 0),
-        F.lit(" partially funded applications ("),
-        _usd0(F.abs(c("sim_funded_volume") - c("baseline_funded_volume"))),
-        F.lit(" volume impact). Guarantees near-complete investor backing and eliminates "
-              "partial-origination servicing friction."))
+    rec = _fill(FUNDING, threshold=F.lit(_num_text(threshold)), qualified=c("_q1").cast("string"),
+                dropped=F.format_number(c("cancelled_loans_count"), 0),
+                volume=_usd0(F.abs(c("sim_funded_volume") - c("baseline_funded_volume"))))
     return a.select(
-        F.lit("Funding Fulfillment Policy Threshold").alias("scenario_name"),
+        F.lit(NAMES["funding"]).alias("scenario_name"),
         _dec(threshold).cast("double").alias("min_fulfillment_threshold_pct"),
         c("total_applications").cast("bigint").alias("total_applications"),
         X.out(c("baseline_qualified_loans_pct"), "baseline_qualified_loans_pct"),
@@ -406,15 +416,10 @@ def _collections_row(a: DataFrame, uplift, fee) -> DataFrame:
     cols = COLLECTIONS_COLS
     r = _chain(a, _collections_stages(_dec(uplift), _dec(fee)))
     c = F.col
-    rec = F.concat(
-        F.lit(f"Collections Enhancement (+{_num_text(uplift)}% recovery uplift, {_num_text(fee)}% fee cap): "
-              "Recovers an additional "),
-        _usd0(c("sim_gross_recoveries") - c("baseline_gross_recoveries")),
-        F.lit(" in delinquent balances, yielding "), _usd0(c("net_cash_delta")),
-        F.lit(" in net cash after fees. Increases portfolio recovery rate from "),
-        c("baseline_recovery_rate_pct").cast("string"), F.lit("% to "),
-        c("sim_recovery_rate_pct").cast("string"), F.lit("%."))
-    return r.select(F.lit("Collections Recovery & Fee Optimization").alias("scenario_name"),
+    rec = _fill(COLLECTIONS, uplift=F.lit(_num_text(uplift)), fee=F.lit(_num_text(fee)),
+                more=_usd0(c("sim_gross_recoveries") - c("baseline_gross_recoveries")), net=_usd0(c("net_cash_delta")),
+                before=c("baseline_recovery_rate_pct").cast("string"), after=c("sim_recovery_rate_pct").cast("string"))
+    return r.select(F.lit(NAMES["collections"]).alias("scenario_name"),
                     _dec(uplift).cast("double").alias("recovery_rate_uplift_pct"),
                     _dec(fee).cast("double").alias("fee_commission_pct"),
                     *[X.out(_r2(c(k)), k) for k in cols], rec.alias("recommendation"))
@@ -482,17 +487,11 @@ def _verification_row(a: DataFrame, pct, cost) -> DataFrame:
     c = F.col
     fmt = lambda x: F.concat(F.lit("$"), F.format_number(x, 0))
     cost0 = F.round(c("capacity_processing_cost"), 0)
-    rec = F.when(c("_net_sign") > 0, F.concat(
-        F.lit(f"Profitable Capacity Allocation: Converting {_num_text(pct)}% of unverified pipeline ("),
-        F.format_number(c("converted_loans_count"), 0), F.lit(" loans) saves "), fmt(c("_saved0")),
-        F.lit(" in credit losses against "), fmt(cost0),
-        F.lit(" in verification review costs, delivering a net operational gain of "), fmt(c("_net0")),
-        F.lit("."))).otherwise(F.concat(
-        F.lit("Capacity Warning: Verification costs ("), fmt(cost0),
-        F.lit(") exceed the credit losses saved ("), fmt(c("_saved0")),
-        F.lit("). Target verification strictly on higher loan amounts (> $20k) or risk grades C-G.")))
+    fill = {"pct": F.lit(_num_text(pct)), "loans": F.format_number(c("converted_loans_count"), 0), "saved": fmt(c("_saved0")),
+            "cost": fmt(cost0), "net": fmt(c("_net0"))}
+    rec = F.when(c("_net_sign") > 0, _fill(VERIFICATION_GAIN, **fill)).otherwise(_fill(VERIFICATION_WARNING, **fill))
     ints = ("unverified_loans_count", "total_portfolio_loans", "converted_loans_count")
-    return r.select(F.lit("Verification Policy & Capacity Trade-off").alias("scenario_name"),
+    return r.select(F.lit(NAMES["verification"]).alias("scenario_name"),
                     _dec(pct).cast("double").alias("additional_verified_pct"),
                     _dec(cost).cast("double").alias("review_cost_per_loan"),
                     *[c(k).cast("bigint").alias(k) if k in ints else X.out(c(k), k)

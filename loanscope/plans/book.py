@@ -35,11 +35,11 @@ D = lambda s: F.lit(Decimal(s))  # noqa: E731  exact decimal literal
 # Fixed values of the driver-table mapping.
 # --------------------------------------------------------------------------
 GRADE_LETTERS = "ABCDEFG"
-# Two-letter state code per nation key (position 2*nationkey).
-STATE_CODES = "CANYTXFLILPAOHGANCMINJVAWAAZMATNINMOMDWICOMNSCALLA"
+# State code per nation key.
+STATE_CODES = ["CA", "NY", "TX", "FL", "IL", "PA", "OH", "GA", "NC", "MI", "NJ", "VA", "WA",
+               "AZ", "MA", "TN", "IN", "MO", "MD", "WI", "CO", "MN", "SC", "AL", "LA"]
 CREDIT_POLICY_CO = "Does not meet the credit policy. Status:Charged Off"
-# --------------------------------------------------------------------------
-
+# Columns of the three tables.
 LOAN_COLUMNS = [
     "loan_id", "borrower_id", "issue_date", "issue_month", "issue_year",
     "loan_amnt", "funded_amnt", "funded_amnt_inv", "term", "int_rate",
@@ -56,6 +56,7 @@ PAYMENT_COLUMNS = [
     "total_rec_late_fee", "recoveries", "collection_recovery_fee",
     "last_pymnt_d", "last_pymnt_amnt", "charged_off_principal",
 ]
+# --------------------------------------------------------------------------
 
 
 def _loans_from_orders(orders: DataFrame, keep=()) -> DataFrame:
@@ -116,7 +117,7 @@ def _borrowers_from_customers(customer: DataFrame) -> DataFrame:
         (D("21000.00") + acct * 10).cast(X.MONEY).alias("annual_inc"),
         (F.when(c % 5 < 2, "Not Verified").when(c % 5 < 4, "Verified")
          .otherwise("Source Verified")).alias("verification_status"),
-        F.substr(F.lit(STATE_CODES), F.col("c_nationkey") * 2 + 1, F.lit(2)).alias("addr_state"),
+        F.element_at(X.lit_array(STATE_CODES, "string"), F.col("c_nationkey").cast("int") + 1).alias("addr_state"),
         ((c * 13) % 5000 * D("0.01")).cast("decimal(6,2)").alias("dti"),
         fico.alias("fico_range_low"),
         (fico + 4).alias("fico_range_high"),

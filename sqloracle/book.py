@@ -7,7 +7,8 @@ pre-registered views ``orders``, ``customer`` and ``lineitem``.
 
 from __future__ import annotations
 
-STATE_CODES = "CANYTXFLILPAOHGANCMINJVAWAAZMATNINMOMDWICOMNSCALLA"
+STATE_CODES = ["CA", "NY", "TX", "FL", "IL", "PA", "OH", "GA", "NC", "MI", "NJ", "VA", "WA",
+               "AZ", "MA", "TN", "IN", "MO", "MD", "WI", "CO", "MN", "SC", "AL", "LA"]
 CO_POLICY = "Does not meet the credit policy. Status:Charged Off"
 
 
@@ -90,7 +91,7 @@ borrowers_b AS (
     CAST(21000.00 + 10 * CAST(c_acctbal AS DECIMAL(18,2)) AS DECIMAL(18,2)) AS annual_inc,
     CASE WHEN c_custkey % 5 < 2 THEN 'Not Verified' WHEN c_custkey % 5 < 4 THEN 'Verified'
          ELSE 'Source Verified' END AS verification_status,
-    substr('{STATE_CODES}', c_nationkey * 2 + 1, 2) AS addr_state,
+    ({STATE_CODES!r})[c_nationkey + 1] AS addr_state,
     CAST((c_custkey * 13) % 5000 * 0.01 AS DECIMAL(6,2)) AS dti,
     CAST(740 - CASE WHEN c_custkey % 7 = 0 THEN 0 ELSE 10 + 30 * (c_custkey % 7) END AS INTEGER) AS fico_range_low,
     CAST(744 - CASE WHEN c_custkey % 7 = 0 THEN 0 ELSE 10 + 30 * (c_custkey % 7) END AS INTEGER) AS fico_range_high,
