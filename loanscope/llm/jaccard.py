@@ -7,14 +7,16 @@ the same links - this one keeps shared boilerplate out of the prefixes.
 
 1. Equal sets are one class. Only one document of each goes on.
 2. Linked sets share a shingle among the first ``n - ceil(t n) + 1`` of either (the
-   prefix). Prefix shingles are grouped; a list of documents pairs with its smallest
-   member first (a star), so a group of near copies costs its size, not its square.
+   prefix). Prefix shingles are grouped; a list of documents pairs with three of its
+   members first (stars), so a group of near copies costs its size, not its square.
 3. A pair whose sizes or parity bitmaps rule the link out is dropped - both bounds are exact.
 4. The global order is cut into ``FRAGMENTS`` ranges. For the pairs left, each
    fragment counts its part of the overlap on its own, and the counts are summed per pair.
 5. Linked classes get connected components. What remains are pairs of different components
-   that share a prefix shingle; they are compared in blocks (3, then 4), which finds
-   every further link. Pairs inside one component need no look: they cannot change it.
+   that share a prefix shingle; they are compared in blocks (3, then 4): first each
+   with its nearest alone, whose links are taken into the components, then all that
+   is still apart, which finds every further link. Pairs inside one component need no look:
+   they cannot change it.
 
 Lists of often seen shingles are salted by their estimated length, so that no task
 gets an unbounded list.
@@ -49,6 +51,8 @@ COMMON_WORDS, COMMON_SHINGLES = 2048, 1 << 20
 #: Members of a list that are handled together.
 LIST = 1024
 BLOCK = 4 << 20
+#: Bytes of the bitmaps that travel with every list member; pairs that pass meet the full ones.
+SHORT_BITMAP = 64
 #: Document keys (24 bytes each) that may be broadcast to pick out their texts.
 BROADCAST_KEYS = 1 << 18
 
@@ -123,12 +127,17 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
-    """Parity of the shingles by their low bits, in 2n to 4n bits (256 to 8192)."""
-    bits = 1 << min(13, max(8, (2 * max(1, len(shingles)) - 1).bit_length()))
+    """Parity of the shingles by their low bits, in 8n to 16n bits (512 to 8192)."""
+    bits = 1 << min(13, max(9, (8 * max(1, len(shingles)) - 1).bit_length()))
     odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def short(bits: bytes) -> bytes:
+    """A bitmap folded to at most ``SHORT_BITMAP`` bytes."""
+    return fold(np.frombuffer(bits, np.uint8), SHORT_BITMAP).tobytes()
+
+
 def fold(a: np.ndarray, size: int) -> np.ndarray:
     """A parity bitmap (rows of bytes) folded to ``size`` bytes."""
     while a.shape[-1] > size:
@@ -165,7 +174,7 @@ def _order(docs: DataFrame, words: int) -> Order:
                  tables["s"]["n"].to_numpy(np.float64), 1 / share)
 
 
-_SETS = "doc_id long, k long, h long, n long, sid long, bits binary, tokens array<long>, salts array<int>"
+_SETS = "doc_id long, k long, h long, n long, sid long, bits binary, brief binary, tokens array<long>, salts array<int>"
 
 
 def _sets(docs: DataFrame, order: Order, words: int, percent: int) -> DataFrame:
@@ -175,13 +184,14 @@ def _sets(docs: DataFrame, order: Order, words: int, percent: int) -> DataFrame:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = shared.value
         for batch in batches:
-            n, sid, bits, tokens, salts = [], [], [], [], []
+            n, sid, bits, brief, tokens, salts = [], [], [], [], [], []
             for shingles, rows in shingle_sets(byte_texts(batch), words):
                 n.append(len(shingles))
                 digest = blake2b(shingles.tobytes(), digest_size=8).digest()
                 sid.append(int.from_bytes(digest, "little", signed=True))
                 if not len(shingles):
                     bits.append(b"")
+                    brief.append(b"")
                     tokens.append([])
                     salts.append([])
                     continue
@@ -189,60 +199,88 @@ def _sets(docs: DataFrame, order: Order, words: int, percent: int) -> DataFrame:
                 p = prefix_length(len(shingles), percent)
                 first = np.argpartition(rank, p - 1)[:p] if p < len(rank) else np.arange(len(rank))
                 bits.append(bitmap(shingles))
+                brief.append(short(bits[-1]))
                 tokens.append(signed(shingles[first]))
                 salts.append(np.ceil(np.maximum(length[first], 1) / LIST).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("k"), batch.column("h"), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(bits, pa.binary()),
-                 pa.array(tokens, pa.list_(pa.int64())), pa.array(salts, pa.list_(pa.int32()))],
-                names=["doc_id", "k", "h", "n", "sid", "bits", "tokens", "salts"])
+                 pa.array(brief, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(salts, pa.list_(pa.int32()))],
+                names=["doc_id", "k", "h", "n", "sid", "bits", "brief", "tokens", "salts"])
 
     return docs.mapInArrow(build, _SETS)
 
 
-def _stars(postings: DataFrame) -> DataFrame:
-    """``token, salt, salts, sid, n, hub, hub_n`` of every list that may hold two sets; hub is its smallest set."""
+def _lists(postings: DataFrame) -> DataFrame:
+    """``token, salts, ids, ns``: a row per list that may hold two sets, members by size, smallest first."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
 
-        def lists(cols: list[np.ndarray], last: bool) -> tuple[list[np.ndarray] | None, pa.RecordBatch | None]:
-            token, salt, salts, n, sid = cols
+        def lists(cols: list[np.ndarray], last: bool) -> tuple[list[np.ndarray], pa.RecordBatch]:
+            token, salt, salts, n, node = cols
             start = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (salt[1:] != salt[:-1]))))
-            stop = len(token) if last else start[-1]
-            keep = [c[stop:] for c in cols]
-            start = start if last else start[:-1]
-            if not len(start):
-                return keep, None
-            size = np.diff(np.append(start, stop))
-            number = np.repeat(np.arange(len(start)), size)
-            wanted = (size[number] > 1) | (salts[:stop] > 1)
-            hub = np.repeat(start, size)[wanted]
-            out = [c[:stop][wanted] for c in (token, salt, salts, sid, n)] + [sid[hub], n[hub]]
-            return keep, pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["token", "salt", "salts", "sid", "n", "hub", "hub_n"])
+            stop = len(token) if last else int(start[-1])
+            size = np.diff(np.append(start, stop)) if last else np.diff(start)
+            start = start[:len(size)]
+            wanted = (size > 1) | (salts[start] > 1)
+            inside = np.repeat(wanted, size)
+            bounds = pa.array(np.concatenate(([0], np.cumsum(size[wanted]))).astype(np.int32))
+            out = [pa.array(token[start[wanted]]), pa.array(salts[start[wanted]]),
+                   *(pa.ListArray.from_arrays(bounds, pa.array(c[:stop][inside])) for c in (node, n))]
+            return [c[stop:] for c in cols], pa.RecordBatch.from_arrays(out, names=["token", "salts", "ids", "ns"])
 
         for batch in batches:
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "salt", "salts", "n", "sid")]
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "salt", "salts", "n", "node")]
             if rest is not None:
                 cols = [np.concatenate(x) for x in zip(rest, cols)]
-            if not len(cols[0]):
-                continue
-            rest, out = lists(cols, False)
-            if out is not None:
+            if len(cols[0]):
+                rest, out = lists(cols, False)
                 yield out
         if rest is not None and len(rest[0]):
             yield lists(rest, True)[1]
 
-    dealt = postings.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "sid")
-    return dealt.select("token", "salt", "salts", "n", "sid").mapInArrow(
-        walk, "token long, salt int, salts int, sid long, n long, hub long, hub_n long")
+    dealt = postings.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "node")
+    return dealt.select("token", "salt", "salts", "n", "node").mapInArrow(walk, "token long, salts int, ids array<long>, ns array<long>")
+
+
+_PAIRS = "a long, n_a long, b long, n_b long"
+
+
+def _pairs(found: set[tuple[int, int, int, int]]) -> pa.RecordBatch:
+    rows = list(found)
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], names=["a", "n_a", "b", "n_b"])
+
+
+def _stars(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs of every list's hubs - its smallest, middle and largest set - with its members; the hub is ``a``."""
+
+    def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: set[tuple[int, int, int, int]] = set()
+            for ids, ns in zip(batch.column("ids").to_pylist(), batch.column("ns").to_pylist()):
+                for hub in {0, len(ids) // 2, len(ids) - 1}:
+                    a, n = ids[hub], ns[hub]
+                    found.update([(a, n, b, m) for b, m in zip(ids, ns) if b != a and min(n, m) * 100 >= max(n, m) * percent])
+            yield _pairs(found)
+
+    stars = lists.select("ids", "ns").mapInArrow(star, _PAIRS)
+    # Between the salts of one shingle: their smallest sets with the smallest of all.
+    salted = lists.filter("salts > 1").select("token", F.col("ns")[0].alias("n"), F.col("ids")[0].alias("id"))
+    centre = salted.groupBy("token").agg(F.min(F.struct("n", "id")).alias("c"))
+    between = salted.join(centre, "token").filter("id <> c.id").select(
+        F.col("c.id").alias("a"), F.col("c.n").alias("n_a"), F.col("id").alias("b"), F.col("n").alias("n_b"))
+    both = stars.union(between)
+    # A pair may come from either end: the smaller set is the hub.
+    swap = (F.col("n_a") > F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") > F.col("b")))
+    return both.select(*[F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("n_a", "n_b"), ("b", "a"), ("n_b", "n_a"))]).distinct()
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of ``a, n_a, b, n_b`` the pairs that sizes and parity bitmaps allow."""
     sized = pairs.filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-    bits = sets.select("sid", "bits")
-    joined = (sized.join(bits.select(F.col("sid").alias("a"), F.col("bits").alias("bits_a")), "a")
-              .join(bits.select(F.col("sid").alias("b"), F.col("bits").alias("bits_b")), "b"))
+    bits = sets.select("node", "bits")
+    joined = (sized.join(bits.select(F.col("node").alias("a"), F.col("bits").alias("bits_a")), "a")
+              .join(bits.select(F.col("node").alias("b"), F.col("bits").alias("bits_b")), "b"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,13 +305,12 @@ def _overlaps(pairs: DataFrame, sets: DataFrame, docs: DataFrame, order: Order,
     dealt = (pairs.join(hubs, "a").withColumn("salts", F.ceil(F.col("partners") / LIST).cast("int"))
              .withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")))
     # What each set takes part in: as a partner once per pair, as a hub once per salt.
-    part = dealt.select(F.col("b").alias("sid"), F.struct("a", "salt", F.col("n_a"), F.lit(False).alias("hub")).alias("role"))
-    hub = dealt.select("a", "salt", "n_a").distinct().select(F.col("a").alias("sid"), F.struct("a", "salt", "n_a", F.lit(True).alias("hub")).alias("role"))
+    part = dealt.select(F.col("b").alias("node"), F.struct("a", "salt", F.col("n_a"), F.lit(False).alias("hub")).alias("role"))
+    hub = dealt.select("a", "salt", "n_a").distinct().select(F.col("a").alias("node"), F.struct("a", "salt", "n_a", F.lit(True).alias("hub")).alias("role"))
     # A set with very many roles is dealt out too: its text is read once per LIST of them.
-    roles = part.union(hub).groupBy("sid", F.pmod(F.xxhash64("role"), F.lit(16)).alias("some")).agg(F.collect_list("role").alias("roles")).drop("some")
-    wanted = sets.select("k", "h", "sid").join(roles.select("sid").distinct(), "sid")
-    few = wanted.count() <= BROADCAST_KEYS  # else both sides are shuffled
-    texts = docs.join(F.broadcast(wanted) if few else wanted, ["k", "h"]).select("sid", "text").join(roles, "sid")
+    roles = part.union(hub).groupBy("node", F.pmod(F.xxhash64("role"), F.lit(16)).alias("some")).agg(F.collect_list("role").alias("roles")).drop("some")
+    wanted = sets.select("k", "h", "node").join(roles.select("node").distinct(), "node")
+    texts = docs.join(_small(wanted), ["k", "h"]).select("node", "text").join(roles, "node")
     shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,14 +318,14 @@ def _overlaps(pairs: DataFrame, sets: DataFrame, docs: DataFrame, order: Order,
         for batch in batches:
             cols: list[list] = [[] for _ in range(7)]
             pending = 0
-            for sid, roles, (shingles, rows) in zip(batch.column("sid").to_pylist(), batch.column("roles").to_pylist(), shingle_sets(byte_texts(batch), words)):
+            for node, roles, (shingles, rows) in zip(batch.column("node").to_pylist(), batch.column("roles").to_pylist(), shingle_sets(byte_texts(batch), words)):
                 rank, _ = order.rank(shingles, rows)
                 fragment = fragments(rank)
                 pieces = [(f, signed(shingles[fragment == f])) for f in range(FRAGMENTS)]
                 for role in roles:
                     for f, piece in pieces:
                         if len(piece):
-                            for col, value in zip(cols, (role["a"], role["salt"], f, sid, role["hub"], len(shingles), piece.tobytes())):
+                            for col, value in zip(cols, (role["a"], role["salt"], f, node, role["hub"], len(shingles), piece.tobytes())):
                                 col.append(value)
                             pending += piece.nbytes
                 if pending > BLOCK:
@@ -296,25 +333,25 @@ def _overlaps(pairs: DataFrame, sets: DataFrame, docs: DataFrame, order: Order,
                     cols, pending = [[] for _ in range(7)], 0
             yield _segments(cols)
 
-    segments = texts.select("sid", "roles", "text").mapInArrow(cut, "a long, salt int, f int, sid long, hub boolean, n long, piece binary")
+    segments = texts.select("node", "roles", "text").mapInArrow(cut, "a long, salt int, f int, node long, hub boolean, n long, piece binary")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, mine, n_mine, last = None, None, 0, None
         for batch in batches:
             out: list[list] = [[] for _ in range(5)]
-            for a, salt, f, sid, hub, n, piece in zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "f", "sid", "hub", "n", "piece"))):
+            for a, salt, f, node, hub, n, piece in zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "f", "node", "hub", "n", "piece"))):
                 piece = np.frombuffer(piece, np.int64)
                 if hub:
                     key, mine, n_mine, last = (a, salt, f), piece, n, None
-                elif key == (a, salt, f) and sid != last:  # a repeated row is one document
-                    last = sid
+                elif key == (a, salt, f) and node != last:  # a repeated row is one document
+                    last = node
                     common = int(_common(mine, piece))
                     if common:
-                        for col, value in zip(out, (a, n_mine, sid, n, common)):
+                        for col, value in zip(out, (a, n_mine, node, n, common)):
                             col.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "n_a", "b", "n_b", "part"])
 
-    dealt = segments.repartition("a", "salt", "f").sortWithinPartitions("a", "salt", "f", F.desc("hub"), "sid")
+    dealt = segments.repartition("a", "salt", "f").sortWithinPartitions("a", "salt", "f", F.desc("hub"), "node")
     partial = dealt.mapInArrow(count, "a long, n_a long, b long, n_b long, part long")
     return partial.groupBy("a", "n_a", "b", "n_b").agg(F.sum("part").alias("common"))
 
@@ -336,7 +373,7 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
 
 def _segments(cols: list[list]) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["a", "salt", "f", "sid", "hub", "n", "piece"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["a", "salt", "f", "node", "hub", "n", "piece"])
 
 
 def _linked(pairs: DataFrame, percent: int) -> DataFrame:
@@ -344,53 +381,68 @@ def _linked(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.filter(100 * F.col("common") >= percent * union).select("a", "b")
 
 
-def _across(lists: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``a, n_a, b, n_b``: pairs of different components in one list that sizes and bitmaps allow.
+def _mixed(lists: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """``token, node, n, total, brief``: the members of the lists that hold more than one component."""
+    members = lists.select("token", F.explode(F.arrays_zip("ids", "ns")).alias("m")).select("token", F.col("m.ids").alias("node"), F.col("m.ns").alias("n"))
+    mixed = (_rooted(members, roots).groupBy("token").agg(F.count("*").alias("total"), F.min("root").alias("low"), F.max("root").alias("high"))
+             .filter("low <> high").select("token", "total"))
+    return members.join(mixed, "token").join(sets.select("node", "brief"), "node")
+
+
+def _rooted(df: DataFrame, roots: DataFrame) -> DataFrame:
+    return df.join(_small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _across(mixed: DataFrame, roots: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """``a, n_a, b, n_b``: pairs of different components in one list that sizes and short bitmaps allow.
 
-    Members outside a list's largest component ("minors") meet all others. Long lists are
-    dealt out in blocks of about ``LIST`` members against blocks of minors.
+    With ``nearest``, a set meets only the one whose bitmap differs least. Long lists are dealt out in blocks of about ``LIST`` members against blocks of
+    minors: members outside the list's largest component.
     """
-    placed = (lists.select("token", "sid", "n").distinct().join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left")
-              .withColumn("root", F.coalesce("root", "sid")))
-    by_root = placed.groupBy("token", "root").agg(F.count("*").alias("m"))
-    stats = (by_root.groupBy("token").agg(F.sum("m").alias("total"), F.max(F.struct("m", "root")).alias("top"))
-             .filter(F.col("total") > F.col("top.m"))
-             .select("token", "total", (F.col("total") - F.col("top.m")).alias("minors"), F.col("top.root").alias("major")))
-    rows = placed.join(stats, "token").join(sets.select("sid", "bits"), "sid")
+    inside = _rooted(mixed, roots)
+    # Only lists beyond LIST need to know their largest component.
+    lengthy = inside.filter(F.col("total") > LIST).groupBy("token", "root").agg(F.count("*").alias("m"))
+    major = lengthy.groupBy("token").agg(F.max(F.struct("m", "root")).alias("top"), F.sum("m").alias("all")).select(
+        "token", F.col("top.root").alias("major"), (F.col("all") - F.col("top.m")).alias("minors")).filter("minors > 0")
+    columns = ["token", "node", "n", "root", "brief"]
+    brief = inside.filter(F.col("total") <= LIST).select(
+        *columns, F.lit(True).alias("minor"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(False).alias("visit"), F.lit(1).alias("cells"))
+    rows = inside.filter(F.col("total") > LIST).join(major, "token")
     blocks, chunks = F.ceil(F.col("total") / LIST).cast("int"), F.ceil(F.col("minors") / LIST).cast("int")
-    spot = F.xxhash64("sid")
-    minor = F.col("root") != F.col("major")
-    members = rows.select("token", "sid", "n", "root", "bits", minor.alias("minor"), F.pmod(spot, blocks).alias("i"),
-                          F.explode(F.sequence(F.lit(0), chunks - 1)).alias("j"), F.lit(False).alias("visit"), (blocks * chunks).alias("cells"))
-    visitors = rows.filter(minor & (blocks * chunks > 1)).select(
-        "token", "sid", "n", "root", "bits", F.lit(True).alias("minor"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("i"),
-        F.pmod(spot, chunks).alias("j"), F.lit(True).alias("visit"), (blocks * chunks).alias("cells"))
+    spot, minor = F.xxhash64("node"), F.col("root") != F.col("major")
+    members = rows.select(*columns, minor.alias("minor"), F.pmod(spot, blocks).alias("i"),
+                          F.explode(F.sequence(F.lit(0).cast("long"), (chunks - 1).cast("long"))).alias("j"), F.lit(False).alias("visit"), (blocks * chunks).alias("cells"))
+    visitors = rows.filter(minor).select(*columns, F.lit(True).alias("minor"), F.explode(F.sequence(F.lit(0).cast("long"), (blocks - 1).cast("long"))).alias("i"),
+                                         F.pmod(spot, chunks).alias("j"), F.lit(True).alias("visit"), (blocks * chunks).alias("cells"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: list[tuple] = []
         key = None
         for batch in batches:
-            out: list[tuple] = []
-            for row in zip(*(batch.column(c).to_pylist() for c in ("token", "i", "j", "visit", "cells", "sid", "n", "root", "bits", "minor"))):
+            out: set[tuple[int, int, int, int]] = set()
+            for row in zip(*(batch.column(c).to_pylist() for c in ("token", "i", "j", "visit", "cells", "node", "n", "root", "brief", "minor"))):
                 if row[:3] != key:
-                    out += _cross(pending, percent)
+                    out.update(_cross(pending, percent, nearest))
                     pending, key = [], row[:3]
                 pending.append(row[3:])
-            out = list(set(out))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(4)], names=["a", "n_a", "b", "n_b"])
-        out = list(set(_cross(pending, percent)))
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(4)], names=["a", "n_a", "b", "n_b"])
+            yield _pairs(out)
+        yield _pairs(set(_cross(pending, percent, nearest)))
 
-    dealt = members.union(visitors).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "visit")
-    return dealt.mapInArrow(compare, "a long, n_a long, b long, n_b long").distinct()
+    dealt = brief.union(members).union(visitors).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "visit")
+    return dealt.mapInArrow(compare, _PAIRS).distinct()
 
 
-def _cross(rows: list[tuple], percent: int) -> list[tuple[int, int, int, int]]:
-    """Pairs of one cell; a row is (visit, cells, sid, n, root, bits, minor)."""
-    if len(rows) < 2:
+def _small(df: DataFrame) -> DataFrame:
+    """``df`` marked for broadcast if it has few rows (of some ten bytes); else joins shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
+
+
+def _cross(rows: list[tuple], percent: int, nearest: bool) -> list[tuple[int, int, int, int]]:
+    """Pairs of one cell; a row is (visit, cells, node, n, root, brief, minor)."""
+    if len(rows) < 2 or len({r[4] for r in rows}) < 2:
         return []
     left = [r for r in rows if not r[0]]
-    right = [r for r in rows if r[0]] if rows[0][1] > 1 else [r for r in left if r[6]]
+    right = [r for r in rows if r[0]] if rows[0][1] > 1 else left
     if not left or not right:
         return []
     n, root = np.array([r[3] for r in left]), np.array([r[4] for r in left])
@@ -406,53 +458,59 @@ def _cross(rows: list[tuple], percent: int) -> list[tuple[int, int, int, int]]:
         if size not in by_size:
             by_size[size] = np.stack([fold(np.frombuffer(r[5], np.uint8), size) if len(r[5]) >= size else np.zeros(size, np.uint8) for r in left])
         far = np.bitwise_count(by_size[size][near] ^ fold(mine, size)).sum(axis=1, dtype=np.int64)
-        for i in near[may_link(n[near], np.full(len(near), m), far, percent)]:
+        allowed = may_link(n[near], np.full(len(near), m), far, percent)
+        near, far = near[allowed], far[allowed]
+        if nearest and len(near) > 1:
+            near = near[[far.argmin()]]
+        for i in near:
             a, b = sorted(((left[i][2], int(n[i])), (sid, m)))
             out.append((*a, *b))
     return out
 
 
 def link_classes(df: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Membership (``doc_id, k, h, n, sid``), links between classes (``a, b``) and their components (``node, root``)."""
+    """Membership (``doc_id, k, h, n, sid, node``), links between classes (``a, b``) and their components (``node, root``).
+
+    A class is known by the number of its first row, its ``node`` (null: no shingles).
+    """
     docs = id_and_text(df, id_col, text_col).select(
         "doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"), F.xxhash64("text").alias("h"), "text")
     order = _order(docs, words)
-    every = materialize(_sets(docs, order, words, percent), "jaccard-sets")
-    member = every.select("doc_id", "k", "h", "n", "sid")
-    first = member.filter("n > 0").groupBy("sid").agg(F.min(F.struct("k", "h")).alias("first")).select("sid", F.col("first.k").alias("k"), F.col("first.h").alias("h"))
-    sets = materialize(every.join(first, ["sid", "k", "h"], "left_semi").dropDuplicates(["sid", "k", "h"]), "jaccard-classes")
-    zipped = sets.select("sid", "n", F.explode(F.arrays_zip("tokens", "salts")).alias("t"))
-    postings = zipped.select(F.col("t.tokens").alias("token"), F.col("t.salts").alias("salts"), "n", "sid").withColumn(
-        "salt", F.pmod(F.xxhash64("sid"), F.col("salts")).cast("int"))
-    lists = materialize(_stars(postings), "jaccard-lists")
-    # Stars within a list, and for salted lists between the salts' hubs.
-    stars = lists.filter("sid <> hub").select(F.col("hub").alias("a"), F.col("hub_n").alias("n_a"), F.col("sid").alias("b"), F.col("n").alias("n_b"))
-    salted = lists.filter("salts > 1").select("token", "hub", "hub_n").distinct()
-    centre = salted.groupBy("token").agg(F.min(F.struct("hub_n", "hub")).alias("c"))
-    stars = stars.union(salted.join(centre, "token").filter("hub <> c.hub").select(
-        F.col("c.hub").alias("a"), F.col("c.hub_n").alias("n_a"), F.col("hub").alias("b"), F.col("hub_n").alias("n_b"))).distinct()
-    pairs = materialize(_checked(stars, sets, percent), "jaccard-pairs")
+    # Row numbers are given where the rows are written, so they stay.
+    every = materialize(_sets(docs, order, words, percent).withColumn("row", F.monotonically_increasing_id()), "jaccard-sets")
+    narrow = every.select("doc_id", "k", "h", "n", "sid", "row")
+    first = narrow.filter("n > 0").groupBy("sid").agg(F.min(F.struct("k", "h", "row")).alias("first"), F.count("*").alias("times"))
+    copies = (narrow.select("sid", "row").join(first.filter("times > 1"), "sid").filter(F.col("row") != F.col("first.row")).select("row"))
+    copies = materialize(copies, "jaccard-copies")
+    sets = every.filter("n > 0").join(_small(copies), "row", "left_anti").withColumnRenamed("row", "node")
+    zipped = sets.select("node", "n", F.explode(F.arrays_zip("tokens", "salts")).alias("t"))
+    postings = zipped.select(F.col("t.tokens").alias("token"), F.col("t.salts").alias("salts"), "n", "node").withColumn(
+        "salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
+    lists = materialize(_lists(postings), "jaccard-lists")
+    pairs = materialize(_checked(_stars(lists, percent), sets, percent), "jaccard-pairs")
     links = materialize(_linked(_overlaps(pairs, sets, docs, order, words), percent), "jaccard-links")
     roots = connected(links, "jaccard-components")
-    low, high = F.least("a", "b"), F.greatest("a", "b")
-    done = pairs.select(low.alias("a"), high.alias("b")).distinct()
-    others = materialize(_across(lists, roots, sets, percent).join(done, ["a", "b"], "left_anti"), "jaccard-pairs")
-    further = materialize(_linked(_overlaps(others, sets, docs, order, words), percent), "jaccard-links")
-    links = links.union(further)
-    if not further.isEmpty():
-        roots = connected(links, "jaccard-components")
+    done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    mixed = materialize(_mixed(lists, roots, sets), "jaccard-mixed")
+    # First the nearest pairs alone: they join most of what belongs together, and few pairs are left.
+    for nearest in (True, False):
+        others = _across(mixed, roots, percent, nearest).join(done, ["a", "b"], "left_anti")
+        others = materialize(_checked(others, sets, percent), "jaccard-pairs")
+        further = materialize(_linked(_overlaps(others, sets, docs, order, words), percent), "jaccard-links")
+        done = done.union(others.select("a", "b"))
+        if not further.isEmpty():
+            links = links.union(further)
+            roots = connected(links, "jaccard-components")
+    member = narrow.join(first.select("sid", F.col("first.row").alias("node")), "sid", "left")
     return member, links, roots
 
 
 def components(df: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: ``doc_id, n_shingles, component_id, root`` - root tells components apart also where ids are null (null: no shingles)."""
+    """Per row: ``doc_id, n_shingles, component_id, root, k, h`` - root tells components apart also where ids are null (null: no shingles)."""
     member, _, roots = link_classes(df, words, percent, id_col, text_col)
-    least = member.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
-    rooted = least.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.select("sid", "root").join(smallest, "root")
-    # Only sets with shingles have a class; the join key of the others is null and meets nothing.
-    keyed = member.withColumn("sid", F.when(F.col("n") > 0, F.col("sid")))
-    return (keyed.join(classes, "sid", "left")
+    # Sets without shingles have no class: their node is null and meets nothing.
+    rooted = member.join(_small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = rooted.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return (rooted.join(least, "root", "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "root", "k", "h"))
