@@ -158,6 +158,8 @@ def write_tokens(df: DataFrame, tokenizer_path: str, folder: str, end_id: int =
             offsets[:-1].astype("<u8").tobytes(), np.array(counts, "<u8").tobytes(),
             np.array([len(ids), offsets[-1]], "<u8").tobytes(), MAGIC_END]))
         out.close()
+        if fs.get_file_info(name).type != pafs.FileType.NotFound:  # of an attempt that was lost after its move
+            fs.delete_file(name)
         fs.move(temp, name)
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (part, f"shard-{part:06d}", len(ids), sum(counts), int(offsets[-1]))],
                                          names=["part", "shard", "n_docs", "n_tokens", "n_bytes"])
