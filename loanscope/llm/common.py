@@ -12,7 +12,7 @@ Conventions of every operator here:
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +45,13 @@ def fold_col(id_col: str, modulus: int):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def pieces(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def byte_texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     col = batch.column(name)
     kind = pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()
