@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from loanscope.session import materialize
 
-from .common import LOWER, SPACE, byte_texts, id_and_text, mix64, span_hashes, spans
+from .common import LOWER, SPACE, byte_texts, id_and_text, mix64, pieces, span_hashes, spans
 from .components import connected
 
 WORDS, PERCENT = 4, 85
@@ -50,7 +50,7 @@ SAMPLE_SHARE, SAMPLE_LEAST = 1 / 32, 4096
 COMMON_WORDS, COMMON_SHINGLES = 2048, 1 << 20
 #: Members of a list that are handled together.
 LIST = 1024
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 #: Bytes of the bitmaps that travel with every list member; pairs that pass meet the full ones.
 SHORT_BITMAP = 64
 #: Document keys (24 bytes each) that may be broadcast to pick out their texts.
@@ -183,7 +183,7 @@ def _sets(docs: DataFrame, order: Order, words: int, percent: int) -> DataFrame:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = shared.value
-        for batch in batches:
+        for batch in pieces(batches):
             n, sid, bits, brief, tokens, salts = [], [], [], [], [], []
             for shingles, rows in shingle_sets(byte_texts(batch), words):
                 n.append(len(shingles))
@@ -315,15 +315,15 @@ def _overlaps(pairs: DataFrame, sets: DataFrame, docs: DataFrame, order: Order,
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = shared.value
-        for batch in batches:
+        for batch in pieces(batches):
             cols: list[list] = [[] for _ in range(7)]
             pending = 0
             for node, roles, (shingles, rows) in zip(batch.column("node").to_pylist(), batch.column("roles").to_pylist(), shingle_sets(byte_texts(batch), words)):
                 rank, _ = order.rank(shingles, rows)
                 fragment = fragments(rank)
-                pieces = [(f, signed(shingles[fragment == f])) for f in range(FRAGMENTS)]
+                parts = [(f, signed(shingles[fragment == f])) for f in range(FRAGMENTS)]
                 for role in roles:
-                    for f, piece in pieces:
+                    for f, piece in parts:
                         if len(piece):
                             for col, value in zip(cols, (role["a"], role["salt"], f, node, role["hub"], len(shingles), piece.tobytes())):
                                 col.append(value)
@@ -514,3 +514,23 @@ def components(df: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col
     return (rooted.join(least, "root", "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "root", "k", "h"))
+
+
+#: DuckDB SQL of the query (ids unique and not null, as in the given tables).
+ORACLE = f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= {WORDS} THEN list_transform(range(1, len(w) - {WORDS - 2}), lambda i: array_to_string(w[i:i + {WORDS - 1}], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words),
+one AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM one a JOIN one b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {PERCENT} * (a.n + b.n - count(*))),
+reach AS (
+  SELECT doc_id, doc_id AS other FROM sets
+  UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, r.component_id
+FROM sets s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) r ON s.doc_id = r.doc_id
+"""

@@ -62,4 +62,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_brown, op2_decontamination, op3_token_counts, op4_language, op5_jaccard,
                                     op6_bpe, op7_quality, op8_suffix_dedup, op9_token_files, op10_line_dedup)}
-SQL: dict[str, str] = {"op10_line_dedup": lines.ORACLE}
+SQL: dict[str, str] = {"op5_jaccard": jaccard.ORACLE, "op10_line_dedup": lines.ORACLE}
