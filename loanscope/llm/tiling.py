@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, byte_texts, id_and_text, mix64, span_hashes, spans
+from .common import LOWER, byte_texts, id_and_text, mix64, pieces, span_hashes, spans
 
 MIN_MATCH, THRESHOLD = 5, 0.6
 SLICE_BYTES = 16 << 20
 #: Bytes of text handled together.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 _TOKEN = np.zeros(256, dtype=bool)
@@ -172,7 +172,8 @@ _ITEMS = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64())
 _ITEMS_DDL = "array<struct<item_id: bigint, coverage: double, tiles: array<struct<item_token: bigint, n_tokens: bigint, start: bigint, end: bigint>>>>"
 
 
-def _passes(source: DataFrame, kept: list[str], benchmark: DataFrame, threshold: float, item_col: str, item_text_col: str) -> DataFrame:
+def _passes(source: DataFrame, kept: list[str], benchmark: DataFrame, threshold: float, item_col: str, item_text_col: str,
+            keep_text: bool = False) -> DataFrame:
     """One chained pass over ``source`` (columns ``kept`` and ``text``) per slice; each adds its items."""
     spark = source.sparkSession
     out = source.select(*kept, "text", F.expr(f"CAST(array() AS {_ITEMS_DDL})").alias("items"))
@@ -181,18 +182,18 @@ def _passes(source: DataFrame, kept: list[str], benchmark: DataFrame, threshold:
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             seeds = shared.value
-            for batch in batches:
+            for batch in pieces(batches):
                 found = _scan(seeds, byte_texts(batch), threshold)
-                if any(found):
-                    at = batch.schema.get_field_index("items")
-                    joined = [sorted(old + new, key=lambda x: (x["item_id"] is not None, x["item_id"] or 0, -x["coverage"]))
-                              for old, new in zip(batch.column(at).to_pylist(), found)]
-                    batch = batch.set_column(at, "items", pa.array(joined, _ITEMS))
+                # Every batch gets the column anew: all batches of a task have one schema.
+                at = batch.schema.get_field_index("items")
+                joined = [sorted(old + new, key=lambda x: (x["item_id"] is not None, x["item_id"] or 0, -x["coverage"]))
+                          for old, new in zip(batch.column(at).to_pylist(), found)]
+                batch = batch.set_column(at, "items", pa.array(joined, _ITEMS))
                 yield batch
 
         fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields[:-1]]
         out = out.mapInArrow(scan, ", ".join([*fields, f"items {_ITEMS_DDL}"]))
-    return out.drop("text") if "text" not in kept else out
+    return out if keep_text else out.drop("text")
 
 
 def _scan(seeds: Seeds, texts: list[bytes], threshold: float) -> list[list[dict]]:
@@ -238,8 +239,8 @@ def contaminated(df: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
 def clean_rows(df: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, text_col: str = "text",
                item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``df``, all columns, that no item contaminates."""
-    named = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]
-    kept = [f"c{i}" for i in range(len(df.columns))]
-    source = df.select(*named, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    out = _passes(source, kept, benchmark, threshold, item_col, item_text_col)
-    return out.filter(F.size("items") == 0).select(*[F.col(k).alias(c) for k, c in zip(kept, df.columns)])
+    # The text is sent to the workers once, under its name here; a null one stays null.
+    names = {c: "text" if c == text_col else f"c{i}" for i, c in enumerate(df.columns)}
+    source = df.select(*[F.col(f"`{c}`").cast("string").alias(n) if c == text_col else F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    out = _passes(source, [n for n in names.values() if n != "text"], benchmark, threshold, item_col, item_text_col, keep_text=True)
+    return out.filter(F.size("items") == 0).select(*[F.col(n).cast(df.schema[c].dataType).alias(c) for c, n in names.items()])

@@ -151,6 +151,14 @@ def test_decontamination_finds_reordered_and_whole_items(spark, docs):
     assert tiling.clean_rows(docs, bench).columns == docs.columns
 
 
+def test_batches_with_and_without_items_go_together(spark):
+    a = " ".join(f"w{k}" for k in range(30))
+    d = spark.range(5000, numPartitions=1).selectExpr("id AS doc_id", f"CASE WHEN id IN (1500, 3100) THEN '{a}' ELSE 'clean' END AS text")
+    bench = spark.createDataFrame([(7, a)], "item_id long, text string")
+    assert got(tiling.contaminated(d, bench).filter("contaminated"), "doc_id") == [(1500,), (3100,)]
+    assert tiling.clean_rows(d, bench).count() == 4998
+
+
 def test_decontamination_in_slices_is_the_same(spark, monkeypatch):
     from loanscope.llm.common import documents
     d, bench = documents(spark, SF), spark.read.parquet(f"{SF}/benchmark.parquet")
