@@ -2,7 +2,7 @@
 
 A byte pair that occurs inside no vocabulary token can never be merged over, so
 every such pair is a certain cut. A word is cut there, the fragments are merged
-independently (equal fragments once per worker), and their ids are concatenated.
+independently, and their ids are concatenated (equal words once per worker).
 Normalisation and pre-tokenisation are the tokenizer file's own.
 
 White space ends a word in these tokenizers, so a text's ids are those of its
@@ -25,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .chunks import ChunkWords
-from .common import Memo, byte_texts, id_and_text
+from .common import Memo, byte_texts, id_and_text, pieces
 
 #: Below this length a fragment is merged by scanning, above it with a heap.
 SCAN_LENGTH = 24
+#: Entries in each of the two generations of the lookups of words and of chunks.
+CACHE_ENTRIES = 180_000
 
 
 class ForcedBoundaryBPE:
@@ -44,9 +46,8 @@ class ForcedBoundaryBPE:
         self.tokens = {i: t for t, i in (self.ids | self.split.added).items()}
         bare = [t.removesuffix(self.suffix) for t in self.ids]
         self.inside = {t[i:i + 2] for t in bare for i in range(len(t) - 1)}
-        self.fragment_ids = Memo(self._merge)
-        self.words = Memo(self._word)
-        self.chunks = Memo(self._chunk)
+        self.words = Memo(self._word, CACHE_ENTRIES)
+        self.chunks = Memo(self._chunk, CACHE_ENTRIES)
 
     def cut(self, word: str) -> list[str]:
         """The fragments of a word of byte symbols; the last one carries the word-end suffix."""
@@ -106,7 +107,7 @@ class ForcedBoundaryBPE:
         if word in self.split.added:
             ids = [self.split.added[word]]
         else:
-            ids = [i for fragment in self.cut(word) for i in self.fragment_ids[fragment]]
+            ids = [i for fragment in self.cut(word) for i in self._merge(fragment)]
         return b"".join([b"%d " % i for i in ids]), "".join([self.tokens[i] + " " for i in ids]).encode()
 
     def _chunk(self, chunk: bytes) -> tuple[bytes, bytes]:
@@ -138,7 +139,7 @@ def encode_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer_path)
-        for batch in batches:
+        for batch in pieces(batches):
             cols: list[list] = [[] for _ in fields]
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), byte_texts(batch)):
                 found = [bpe.chunks[c] for c in text.split()]
@@ -149,5 +150,7 @@ def encode_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                 for col, value in zip(cols, row):
                     col.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+        bpe.words.forget()
+        bpe.chunks.forget()
 
     return id_and_text(df, id_col, text_col).mapInArrow(encode, ddl)

@@ -79,6 +79,11 @@ class Memo(dict):
         self[key] = value
         return value
 
+    def forget(self) -> None:
+        """Workers outlive tasks; what a task remembered should not."""
+        self.older = {}
+        self.clear()
+
 
 # --- vectorised words of a run of bytes -------------------------------------
 

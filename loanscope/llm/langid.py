@@ -28,15 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_texts
+from .common import byte_texts, pieces
 
 TRAIN_DOCUMENTS, TRAIN_WORDS = 400, 3000
 WINDOW, EMBED, HIDDEN = 32, 12, 16
 EPOCHS, BATCH, RATE = 12, 128, 0.01
 #: Bytes of text whose words are looked up together.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 #: Distinct words that a worker remembers.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 150_000
 UNDETERMINED = "und"
 
 _LETTER = np.zeros(256, dtype=bool)
@@ -268,14 +268,17 @@ class Pool:
 def predict(df: DataFrame, model: ByteGRU | None, text_col: str = "text", keep: list[str] | None = None,
             lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """The columns ``keep`` (default: all) with ``lang_pred`` and ``score`` added, row by row."""
-    kept = [F.col(f"`{c}`") for c in (df.columns if keep is None else keep)]
-    source = df.select(*kept, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
-    pools: dict[str, Pool] = {}
+    keep = df.columns if keep is None else keep
+    kept = [F.col(f"`{c}`") for c in keep]
+    # A text that is kept anyway is sent to the workers once.
+    read = text_col if text_col in keep and df.schema[text_col].dataType.simpleString() == "string" else "__text"
+    source = df.select(*kept, *([F.col(text_col).cast("string").alias(read)] if read == "__text" else []))
+    n = len(keep)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pool = pools.setdefault("pool", Pool(model)) if model is not None else None
-        for batch in batches:
-            texts = byte_texts(batch, "__text")
+        pool = Pool(model) if model is not None else None
+        for batch in pieces(batches):
+            texts = byte_texts(batch, read)
             letters = [has_letter(t) for t in texts]
             if pool is None:
                 names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
@@ -284,9 +287,9 @@ def predict(df: DataFrame, model: ByteGRU | None, text_col: str = "text", keep:
                 best = probs.argmax(axis=1)
                 names = [pool.model.languages[b] if x else UNDETERMINED for b, x in zip(best, letters)]
                 scores = np.where(letters, np.clip(probs.max(axis=1), 0, 1), 0.0).tolist()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                                             names=[*batch.schema.names[:-1], lang_pred, score])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(names, pa.string()), pa.array(scores, pa.float64())],
+                                             names=[*batch.schema.names[:n], lang_pred, score])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:n]]
     return source.mapInArrow(label, ", ".join([*fields, f"`{lang_pred}` string", f"`{score}` double"]))
 

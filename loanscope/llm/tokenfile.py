@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from loanscope.session import checkpoint_dir, materialize
 
 from .chunks import ChunkWords
-from .common import Memo, byte_texts, id_and_text
+from .common import Memo, byte_texts, id_and_text, pieces
 
 MAGIC, MAGIC_END, VERSION = b"TIDZ", b"ZDIT", 1
 HEAD = len(MAGIC) + 8 + 32
@@ -124,11 +124,13 @@ def write_tokens(df: DataFrame, tokenizer_path: str, folder: str, end_id: int =
         enc = encoder(tokenizer_path)
         end = np.array([end_id], enc.dtype).tobytes()
         squeeze = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(raw), write_dict_id=False).compress
-        for batch in batches:
+        for batch in pieces(batches):
             ids = [enc.encode(t, end) for t in byte_texts(batch)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(x) // enc.dtype.itemsize for x in ids], pa.int64()),
                  pa.array([squeeze(x) for x in ids], pa.binary())], names=["doc_id", "n_tokens", "frame"])
+        enc.words.forget()
+        enc.chunks.forget()
 
     frames = materialize(docs.mapInArrow(compress, "doc_id long, n_tokens long, frame binary"), "token-frames")
     total = frames.agg(F.sum(F.length("frame"))).first()[0] or 0

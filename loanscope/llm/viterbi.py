@@ -24,7 +24,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Memo, byte_texts, id_and_text
+from .common import Memo, byte_texts, id_and_text, pieces
 
 #: Fixed value of the counted tokenizer: what an unknown character costs below the lowest score.
 UNKNOWN_PENALTY = 10.0
@@ -96,12 +96,13 @@ def count_tokens(df: DataFrame, model_path: str, id_col: str = "doc_id", text_co
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         viterbi = load(model_path)
-        for batch in batches:
+        for batch in pieces(batches):
             texts = byte_texts(batch)
             found = [viterbi.count(t) for t in texts]
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), pa.array([f[0] for f in found], pa.int64()),
                 pa.array([len(t) for t in texts], pa.int64()), pa.array([f[1] for f in found], pa.float64()),
             ], schema=schema)
+        viterbi.chunks.forget()
 
     return id_and_text(df, id_col, text_col).mapInArrow(count, "doc_id long, n_tokens long, n_bytes long, score double")
