@@ -46,11 +46,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    told = rindex.remove_repeats(docs, with_text=True, keep=docs.columns)
+    blank = F.col("text").isNull()
+    others = [c for c in docs.columns if c != "text"]
+    told = rindex.remove_repeats(docs.withColumn("__blank", blank), with_text=True, keep=[*others, "__blank"])
+    row = {c: F.col(f"row.c{i}") for i, c in enumerate([*others, "__blank"])}
     changed = F.col("n_removed") > 0
-    fresh = {"text": F.col("kept"), "n_chars": F.length("kept")}
-    columns = [F.when(changed, fresh[c].cast(docs.schema[c].dataType)).otherwise(F.col(f"row.c{i}")).alias(c) if c in fresh else F.col(f"row.c{i}").alias(c)
-               for i, c in enumerate(docs.columns)]
+    fresh = {"text": F.when(~row["__blank"], F.col("kept"))}
+    if "n_chars" in row:
+        fresh["n_chars"] = F.when(changed, F.length("kept")).otherwise(row["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    columns = [(fresh[c] if c in fresh else row[c]).alias(c) for c in docs.columns]
     return told.filter(~changed | F.col("kept").rlike("[^\\x20\\x09-\\x0D]")).select(*columns)
 
 
