@@ -100,6 +100,18 @@ def test_brown_beats_the_base_on_held_out_texts(spark):
     assert all(x["sum(score)"] > x["sum(base_score)"] for x in r)
 
 
+def test_brown_tells_more_than_64_contexts_apart(spark):
+    rng = random.Random(12)
+    ring = [f"w{i}" for i in range(110)]  # each word follows one other word only
+    rows = []
+    for i in range(400):
+        at = rng.randrange(110)
+        rows.append((i, " ".join(ring[(at + k) % 110] for k in range(60))))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    r = brown.score(df).filter("held_out").groupBy().sum("score", "n_tokens").first()
+    assert r["sum(score)"] / r["sum(n_tokens)"] > -0.3
+
+
 def test_brown_learns_nothing(spark, docs):
     from pyspark.sql import functions as F
     rows = brown.score(docs, held_out=F.lit(True)).collect()
