@@ -5,7 +5,8 @@ Every stage is ``(spark, docs, sf_dir) -> DataFrame``. All but the last return t
 
 * language: documents without a letter or below ``MIN_LANGUAGE_SCORE`` go. The network learns
   from the rows with a language that are not held out, as in its query.
-* near_duplicates: of each group of linked documents the one with the smallest id stays (of
+* near_duplicates: documents that share ``NEAR_PERCENT`` % of their ``NEAR_WORDS``-word shingles
+  are linked; of each group of linked documents the one with the smallest id stays (of
   repeated rows of it, one).
 * repeats: repeated strings of 100 bytes are cut out of the texts; a character cut in two goes
   whole; a text of which no word is left goes. ``n_chars`` follows the text.
@@ -24,6 +25,8 @@ from loanscope.llm.queries import tokenizer_path
 from loanscope.session import materialize, table_path
 
 MIN_LANGUAGE_SCORE = 0.3
+#: Near copies share 80 % of their five-word shingles (the thin query op5_jaccard: 85 % of four-word ones).
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +36,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard.components(docs)
+    found = jaccard.components(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
     # One row of each component: the smallest id; sets without shingles are linked with nothing.
     order = Window.partitionBy("root").orderBy(F.col("doc_id").asc_nulls_last(), "h")
     linked = found.filter("root IS NOT NULL AND doc_id <=> component_id").withColumn("r", F.row_number().over(order)).filter("r = 1")

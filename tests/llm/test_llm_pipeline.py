@@ -14,7 +14,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import corpus_pipeline  # noqa: E402
 from loanscope.llm import queries, tiling  # noqa: E402
-from test_llm_operators import ROWS, brute_components, greedy_tiles, raw  # noqa: E402
+from test_llm_operators import ROWS, brute_components, greedy_tiles, near_copies, raw  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -84,3 +84,20 @@ def test_repeats_cuts_texts_and_drops_emptied_ones(spark):
     docs = spark.createDataFrame([(1, a + " one", 64), (2, "two " + a, 64), (3, a, 60), (4, None, None), (5, "short", 5)], "doc_id long, text string, n_chars int")
     kept = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.repeats(spark, docs, SF).collect()}
     assert kept == {1: (a + " one", 64), 2: ("two ", 4), 4: (None, None), 5: ("short", 5)}
+
+
+def test_near_duplicates_share_four_fifths_of_five_word_shingles(spark):
+    words = [f"w{i}" for i in range(50)]
+    changed = [*words[:25], "new", *words[26:]]
+    # 41 of 51 five-word shingles (0.804) and 43 of 51 four-word ones (0.843).
+    rows = [(500, " ".join(words)), (501, " ".join(changed)), *((600 + i, t) for i, t in near_copies())]
+    sets = [{tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.split() for _, t in rows)]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    want = {min(rows[i][0] for i in range(len(rows)) if group[i] == g) for g in group}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()]
+    assert 501 not in kept and sorted(kept) == sorted(want)
