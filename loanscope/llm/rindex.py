@@ -10,7 +10,10 @@ content, indexed, and judged exactly:
    grams with the smallest hash. Equal windows have equal anchors. Neighbouring windows of
    one anchor make a segment. Anchors that occur once are dropped.
 3. The segments of an anchor meet in one place. Equal segments are folded into their first
-   occurrence (first within a task, then after the shuffle); the later ones go whole.
+   occurrence (first within a batch, then as they stream in order after the shuffle); the later
+   ones go whole. An anchor with many distinct segments (a passage with different surroundings)
+   is hot: its windows are dealt one by one, by their content, so that no task gets them all.
+   A sample finds the hot anchors; it decides where windows meet, never what goes.
 4. Distinct segments are laid end to end in text order, and a run-length index is built:
    the Burrows-Wheeler transform is cut into runs, and only at run starts are a suffix
    position, its neighbour above (the sample at the end of the run before) and their common
@@ -44,6 +47,8 @@ LENGTH, GRAM = 100, 32  # the gram is whole eight-byte words
 _SPREAD = LENGTH - GRAM  # an anchor lies 0 to _SPREAD bytes into its windows
 #: Bytes whose anchors are found together, and bytes of segments indexed together.
 BLOCK, INDEX_BYTES = 1 << 19, 1 << 18
+#: An anchor with ``HOT`` distinct segments in one of ``SAMPLE`` distinct texts is hot.
+SAMPLE, HOT = 64, 64
 NULL_ID = -(1 << 63)
 _BASE = 0x9E3779B97F4A7C15
 
@@ -296,8 +301,41 @@ _SEGMENT = pa.schema([("key", pa.int64()), ("k", pa.int64()), ("d", pa.int32()),
 _SEGMENT_DDL = "key long, k long, d int, first long, last long, piece binary"
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with their spots to segments by anchor; a null piece is a range that goes whole."""
+def _key(content: bytes) -> int:
+    return int.from_bytes(blake2b(content, digest_size=8).digest(), "little", signed=True)
+
+
+def hot_anchors(docs: DataFrame) -> frozenset[int]:
+    """Keys of the anchors that have many distinct segments, by a sample of the distinct texts."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in byte_texts(batch):
+                seen = {(_key(text[at:at + GRAM]), _key(text[first:last + LENGTH])) for _, first, last, at, _ in zip(*(x.tolist() for x in anchored([text])))}
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in seen], pa.int64()) for i in (0, 1)], names=["key", "piece"])
+
+    some = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).distinct()
+    counted = some.mapInArrow(cut, "key long, piece long").distinct().groupBy("key").count().filter(F.col("count") >= HOT)
+    return frozenset(r.key for r in counted.select("key").collect())
+
+
+def _segments(batches: Iterator[pa.RecordBatch], hot: frozenset[int] = frozenset()) -> Iterator[pa.RecordBatch]:
+    """Texts with their spots to segments by anchor, and to windows by digest where the anchor is hot.
+
+    A null piece is a range that goes whole.
+    """
+
+    def cut(k: int, d: int, text: bytes, spot: int) -> Iterator[tuple[bytes, tuple]]:
+        """Digest and row of a segment, or of each of its windows."""
+        first, more, offset = spot >> 16, (spot >> 8) & 255, spot & 255
+        piece = text[first:first + more + LENGTH]
+        key = _key(piece[offset:offset + GRAM])
+        if key not in hot:
+            yield blake2b(piece, digest_size=16).digest(), (k, d, first, first + more, key, piece)
+            return
+        for at in range(more + 1):
+            digest = blake2b(piece[at:at + LENGTH], digest_size=16).digest()
+            yield digest, (k, d, first + at, first + at, int.from_bytes(digest[:8], "little", signed=True), digest)
 
     def rows() -> Iterator[tuple]:
         for batch in batches:
@@ -305,15 +343,12 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             gone = []
             for k, d, spots, later, text in zip(*(batch.column(c).to_pylist() for c in ("k", "d", "spots", "later")), byte_texts(batch)):
                 for spot in (s["spot"] for s in spots if s["d"] == d and not (later and d in later)):
-                    first, more, offset = spot >> 16, (spot >> 8) & 255, spot & 255
-                    piece = text[first:first + more + LENGTH]
-                    digest = blake2b(piece, digest_size=16).digest()
-                    now = (k, d, first, first + more, offset, piece)
-                    old = seen.setdefault(digest, now)
-                    if old is not now:
-                        if now[:3] < old[:3]:
-                            seen[digest], now = now, old
-                        gone.append(now[:4])
+                    for digest, now in cut(k, d, text, spot):
+                        old = seen.setdefault(digest, now)
+                        if old is not now:
+                            if now[:3] < old[:3]:
+                                seen[digest], now = now, old
+                            gone.append(now[:4])
             # One row per stretch of a document that goes whole.
             gone.sort()
             held = None
@@ -326,8 +361,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held = (k, d, first, last)
             if held:
                 yield (held[0] ^ held[2], *held, None)
-            for k, d, first, last, offset, piece in seen.values():
-                key = int.from_bytes(blake2b(piece[offset:offset + GRAM], digest_size=8).digest(), "little", signed=True)
+            for k, d, first, last, key, piece in seen.values():
                 yield key, k, d, first, last, piece
 
     yield from _batches(rows(), _SEGMENT)
@@ -337,47 +371,36 @@ _RANGE = pa.schema([("k", pa.int64()), ("d", pa.int32()), ("start", pa.int64()),
 
 
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Byte ranges to remove, from segments sorted by anchor."""
+    """Byte ranges to remove, from segments sorted by anchor and place; only distinct segments are held."""
+
+    def rows() -> Iterator[tuple]:
+        pending: list[tuple] = []
+        weight = 0
+        key, seen, distinct = None, set(), []
+
+        def close() -> Iterator[tuple]:
+            nonlocal pending, weight
+            if len(distinct) > 1:
+                pending += distinct
+                weight += sum(len(r[5]) for r in distinct)
+            if weight >= INDEX_BYTES:
+                yield from indexed(pending)
+                pending, weight = [], 0
 
-    def groups() -> Iterator[list[tuple]]:
-        key, group = None, []
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("key", "k", "d", "first", "last", "piece"))):
                 if row[5] is None:
-                    yield [row]
+                    yield row[1], row[2], row[3], row[4] + LENGTH
                     continue
                 if row[0] != key:
-                    if group:
-                        yield group
-                    key, group = row[0], []
-                group.append(row)
-        if group:
-            yield group
-
-    def rows() -> Iterator[tuple]:
-        pending: list[tuple] = []
-        weight = 0
-        for group in groups():
-            if len(group) == 1:
-                if group[0][5] is None:
-                    _, k, d, first, last, _ = group[0]
-                    yield k, d, first, last + LENGTH
-                continue
-            group.sort(key=lambda r: r[1:4])
-            seen: set[bytes] = set()
-            distinct = []
-            for row in group:
+                    yield from close()
+                    key, seen, distinct = row[0], set(), []
                 if row[5] in seen:
                     yield row[1], row[2], row[3], row[4] + LENGTH
                 else:
                     seen.add(row[5])
                     distinct.append(row)
-            if len(distinct) > 1:
-                pending += distinct
-                weight += sum(len(r[5]) for r in distinct)
-            if weight >= INDEX_BYTES:
-                yield from indexed(pending)
-                pending, weight = [], 0
+        yield from close()
         yield from indexed(pending)
 
     def indexed(rows: list[tuple]) -> Iterator[tuple]:
@@ -439,13 +462,15 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first = ranked.groupBy("h").agg(F.min(F.struct("k", "d")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     later = ranked.join(first, "h").filter((F.col("k") != F.col("first.k")) | (F.col("d") != F.col("first.d")))
     later = later.groupBy("k").agg(F.collect_list("d").alias("later")).withColumnRenamed("k", "lk")
+    hot = docs.sparkSession.sparkContext.broadcast(hot_anchors(docs))
     anchors = docs.mapInArrow(_anchors, _ANCHORS)
     spots = anchors.repartition("key").sortWithinPartitions("key").mapInArrow(_repeating, "k long, d int, spot long")
     by_doc = spots.groupBy("k").agg(F.collect_list(F.struct("d", "spot")).alias("spots")).withColumnRenamed("k", "sk")
     by_doc = by_doc.join(later, F.col("sk") == F.col("lk"), "left").select("sk", "spots", "later")
     # Texts are dealt by k, with the same columns here and below, so that the exchange is made once.
-    segments = docs.join(by_doc, F.col("k") == F.col("sk")).select("k", "d", "spots", "later", "text", *extra).mapInArrow(_segments, _SEGMENT_DDL)
-    ranges = segments.repartition("key").sortWithinPartitions("key").mapInArrow(_judged, "k long, d int, start long, end long")
+    segments = docs.join(by_doc, F.col("k") == F.col("sk")).select("k", "d", "spots", "later", "text", *extra).mapInArrow(
+        lambda batches: _segments(batches, hot.value), _SEGMENT_DDL)
+    ranges = segments.repartition("key").sortWithinPartitions("key", "k", "d", "first").mapInArrow(_judged, "k long, d int, start long, end long")
     by_doc = ranges.groupBy("k").agg(F.collect_list(F.struct("d", "start", "end")).alias("ranges")).withColumnRenamed("k", "sk")
     by_doc = by_doc.join(later, F.col("sk") == F.col("lk"), "full").select(F.coalesce("sk", "lk").alias("sk"), "ranges", "later")
     joined = docs.join(by_doc, F.col("k") == F.col("sk"), "left").select("k", "d", "ranges", "later", "text", *extra)

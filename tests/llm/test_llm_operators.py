@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer, models, pre_tokenizers
 
@@ -457,6 +458,32 @@ def test_repeated_strings_equal_brute_force(spark, docs):
     assert rindex.remove_repeats(empty(docs)).collect() == []
 
 
+def test_hot_anchors_are_dealt_by_window(spark, docs, monkeypatch):
+    monkeypatch.setattr(rindex, "SAMPLE", 1)
+    monkeypatch.setattr(rindex, "HOT", 2)
+    rng = random.Random(9)
+    passage = bytes(rng.choice(b"abcdefgh") for _ in range(150))
+    rows = [(i, (bytes(rng.choice(b"ijklmnop") for _ in range(80)) + passage + bytes(rng.choice(b"ijklmnop") for _ in range(80))).decode()) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    cols = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got(rindex.remove_repeats(df), *cols) == brute_removed(rows)
+    assert got(rindex.remove_repeats(docs), *cols) == brute_removed([(i, t or "") for i, t in ROWS])
+    hot = rindex.hot_anchors(df)
+    assert 0 < len(hot) < 60
+    batch = pa.RecordBatch.from_pylist([
+        {"k": i, "d": 0, "later": None, "text": t, "spots": [{"d": 0, "spot": (int(a) << 16) | (int(b - a) << 8) | int(at - a)} for _, a, b, at, _ in zip(*rindex.anchored([raw(t)]))]}
+        for i, t in rows])
+    most = []
+    for known in (frozenset(), hot):
+        pieces = defaultdict(set)
+        for out in rindex._segments(iter([batch]), known):
+            for r in out.to_pylist():
+                if r["piece"] is not None:
+                    pieces[r["key"]].add(r["piece"])
+        most.append(max(map(len, pieces.values())))
+    assert most[0] > 100 and most[1] == 1  # distinct pieces that meet in one place
+
+
 def test_every_window_has_one_anchor_that_its_content_gives():
     rng = random.Random(3)
     for trial in range(60):
