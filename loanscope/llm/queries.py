@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loanscope.session import table_path
 
-from . import bpe, brown, jaccard, langid, lines, quality, rindex, tiling, tokenfile, viterbi
+from . import bpe, brown, jaccard, langid, lines, merkle, quality, rindex, tiling, tokenfile, viterbi
 from .common import documents, fold_col
 
 
@@ -60,6 +60,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest_columns(lines.remove_repeats(documents(spark, sf_dir)))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(documents(spark, sf_dir), changed=merkle.tampered_leaf()).drop("proof")
+
+
 QUERIES = {f.__name__: f for f in (op1_brown, op2_decontamination, op3_token_counts, op4_language, op5_jaccard,
-                                    op6_bpe, op7_quality, op8_suffix_dedup, op9_token_files, op10_line_dedup)}
-SQL: dict[str, str] = {"op5_jaccard": jaccard.ORACLE, "op10_line_dedup": lines.ORACLE}
+                                    op6_bpe, op7_quality, op8_suffix_dedup, op9_token_files, op10_line_dedup,
+                                    op11_merkle)}
+SQL: dict[str, str] = {"op5_jaccard": jaccard.ORACLE, "op10_line_dedup": lines.ORACLE,
+                       "op11_merkle": merkle.ORACLE}
