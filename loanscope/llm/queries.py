@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loanscope.session import table_path
 
-from . import bpe, brown, jaccard, langid, lines, merkle, quality, repair, rindex, tiling, tokenfile, viterbi
+from . import bpe, brown, jaccard, langid, lines, merkle, quality, repair, rindex, tiling, tokenfile, urlfilter, viterbi
 from .common import documents, fold_col
 
 
@@ -64,12 +64,16 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(documents(spark, sf_dir), changed=merkle.tampered_leaf()).drop("proof")
 
 
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(spark.read.parquet(table_path(sf_dir, "pages")))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(repair.damaged(repair.turns_of(spark.read.parquet(table_path(sf_dir, "conversations")))))
 
 
 QUERIES = {f.__name__: f for f in (op1_brown, op2_decontamination, op3_token_counts, op4_language, op5_jaccard,
                                     op6_bpe, op7_quality, op8_suffix_dedup, op9_token_files, op10_line_dedup,
-                                    op11_merkle, op13_conversation_repair)}
+                                    op11_merkle, op12_url_filter, op13_conversation_repair)}
 SQL: dict[str, str] = {"op5_jaccard": jaccard.ORACLE, "op10_line_dedup": lines.ORACLE,
                        "op11_merkle": merkle.ORACLE, "op13_conversation_repair": repair.ORACLE}
