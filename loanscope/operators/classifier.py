@@ -30,8 +30,8 @@ SCORE_DEFAULTS = {"loan_amnt": 10000.0, "term_months": 36, "int_rate": 12.0, "in
 
 
 def md5_order(key, seed: int):
-    """Repeatable pseudo-random order key: md5 of ``key || seed``."""
-    return F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed))))
+    """Repeatable pseudo-random order key: md5 of ``key || seed`` (a NULL key: of the seed alone)."""
+    return F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(str(seed))))
 
 
 def sample_rows(df: DataFrame, n: int, seed: int = 42, key: str = "loan_id") -> DataFrame:

@@ -288,6 +288,23 @@ def _rejected_rows(spark, sf):
     return rejected_rows(dirty_raw_rows(loan_book(spark, sf).book())).select(F.col("_pos").alias("position"), "id", "loan_amnt", "issue_d", "reason")
 
 
+@query("raw_round_trip")
+def _raw_round_trip(spark, sf):
+    """Raw files of two layouts, one with line ends inside cells: written, read by default, merged, written and read again."""
+    from .book import dirty_raw_rows
+    from ..sources import raw as R
+    from ..session import new_folder
+    at = F.col("_pos")
+    broken = F.concat("emp_length", F.lit('\n"self", reported'))
+    rows = dirty_raw_rows(loan_book(spark, sf).book()).withColumn("emp_length", F.when(at % 30 == 0, broken).otherwise(F.col("emp_length")))
+    folder = new_folder(spark, "raw-files")
+    R.write_merged(rows.where(at % 3 == 0), f"{folder}/a")
+    R.write_merged(rows.where(at % 3 != 0), f"{folder}/b", R.TARGET_COLUMNS[::-1])
+    R.write_merged(R.read_raw_loans(spark, [f"{folder}/a", f"{folder}/b"]), f"{folder}/merged")
+    kept = ["id", "loan_amnt", "int_rate", "issue_d", "emp_length", "purpose", "verification_status", "addr_state", "dti", "recoveries"]
+    return R.read_merged(spark, f"{folder}/merged").select(*[F.coalesce(c, F.lit("")).alias(c) for c in kept])
+
+
 # ---- ML, forecasting, sampling, presentation ---------------------------------
 
 @query("loan_features")

@@ -45,34 +45,41 @@ def get_session(master: str | None = None, app_name: str = "loanscope",
     return spark
 
 
+#: Scratch folders of local sessions without a checkpoint folder, by application.
+_SCRATCH: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the deployment must set it to shared storage. Only a local
     session (tests, a laptop) gets a private scratch folder where it is unset.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or _SCRATCH.get(context.applicationId) or context.getCheckpointDir()
     if not path:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
-        path = tempfile.mkdtemp(prefix="loanscope-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors share (master {context.master})")
+        path = _SCRATCH[context.applicationId] = tempfile.mkdtemp(prefix="loanscope-ckpt-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(path)
     return path
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own under the checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the checkpoint folder and read it back.
 
     Cuts the lineage (a lost executor recomputes from the written files, not
     from the raw scans) and lets several downstream operators share one scan.
     """
-    spark = df.sparkSession
-    base = checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    path = new_folder(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def table_path(sf_dir: str, name: str) -> str:

@@ -1,9 +1,10 @@
 """Raw loan CSV files: read, align, validate and merge (SRC1, SRC2, SET1, FLT1, PRJ1-2, SNK5).
 
 Files may differ in column order and set, may start with a one-line
-preamble, and hold text cells with ``$ % ,`` decorations. Files are read
-with an all-string schema (no inference pass), aligned to the 30 target
-columns by lower-cased header name, and unioned by name.
+preamble, and hold text cells with ``$ % ,`` decorations or line ends. One
+pass over the lines tells each file's header and whether its cells span lines.
+Files are read with an all-string schema (no inference pass), aligned to the 30
+target columns by lower-cased header name, and unioned by name.
 Header and preamble lines fall out through the row-validity filter.
 """
 
@@ -11,9 +12,9 @@ from __future__ import annotations
 
 import csv
 from functools import reduce
+from typing import NamedTuple
 from urllib.parse import unquote
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,34 +45,51 @@ def _strip_text(s: str) -> str:
 DIALECT = {"quote": '"', "escape": '"'}
 
 
-def peek_headers(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
-    """Header cells of each file, by the file's path, found in one distributed pass.
+class Layout(NamedTuple):
+    """Files of one header line, of which all or none have cells that span lines."""
+
+    header: tuple[str, ...]
+    multiline: bool
+    paths: tuple[str, ...]
+
 
-    One preamble line is skipped when the first line mentions neither ``id``
-    nor ``loan_amnt``. At most two lines of a file leave the executors.
+def file_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """One row per file: its first two lines (by position) and whether a quoted cell of it spans lines.
+
+    A cell that spans lines leaves an odd number of quotes on the line where it opens. The lines
+    are read where they lie and only summaries are shuffled. Two lines of a file that follow each
+    other have ids of different parity, so the least even and the least odd id of the file's first
+    split are its first two lines; collect_set keeps the aggregate on hash maps, without a sort of the lines.
+    """
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
+                                          "value", F.monotonically_increasing_id().alias("at"))
+    odd = (F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))) % 2
+    begins = [F.min(F.when((F.col("start") == 0) & (F.col("at") % 2 == r), F.struct("at", "value"))).alias(f"l{r}") for r in (0, 1)]
+    files = lines.groupBy("path").agg(F.collect_set(odd).alias("odd"), *begins)
+    # l0 and l1 in the order of their ids; a file of one line has only one of them
+    swapped = F.col("l0").isNull() | (F.col("l1.at") < F.col("l0.at"))
+    return files.select("path", F.when(swapped, F.col("l1.value")).otherwise(F.col("l0.value")).alias("first"),
+                        F.when(swapped, F.col("l0.value")).otherwise(F.col("l1.value")).alias("second"),
+                        F.array_contains("odd", 1).alias("multiline"))
+
+
+def raw_layouts(spark: SparkSession, paths: list[str]) -> list[Layout]:
+    """The files by header line and kind, found in one pass over their lines.
+
+    One preamble line is skipped when the first line mentions neither ``id`` nor
+    ``loan_amnt``. A row per distinct header, with its paths, reaches the driver.
     """
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), "value",
-                                          F.col("_metadata.file_block_start").alias("start")).where("start = 0")
-
-    def first_two(batches):
-        seen: dict[str, int] = {}
-        for batch in batches:
-            keep = []
-            for path in batch.column("path").to_pylist():
-                seen[path] = seen.get(path, 0) + 1
-                keep.append(seen[path] <= 2)
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    found: dict[str, list[str]] = {}
-    for r in lines.select("path", "value").mapInArrow(first_two, "path string, value string").collect():
-        found.setdefault(r.path, []).append(r.value)
-    out = {}
-    for path, two in found.items():
-        header = two[0]
-        if "id" not in header.lower() and "loan_amnt" not in header.lower() and len(two) > 1:
-            header = two[1]
-        out[path] = [_strip_text(c) for c in next(csv.reader([header]))]
-    return out
+    told = F.lower("first")
+    preamble = ~told.contains("id") & ~told.contains("loan_amnt") & F.col("second").isNotNull()
+    kinds = (file_lines(spark, paths).groupBy(F.when(preamble, F.col("second")).otherwise(F.col("first")).alias("header"), "multiline")
+             .agg(F.sort_array(F.collect_list("path")).alias("paths")))
+    return [Layout(tuple(_strip_text(c) for c in next(csv.reader([r.header]), [])), r.multiline, tuple(unquote(p) for p in r.paths))
+            for r in sorted(kinds.collect(), key=lambda r: r.paths[0])]
+
+
+def peek_headers(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
+    """Header cells of each file, by the file's path."""
+    return {p: list(x.header) for x in raw_layouts(spark, paths) for p in x.paths}
 
 
 def _num_text(c: Column, chars: str) -> Column:
@@ -121,30 +139,39 @@ def rejected_rows(df: DataFrame) -> DataFrame:
     return df.withColumn("reason", reason).where(F.col("reason").isNotNull())
 
 
-def read_raw_loans(spark: SparkSession, paths, multiline: bool = False) -> DataFrame:
+def read_raw_loans(spark: SparkSession, paths, multiline: bool | None = None) -> DataFrame:
     """SRC1 + SET1 + FLT1: merged, validated raw loan rows from several CSV files.
 
-    Files of equal headers are read together, so the plan has one branch per
-    distinct header. ``multiline`` allows line ends inside quoted cells (such files
-    are not split). Files without a line have no rows.
+    Files of equal headers are read together, so the plan has at most two branches per
+    distinct header: files with line ends inside quoted cells are read whole, all others are
+    split. ``multiline`` sets the way of reading for all files. Files without a line have no rows.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    by_header: dict[tuple, list[str]] = {}
-    for path, header in sorted(peek_headers(spark, paths).items()):
-        by_header.setdefault(tuple(header), []).append(unquote(path))
-    frames = [read_raw_files(spark, files, list(header), multiline) for header, files in by_header.items()]
+    frames = [read_raw_files(spark, list(x.paths), list(x.header), x.multiline if multiline is None else multiline)
+              for x in raw_layouts(spark, paths)]
     if not frames:
         return spark.createDataFrame([], ", ".join(f"{c} string" for c in TARGET_COLUMNS))
     return valid_rows(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames))
 
 
-def write_merged(df: DataFrame, path: str) -> None:
-    """SNK5: the merged raw file with the fixed 30-column header."""
-    (df.select(*TARGET_COLUMNS).write.mode("overwrite").options(**DIALECT).option("header", True)
+def write_merged(df: DataFrame, path: str, columns: list[str] = TARGET_COLUMNS) -> None:
+    """SNK5: the merged raw files with the fixed 30-column header (or another order of it)."""
+    (df.select(*columns).write.mode("overwrite").options(**DIALECT).option("header", True)
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("emptyValue", "").csv(path))
 
 
-def read_merged(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
-    """SRC2: the merged file back, all columns as strings (explicit schema, no inference)."""
+def read_merged(spark: SparkSession, path: str, multiline: bool | None = None) -> DataFrame:
+    """SRC2: the merged files back, all columns as strings (explicit schema, no inference).
+
+    Files with line ends inside quoted cells are read whole, all others are split, unless
+    ``multiline`` says how to read all of them.
+    """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in TARGET_COLUMNS])
-    return spark.read.schema(schema).options(**DIALECT).option("header", True).option("multiLine", multiline).csv(path)
+    reader = spark.read.schema(schema).options(**DIALECT).option("header", True)
+    if multiline is not None:
+        return reader.option("multiLine", multiline).csv(path)
+    by_kind: dict[bool, list[str]] = {}
+    for x in raw_layouts(spark, [path]):
+        by_kind.setdefault(x.multiline, []).extend(x.paths)
+    frames = [reader.option("multiLine", kind).csv(paths) for kind, paths in by_kind.items()]
+    return reduce(DataFrame.union, frames) if frames else spark.createDataFrame([], schema)

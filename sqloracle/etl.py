@@ -63,3 +63,12 @@ SELECT loan_key AS position, CASE WHEN loan_key % 23 = 0 THEN '' ELSE 'L' || loa
   CASE WHEN loan_key % 17 = 0 THEN '' WHEN loan_key % 19 = 0 THEN 'Xyz-1999' ELSE strftime(issue_date, '%b-%Y') END AS issue_d,
   CASE WHEN loan_key % 13 = 0 THEN 'loan_amnt' ELSE 'issue_d' END AS reason
 FROM book WHERE loan_key % 13 = 0 OR loan_key % 17 = 0""")
+
+register("raw_round_trip", """
+SELECT CASE WHEN loan_key % 23 = 0 THEN '' ELSE 'L' || loan_id END AS id, CAST(loan_amnt AS VARCHAR) AS loan_amnt,
+  CAST(int_rate AS VARCHAR) AS int_rate,
+  CASE WHEN loan_key % 19 = 0 THEN 'Xyz-1999' ELSE strftime(issue_date, '%b-%Y') END AS issue_d,
+  emp_length || CASE WHEN loan_key % 30 = 0 THEN chr(10) || '"self", reported' ELSE '' END AS emp_length, upper(purpose) AS purpose,
+  CASE WHEN verification_status = 'Verified' AND loan_key % 2 = 0 THEN 'VERIFIED - income' ELSE verification_status END AS verification_status,
+  lower(addr_state) AS addr_state, CAST(dti AS VARCHAR) AS dti, CAST(recoveries AS VARCHAR) AS recoveries
+FROM book WHERE loan_key % 13 <> 0 AND loan_key % 17 <> 0""")

@@ -4,7 +4,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from loanscope.plans.etl import dense_row_index, etl
-from loanscope.sources.raw import TARGET_COLUMNS, peek_headers, read_merged, read_raw_loans, write_merged
+from loanscope.sources.raw import TARGET_COLUMNS, file_lines, peek_headers, raw_layouts, read_merged, read_raw_loans, write_merged
 
 FILE_A = '''Notes offered by Prospectus (preamble line)
 "id","member_id","loan_amnt","funded_amnt","term","int_rate","grade","sub_grade","issue_d","loan_status","addr_state","verification_status","dti","revol_util","total_rec_prncp","home_ownership","purpose"
@@ -109,3 +109,53 @@ def test_supplied_fico_is_kept(spark):
     full = raw.selectExpr("*", *[f"CAST(NULL AS string) AS {c}" for c in TARGET_COLUMNS if c not in raw.columns and c != "issue_d"], "'Dec-2011' AS issue_d")
     got = {r.loan_id: (r.fico_range_low, r.fico_range_high) for r in clean_loans(full).collect()}
     assert got == {"1": (701.0, 705.0), "2": (740.0, 744.0), "3": (700.0, 704.0), "4": (660.0, 664.0)}
+
+
+def test_cells_with_line_ends_survive_default_reading(spark):
+    tmp = tempfile.mkdtemp(prefix="loanscope-lines-")
+    # the second row's line end lies before most of its cells; a preamble and a file without such cells beside it
+    broken = '''Notes "as is"
+id,purpose,loan_amnt,int_rate,issue_d,addr_state,dti,recoveries
+1,car,1000,10%,Dec-2011,NY,1.5,0
+2,"two
+lines and ""quotes""
+
+end",2000,11%,Dec-2011,TX,2.5,7
+3,"x, y",3000,12%,Jan-2012,FL,3.5,0
+'''
+    paths = [write(tmp, "a.csv", broken), write(tmp, "b.csv", FILE_B)]
+    layouts = {x.paths[0][-5:]: x.multiline for x in raw_layouts(spark, paths)}
+    assert layouts == {"a.csv": True, "b.csv": False}
+    raw = read_raw_loans(spark, paths)
+    got = {r.id: (r.purpose, r.loan_amnt, r.addr_state, r.dti, r.recoveries) for r in raw.collect()}
+    assert got["2"] == ('two\nlines and ""quotes""'.replace('""', '"') + "\n\nend", "2000", "TX", "2.5", "7")
+    assert got["1"] == ("car", "1000", "NY", "1.5", "0") and got["3"][0] == "x, y" and set(got) == {"1", "2", "3", "201", "202"}
+    out = os.path.join(tmp, "merged")
+    write_merged(raw, out)
+    # empty cells come back as nulls
+    back = {r.id: tuple(c or "" for c in (r.purpose, r.loan_amnt, r.addr_state, r.dti, r.recoveries)) for r in read_merged(spark, out).collect()}
+    assert back == got
+
+
+def test_header_pass_stays_in_the_jvm_and_needs_no_sort(spark):
+    tmp = tempfile.mkdtemp(prefix="loanscope-plan-")
+    df = file_lines(spark, [write(tmp, f"{i}.csv", FILE_A if i % 2 else FILE_B) for i in range(8)])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "MapInArrow" not in plan and "Sort" not in plan and "ObjectHashAggregate" in plan
+    rows = {r.path[-5:]: (r.first, r.second) for r in df.collect()}
+    assert rows["1.csv"] == tuple(FILE_A.split("\n")[:2]) and rows["0.csv"] == tuple(FILE_B.split("\n")[:2])
+
+
+def test_first_two_lines_of_files_of_many_splits(spark):
+    tmp = tempfile.mkdtemp(prefix="loanscope-split-")
+    body = "".join(f"{i},{1000 + i},10%,Dec-2011,Current,A,36 months,1000,0\n" for i in range(3000))
+    paths = [write(tmp, "big.csv", FILE_B.split("\n")[0].replace("loan_amnt,id", "id,loan_amnt") + "\n" + body), write(tmp, "one.csv", "id,loan_amnt"), write(tmp, "b.csv", FILE_B)]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        got = {r.path.rsplit("/", 1)[1]: (r.first, r.second) for r in file_lines(spark, paths).collect()}
+        assert got["one.csv"] == ("id,loan_amnt", None) and got["b.csv"][0] == FILE_B.split("\n")[0]
+        assert got["big.csv"][1] == body.split("\n")[0]
+        assert read_raw_loans(spark, paths).count() == 3002
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)

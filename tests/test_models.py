@@ -104,3 +104,12 @@ def test_holt_on_a_trend_and_short_series(spark):
     assert forecast.linear_forecast(short).count() == 0
     lin = forecast.linear_forecast(df).orderBy("step").first()
     assert abs(lin.forecast_default_rate - 8.6) < 1e-6
+
+
+def test_sample_and_split_take_null_keys(spark):
+    from loanscope.operators.classifier import sample_rows, split_flag
+    df = spark.createDataFrame([(None if i % 3 == 0 else f"L{i}", i % 2) for i in range(90)], "loan_id string, is_default int")
+    for n in (1, 10, 45, 80, 200):
+        assert sample_rows(df, n).count() == min(n, 90)
+    split = split_flag(df)
+    assert split.count() == 90 and split.where("split = 'test'").count() == 18
