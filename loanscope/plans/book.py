@@ -27,7 +27,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..session import table_path
 from ..sources.driver import scan
+from ..sources.store import Store
 
 D = lambda s: F.lit(Decimal(s))  # noqa: E731  exact decimal literal
 
@@ -206,6 +208,13 @@ class LoanBook:
         return self._memo("book", lambda: self.loans_with_payments().join(
             self.borrowers().drop("borrower_id"), "borrower_key", "inner"))
 
+    def inputs(self) -> list[str]:
+        return [table_path(self.sf_dir, t) for t in ("orders", "customer", "lineitem")]
+
+    def kept_book(self) -> DataFrame:
+        """:meth:`book` as a written table that all reports of the same input files read (SRC5)."""
+        return Store(self.spark).table("book", self.inputs(), self.book)
+
 
 _BOOKS: dict[tuple, LoanBook] = {}
 

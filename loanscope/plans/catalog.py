@@ -1,7 +1,7 @@
 """Named queries: each callable takes (spark, sf_dir) and returns a lazy DataFrame.
 
 Every query reads the driver tables through the loan book, so its work grows
-with the tables.
+with the tables. Rollups, trends and star reports read the written book (``kept_book``).
 """
 
 from __future__ import annotations
@@ -29,12 +29,12 @@ def query(name: str):
 
 @query("monthly_kpi_rollup")
 def _monthly_kpi_rollup(spark, sf):
-    return kpis.monthly_kpi_rollup(loan_book(spark, sf).book())
+    return kpis.monthly_kpi_rollup(loan_book(spark, sf).kept_book())
 
 
 @query("monthly_kpi_by_grade")
 def _monthly_kpi_by_grade(spark, sf):
-    return kpis.monthly_kpi_rollup(loan_book(spark, sf).book(), segment="grade")
+    return kpis.monthly_kpi_rollup(loan_book(spark, sf).kept_book(), segment="grade")
 
 
 @query("grade_quality")
@@ -54,7 +54,7 @@ def _state_capacity(spark, sf):
 
 @query("yearly_stress")
 def _yearly_stress(spark, sf):
-    return kpis.yearly_stress_output(loan_book(spark, sf).book())
+    return kpis.yearly_stress_output(loan_book(spark, sf).kept_book())
 
 
 @query("grade_cohorts")
@@ -79,7 +79,7 @@ def _state_month_throughput(spark, sf):
 
 
 def _rollup(spark, sf, segment=None):
-    return kpis.monthly_kpi_rollup(loan_book(spark, sf).book(), segment=segment, exact=True)
+    return kpis.monthly_kpi_rollup(loan_book(spark, sf).kept_book(), segment=segment, exact=True)
 
 
 @query("monthly_trends")
@@ -95,12 +95,12 @@ def _degraded_alerts(spark, sf):
 
 @query("crisis_yearly")
 def _crisis_yearly(spark, sf):
-    return crisis.crisis_yearly(loan_book(spark, sf).book())
+    return crisis.crisis_yearly(loan_book(spark, sf).kept_book())
 
 
 @query("crisis_analysis")
 def _crisis_analysis(spark, sf):
-    return crisis.crisis_analysis(loan_book(spark, sf).book())
+    return crisis.crisis_analysis(loan_book(spark, sf).kept_book())
 
 
 @query("latest_vs_previous")
@@ -171,12 +171,12 @@ def _whatif_all(spark, sf):
 
 @query("monthly_kpi_calendar")
 def _monthly_kpi_calendar(spark, sf):
-    return kpis.monthly_kpi_rollup(loan_book(spark, sf).book(), calendar=True)
+    return kpis.monthly_kpi_rollup(loan_book(spark, sf).kept_book(), calendar=True)
 
 
 @query("fact_loans")
 def _fact_loans(spark, sf):
-    return star.fact_loans(loan_book(spark, sf).book())
+    return star.fact_loans(loan_book(spark, sf).kept_book())
 
 
 @query("dim_borrower")
@@ -186,12 +186,12 @@ def _dim_borrower(spark, sf):
 
 @query("dim_date")
 def _dim_date(spark, sf):
-    return star.dim_date(star.fact_loans(loan_book(spark, sf).book(), exact=True))
+    return star.dim_date(star.fact_loans(loan_book(spark, sf).kept_book(), exact=True))
 
 
 @query("dim_geography")
 def _dim_geography(spark, sf):
-    return star.dim_geography(star.fact_loans(loan_book(spark, sf).book(), exact=True))
+    return star.dim_geography(star.fact_loans(loan_book(spark, sf).kept_book(), exact=True))
 
 
 @query("dim_loan_grade")
@@ -201,35 +201,35 @@ def _dim_loan_grade(spark, sf):
 
 @query("dax_measures_by_month")
 def _dax_by_month(spark, sf):
-    return star.dax_measures_by_month(loan_book(spark, sf).book())
+    return star.dax_measures_by_month(loan_book(spark, sf).kept_book())
 
 
 @query("dax_measures_by_grade")
 def _dax_by_grade(spark, sf):
-    return star.dax_measures(loan_book(spark, sf).book(), "grade")
+    return star.dax_measures(loan_book(spark, sf).kept_book(), "grade")
 
 
 @query("state_efficiency")
 def _state_efficiency(spark, sf):
-    return star.state_efficiency(loan_book(spark, sf).book())
+    return star.state_efficiency(loan_book(spark, sf).kept_book())
 
 
 @query("cohort_matrix")
 def _cohort_matrix(spark, sf):
-    return star.cohort_matrix(loan_book(spark, sf).book())
+    return star.cohort_matrix(loan_book(spark, sf).kept_book())
 
 
 @query("collections_funnel")
 def _collections_funnel(spark, sf):
-    return star.collections_funnel(loan_book(spark, sf).book())
+    return star.collections_funnel(loan_book(spark, sf).kept_book())
 
 
 @query("validate_tables")
 def _validate_tables(spark, sf):
     b = loan_book(spark, sf)
-    rollup = kpis.monthly_kpi_rollup(b.book(), exact=True)
+    rollup = kpis.monthly_kpi_rollup(b.kept_book(), exact=True)
     floors = {"loans": 100, "borrowers": 10, "payments_recoveries": 100}
-    return validate.validate(b.loans(), b.borrowers(), b.payments(), rollup, floors)
+    return validate.validate(b.loans(), b.borrowers(), b.payments(), rollup, floors, loan="loan_key", borrower="borrower_key")
 
 
 CLEAN_COLUMNS = ["loan_id", "issue_month", "issue_year", "loan_amnt", "funded_amnt", "funded_amnt_inv",
@@ -427,7 +427,7 @@ def _holt_forecast_by_grade(spark, sf):
 
 @query("holt_fixed_by_grade_state")
 def _holt_fixed_by_grade_state(spark, sf):
-    monthly = loan_book(spark, sf).book().groupBy("grade", "addr_state", F.col("issue_month").alias("metric_month")).agg(
+    monthly = loan_book(spark, sf).kept_book().groupBy("grade", "addr_state", F.col("issue_month").alias("metric_month")).agg(
         X.pct_of_rows(F.col("is_default")).alias("default_rate"), F.sum("funded_amnt").alias("total_funded_volume"))
     return forecast.holt_forecast(monthly, segment=["grade", "addr_state"], grid=[(0.45, 0.2, 0.92)])
 
@@ -460,26 +460,26 @@ def _distinct_states(spark, sf):
 
 @query("monthly_kpi_rollup_states")
 def _monthly_kpi_rollup_states(spark, sf):
-    book = kpis.filter_states(loan_book(spark, sf).book(), ["CA", "NY", "TX"])
+    book = kpis.filter_states(loan_book(spark, sf).kept_book(), ["CA", "NY", "TX"])
     return kpis.monthly_kpi_rollup(book)
 
 
 @query("star_report")
 def _star_report(spark, sf):
-    fact = star.fact_loans(loan_book(spark, sf).book(), exact=True)
+    fact = star.fact_loans(loan_book(spark, sf).kept_book(), exact=True)
     return star.star_report(fact, star.dim_geography(fact), star.dim_loan_grade(spark))
 
 
 @query("star_report_full")
 def _star_report_full(spark, sf):
     b = loan_book(spark, sf)
-    fact = star.fact_loans(b.book(), exact=True)
+    fact = star.fact_loans(b.kept_book(), exact=True)
     return star.star_report_full(fact, star.dim_borrower(b.borrowers()), star.dim_date(fact), star.dim_geography(fact), star.dim_loan_grade(spark))
 
 
 @query("cohort_matrix_wide")
 def _cohort_matrix_wide(spark, sf):
-    return star.cohort_matrix(loan_book(spark, sf).book(), years=list(range(1992, 1999)))
+    return star.cohort_matrix(loan_book(spark, sf).kept_book(), years=list(range(1992, 1999)))
 
 
 @query("kpi_scorecard_window")
