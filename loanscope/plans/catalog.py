@@ -288,6 +288,12 @@ def _rejected_rows(spark, sf):
     return rejected_rows(dirty_raw_rows(loan_book(spark, sf).book())).select(F.col("_pos").alias("position"), "id", "loan_amnt", "issue_d", "reason")
 
 
+@query("bucketed_rollup")
+def _bucketed_rollup(spark, sf):
+    from .buckets import bucketed_book
+    return kpis.monthly_kpi_rollup(bucketed_book(loan_book(spark, sf)))
+
+
 @query("raw_round_trip")
 def _raw_round_trip(spark, sf):
     """Raw files of two layouts, one with line ends inside cells: written, read by default, merged, written and read again."""

@@ -175,3 +175,5 @@ SELECT addr_state, issue_month AS metric_month,
   CAST(COUNT(loan_id) AS BIGINT) AS loans_processed,
   CAST(SUM(funded_amnt) AS DOUBLE) AS funded_volume
 FROM lb GROUP BY addr_state, issue_month ORDER BY addr_state, metric_month""")
+
+SQL["bucketed_rollup"] = SQL["monthly_kpi_rollup"]
