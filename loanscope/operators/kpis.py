@@ -64,8 +64,13 @@ def monthly_kpi_rollup(book: DataFrame, segment=None, calendar: bool = False,
     previous row (the reference's ``LAG`` counts rows, so gaps shift it).
     ``exact=True`` keeps decimals (for chaining); otherwise doubles.
     """
+    return with_trends(monthly_base(book, segment), segment, calendar, exact)
+
+
+def with_trends(base: DataFrame, segment=None, calendar: bool = False, exact: bool = False) -> DataFrame:
+    """The rollup of a monthly base: windows over months, never over loans."""
     seg = _seg(segment)
-    base = monthly_base(book, seg).withColumn("_mi", month_index(F.col("metric_month")))
+    base = base.withColumn("_mi", month_index(F.col("metric_month")))
     w = Window.partitionBy(*seg).orderBy("metric_month")
     v, dr = "total_funded_volume", "default_rate"
     prev1, prev12 = _prior(v, w, 1, calendar, seg), _prior(v, w, 12, calendar, seg)

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..session import materialize
-from ..operators import classifier, crisis, drivers, forecast, kpis, scorecard, star, trends, validate, whatif
+from ..session import materialize, new_folder
+from ..operators import classifier, crisis, drivers, forecast, increments, kpis, scorecard, star, trends, validate, whatif
 from .book import loan_book
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -288,6 +288,31 @@ def _rejected_rows(spark, sf):
     return rejected_rows(dirty_raw_rows(loan_book(spark, sf).book())).select(F.col("_pos").alias("position"), "id", "loan_amnt", "issue_d", "reason")
 
 
+def _batched_sums(spark, sf):
+    """The book's sums in batches: three quarters first, a quarter as a late file that is delivered twice, first wrongly."""
+    book, path = loan_book(spark, sf).kept_book(), new_folder(spark, "month-sums")
+    late = F.col("loan_key") % 4 == 0
+    increments.start_sums(book.where(~late), path)
+    increments.apply_batch(spark, path, book.where(late | (F.col("loan_key") % 4 == 1)), "late")
+    increments.apply_batch(spark, path, book.where(late), "late")
+    return increments.read_sums(spark, path)
+
+
+@query("incremental_rollup")
+def _incremental_rollup(spark, sf):
+    r = increments.rollup_of(_batched_sums(spark, sf), exact=True)
+    return kpis.to_output(r, keep=["metric_month"], ints=["total_applications"])
+
+
+@query("borrower_reach")
+def _borrower_reach(spark, sf):
+    """AGG17: exact distinct borrowers by state beside the merged monthly sketches' estimate."""
+    estimate = increments.borrowers_of(_batched_sums(spark, sf), ["addr_state"]).withColumnRenamed("borrowers", "estimate")
+    exact = loan_book(spark, sf).kept_book().groupBy("addr_state").agg(F.countDistinct("borrower_key").alias("borrowers"))
+    within = F.abs(F.col("estimate") - F.col("borrowers")) <= F.greatest(F.lit(1.0), 0.065 * F.col("borrowers"))
+    return exact.join(estimate, "addr_state").select("addr_state", "borrowers", within.alias("estimate_within_4_sigma"))
+
+
 @query("bucketed_rollup")
 def _bucketed_rollup(spark, sf):
     from .buckets import bucketed_book
@@ -299,7 +324,6 @@ def _raw_round_trip(spark, sf):
     """Raw files of two layouts, one with line ends inside cells: written, read by default, merged, written and read again."""
     from .book import dirty_raw_rows
     from ..sources import raw as R
-    from ..session import new_folder
     at = F.col("_pos")
     broken = F.concat("emp_length", F.lit('\n"self", reported'))
     rows = dirty_raw_rows(loan_book(spark, sf).book()).withColumn("emp_length", F.when(at % 30 == 0, broken).otherwise(F.col("emp_length")))

