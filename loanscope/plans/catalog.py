@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..session import materialize, new_folder
-from ..operators import classifier, crisis, drivers, forecast, increments, kpis, scorecard, star, trends, validate, whatif
+from ..operators import classifier, crisis, drivers, forecast, increments, kpis, scorecard, star, sweeps, trends, validate, whatif
 from .book import loan_book
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,6 +169,26 @@ def _whatif_all(spark, sf):
     return whatif.run_all_scenarios(b.loans_with_payments(), b.borrowers().drop("borrower_id"), b.loans())
 
 
+def _scattered(spark, sf):
+    """A setting per borrower, on no grid."""
+    k = F.col("borrower_key")
+    return loan_book(spark, sf).borrowers().select(
+        k.alias("setting"), (550 + k * 37 % 200 + k % 2 * F.lit(0.5)).cast("decimal(18,2)").alias("min_fico"),
+        (k * 131 % 5100 / 100).cast("decimal(18,2)").alias("max_dti"), (80 + k * 7 % 2100 / 100).cast("decimal(18,2)").alias("threshold"))
+
+
+@query("whatif_underwriting_settings")
+def _whatif_underwriting_settings(spark, sf):
+    r = sweeps.sweep("underwriting", _scattered(spark, sf).drop("threshold"), loan_book(spark, sf).kept_book())
+    return r.withColumns({c: F.col(c).cast("double") for c in ("min_fico", "max_dti")})
+
+
+@query("whatif_funding_settings")
+def _whatif_funding_settings(spark, sf):
+    r = sweeps.sweep("funding", _scattered(spark, sf).select("setting", "threshold"), loan_book(spark, sf).loans())
+    return r.withColumn("threshold", F.col("threshold").cast("double"))
+
+
 @query("monthly_kpi_calendar")
 def _monthly_kpi_calendar(spark, sf):
     return kpis.monthly_kpi_rollup(loan_book(spark, sf).kept_book(), calendar=True)

@@ -331,3 +331,30 @@ def _register_all():
 
 
 _register_all()
+
+# ---- settings of a table, on no grid: the join of all pairs ------------------------
+
+_ST = """
+st AS (SELECT borrower_key AS setting, CAST(550 + borrower_key * 37 % 200 + borrower_key % 2 * 0.5 AS DECIMAL(18,2)) AS min_fico,
+         CAST((borrower_key * 131 % 5100) * 0.01 AS DECIMAL(18,2)) AS max_dti,
+         CAST(80 + (borrower_key * 7 % 2100) * 0.01 AS DECIMAL(18,2)) AS threshold
+       FROM borrowers_b)"""
+
+register("whatif_underwriting_settings", f"""
+SELECT setting, CAST(min_fico AS DOUBLE) AS min_fico, CAST(max_dti AS DOUBLE) AS max_dti, CAST(n AS BIGINT) AS sim_loan_count,
+  {cast_cols(['sim_funded_volume', 'sim_default_rate_pct', 'sim_credit_losses', 'volume_change_pct',
+              'default_rate_delta_pts', 'losses_saved_dollars', 'volume_sacrificed_dollars'])}
+FROM (SELECT *, {', '.join(f'{v} AS {k}' for k, v in _UW.items() if k != 'sim_loan_count')} FROM sw JOIN base ON TRUE) t""", f"""{_ST.strip()},
+rb AS (SELECT * FROM book WHERE {RESOLVED}),
+base AS (SELECT COUNT(*) AS bn, SUM(funded_amnt) AS bvol, SUM(is_default) AS bdef, SUM(charged_off_principal) AS bloss FROM rb),
+sw AS (SELECT p.setting, p.min_fico, p.max_dti, COUNT(r.loan_key) AS n, coalesce(SUM(r.funded_amnt), 0) AS vol,
+    coalesce(SUM(r.is_default), 0) AS dflt, coalesce(SUM(r.charged_off_principal), 0) AS loss
+  FROM st p LEFT JOIN rb r ON r.fico_range_low >= p.min_fico AND r.dti <= p.max_dti GROUP BY ALL)""")
+
+register("whatif_funding_settings", f"""
+SELECT setting, CAST(threshold AS DOUBLE) AS threshold, CAST(q AS BIGINT) AS qualified_loans_count,
+  CAST({xr('q', 'total', 2, 100)} AS DOUBLE) AS qualified_loans_pct, CAST(svol AS DOUBLE) AS sim_funded_volume,
+  CAST(total - q AS BIGINT) AS cancelled_loans_count, CAST({xr('svol - bvol', 'bvol', 2, 100)} AS DOUBLE) AS volume_impact_pct
+FROM (SELECT p.setting, p.threshold, COUNT(l.loan_key) AS q, coalesce(SUM(l.funded_amnt), 0) AS svol
+  FROM st p LEFT JOIN loans_b l ON l.loan_amnt <> 0 AND l.funded_amnt * 100 >= p.threshold * l.loan_amnt GROUP BY ALL) s
+JOIN (SELECT COUNT(*) AS total, SUM(funded_amnt) AS bvol FROM loans_b) b ON TRUE""", _ST.strip())
