@@ -8,8 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -482,6 +481,21 @@ def _holt_fixed_by_grade_state(spark, sf):
     return forecast.holt_forecast(monthly, segment=["grade", "addr_state"], grid=[(0.45, 0.2, 0.92)])
 
 
+@query("holt_fitted_forecast")
+def _holt_fitted_forecast(spark, sf):
+    return forecast.fitted_forecast(_rollup(spark, sf), volume_floor=forecast.VOLUME_FLOOR)
+
+
+@query("holt_fitted_by_grade")
+def _holt_fitted_by_grade(spark, sf):
+    """Histories of 5 (grade A) to 29 (G) months: the shorter ones are forecast by a line."""
+    r = _rollup(spark, sf, "grade")
+    months = 1 + 4 * F.instr(F.lit("ABCDEFG"), F.col("grade"))
+    first = F.min("metric_month").over(Window.partitionBy("grade"))
+    gone = F.months_between(F.to_date(F.concat("metric_month", F.lit("-01"))), F.to_date(F.concat(first, F.lit("-01"))))
+    return forecast.fitted_forecast(r.withColumn("_gone", gone).where(F.col("_gone") < months), segment="grade")
+
+
 @query("annuity_instalment")
 def _annuity_instalment(spark, sf):
     l = loan_book(spark, sf).loans()

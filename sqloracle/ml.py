@@ -215,6 +215,76 @@ _register_holt("holt_fixed_by_grade_state", ["grade", "addr_state"], f"""
 gs AS (SELECT grade, addr_state, issue_month AS metric_month, {pct('is_default')} AS default_rate, SUM(funded_amnt) AS total_funded_volume
        FROM book GROUP BY grade, addr_state, issue_month)""", "gs", [(0.45, 0.2, 0.92)])
 
+
+
+def _fitted(seg: list[str], source: str, floor: str | None, rounds: int = 6, least: int = 10) -> tuple[str, str]:
+    """Fitted damped Holt: a recursion over the months for the grid, then one per round for 27 neighbours of the best triple."""
+    segs = seg or ["one"]
+    segc, part = ", ".join(segs), f"PARTITION BY {', '.join(segs)} "
+    on = lambda a, b: " AND ".join(f"{a}.{c} = {b}.{c}" for c in segs)
+    grid = ", ".join(f"(CAST('{a}' AS DOUBLE), CAST('{b}' AS DOUBLE), CAST('{p}' AS DOUBLE))" for a, b, p in holt_grid())
+    ctes = [f"""h0 AS (SELECT {', '.join(seg) if seg else '1 AS one'}, metric_month, CAST(default_rate AS DOUBLE) AS r,
+    CAST(total_funded_volume AS DOUBLE) AS v FROM {source}),
+hs AS (SELECT *, lead(r) OVER ({part}ORDER BY metric_month) AS r2, lead(v) OVER ({part}ORDER BY metric_month) AS v2,
+    row_number() OVER ({part}ORDER BY metric_month) AS i, CAST(row_number() OVER ({part}ORDER BY metric_month) - 1 AS DOUBLE) AS x,
+    row_number() OVER ({part}ORDER BY metric_month DESC) AS back, count(*) OVER ({part.strip()}) AS n FROM h0)""",
+        f"""hl AS (SELECT {segc}, max(n) AS n, max(metric_month) AS last_month,
+    stddev_pop(CASE WHEN back <= 12 THEN r END) AS r_std, stddev_pop(CASE WHEN back <= 12 THEN v END) AS v_std,
+    regr_slope(r, x) AS r_slope, regr_intercept(r, x) AS r_icpt, regr_slope(v, x) AS v_slope, regr_intercept(v, x) AS v_icpt
+  FROM hs GROUP BY {segc} HAVING max(n) >= 2)""", f"hg AS (SELECT * FROM (VALUES {grid}) g(a, b, p))",
+        "mv AS (SELECT x.m AS ma, y.m AS mb, z.m AS mp FROM (VALUES (-1), (0), (1)) x(m), (VALUES (-1), (0), (1)) y(m), (VALUES (-1), (0), (1)) z(m))"]
+    for y in "rv":
+        ahead = "(f.l + f.p * f.k)"
+        level = f"(f.a * s.{y} + (1.0 - f.a) * {ahead})"
+        for k in range(rounds + 1):
+            if k == 0:
+                ctes.append(f"{y}c0 AS (SELECT {segc}, hg.* FROM hl, hg WHERE n >= {least})")
+            else:
+                h = 0.5 ** (k - 1)
+                a = f"least(greatest(a + ma * CAST('{0.05 * h!r}' AS DOUBLE), 0.01), 1.0)"
+                ctes.append(f"""{y}c{k} AS (SELECT DISTINCT {segc}, na AS a, least(greatest(b + mb * CAST('{0.05 * h!r}' AS DOUBLE), 0.0), na) AS b,
+    least(greatest(p + mp * CAST('{0.02 * h!r}' AS DOUBLE), 0.8), 0.98) AS p FROM (SELECT *, {a} AS na FROM {y}b{k - 1}, mv) z)""")
+            ctes.append(f"""{y}f{k} AS (
+  SELECT {', '.join('c.' + c for c in segs)}, c.a, c.b, c.p, CAST(1 AS BIGINT) AS i, s.{y} AS l, s.{y}2 - s.{y} AS k, CAST(0 AS DOUBLE) AS e
+  FROM {y}c{k} c JOIN hs s ON s.i = 1 AND {on('s', 'c')}
+  UNION ALL
+  SELECT {', '.join('f.' + c for c in segs)}, f.a, f.b, f.p, f.i + 1, {level}, f.b * ({level} - f.l) + (1.0 - f.b) * f.p * f.k,
+    f.e + (s.{y} - {ahead}) * (s.{y} - {ahead})
+  FROM {y}f{k} f JOIN hs s ON s.i = f.i + 1 AND {on('s', 'f')})""")
+            ctes.append(f"""{y}b{k} AS (SELECT * EXCLUDE (rn) FROM (SELECT f.*, row_number() OVER (PARTITION BY {', '.join('f.' + c for c in segs)} ORDER BY e, a, b, p) AS rn
+    FROM {y}f{k} f JOIN hl ON f.i = hl.n AND {on('f', 'hl')}) z WHERE rn = 1)""")
+    ctes.append("ah AS (SELECT h FROM range(1, 13) t(h))")
+
+    def value(y: str) -> str:
+        damp = f"list_sum(list_transform(range(1, h + 1), lambda j: pow({y}b{rounds}.p, j)))"
+        return f"CASE WHEN {y}b{rounds}.a IS NULL THEN {y}_icpt + {y}_slope * (n - 1 + h) ELSE {y}b{rounds}.l + {damp} * {y}b{rounds}.k END"
+
+    volume = f"greatest({value('v')}, {floor})" if floor else value("v")
+    sql = f"""
+SELECT {''.join(c + ', ' for c in seg)}metric_month, step, round(rate, 2) AS forecast_default_rate,
+  round(greatest(rate - 1.96 * r_std, 0.0), 2) AS default_rate_lower, round(rate + 1.96 * r_std, 2) AS default_rate_upper,
+  round(vol, 2) AS forecast_funded_volume, round(greatest(vol - 1.96 * v_std, 0.0), 2) AS volume_lower,
+  round(vol + 1.96 * v_std, 2) AS volume_upper, rate_method, volume_method
+FROM (
+  SELECT {', '.join('hl.' + c for c in segs)}, strftime(CAST(last_month || '-01' AS DATE) + to_months(CAST(h AS INTEGER)), '%Y-%m') AS metric_month,
+    CAST(h AS BIGINT) AS step, r_std, v_std, least(greatest({value('r')}, 0.5), 30.0) AS rate, {volume} AS vol,
+    CASE WHEN rb{rounds}.a IS NULL THEN 'linear_trend' ELSE 'damped_holt' END AS rate_method,
+    CASE WHEN vb{rounds}.a IS NULL THEN 'linear_trend' ELSE 'damped_holt' END AS volume_method
+  FROM hl JOIN ah ON TRUE LEFT JOIN rb{rounds} ON {on('hl', f'rb{rounds}')} LEFT JOIN vb{rounds} ON {on('hl', f'vb{rounds}')}) z"""
+    return ",\n".join(ctes), sql
+
+
+def _register_fitted(name: str, seg: list[str], ctes: str, source: str, floor: str | None = None) -> None:
+    cte, sql = _fitted(seg, source, floor)
+    register(name, sql, ctes + "," + cte)
+    SQL[name] = SQL[name].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_register_fitted("holt_fitted_forecast", [], rollup_ctes(), "ro", "1000000.0")
+_register_fitted("holt_fitted_by_grade", ["grade"], rollup_ctes("grade") + """,
+short AS (SELECT * FROM (SELECT *, min(metric_month) OVER (PARTITION BY grade) AS first FROM ro) z
+  WHERE date_diff('month', CAST(first || '-01' AS DATE), CAST(metric_month || '-01' AS DATE)) < 1 + 4 * instr('ABCDEFG', grade))""", "short")
+
 register("annuity_instalment", """
 SELECT loan_id, CAST(funded_amnt AS DOUBLE) AS funded_amnt, CAST(int_rate AS DOUBLE) AS int_rate,
   CAST(term_months AS BIGINT) AS term_months,

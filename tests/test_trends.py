@@ -89,3 +89,60 @@ def test_scorecard_has_twelve_rows_and_latest_delta(spark):
     assert lv.latest_month == "2020-03" and lv.previous_month == "2020-02"
     assert sc[1].delta == lv.default_rate_delta
     assert sc[10].value == 4.0  # 12 applications over 3 months
+
+
+def _rollup_rows(spark, series):
+    from decimal import Decimal
+    rows = [(s, f"{2001 + i // 12}-{i % 12 + 1:02d}", None if r is None else Decimal(str(round(r, 2))), Decimal(str(round(v, 2))))
+            for s, values in series.items() for i, (r, v) in enumerate(values)]
+    return spark.createDataFrame(rows, "grade string, metric_month string, default_rate decimal(10,2), total_funded_volume decimal(18,2)")
+
+
+def _error(y, a, b, p):
+    level, trend, e = y[0], y[1] - y[0], 0.0
+    for x in y[1:]:
+        ahead = level + p * trend
+        e += (x - ahead) ** 2
+        new = a * x + (1 - a) * ahead
+        trend = b * (new - level) + (1 - b) * p * trend
+        level = new
+    return e
+
+
+def test_fitted_holt_is_never_worse_than_the_grid(spark):
+    import math
+    import random
+
+    from pyspark.sql import functions as F
+
+    from loanscope.operators import forecast
+    rng = random.Random(7)
+    series = {f"S{k}": [8 + math.sin(i / (2 + k)) * 3 + rng.gauss(0, 0.5 * k) + 0.05 * i for i in range(12 + 9 * k)] for k in range(4)}
+    df = spark.createDataFrame(list(series.items()), "s string, y array<double>").withColumn("n", F.size("y"))
+    n = F.col("n")
+    grid = forecast.X.lit_structs(forecast.holt_grid(), [("a", "double"), ("b", "double"), ("p", "double")])
+    df = df.withColumn("grid", forecast._best_of(F.col("y"), n, grid)).withColumn("fit", F.col("grid"))
+    for i in range(forecast.ROUNDS):
+        df = df.withColumn("fit", forecast._descended(F.col("y"), n, F.col("fit"), tuple(h * 0.5 ** i for h in forecast.DESCENT_STEPS)))
+    better = 0
+    for r in df.collect():
+        assert r.grid.e == min(_error(r.y, *t) for t in forecast.holt_grid())
+        assert abs(r.fit.e - _error(r.y, r.fit.a, r.fit.b, r.fit.p)) < 1e-9 and r.fit.e <= r.grid.e
+        assert 0.01 <= r.fit.a <= 1 and 0 <= r.fit.b <= r.fit.a and 0.8 <= r.fit.p <= 0.98
+        better += r.fit.e < r.grid.e
+    assert better >= 3
+
+
+def test_series_that_cannot_be_fitted_get_the_line(spark):
+    from loanscope.operators import forecast
+    steady = [(5 + 0.1 * i, 2e6 + 1e4 * i) for i in range(14)]
+    gap = [(None if i == 6 else r, v) for i, (r, v) in enumerate(steady)]
+    df = _rollup_rows(spark, {"long": steady, "short": steady[:4], "gap": gap, "one": steady[:1]})
+    got = {}
+    for r in forecast.fitted_forecast(df, segment="grade").collect():
+        got.setdefault(r.grade, {})[r.step] = r
+    assert set(got) == {"long", "short", "gap"} and all(len(v) == 12 for v in got.values())
+    assert {(g, v[1].rate_method, v[1].volume_method) for g, v in got.items()} == {
+        ("long", "damped_holt", "damped_holt"), ("short", "linear_trend", "linear_trend"), ("gap", "linear_trend", "damped_holt")}
+    assert got["short"][3].forecast_default_rate == 5.6 and got["short"][3].forecast_funded_volume == 2060000.0
+    assert got["gap"][1].forecast_default_rate == 6.4 and got["long"][1].metric_month == "2002-03"
