@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from loanscope.session import materialize
 
-from .common import LOWER, SPACE, byte_texts, id_and_text, mix64, pieces, span_hashes, spans
+from .common import LOWER, SPACE, byte_texts, id_and_text, lean, mix64, pieces, span_hashes, spans
 from .components import connected
 
 WORDS, PERCENT = 4, 85
@@ -166,7 +166,7 @@ def _order(docs: DataFrame, words: int) -> Order:
                 found, n = np.unique(np.concatenate(values) if values else np.empty(0, np.uint64), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([kind] * len(found), pa.string()), pa.array(signed(found)), pa.array(n, pa.int64())], names=["kind", "v", "n"])
 
-    counted = sample.select("text").mapInArrow(count, "kind string, v long, n long").groupBy("kind", "v").agg(F.sum("n").alias("n"))
+    counted = sample.select("text").mapInArrow(lean(count), "kind string, v long, n long").groupBy("kind", "v").agg(F.sum("n").alias("n"))
     counted = counted.filter("n > 1")
     tables = {k: counted.filter(F.col("kind") == k).orderBy(F.desc("n"), "v").limit(most).select("v", "n").toPandas()
               for k, most in (("w", COMMON_WORDS), ("s", COMMON_SHINGLES))}
@@ -207,7 +207,7 @@ def _sets(docs: DataFrame, order: Order, words: int, percent: int) -> DataFrame:
                  pa.array(brief, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(salts, pa.list_(pa.int32()))],
                 names=["doc_id", "k", "h", "n", "sid", "bits", "brief", "tokens", "salts"])
 
-    return docs.mapInArrow(build, _SETS)
+    return docs.mapInArrow(lean(build), _SETS)
 
 
 def _lists(postings: DataFrame) -> DataFrame:
@@ -240,7 +240,7 @@ def _lists(postings: DataFrame) -> DataFrame:
             yield lists(rest, True)[1]
 
     dealt = postings.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "node")
-    return dealt.select("token", "salt", "salts", "n", "node").mapInArrow(walk, "token long, salts int, ids array<long>, ns array<long>")
+    return dealt.select("token", "salt", "salts", "n", "node").mapInArrow(lean(walk), "token long, salts int, ids array<long>, ns array<long>")
 
 
 _PAIRS = "a long, n_a long, b long, n_b long"
@@ -263,7 +263,7 @@ def _stars(lists: DataFrame, percent: int) -> DataFrame:
                     found.update([(a, n, b, m) for b, m in zip(ids, ns) if b != a and min(n, m) * 100 >= max(n, m) * percent])
             yield _pairs(found)
 
-    stars = lists.select("ids", "ns").mapInArrow(star, _PAIRS)
+    stars = lists.select("ids", "ns").mapInArrow(lean(star), _PAIRS)
     # Between the salts of one shingle: their smallest sets with the smallest of all.
     salted = lists.filter("salts > 1").select("token", F.col("ns")[0].alias("n"), F.col("ids")[0].alias("id"))
     centre = salted.groupBy("token").agg(F.min(F.struct("n", "id")).alias("c"))
@@ -292,7 +292,7 @@ def _checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             ok = may_link(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), far, percent)
             yield batch.select(["a", "n_a", "b", "n_b"]).filter(pa.array(ok))
 
-    return joined.select("a", "n_a", "b", "n_b", "bits_a", "bits_b").mapInArrow(check, "a long, n_a long, b long, n_b long")
+    return joined.select("a", "n_a", "b", "n_b", "bits_a", "bits_b").mapInArrow(lean(check), "a long, n_a long, b long, n_b long")
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame, docs: DataFrame, order: Order, words: int) -> DataFrame:
@@ -333,7 +333,7 @@ def _overlaps(pairs: DataFrame, sets: DataFrame, docs: DataFrame, order: Order,
                     cols, pending = [[] for _ in range(7)], 0
             yield _segments(cols)
 
-    segments = texts.select("node", "roles", "text").mapInArrow(cut, "a long, salt int, f int, node long, hub boolean, n long, piece binary")
+    segments = texts.select("node", "roles", "text").mapInArrow(lean(cut), "a long, salt int, f int, node long, hub boolean, n long, piece binary")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, mine, n_mine, last = None, None, 0, None
@@ -352,7 +352,7 @@ def _overlaps(pairs: DataFrame, sets: DataFrame, docs: DataFrame, order: Order,
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "n_a", "b", "n_b", "part"])
 
     dealt = segments.repartition("a", "salt", "f").sortWithinPartitions("a", "salt", "f", F.desc("hub"), "node")
-    partial = dealt.mapInArrow(count, "a long, n_a long, b long, n_b long, part long")
+    partial = dealt.mapInArrow(lean(count), "a long, n_a long, b long, n_b long, part long")
     return partial.groupBy("a", "n_a", "b", "n_b").agg(F.sum("part").alias("common"))
 
 
@@ -429,7 +429,7 @@ def _across(mixed: DataFrame, roots: DataFrame, percent: int, nearest: bool) ->
         yield _pairs(set(_cross(pending, percent, nearest)))
 
     dealt = brief.union(members).union(visitors).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "visit")
-    return dealt.mapInArrow(compare, _PAIRS).distinct()
+    return dealt.mapInArrow(lean(compare), _PAIRS).distinct()
 
 
 def _small(df: DataFrame) -> DataFrame:

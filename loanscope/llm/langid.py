@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_texts, pieces
+from .common import byte_texts, lean, pieces
 
 TRAIN_DOCUMENTS, TRAIN_WORDS = 400, 3000
 WINDOW, EMBED, HIDDEN = 32, 12, 16
@@ -291,5 +291,5 @@ def predict(df: DataFrame, model: ByteGRU | None, text_col: str = "text", keep:
                                              names=[*batch.schema.names[:n], lang_pred, score])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:n]]
-    return source.mapInArrow(label, ", ".join([*fields, f"`{lang_pred}` string", f"`{score}` double"]))
+    return source.mapInArrow(lean(label), ", ".join([*fields, f"`{lang_pred}` string", f"`{score}` double"]))
 

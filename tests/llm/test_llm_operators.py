@@ -326,13 +326,13 @@ def test_language_cases(spark, docs):
 
 # --- 5 -----------------------------------------------------------------------
 
-def shingles(text):
+def shingles(text, words=4):
     w = raw(text).lower().split()
-    return {tuple(w[k:k + 4]) for k in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} if w else set()
+    return {tuple(w[k:k + words]) for k in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)} if w else set()
 
 
-def brute_components(rows, percent=85):
-    sets = [shingles(t) for _, t in rows]
+def brute_components(rows, percent=85, words=4):
+    sets = [shingles(t, words) for _, t in rows]
     root = list(range(len(rows)))
 
     def find(x):

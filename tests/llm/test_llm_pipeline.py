@@ -41,7 +41,7 @@ def test_run_equals_brute_force(spark):
     docs = duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall()
     told = {r.doc_id: r for r in queries.op4_language(spark, SF).collect()}
     docs = [(i, t) for i, t in docs if told[i].lang_pred != "und" and told[i].score >= corpus_pipeline.MIN_LANGUAGE_SCORE]
-    root = {i: c for i, _, c in brute_components(docs)}
+    root = {i: c for i, _, c in brute_components(docs, corpus_pipeline.NEAR_PERCENT, corpus_pipeline.NEAR_WORDS)}
     docs = cut_repeats([(i, t) for i, t in docs if root[i] == i])
     items = [tiling.tokens_of([raw(t)])[0].tolist() for _, t in duckdb.sql(f"SELECT item_id, text FROM '{SF}/benchmark.parquet'").fetchall()]
     clean = []
