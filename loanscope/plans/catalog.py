@@ -399,6 +399,16 @@ def _driver_directions(spark, sf):
     return drivers.driver_directions(_driver_frame(spark, sf))
 
 
+@query("driver_gini")
+def _driver_gini(spark, sf):
+    return drivers.ranked_drivers(_driver_frame(spark, sf))
+
+
+@query("root_cause")
+def _root_cause(spark, sf):
+    return drivers.root_cause_report(loan_book(spark, sf).kept_book(), _driver_frame(spark, sf))
+
+
 @query("risk_tiers")
 def _risk_tiers(spark, sf):
     k = F.col("loan_key") % 9

@@ -10,6 +10,8 @@ from loanscope.operators.forecast import holt_grid
 from .book import pct, xr
 from .queries import SQL, register, rollup_ctes
 
+CRISIS_COLUMNS = ["crisis_default_rate", "post_crisis_default_rate", "crisis_recovery_rate", "post_crisis_recovery_rate",
+                  "crisis_loans", "post_crisis_loans", "default_rate_multiple"]
 RESOLVED = "loan_status IN ('Fully Paid', 'Charged Off', 'Default')"
 GRADE_CODE = "CASE grade WHEN 'A' THEN 1 WHEN 'B' THEN 2 WHEN 'C' THEN 3 WHEN 'D' THEN 4 WHEN 'E' THEN 5 " \
              "WHEN 'F' THEN 6 WHEN 'G' THEN 7 ELSE {d} END"
@@ -95,6 +97,30 @@ SELECT c.driver_key, c.correlation_with_default, i.driver_name, i.diagnostic_nar
 FROM ({" UNION ALL ".join(f"SELECT '{f}' AS driver_key, round(corr({f}, is_default), 4) AS correlation_with_default FROM df" for f in _FEATS)}) c
 JOIN (VALUES {_INFO}) i(driver_key, driver_name, diagnostic_narrative) ON c.driver_key = i.driver_key""", _DF)
 
+# ---- Gini gain per driver from bins ------------------------------------------------
+
+_BINNED = " UNION ALL ".join(f"""
+SELECT '{f}' AS driver_key, CASE WHEN {f} IS NULL THEN -1 ELSE ((CAST(round({f} * 100) AS BIGINT) - lo) * 32) // (hi - lo + 1) END AS bin, is_default
+FROM df, (SELECT min(CAST(round({f} * 100) AS BIGINT)) AS lo, max(CAST(round({f} * 100) AS BIGINT)) AS hi FROM df) b""" for f in _FEATS)
+_GINI = _DF + f""",
+bn AS ({_BINNED}),
+hg AS (SELECT driver_key, bin, COUNT(*) AS n, CAST(SUM(is_default) AS BIGINT) AS n1, COUNT(*) - CAST(SUM(is_default) AS BIGINT) AS n0 FROM bn GROUP BY ALL),
+gs AS (SELECT driver_key, SUM({xr('n1 * n1 + n0 * n0', 'n', 10)}) AS s, SUM(n) AS n, SUM(n1) AS n1, SUM(n0) AS n0 FROM hg GROUP BY driver_key),
+gg AS (SELECT driver_key, {xr('CAST(s AS DECIMAL(28,10)) * CAST(n AS BIGINT) - (n1 * n1 + n0 * n0)', 'n * n', 8)} AS gini_gain FROM gs),
+gr AS (SELECT g.*, CAST({xr('CAST(gini_gain AS DECIMAL(20,8))', 'CAST(tot AS DECIMAL(20,8))', 2, 100)} AS DOUBLE) AS gini_share_pct,
+    row_number() OVER (ORDER BY gini_gain DESC, g.driver_key) AS rank FROM gg g, (SELECT SUM(gini_gain) AS tot FROM gg) t),
+dr AS (SELECT g.rank, g.driver_key, i.driver_name, CAST(g.gini_gain AS DOUBLE) AS gini_gain, g.gini_share_pct, c.correlation_with_default,
+    CASE WHEN coalesce(c.correlation_with_default, 0) >= 0 THEN 'Positive (+)' ELSE 'Negative (-)' END AS direction, i.diagnostic_narrative
+  FROM gr g JOIN ({" UNION ALL ".join(f"SELECT '{f}' AS driver_key, round(corr({f}, is_default), 4) AS correlation_with_default FROM df" for f in _FEATS)}) c
+    ON c.driver_key = g.driver_key JOIN (VALUES {_INFO}) i(driver_key, driver_name, diagnostic_narrative) ON i.driver_key = g.driver_key)"""
+register("driver_gini", "SELECT * FROM dr", _GINI)
+
+_CRISIS = SQL["crisis_analysis"]
+register("root_cause", f"""
+SELECT 'driver' AS section, rank, driver_name AS item, gini_gain AS value, diagnostic_narrative AS note FROM dr
+UNION ALL SELECT 'crisis', 0, item, value, NULL FROM (
+  UNPIVOT (SELECT {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in CRISIS_COLUMNS)} FROM ({_CRISIS}) c0) ON {', '.join(CRISIS_COLUMNS)} INTO NAME item VALUE value)""", _GINI)
+
 _EDGES = (4.996, 5.0, 11.996, 12.0, 21.996, 22.0, 34.996, 35.0)
 
 
