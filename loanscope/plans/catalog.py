@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..session import materialize, new_folder
-from ..operators import classifier, crisis, drivers, forecast, increments, kpis, scorecard, star, sweeps, trends, validate, whatif
+from ..operators import classifier, crisis, drivers, forecast, increments, kpis, scorecard, star, sweeps, treetable, trends, validate, whatif
+from ..sources.store import inputs_digest
 from .book import loan_book
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -440,8 +441,8 @@ _MODELS: dict[tuple, classifier.ClassifierBundle] = {}
 
 
 def _model(spark, sf) -> classifier.ClassifierBundle:
-    """The default classifier of the tables in ``sf``, trained once per session."""
-    key = (spark.sparkContext.applicationId, sf)
+    """The default classifier of the tables in ``sf``, trained once per session and state of their files."""
+    key = (spark.sparkContext.applicationId, inputs_digest(spark, loan_book(spark, sf).inputs()))
     if key not in _MODELS:
         feats = materialize(classifier.loan_features(loan_book(spark, sf).loans_with_borrowers()), "loan-features")
         _MODELS[key] = classifier.train_default_classifier(feats)
@@ -459,6 +460,18 @@ def _default_scores(spark, sf):
         "loan_id", "default_probability_pct", "risk_tier", "underwriting_recommendation")
 
 
+@query("tabled_model_scores")
+def _tabled_model_scores(spark, sf):
+    """Every loan scored by the small fixed model, from its table."""
+    path = new_folder(spark, "tree-table")
+    treetable.save_model(spark, treetable.SMALL_MODEL, path)
+    apps = loan_book(spark, sf).loans_with_borrowers().select(
+        "loan_id", "loan_amnt", "term", "int_rate", "installment", "grade", "annual_inc", "dti",
+        "fico_range_low", "revol_util", "open_acc", "verification_status", "home_ownership")
+    return treetable.score_loans(treetable.load_model(spark, path), apps).select(
+        "loan_id", "default_probability_pct", "risk_tier", "underwriting_recommendation")
+
+
 @query("classifier_metrics")
 def _classifier_metrics(spark, sf):
     return _model(spark, sf).metrics

@@ -133,6 +133,14 @@ SELECT loan_id, round(pct, 2) AS default_probability_pct, {_tier(1)} AS risk_tie
 FROM (SELECT loan_id, CASE loan_key % 9 {" ".join(f"WHEN {i} THEN CAST('{v}' AS DOUBLE)" for i, v in enumerate(_EDGES))}
         ELSE CAST(int_rate AS DOUBLE) * 2 END AS pct FROM loans_b) t""")
 
+register("tabled_model_scores", f"""
+SELECT loan_id, round(pct, 2) AS default_probability_pct, {_tier(1)} AS risk_tier, {_tier(2)} AS underwriting_recommendation
+FROM (SELECT loan_id, 100.0 / (1.0 + exp(-2.0 * (
+    CASE WHEN CAST(int_rate AS DOUBLE) > 13 THEN CAST(-0.35 AS DOUBLE) WHEN fico_range_low > 655 THEN -0.95 ELSE -0.55 END
+    + CAST(0.1 AS DOUBLE) * CASE WHEN dti <= 24.5 THEN CAST(-0.8 AS DOUBLE) WHEN ln(1.0 + greatest(CAST(annual_inc AS DOUBLE), 1000.0)) <= 11 THEN 1.3 ELSE 0.25 END
+    + CAST(0.1 AS DOUBLE) * CASE WHEN verification_status <> 'Not Verified' THEN CAST(-0.2 AS DOUBLE) WHEN term_months <= 36 THEN 0.4 ELSE 1.1 END))) AS pct
+  FROM lb) t""")
+
 _GAPS = {"int_rate": 5, "annual_inc": 7, "fico_range_low": 4}
 register("score_request_defaults", f"""
 SELECT loan_id, CASE WHEN loan_key % 3 <> 0 THEN grade ELSE '{SCORE_DEFAULTS['grade']}' END AS grade,

@@ -113,3 +113,61 @@ def test_sample_and_split_take_null_keys(spark):
         assert sample_rows(df, n).count() == min(n, 90)
     split = split_flag(df)
     assert split.count() == 90 and split.where("split = 'test'").count() == 18
+
+
+def test_tabled_model_equals_the_model(spark, book):
+    from loanscope.operators import classifier, treetable
+    from loanscope.session import new_folder
+    features = classifier.loan_features(book.loans_with_borrowers()).cache()
+    bundle = classifier.train_default_classifier(features, max_iter=7, max_depth=3)
+    nodes = treetable.model_nodes(bundle.model)
+    assert len({n.tree for n in nodes}) == 7 and max(n.node for n in nodes) > 4
+    path = new_folder(spark, "model")
+    treetable.save_model(spark, nodes, path)
+    loaded = treetable.load_model(spark, path)
+    assert loaded == nodes
+    want = {r.loan_id: r.probability_default for r in classifier.score_frame(bundle.model, features).collect()}
+    got = {r.loan_id: r.probability_default for r in treetable.score_table(loaded, features).collect()}
+    assert want.keys() == got.keys() and len(set(want.values())) > 5
+    assert max(abs(want[k] - got[k]) for k in want) < 1e-12
+    # requests with missing fields, and in SQL
+    asked = book.loans_with_borrowers().select("loan_id", "int_rate", "grade")
+    a = classifier.score_loans(bundle.model, asked).select("loan_id", "default_probability_pct", "risk_tier").collect()
+    b = treetable.score_loans(loaded, asked).select("loan_id", "default_probability_pct", "risk_tier").collect()
+    assert sorted(a) == sorted(b)
+    features.createOrReplaceTempView("tabled_features")
+    s = spark.sql(f"SELECT loan_id, 1 / (1 + exp(-2 * {treetable.margin_sql(loaded)})) AS p FROM tabled_features").collect()
+    assert all(abs(r.p - want[r.loan_id]) < 1e-12 for r in s)
+
+
+def test_tabled_model_of_many_trees_runs(spark):
+    from loanscope.operators import treetable
+    nodes = [n._replace(tree=n.tree + 3 * k) for k in range(60) for n in treetable.SMALL_MODEL]
+    df = spark.range(50).selectExpr("CAST(id AS double) AS int_rate", "600.0D + id AS fico_range_low", "id * 1.0D AS dti", "10.0D + id / 20 AS annual_inc",
+                                    "id % 2 * 1.0D AS is_unverified", "36.0D + id % 3 * 12 AS term_months")
+    one = {r.int_rate: r.m for r in df.selectExpr("int_rate", f"{treetable.margin_sql(treetable.SMALL_MODEL)} AS m").collect()}
+    for r in df.selectExpr("int_rate", f"{treetable.margin_sql(nodes)} AS m").collect():
+        assert abs(r.m - 60 * one[r.int_rate]) < 1e-9
+
+
+def test_gini_gain_equals_the_definition(spark):
+    from fractions import Fraction
+
+    from loanscope.operators import drivers
+    rows = [(float(i % 4 == 0 or i % 7 == 3), *[None if (i + j) % 13 == 0 else float((i * (j + 3)) % (5 + 11 * j)) / 4 for j in range(10)]) for i in range(300)]
+    frame = spark.createDataFrame(rows, "is_default double, " + ", ".join(f"{c} double" for c in drivers.DRIVER_FEATURES))
+    got = {r.driver_key: r for r in drivers.driver_gini(frame).collect()}
+    want = {}
+    for j, c in enumerate(drivers.DRIVER_FEATURES):
+        cents = [None if r[j + 1] is None else round(r[j + 1] * 100) for r in rows]
+        known = [x for x in cents if x is not None]
+        lo, hi = min(known), max(known)
+        bins = {}
+        for x, r in zip(cents, rows):
+            bins.setdefault(-1 if x is None else (x - lo) * 32 // (hi - lo + 1), []).append(r[0])
+        impurity = lambda ys: 1 - sum(Fraction(ys.count(v), len(ys)) ** 2 for v in (0.0, 1.0))
+        want[c] = impurity([r[0] for r in rows]) - sum(Fraction(len(b), len(rows)) * impurity(b) for b in bins.values())
+    for c, w in want.items():
+        assert abs(float(got[c].gini_gain) - float(w)) < 1e-7
+    assert [c for c, _ in sorted(got.items(), key=lambda x: x[1]["rank"])] == sorted(want, key=lambda c: (-got[c].gini_gain, c))
+    assert abs(sum(float(r.gini_share_pct) for r in got.values()) - 100) < 0.1
