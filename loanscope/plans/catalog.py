@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..session import materialize, new_folder
 from ..operators import classifier, crisis, drivers, forecast, increments, kpis, scorecard, star, sweeps, treetable, trends, validate, whatif
-from ..sources.store import inputs_digest
+from ..sources.store import Store, inputs_digest
 from .book import loan_book
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -279,11 +279,20 @@ def _cleaned(df):
                           ints=[c for c in ("issue_year", "is_default", "is_delinquent", "is_fully_funded") if c in df.columns])
 
 
-def _etl_tables(spark, sf):
+def _raw_rows(spark, sf):
+    """The raw rows with faults, in files ordered by position, as a stand-in for delivered files."""
     from .book import dirty_raw_rows
-    from .etl import etl
-    from ..sources.raw import valid_rows
-    return etl(valid_rows(dirty_raw_rows(loan_book(spark, sf).book())), order_by=["_pos"])
+    book = loan_book(spark, sf)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return Store(spark).table("raw_rows", book.inputs(), lambda: dirty_raw_rows(book.book()).repartitionByRange(n, "_pos").sortWithinPartitions("_pos"))
+
+
+def _etl_tables(spark, sf):
+    """The three tables; the cleaned rows are written once for all of them."""
+    from .etl import FILES, clean_loans, tables_of
+    from ..sources.raw import valid_rows, with_place
+    wide = lambda: clean_loans(valid_rows(with_place(_raw_rows(spark, sf))), order_by=FILES)
+    return tables_of(Store(spark).table("etl_wide", loan_book(spark, sf).inputs(), wide))
 
 
 @query("etl_loans")
@@ -303,9 +312,8 @@ def _etl_payments(spark, sf):
 
 @query("rejected_rows")
 def _rejected_rows(spark, sf):
-    from .book import dirty_raw_rows
     from ..sources.raw import rejected_rows
-    return rejected_rows(dirty_raw_rows(loan_book(spark, sf).book())).select(F.col("_pos").alias("position"), "id", "loan_amnt", "issue_d", "reason")
+    return rejected_rows(_raw_rows(spark, sf)).select(F.col("_pos").alias("position"), "id", "loan_amnt", "issue_d", "reason")
 
 
 def _batched_sums(spark, sf):

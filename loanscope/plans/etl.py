@@ -1,8 +1,8 @@
 """ETL from merged raw loan rows to borrowers, loans and payments (OP1).
 
-Narrow projections; the only extra jobs are the dense row-position ids (rows
-written in ranges, a count per range, offsets joined back), which the
-reference's ``BRW_%07d`` / ``LN_%07d`` ids need.
+Narrow projections; the only extra job is for the dense row-position ids that
+the reference's ``BRW_%07d`` / ``LN_%07d`` need: a count per split of the files,
+or rows written in ranges where another order is asked for.
 """
 
 from __future__ import annotations
@@ -52,6 +52,23 @@ def dense_row_index(df: DataFrame, order_by: list[str], name: str = "row_no", st
     return out.withColumn(name, F.coalesce("_off", F.lit(0)) + local + start).drop("_pid", "_mid", "_off")
 
 
+def file_row_index(df: DataFrame, name: str = "row_no", start: int = 1) -> DataFrame:
+    """Add a dense 1..N row position in file order, without moving or writing rows.
+
+    ``df`` has the columns ``_file`` and ``_start`` of its rows' splits (``raw.with_place``) and only
+    narrow steps since the scan, so a split's rows are neighbours of one task. A count per split
+    and its prefix sum give each split its offset; a row adds its distance from the split's
+    first row. The offsets, a row per split of the input, are broadcast.
+    """
+    tagged = df.withColumn("_mid", F.monotonically_increasing_id())
+    counts = tagged.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    # one row per split: the ordered window runs over splits, not rows
+    before = F.sum("_n").over(Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(F.col("_file").alias("_f"), F.col("_start").alias("_s"), "_first", F.coalesce(before, F.lit(0)).alias("_off"))
+    placed = tagged.join(F.broadcast(offsets), (F.col("_file") == F.col("_f")) & (F.col("_start") == F.col("_s")))
+    return placed.withColumn(name, F.col("_off") + F.col("_mid") - F.col("_first") + start).drop("_mid", "_f", "_s", "_first", "_off")
+
+
 def _blank_to_null(c: Column) -> Column:
     return F.when(F.trim(c) != "", c)
 
@@ -68,12 +85,16 @@ class Tables:
     wide: DataFrame
 
 
-def clean_loans(raw: DataFrame, order_by: list[str] | None = None) -> DataFrame:
+#: ``order_by`` of rows as their files hold them.
+FILES = "files"
+
+
+def clean_loans(raw: DataFrame, order_by: list[str] | str | None = None) -> DataFrame:
     """PRJ3-PRJ11 + FLT2 on merged raw rows: one wide, cleaned row per loan.
 
-    Generated ids number the rows that are left: densely in the order of ``order_by``
-    (columns of ``raw``), or, without it, by a stable hash of the row (as ``BRW_`` and
-    16 hex digits), which needs no pass of its own.
+    Generated ids number the rows that are left: in file order (``FILES``, for rows read with
+    their places), in the order of the columns ``order_by``, or, without it, by a stable
+    hash of the row (as ``BRW_`` and 16 hex digits), which needs no pass of its own.
     """
     issue = X.parse_issue_date(F.col("issue_d"))
     df = raw.withColumn("issue_date", issue).where(F.col("issue_date").isNotNull())
@@ -92,7 +113,7 @@ def clean_loans(raw: DataFrame, order_by: list[str] | None = None) -> DataFrame:
         fico = F.coalesce(F.nanvl(given, F.lit(None).cast("double")), fico)
     df = df.withColumns({"fico_range_low": fico, "fico_range_high": fico + 4})
     if order_by:
-        df = dense_row_index(df, order_by, "_row")
+        df = file_row_index(df, "_row") if order_by == FILES else dense_row_index(df, order_by, "_row")
         pos = F.format_string("%07d", F.col("_row"))
     else:
         pos = F.lpad(F.hex(F.xxhash64(*[F.col(c) for c in raw.columns])), 16, "0")
@@ -125,10 +146,15 @@ def clean_loans(raw: DataFrame, order_by: list[str] | None = None) -> DataFrame:
         "emp_length": _text("emp_length", "n/a"),
         "last_pymnt_d": _blank_to_null(F.col("last_pymnt_d")) if "last_pymnt_d" in raw.columns else F.lit(None).cast("string"),
     })
-    return df.drop("_row")
+    return df.drop("_row", "_file", "_start")
+
+
+def tables_of(wide: DataFrame) -> Tables:
+    """The three tables of cleaned rows with unique ids."""
+    return Tables(wide.select(*BORROWER_COLUMNS), wide.select(*LOAN_COLUMNS), wide.select(*PAYMENT_COLUMNS), wide)
 
 
-def etl(raw: DataFrame, order_by: list[str] | None = None) -> Tables:
+def etl(raw: DataFrame, order_by: list[str] | str | None = None) -> Tables:
     """OP1 / SET3: borrowers, loans and payments tables from merged raw rows.
 
     Dense ids are unique by construction; hashed ids repeat where whole rows repeat, and

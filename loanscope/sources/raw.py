@@ -96,12 +96,18 @@ def _num_text(c: Column, chars: str) -> Column:
     return F.trim(F.regexp_replace(c, f"[{chars}]", ""))
 
 
-def read_raw_files(spark: SparkSession, paths: list[str], header: list[str], multiline: bool = False) -> DataFrame:
+def with_place(df: DataFrame) -> DataFrame:
+    """A scan with ``_file`` and ``_start`` of each row's split, for positions in file order."""
+    return df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+
+
+def read_raw_files(spark: SparkSession, paths: list[str], header: list[str], multiline: bool = False, places: bool = False) -> DataFrame:
     """Files of one header aligned to TARGET_COLUMNS (all strings, absent -> empty)."""
     n = max(len(header), MIN_FIELDS)
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(n)])
     df = (spark.read.schema(schema).options(**DIALECT).option("header", False).option("mode", "PERMISSIVE")
           .option("multiLine", multiline).csv(paths))
+    df = with_place(df) if places else df
     pos = {c.lower(): i for i, c in enumerate(header)}
     cols = []
     for t in TARGET_COLUMNS:
@@ -109,7 +115,7 @@ def read_raw_files(spark: SparkSession, paths: list[str], header: list[str], mul
         cols.append((strip_cell(F.coalesce(F.col(f"_c{i}"), F.lit(""))) if i is not None else F.lit("")).alias(t))
     # a row needs at least MIN_FIELDS cells: something at position >= MIN_FIELDS-1
     tail = F.coalesce(*[F.col(f"_c{i}") for i in range(MIN_FIELDS - 1, n)])
-    return df.where(tail.isNotNull()).select(*cols)
+    return df.where(tail.isNotNull()).select(*cols, *(["_file", "_start"] if places else []))
 
 
 def _validity() -> tuple[Column, Column, Column]:
@@ -139,18 +145,19 @@ def rejected_rows(df: DataFrame) -> DataFrame:
     return df.withColumn("reason", reason).where(F.col("reason").isNotNull())
 
 
-def read_raw_loans(spark: SparkSession, paths, multiline: bool | None = None) -> DataFrame:
+def read_raw_loans(spark: SparkSession, paths, multiline: bool | None = None, places: bool = False) -> DataFrame:
     """SRC1 + SET1 + FLT1: merged, validated raw loan rows from several CSV files.
 
     Files of equal headers are read together, so the plan has at most two branches per
     distinct header: files with line ends inside quoted cells are read whole, all others are
-    split. ``multiline`` sets the way of reading for all files. Files without a line have no rows.
+    split. ``multiline`` sets the way of reading for all files; ``places`` keeps the rows' splits for
+    positions in file order. Files without a line have no rows.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    frames = [read_raw_files(spark, list(x.paths), list(x.header), x.multiline if multiline is None else multiline)
+    frames = [read_raw_files(spark, list(x.paths), list(x.header), x.multiline if multiline is None else multiline, places)
               for x in raw_layouts(spark, paths)]
     if not frames:
-        return spark.createDataFrame([], ", ".join(f"{c} string" for c in TARGET_COLUMNS))
+        return spark.createDataFrame([], ", ".join(f"{c} string" for c in TARGET_COLUMNS) + (", _file string, _start long" if places else ""))
     return valid_rows(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames))
 
 

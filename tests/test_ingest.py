@@ -159,3 +159,35 @@ def test_first_two_lines_of_files_of_many_splits(spark):
         assert read_raw_loans(spark, paths).count() == 3002
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_positions_in_file_order_move_no_rows(spark):
+    from loanscope.plans.etl import FILES, clean_loans, file_row_index
+    from loanscope.sources.raw import with_place
+    tmp = tempfile.mkdtemp(prefix="loanscope-order-")
+    head, n = "id,loan_amnt,int_rate,issue_d,loan_status,grade\n", 4000
+    # every fifth row is dropped by the filters; ids of every seventh are missing
+    row = lambda k: f"{'' if k % 7 == 0 else f'R{k}'},{1000 + k},10%,{'Dec-2011' if k % 5 else 'x'},Current,{'ABCDEFG'[k % 7]}\n"
+    cuts = [0, 700, 701, 2500, n]
+    paths = [write(tmp, f"{i}.csv", head + "".join(map(row, range(a, b)))) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    paths.append(write(tmp, "9.csv", head + '9000,7777,10%,Dec-2011,"Cur\nrent",A\n'))
+    want = [1000 + k for k in range(n) if k % 5] + [7777]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("8192", "134217728"):  # many splits of a file, many files of a task
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            raw = read_raw_loans(spark, paths[::-1], places=True)
+            wide = clean_loans(raw, order_by=FILES)
+            got = {int(r.borrower_id[4:]): int(r.loan_amnt) for r in wide.select("borrower_id", "loan_amnt").collect()}
+            assert got == {i + 1: v for i, v in enumerate(want)}, size
+            named = {r.loan_id for r in wide.select("loan_id").collect()}
+            assert f"LN_{want.index(1007) + 1:07d}" in named and "R1" in named
+            plan = wide._jdf.queryExecution().executedPlan().toString()
+            assert "rangepartitioning" not in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    # a Parquet scan, and an empty one
+    spark.range(100).repartition(4).write.parquet(f"{tmp}/p")
+    index = file_row_index(with_place(spark.read.parquet(f"{tmp}/p")))
+    assert sorted(r.row_no for r in index.collect()) == list(range(1, 101)) and index.columns == ["id", "_file", "_start", "row_no"]
+    assert file_row_index(with_place(spark.read.parquet(f"{tmp}/p").where("id < 0"))).count() == 0
