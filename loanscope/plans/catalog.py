@@ -574,7 +574,10 @@ def _star_report_full(spark, sf):
 
 @query("cohort_matrix_wide")
 def _cohort_matrix_wide(spark, sf):
-    return star.cohort_matrix(loan_book(spark, sf).kept_book(), years=list(range(1992, 1999)))
+    book = loan_book(spark, sf).kept_book()
+    # issue years number tens
+    years = sorted(r[0] for r in book.select("issue_year").where("issue_year IS NOT NULL").distinct().collect())
+    return star.cohort_matrix(book, years=years)
 
 
 @query("kpi_scorecard_window")

@@ -217,11 +217,7 @@ LEFT JOIN (VALUES {_GRADES}) d(grade, grade_name, risk_tier, subprime_flag) ON f
 GROUP BY year(issue_date), coalesce(g.region, 'Other'), d.risk_tier, lower(verification_status)""")
 
 
-def _year(y: int) -> str:
-    here = f"issue_year = {y}"
-    rate = _div(f"SUM(CASE WHEN {here} THEN is_default END)", f"COUNT(CASE WHEN {here} THEN 1 END)", 0)
-    return (f'CAST(CASE WHEN COUNT(CASE WHEN {here} THEN 1 END) > 0 THEN {rate} END AS DOUBLE) AS "{y}_default_rate", '
-            f'CAST(SUM(CASE WHEN {here} THEN charged_off_principal END) AS DOUBLE) AS "{y}_gross_charged_off_principal"')
-
-
-register("cohort_matrix_wide", f"SELECT grade, home_ownership, {', '.join(map(_year, range(1992, 1999)))} FROM book GROUP BY grade, home_ownership")
+register("cohort_matrix_wide", """
+SELECT * FROM (PIVOT cm ON issue_year USING first(default_rate) AS default_rate, first(loss) AS gross_charged_off_principal GROUP BY grade, home_ownership)""", f"""
+cm AS (SELECT grade, home_ownership, issue_year, CAST({_div('SUM(is_default)', 'COUNT(*)', 0)} AS DOUBLE) AS default_rate,
+    CAST(SUM(charged_off_principal) AS DOUBLE) AS loss FROM book GROUP BY grade, home_ownership, issue_year)""")
