@@ -1,7 +1,7 @@
 """Default-driver ranking (OP10, AGG14) and the root-cause bundle (OP11).
 
 Correlations are ten ``corr`` aggregates in one pass. Categorical codes are
-alphabetical indices of the distinct values, found by one small aggregate.
+alphabetical indices of the distinct values, numbered as a small table.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..plans.etl import dense_row_index
 from .classifier import resolved, sample_rows
 from .crisis import crisis_analysis
 
@@ -45,16 +46,24 @@ NARRATIVES = {
 # --------------------------------------------------------------------------
 
 
-def _codes(df: DataFrame, columns: list[str]) -> dict:
-    """0-based alphabetical codes of text columns (label encoding) as expressions.
+def with_codes(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """PRJ15: ``df`` with 0-based alphabetical codes of text columns (label encoding), by new name.
 
-    The distinct labels (NULL is the label ``None``) come from one small aggregate;
-    a row's code is its place in that literal array, so no join meets a hot label.
+    The distinct labels of all columns (NULL is the label ``None``) are numbered together in
+    ranges, so any number of them stays off the driver, the plan and a single task. Labels
+    meet their rows by a join that is broadcast once their measured size is small and whose
+    hot labels are split otherwise.
     """
     text = {c: F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in columns}
-    found = df.agg(*[F.sort_array(F.collect_set(t)).alias(c) for c, t in text.items()]).first()
-    return {c: (F.array_position(F.array(*[F.lit(v) for v in found[c]]), t) - 1).cast("double") if found[c] else F.lit(None).cast("double")
-            for c, t in text.items()}
+    pairs = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("_col"), t.alias("_label")) for c, t in text.items()]))).distinct()
+    numbered = dense_row_index(pairs, ["_col", "_label"], "_no")
+    first = numbered.groupBy("_col").agg(F.min("_no").alias("_first"))
+    # one row per column
+    codes = numbered.join(F.broadcast(first), "_col").select("_col", "_label", (F.col("_no") - F.col("_first")).cast("double").alias("_code"))
+    for c, name in columns.items():
+        mine = codes.where(F.col("_col") == c).select("_label", F.col("_code").alias(name))
+        df = df.join(mine, text[c] == F.col("_label"), "left").drop("_label")
+    return df
 
 
 def driver_frame(loans_borrowers: DataFrame, sample: int | None = None, seed: int = 42) -> DataFrame:
@@ -70,8 +79,7 @@ def driver_frame(loans_borrowers: DataFrame, sample: int | None = None, seed: in
         d("annual_inc").alias("annual_inc"), d("revol_util").alias("revol_util"), d("loan_amnt").alias("loan_amnt"),
         X.unverified_flag(F.col("verification_status")).cast("double").alias("is_unverified"),
         "home_ownership", "purpose")
-    codes = _codes(df, ["home_ownership", "purpose"])
-    return df.withColumns({"home_encoded": codes["home_ownership"], "purpose_encoded": codes["purpose"]})
+    return with_codes(df, {"home_ownership": "home_encoded", "purpose": "purpose_encoded"})
 
 
 def driver_correlations(frame: DataFrame) -> DataFrame:

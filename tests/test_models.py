@@ -55,9 +55,17 @@ def test_tiers_are_cut_on_the_raw_percent(spark):
 def test_missing_categories_are_a_category(spark):
     from loanscope.operators import drivers
     df = spark.createDataFrame([("OWN", "a"), (None, "b"), ("RENT", None), ("MORTGAGE", "a")], "home_ownership string, purpose string")
-    codes = drivers._codes(df, ["home_ownership", "purpose"])
-    got = df.select(codes["home_ownership"].alias("h"), codes["purpose"].alias("p")).collect()
-    assert [(r.h, r.p) for r in got] == [(2.0, 1.0), (1.0, 2.0), (3.0, 0.0), (0.0, 1.0)]  # MORTGAGE, None, OWN, RENT
+    got = drivers.with_codes(df, {"home_ownership": "h", "purpose": "p"}).collect()
+    # MORTGAGE, None, OWN, RENT
+    assert {(r.home_ownership, r.purpose, r.h, r.p) for r in got} == {("OWN", "a", 2, 1), (None, "b", 1, 2), ("RENT", None, 3, 0), ("MORTGAGE", "a", 0, 1)}
+
+
+def test_codes_of_many_labels_stay_out_of_the_plan(spark):
+    from loanscope.operators import drivers
+    df = spark.range(5000).select(F.format_string("label %05d", F.col("id") % 2500).alias("purpose"), F.lit("x").alias("home_ownership"))
+    out = drivers.with_codes(df, {"purpose": "p", "home_ownership": "h"})
+    assert "label 00017" not in out._jdf.queryExecution().toString()
+    assert all(r.p == int(r.purpose[6:]) and r.h == 0 for r in out.collect())
 
 
 def test_classifier_learns_a_separable_rule(spark):
