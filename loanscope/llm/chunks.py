@@ -25,6 +25,10 @@ _SYMBOLS = byte_symbols()
 _LATIN = {c: "".join(_SYMBOLS[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 
 
+#: Chunks that a file must split as above.
+_PROBES = ("don't", "AB12cd", "x_y-z", "ÀÉßé", "it's9!?", "1,234.5")
+
+
 class ChunkWords:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -34,8 +38,14 @@ class ChunkWords:
             self.spec = json.load(f)
         self.added: dict[str, int] = {t["content"]: t["id"] for t in self.spec["added_tokens"]}
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
+        if self.lib.normalizer is None or self.lib.pre_tokenizer is None:
+            raise ValueError(f"{path}: words are split at white space and lower-cased here, but the file has no such rules")
         self._normalize, self._split = self.lib.normalizer.normalize_str, self.lib.pre_tokenizer.pre_tokenize_str
 
+        for probe in _PROBES:
+            if self.words(probe) != [w for w, _ in self._split(self._normalize(probe))]:
+                raise ValueError(f"{path}: its words are not split as this module splits them ({probe})")
+
     def words(self, chunk: str) -> list[str]:
         """Words in byte symbols, and special tokens as they stand (they are keys of ``added``)."""
         if _PLAIN.fullmatch(chunk) and "<|" not in chunk:  # no character that normalisation would change but for case

@@ -267,8 +267,8 @@ class Pool:
 
 def predict(df: DataFrame, model: ByteGRU | None, text_col: str = "text", keep: list[str] | None = None,
             lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """The columns ``keep`` (default: all) with ``lang_pred`` and ``score`` added, row by row."""
-    keep = df.columns if keep is None else keep
+    """The columns ``keep`` (default: all but those called as the results) with ``lang_pred`` and ``score`` added, row by row."""
+    keep = [c for c in df.columns if c.lower() not in (lang_pred.lower(), score.lower())] if keep is None else keep
     kept = [F.col(f"`{c}`") for c in keep]
     # A text that is kept anyway is sent to the workers once.
     read = text_col if text_col in keep and df.schema[text_col].dataType.simpleString() == "string" else "__text"

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loanscope.session import materialize
+
 from .common import LOWER, byte_texts, id_and_text, mix64, pieces, span_hashes, spans
 
 MIN_MATCH, THRESHOLD = 5, 0.6
@@ -174,10 +176,17 @@ _ITEMS_DDL = "array<struct<item_id: bigint, coverage: double, tiles: array<struc
 
 def _passes(source: DataFrame, kept: list[str], benchmark: DataFrame, threshold: float, item_col: str, item_text_col: str,
             keep_text: bool = False) -> DataFrame:
-    """One chained pass over ``source`` (columns ``kept`` and ``text``) per slice; each adds its items."""
+    """One pass over ``source`` (columns ``kept`` and ``text``) per slice; each adds its items.
+
+    A pass is written before the next begins, so that one slice and one worker per task are in memory at a time.
+    """
     spark = source.sparkSession
     out = source.select(*kept, "text", F.expr(f"CAST(array() AS {_ITEMS_DDL})").alias("items"))
+    shared = None
     for ids, texts in _slices(benchmark, item_col, item_text_col):
+        if shared is not None:
+            out = materialize(out, "tiling-slice")
+            shared.unpersist()
         shared = spark.sparkContext.broadcast(Seeds(ids, texts))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -143,9 +143,8 @@ def write_tokens(df: DataFrame, tokenizer_path: str, folder: str, end_id: int =
         for batch in batches:
             if batch.num_rows and out is None:
                 fs, base = _file(folder)
-                name = f"{base}/shard-{part:06d}"
-                temp = f"{name}.{uuid.uuid4().hex}.tmp"
-                out = fs.open_output_stream(temp)
+                name = f"shard-{part:06d}-{uuid.uuid4().hex[:12]}"  # of this attempt; the manifest names the one that counts
+                out = fs.open_output_stream(f"{base}/{name}")
                 out.write(MAGIC + np.array([VERSION, width], "<u4").tobytes() + digest)
             for frame in batch.column("frame").to_pylist():
                 out.write(frame)
@@ -160,10 +159,7 @@ def write_tokens(df: DataFrame, tokenizer_path: str, folder: str, end_id: int =
             offsets[:-1].astype("<u8").tobytes(), np.array(counts, "<u8").tobytes(),
             np.array([len(ids), offsets[-1]], "<u8").tobytes(), MAGIC_END]))
         out.close()
-        if fs.get_file_info(name).type != pafs.FileType.NotFound:  # of an attempt that was lost after its move
-            fs.delete_file(name)
-        fs.move(temp, name)
-        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (part, f"shard-{part:06d}", len(ids), sum(counts), int(offsets[-1]))],
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (part, name, len(ids), sum(counts), int(offsets[-1]))],
                                          names=["part", "shard", "n_docs", "n_tokens", "n_bytes"])
 
     order = F.col("doc_id").asc_nulls_first()
@@ -178,9 +174,9 @@ class Shard:
 
     def __init__(self, folder: str, name: str):
         fs, base = _file(folder)
-        raw = _read_dictionary(folder)
         self.file = fs.open_input_file(f"{base}/{name}")
         head = self.file.read_at(HEAD, 0)
+        raw = _read_dictionary(folder, head[12:])
         n, at = np.frombuffer(self.file.read_at(20, self.file.size() - 20)[:16], "<u8").tolist()
         if head[:4] != MAGIC or head[12:] != sha256(raw).digest():
             raise ValueError(f"{name}: not a shard of this dictionary")
@@ -201,15 +197,16 @@ class Shard:
         return self.tokens(self.ids.index(doc_id)) if doc_id in self.ids else None
 
 
-_dictionaries = Memo(lambda folder: b"", 16)
+_dictionaries = Memo(lambda key: b"", 16)
 
 
-def _read_dictionary(folder: str) -> bytes:
-    if folder not in _dictionaries:
+def _read_dictionary(folder: str, digest: bytes) -> bytes:
+    """The folder's dictionary; one that a worker remembers counts only with the digest asked for."""
+    if (folder, digest) not in _dictionaries:
         fs, base = _file(folder)
         with fs.open_input_file(f"{base}/dictionary") as f:
-            _dictionaries[folder] = f.read()
-    return _dictionaries[folder]
+            _dictionaries[folder, digest] = f.read()
+    return _dictionaries[folder, digest]
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:

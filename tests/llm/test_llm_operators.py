@@ -552,3 +552,26 @@ def test_line_dedup_equals_its_sql(spark):
     duckdb.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
     want = duckdb.sql(lines.ORACLE)
     assert got(queries.op10_line_dedup(spark, SF), *want.columns) == sorted(want.fetchall(), key=repr)
+
+
+def test_files_with_other_word_rules_are_refused():
+    from loanscope.llm.chunks import ChunkWords
+    with pytest.raises(ValueError, match="byte_bpe_50k"):
+        ChunkWords(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_language_results_replace_columns_of_their_names(spark):
+    df = spark.createDataFrame([("hello there", 5, "x")], "text string, score int, lang_pred string")
+    out = langid.predict(df, None)
+    assert out.columns == ["text", "lang_pred", "score"] and out.first().score == 0.0
+
+
+def test_benchmark_slices_are_written_in_between(spark, monkeypatch):
+    texts = [f"w{k}a w{k}b w{k}c w{k}d w{k}e w{k}f w{k}g w{k}h" for k in range(12)]
+    bench = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    df = spark.createDataFrame([(k, f"start {t} end") for k, t in enumerate(texts)] + [(99, "clean words only")], "doc_id long, text string")
+    want = sorted(map(str, tiling.contaminated(df, bench).collect()))
+    monkeypatch.setattr(tiling, "SLICE_BYTES", 100)
+    out = tiling.contaminated(df, bench)
+    assert sorted(map(str, out.collect())) == want and out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sum(r.contaminated for r in out.collect()) == 12

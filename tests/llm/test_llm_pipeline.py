@@ -58,8 +58,8 @@ def test_run_equals_brute_force(spark):
 
 @pytest.mark.parametrize("rows", [ROWS, []])
 def test_stages_keep_columns_and_take_any_rows(spark, rows):
-    docs = spark.createDataFrame([(i, t, "en", "src", len(t or ""), i, "x") for i, t in rows],
-                                 "doc_id long, text string, lang string, source string, n_chars long, k long, root string").repartition(2)
+    docs = spark.createDataFrame([(i, t, "en", "src", len(t or ""), i, "x", i, 1, 2.0, "y") for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long, k long, root string, __k long, __h0 int, __score double, __blank string").repartition(2)
     n = len(rows)
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
     for name, stage in corpus_pipeline.STAGES[:-1]:
