@@ -29,10 +29,22 @@ MIN_LANGUAGE_SCORE = 0.3
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them until no column of ``docs`` is called so."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs.filter(fold_col("doc_id", 4) != 2))
-    told = langid.predict(docs, model, lang_pred="__lang", score="__score")
-    return told.filter((F.col("__lang") != langid.UNDETERMINED) & (F.col("__score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    lang, score = fresh(docs, "__lang", "__score")
+    told = langid.predict(docs, model, lang_pred=lang, score=score)
+    return told.filter((F.col(lang) != langid.UNDETERMINED) & (F.col(score) >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,10 +52,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     # One row of each component: the smallest id; sets without shingles are linked with nothing.
     order = Window.partitionBy("root").orderBy(F.col("doc_id").asc_nulls_last(), "h")
     linked = found.filter("root IS NOT NULL AND doc_id <=> component_id").withColumn("r", F.row_number().over(order)).filter("r = 1")
-    keep = linked.select(F.col("k").alias("__k"), F.col("h").alias("__h"))
-    keys = docs.withColumn("__k0", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("__h0", F.xxhash64(F.coalesce("text", F.lit(""))))
+    k, h, k0, h0 = fresh(docs, "__k", "__h", "__k0", "__h0")
+    keep = linked.select(F.col("k").alias(k), F.col("h").alias(h))
+    keys = docs.withColumn(k0, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn(h0, F.xxhash64(F.coalesce("text", F.lit(""))))
     # The join brings one row of each kept document, however often it is repeated.
-    once = keys.join(keep, (F.col("__k0") == F.col("__k")) & (F.col("__h0") == F.col("__h")), "left_semi").dropDuplicates(["__k0", "__h0"]).select(*docs.columns)
+    once = keys.join(keep, (F.col(k0) == F.col(k)) & (F.col(h0) == F.col(h)), "left_semi").dropDuplicates([k0, h0]).select(*docs.columns)
     empty = docs.filter(F.coalesce(F.col("text"), F.lit("")).rlike("^[\\x20\\x09-\\x0D]*$"))
     return once.union(empty.select(*docs.columns))
 
@@ -51,10 +64,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     blank = F.col("text").isNull()
     others = [c for c in docs.columns if c != "text"]
-    told = rindex.remove_repeats(docs.withColumn("__blank", blank), with_text=True, keep=[*others, "__blank"])
-    row = {c: F.col(f"row.c{i}") for i, c in enumerate([*others, "__blank"])}
+    (was,) = fresh(docs, "__blank")
+    told = rindex.remove_repeats(docs.withColumn(was, blank), with_text=True, keep=[*others, was])
+    row = {c: F.col(f"row.c{i}") for i, c in enumerate([*others, was])}
     changed = F.col("n_removed") > 0
-    fresh = {"text": F.when(~row["__blank"], F.col("kept"))}
+    fresh = {"text": F.when(~row[was], F.col("kept"))}
     if "n_chars" in row:
         fresh["n_chars"] = F.when(changed, F.length("kept")).otherwise(row["n_chars"]).cast(docs.schema["n_chars"].dataType)
     columns = [(fresh[c] if c in fresh else row[c]).alias(c) for c in docs.columns]
