@@ -72,3 +72,11 @@ SELECT CASE WHEN loan_key % 23 = 0 THEN '' ELSE 'L' || loan_id END AS id, CAST(l
   CASE WHEN verification_status = 'Verified' AND loan_key % 2 = 0 THEN 'VERIFIED - income' ELSE verification_status END AS verification_status,
   lower(addr_state) AS addr_state, CAST(dti AS VARCHAR) AS dti, CAST(recoveries AS VARCHAR) AS recoveries
 FROM book WHERE loan_key % 13 <> 0 AND loan_key % 17 <> 0""")
+
+register("etl_repeated_rows", f"""
+SELECT 'L' || loan_id AS loan_id, CAST(1 + CASE WHEN loan_key % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN loan_key % 9 = 0 THEN 1 ELSE 0 END AS BIGINT) AS deliveries,
+  emp_length, home_ownership, {_D('annual_inc')} AS annual_inc, verification_status, addr_state, {_D('dti')} AS dti,
+  CAST(CASE WHEN loan_key % 2 = 0 THEN 660 ELSE fico_range_low END AS DOUBLE) AS fico_range_low,
+  CAST(CASE WHEN loan_key % 2 = 0 THEN 664 ELSE fico_range_low + 4 END AS DOUBLE) AS fico_range_high,
+  {_D('open_acc')} AS open_acc, {_D('revol_bal')} AS revol_bal, {_D('revol_util')} AS revol_util, {_D('total_acc')} AS total_acc
+FROM book""")
