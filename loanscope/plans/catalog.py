@@ -586,6 +586,15 @@ def _star_report_full(spark, sf):
     return star.star_report_full(fact, star.dim_borrower(b.borrowers()), star.dim_date(fact), star.dim_geography(fact), star.dim_loan_grade(spark))
 
 
+@query("star_export_round_trip")
+def _star_export_round_trip(spark, sf):
+    """SNK3: the star tables as headed CSV folders; the fact table read back from its own."""
+    b, path = loan_book(spark, sf), new_folder(spark, "star")
+    tables = star.star_schema(b.kept_book(), b.borrowers())
+    star.export_star(tables, path)
+    return spark.read.schema(tables["fact_loans"].schema).option("header", True).csv(f"{path}/fact_loans")
+
+
 @query("cohort_matrix_wide")
 def _cohort_matrix_wide(spark, sf):
     book = loan_book(spark, sf).kept_book()

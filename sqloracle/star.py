@@ -5,7 +5,7 @@ from __future__ import annotations
 from loanscope.operators.star import GRADES, STATES
 
 from .book import xr
-from .queries import ROLLUP_COLS, cast_cols, register, rollup_ctes
+from .queries import ROLLUP_COLS, SQL, cast_cols, register, rollup_ctes
 
 register("monthly_kpi_calendar", f"""
 SELECT metric_month, {cast_cols([c for c in ROLLUP_COLS], ['total_applications'])}
@@ -221,3 +221,4 @@ register("cohort_matrix_wide", """
 SELECT * FROM (PIVOT cm ON issue_year USING first(default_rate) AS default_rate, first(loss) AS gross_charged_off_principal GROUP BY grade, home_ownership)""", f"""
 cm AS (SELECT grade, home_ownership, issue_year, CAST({_div('SUM(is_default)', 'COUNT(*)', 0)} AS DOUBLE) AS default_rate,
     CAST(SUM(charged_off_principal) AS DOUBLE) AS loss FROM book GROUP BY grade, home_ownership, issue_year)""")
+SQL["star_export_round_trip"] = SQL["fact_loans"]
