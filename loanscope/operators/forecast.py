@@ -193,13 +193,17 @@ def fitted_forecast(rollup: DataFrame, periods: int = 12, segment=None, min_poin
     """
     seg = _seg(segment)
     w = Window.partitionBy(*seg)
+    exact = lambda c: F.col(c).cast("decimal(24,4)")
     data = rollup.select(*seg, "metric_month", F.col("default_rate").cast("double").alias("r"), F.col("total_funded_volume").cast("double").alias("v"),
-                         (F.row_number().over(w.orderBy("metric_month")) - 1).cast("double").alias("x"),
+                         exact("default_rate").alias("rd"), exact("total_funded_volume").alias("vd"),
+                         (F.row_number().over(w.orderBy("metric_month")) - 1).cast("long").alias("x"),
                          F.row_number().over(w.orderBy(F.desc("metric_month"))).alias("back"))
     recent = F.col("back") <= 12
+    known = lambda c, x: F.sum(F.when(F.col(c).isNotNull(), x)).cast("decimal(14,0)")
     ordered = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("metric_month", c))), lambda x: x[c]).alias(f"{c}s")
-    per = lambda c: [ordered(c), F.stddev_pop(F.when(recent, F.col(c))).alias(f"{c}_std"), F.regr_slope(c, "x").alias(f"{c}_slope"),
-                     F.regr_intercept(c, "x").alias(f"{c}_icpt"), F.count(c).alias(f"{c}_n")]
+    per = lambda c: [ordered(c), F.stddev_pop(F.when(recent, F.col(c))).alias(f"{c}_std"), F.count(c).alias(f"{c}_n"),
+                     known(c, F.col("x")).alias(f"{c}_sx"), known(c, F.col("x") * F.col("x")).alias(f"{c}_sxx"),
+                     F.sum(f"{c}d").cast("decimal(24,4)").alias(f"{c}_sy"), F.sum(F.col(f"{c}d") * F.col("x")).cast("decimal(26,4)").alias(f"{c}_sxy")]
     series = data.groupBy(*seg).agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("metric_month").alias("last_month"), *per("r"), *per("v"))
     series = series.where(F.col("n") >= line_points)
     grid = X.lit_structs(holt_grid(), [("a", "double"), ("b", "double"), ("p", "double")])
@@ -215,7 +219,12 @@ def fitted_forecast(rollup: DataFrame, periods: int = 12, segment=None, min_poin
     steps = series.drop("rs", "vs").select("*", F.explode(F.sequence(F.lit(1), F.lit(periods))).alias("h"))
 
     def ahead(c):
-        line = F.col(f"{c}_icpt") + F.col(f"{c}_slope") * (F.col("n") - 1 + F.col("h"))
+        # the least-squares line at x, as one exact ratio of sums
+        n, sx, sxx, sy, sxy = (F.col(f"{c}_{k}") for k in ("n", "sx", "sxx", "sy", "sxy"))
+        n, x = n.cast("decimal(8,0)"), (F.col("n") - 1 + F.col("h")).cast("decimal(8,0)")
+        spread = (n * sxx - sx * sx).cast("decimal(14,0)")
+        top = sy * spread + (n * sxy - sx * sy).cast("decimal(28,4)") * (n * x - sx).cast("decimal(10,0)")
+        line = X.exact_ratio(top, n * spread, 6).cast("double")
         return F.when(F.col(f"{c}_holt"), _holt_ahead(f"{c}_fit")).otherwise(line)
 
     rate = F.least(F.greatest(ahead("r"), F.lit(RATE_CLIP[0])), F.lit(RATE_CLIP[1]))

@@ -258,13 +258,14 @@ def _fitted(seg: list[str], source: str, floor: str | None, rounds: int = 6, lea
     on = lambda a, b: " AND ".join(f"{a}.{c} = {b}.{c}" for c in segs)
     grid = ", ".join(f"(CAST('{a}' AS DOUBLE), CAST('{b}' AS DOUBLE), CAST('{p}' AS DOUBLE))" for a, b, p in holt_grid())
     ctes = [f"""h0 AS (SELECT {', '.join(seg) if seg else '1 AS one'}, metric_month, CAST(default_rate AS DOUBLE) AS r,
-    CAST(total_funded_volume AS DOUBLE) AS v FROM {source}),
+    CAST(total_funded_volume AS DOUBLE) AS v, CAST(default_rate AS DECIMAL(18,2)) AS rd, CAST(total_funded_volume AS DECIMAL(18,2)) AS vd FROM {source}),
 hs AS (SELECT *, lead(r) OVER ({part}ORDER BY metric_month) AS r2, lead(v) OVER ({part}ORDER BY metric_month) AS v2,
-    row_number() OVER ({part}ORDER BY metric_month) AS i, CAST(row_number() OVER ({part}ORDER BY metric_month) - 1 AS DOUBLE) AS x,
+    row_number() OVER ({part}ORDER BY metric_month) AS i, row_number() OVER ({part}ORDER BY metric_month) - 1 AS x,
     row_number() OVER ({part}ORDER BY metric_month DESC) AS back, count(*) OVER ({part.strip()}) AS n FROM h0)""",
         f"""hl AS (SELECT {segc}, max(n) AS n, max(metric_month) AS last_month,
     stddev_pop(CASE WHEN back <= 12 THEN r END) AS r_std, stddev_pop(CASE WHEN back <= 12 THEN v END) AS v_std,
-    regr_slope(r, x) AS r_slope, regr_intercept(r, x) AS r_icpt, regr_slope(v, x) AS v_slope, regr_intercept(v, x) AS v_icpt
+    CAST(sum(x) AS BIGINT) AS sx, CAST(sum(x * x) AS BIGINT) AS sxx, CAST(sum(rd) AS DECIMAL(28,2)) AS r_sy, CAST(sum(rd * x) AS DECIMAL(28,2)) AS r_sxy,
+    CAST(sum(vd) AS DECIMAL(28,2)) AS v_sy, CAST(sum(vd * x) AS DECIMAL(28,2)) AS v_sxy
   FROM hs GROUP BY {segc} HAVING max(n) >= 2)""", f"hg AS (SELECT * FROM (VALUES {grid}) g(a, b, p))",
         "mv AS (SELECT x.m AS ma, y.m AS mb, z.m AS mp FROM (VALUES (-1), (0), (1)) x(m), (VALUES (-1), (0), (1)) y(m), (VALUES (-1), (0), (1)) z(m))"]
     for y in "rv":
@@ -291,7 +292,8 @@ hs AS (SELECT *, lead(r) OVER ({part}ORDER BY metric_month) AS r2, lead(v) OVER
 
     def value(y: str) -> str:
         damp = f"list_sum(list_transform(range(1, h + 1), lambda j: pow({y}b{rounds}.p, j)))"
-        return f"CASE WHEN {y}b{rounds}.a IS NULL THEN {y}_icpt + {y}_slope * (n - 1 + h) ELSE {y}b{rounds}.l + {damp} * {y}b{rounds}.k END"
+        line = xr(f"{y}_sy * (n * sxx - sx * sx) + (n * {y}_sxy - sx * {y}_sy) * (n * (n - 1 + h) - sx)", "n * (n * sxx - sx * sx)", 6)
+        return f"CASE WHEN {y}b{rounds}.a IS NULL THEN CAST({line} AS DOUBLE) ELSE {y}b{rounds}.l + {damp} * {y}b{rounds}.k END"
 
     volume = f"greatest({value('v')}, {floor})" if floor else value("v")
     sql = f"""
