@@ -29,7 +29,7 @@ MIN_LANGUAGE_SCORE = 0.3
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
-def fresh(docs: DataFrame, *names: str) -> list[str]:
+def unused(docs: DataFrame, *names: str) -> list[str]:
     """The names, with underscores before them until no column of ``docs`` is called so."""
     taken = {c.lower() for c in docs.columns}
     out = []
@@ -42,7 +42,7 @@ def fresh(docs: DataFrame, *names: str) -> list[str]:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs.filter(fold_col("doc_id", 4) != 2))
-    lang, score = fresh(docs, "__lang", "__score")
+    lang, score = unused(docs, "__lang", "__score")
     told = langid.predict(docs, model, lang_pred=lang, score=score)
     return told.filter((F.col(lang) != langid.UNDETERMINED) & (F.col(score) >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
@@ -52,7 +52,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     # One row of each component: the smallest id; sets without shingles are linked with nothing.
     order = Window.partitionBy("root").orderBy(F.col("doc_id").asc_nulls_last(), "h")
     linked = found.filter("root IS NOT NULL AND doc_id <=> component_id").withColumn("r", F.row_number().over(order)).filter("r = 1")
-    k, h, k0, h0 = fresh(docs, "__k", "__h", "__k0", "__h0")
+    k, h, k0, h0 = unused(docs, "__k", "__h", "__k0", "__h0")
     keep = linked.select(F.col("k").alias(k), F.col("h").alias(h))
     keys = docs.withColumn(k0, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn(h0, F.xxhash64(F.coalesce("text", F.lit(""))))
     # The join brings one row of each kept document, however often it is repeated.
@@ -64,7 +64,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     blank = F.col("text").isNull()
     others = [c for c in docs.columns if c != "text"]
-    (was,) = fresh(docs, "__blank")
+    (was,) = unused(docs, "__blank")
     told = rindex.remove_repeats(docs.withColumn(was, blank), with_text=True, keep=[*others, was])
     row = {c: F.col(f"row.c{i}") for i, c in enumerate([*others, was])}
     changed = F.col("n_removed") > 0
