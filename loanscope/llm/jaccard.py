@@ -51,7 +51,7 @@ COMMON_WORDS, COMMON_SHINGLES = 2048, 1 << 20
 #: Members of a list that are handled together.
 LIST = 1024
 BLOCK = 1 << 20
-#: Bytes of the bitmaps that travel with every list member; pairs that pass meet the full ones.
+#: Least bytes of the bitmaps that travel with every list member; pairs that pass meet the full ones.
 SHORT_BITMAP = 64
 #: Document keys (24 bytes each) that may be broadcast to pick out their texts.
 BROADCAST_KEYS = 1 << 18
@@ -133,9 +133,9 @@ def bitmap(shingles: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def short(bits: bytes) -> bytes:
-    """A bitmap folded to at most ``SHORT_BITMAP`` bytes."""
-    return fold(np.frombuffer(bits, np.uint8), SHORT_BITMAP).tobytes()
+def short(bits: bytes, n: int) -> bytes:
+    """The bitmap of ``n`` shingles folded to about a bit per shingle: with fewer, long sets that share nothing would all pass."""
+    return fold(np.frombuffer(bits, np.uint8), max(SHORT_BITMAP, 1 << max(0, n - 1).bit_length() - 3 if n > 8 else 1)).tobytes()
 
 
 def fold(a: np.ndarray, size: int) -> np.ndarray:
@@ -199,7 +199,7 @@ def _sets(docs: DataFrame, order: Order, words: int, percent: int) -> DataFrame:
                 p = prefix_length(len(shingles), percent)
                 first = np.argpartition(rank, p - 1)[:p] if p < len(rank) else np.arange(len(rank))
                 bits.append(bitmap(shingles))
-                brief.append(short(bits[-1]))
+                brief.append(short(bits[-1], len(shingles)))
                 tokens.append(signed(shingles[first]))
                 salts.append(np.ceil(np.maximum(length[first], 1) / LIST).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
