@@ -471,6 +471,8 @@ def _cross(rows: list[tuple], percent: int, nearest: bool) -> list[tuple[int, in
 def link_classes(df: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Membership (``doc_id, k, h, n, sid, node``), links between classes (``a, b``) and their components (``node, root``).
 
+    The links span the components: a pair inside a component that other links already join
+    need not be among them.
     A class is known by the number of its first row, its ``node`` (null: no shingles).
     """
     docs = id_and_text(df, id_col, text_col).select(
