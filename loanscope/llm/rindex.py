@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_texts, id_and_text, mix64
+from .common import byte_texts, id_and_text, lean, mix64
 
 LENGTH, GRAM = 100, 32  # the gram is whole eight-byte words
 _SPREAD = LENGTH - GRAM  # an anchor lies 0 to _SPREAD bytes into its windows
@@ -315,7 +315,7 @@ def hot_anchors(docs: DataFrame) -> frozenset[int]:
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in seen], pa.int64()) for i in (0, 1)], names=["key", "piece"])
 
     some = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).distinct()
-    counted = some.mapInArrow(cut, "key long, piece long").distinct().groupBy("key").count().filter(F.col("count") >= HOT)
+    counted = some.mapInArrow(lean(cut), "key long, piece long").distinct().groupBy("key").count().filter(F.col("count") >= HOT)
     return frozenset(r.key for r in counted.select("key").collect())
 
 
@@ -463,14 +463,14 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     later = ranked.join(first, "h").filter((F.col("k") != F.col("first.k")) | (F.col("d") != F.col("first.d")))
     later = later.groupBy("k").agg(F.collect_list("d").alias("later")).withColumnRenamed("k", "lk")
     hot = docs.sparkSession.sparkContext.broadcast(hot_anchors(docs))
-    anchors = docs.mapInArrow(_anchors, _ANCHORS)
-    spots = anchors.repartition("key").sortWithinPartitions("key").mapInArrow(_repeating, "k long, d int, spot long")
+    anchors = docs.mapInArrow(lean(_anchors), _ANCHORS)
+    spots = anchors.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_repeating), "k long, d int, spot long")
     by_doc = spots.groupBy("k").agg(F.collect_list(F.struct("d", "spot")).alias("spots")).withColumnRenamed("k", "sk")
     by_doc = by_doc.join(later, F.col("sk") == F.col("lk"), "left").select("sk", "spots", "later")
     # Texts are dealt by k, with the same columns here and below, so that the exchange is made once.
     segments = docs.join(by_doc, F.col("k") == F.col("sk")).select("k", "d", "spots", "later", "text", *extra).mapInArrow(
         lambda batches: _segments(batches, hot.value), _SEGMENT_DDL)
-    ranges = segments.repartition("key").sortWithinPartitions("key", "k", "d", "first").mapInArrow(_judged, "k long, d int, start long, end long")
+    ranges = segments.repartition("key").sortWithinPartitions("key", "k", "d", "first").mapInArrow(lean(_judged), "k long, d int, start long, end long")
     by_doc = ranges.groupBy("k").agg(F.collect_list(F.struct("d", "start", "end")).alias("ranges")).withColumnRenamed("k", "sk")
     by_doc = by_doc.join(later, F.col("sk") == F.col("lk"), "full").select(F.coalesce("sk", "lk").alias("sk"), "ranges", "later")
     joined = docs.join(by_doc, F.col("k") == F.col("sk"), "left").select("k", "d", "ranges", "later", "text", *extra)
@@ -494,4 +494,4 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: bigint, end: bigint>>"
     ddl += ", kept string" * with_text + (f", row {joined.schema['row'].dataType.simpleString()}" if keep else "")
-    return joined.mapInArrow(rest, ddl)
+    return joined.mapInArrow(lean(rest), ddl)
