@@ -22,7 +22,8 @@ How it runs at scale:
   class-context information most, given the counts of the round before; a word has at most
   ``CONTEXTS`` entries, the classes' table ``CONTEXTS x CLASSES``, so only bounded tables are
   broadcast or brought to the driver.
-* Counts, classes and scores cover every word of every document; no word is left out.
+* Contexts are elected exactly (see :func:`context_words`); counts, classes and scores cover every word of
+  every document; no word is left out.
 
 Defined cases: a null or empty text is one end token; null ids are in the fold of the empty
 id text; repeated rows count each time and come back repeated; with nothing to learn from
@@ -49,12 +50,14 @@ MIX, SMOOTH = 0.05, 2.0
 BLOCK = 6 << 20
 #: Entries of word tables that are worked on together.
 ENTRIES = 1 << 16
-#: Words of a block, most frequent first, that stand for election as contexts.
+#: Words of a block, most frequent first, that are counted at once in the election of contexts.
 CANDIDATES = 4096
+#: Words that come into question as contexts and are counted again in all blocks; with more, all words are counted.
+FINALISTS = 1024
 #: The end token as a word: white space cannot be part of one.
 END = b"\n"
 
-_BLOCKS = "block long, docs binary, held binary, lengths binary, ids binary, words binary"
+_BLOCKS = "block long, docs binary, held binary, lengths binary, ids binary, words binary, counts binary"
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -82,11 +85,13 @@ def blocks(docs: DataFrame) -> DataFrame:
         def block() -> pa.RecordBatch:
             nonlocal number, rows, size, seq
             ids = np.concatenate([r[2] for r in rows])
+            learned = ids[np.repeat([not r[1] for r in rows], [len(r[2]) for r in rows])]
             out = (part << 24 | seq, _pack(np.array([-1 if r[0] is None else r[0] for r in rows], np.int64)),
                    _pack(np.array([(r[0] is None) << 1 | r[1] for r in rows], np.uint8)), _pack(np.array([len(r[2]) for r in rows], np.int64)),
-                   _pack(ids.astype(np.uint32)), zstandard.ZstdCompressor(level=1).compress(b" ".join(list(number)[1:])))
+                   _pack(ids.astype(np.uint32)), zstandard.ZstdCompressor(level=1).compress(b" ".join(list(number)[1:])),
+                   _pack(np.bincount(learned, minlength=len(number)).astype(np.uint32)))
             number, rows, size, seq = {END: 0}, [], 0, seq + 1
-            return pa.RecordBatch.from_arrays([pa.array([x]) for x in out], names=["block", "docs", "held", "lengths", "ids", "words"])
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in out], names=["block", "docs", "held", "lengths", "ids", "words", "counts"])
 
         for batch in pieces(batches):
             for doc_id, held, text in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), byte_texts(batch)):
@@ -123,20 +128,60 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
 
 
 def context_words(enc: DataFrame) -> list[bytes]:
-    """The most frequent words of the learning documents (by the blocks' most frequent ones)."""
+    """The ``CONTEXTS - 1`` most frequent words of the learning documents, equal ones in byte order.
 
-    def elect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Each block gives its ``CANDIDATES`` most frequent words and the count of the next one. The sum of
+    these next counts bounds what any word's sum lacks, and the whole count of a word that no block
+    gave. Words whose sum and bound reach the last elected sum are counted again in all blocks;
+    where too many do, or words that no block gave could, all words of all blocks are counted.
+    """
+    most, tables = CONTEXTS - 1, enc.select("words", "counts")
+
+    def counted(found: Iterator[tuple[list, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for words, n in found:
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n, pa.int64())], names=["word", "n"])
+
+    def block_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray]]:
         for batch in batches:
             for row in _rows(batch):
-                b, words = Block(row), _split_words(row["words"])
-                n = np.bincount(b.ids[b.learned()], minlength=len(words))
-                n[0] = 0
-                top = np.argsort(-n, kind="stable")[:CANDIDATES]
-                top = top[n[top] > 0]
-                yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in top], pa.binary()), pa.array(n[top], pa.int64())], names=["word", "n"])
-
-    counted = enc.mapInArrow(elect, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r.word) for r in counted.orderBy(F.desc("n"), "word").limit(CONTEXTS - 1).collect()]
+                n = _unpack(row["counts"], np.uint32).astype(np.int64)
+                n[0] = 0  # the end token
+                yield _split_words(row["words"]), n
+
+    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words, n in block_counts(batches):
+            order = np.argsort(-n, kind="stable")
+            best = order[:CANDIDATES]
+            best = best[n[best] > 0]
+            left = n[order[CANDIDATES]] if len(order) > CANDIDATES else 0
+            yield from counted([([words[i] for i in best] + [None], np.append(n[best], left))])
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words, n in block_counts(batches):
+            some = np.flatnonzero(n)
+            for at in range(0, len(some), ENTRIES):
+                yield from counted([([words[i] for i in some[at:at + ENTRIES]], n[some[at:at + ENTRIES]])])
+
+    def summed(step, limit: int) -> list:
+        total = tables.mapInArrow(step, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        return total.orderBy(F.col("word").isNotNull(), F.desc("n"), "word").limit(limit).collect()
+
+    bound, *sums = summed(top, FINALISTS + 1) or [None]
+    if bound is None:
+        return []
+    last = sums[most - 1].n if len(sums) >= most else 0
+    if not bound.n:
+        return [bytes(r.word) for r in sums[:most]]
+    if bound.n >= last or (len(sums) == FINALISTS and sums[-1].n + bound.n >= last):
+        return [bytes(r.word) for r in summed(every, most)]
+    finalists = {bytes(r.word) for r in sums if r.n + bound.n >= last}
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words, n in block_counts(batches):
+            some = [i for i, w in enumerate(words) if w in finalists]
+            yield from counted([([words[i] for i in some], n[some])])
+
+    return [bytes(r.word) for r in summed(again, most)]
 
 
 _WORDS = "c long, end boolean, contexts array<long>, blocks array<long>, spots array<int>"
@@ -210,7 +255,7 @@ def word_contexts(enc: DataFrame, frequent: list[bytes]) -> DataFrame:
                 [pa.array(c[at:to]), pa.array(end[at:to]), _lists(sizes[at:to], packed[a:b]), _lists(times[at:to], block[x:y]), _lists(times[at:to], spot[x:y])],
                 names=["c", "end", "contexts", "blocks", "spots"])
 
-    spelled = enc.mapInArrow(count, "word binary, block long, i int, contexts array<long>")
+    spelled = enc.drop("counts").mapInArrow(count, "word binary, block long, i int, contexts array<long>")
     return spelled.repartition("word").mapInArrow(merge, _WORDS)
 
 
@@ -364,7 +409,7 @@ def score(df: DataFrame, held_out=None, id_col: str = "doc_id", text_col: str =
     found = (words.mapInArrow(place, "block long, i int, c long, class short")
              .repartition("block").sortWithinPartitions("block", "i").select("block", "c", "class"))
     looked_up = found.mapInArrow(gather, "of long, c binary, class binary")
-    ready = materialize(enc.drop("words").join(looked_up, F.col("block") == F.col("of")).drop("of"), "brown-numbered")
+    ready = materialize(enc.drop("words", "counts").join(looked_up, F.col("block") == F.col("of")).drop("of"), "brown-numbered")
 
     def transitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wide = CLASSES + 1

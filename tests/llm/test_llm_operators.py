@@ -113,6 +113,26 @@ def test_brown_tells_more_than_64_contexts_apart(spark):
     assert r["sum(score)"] / r["sum(n_tokens)"] > -0.3
 
 
+@pytest.mark.parametrize("candidates, finalists", [(4096, 1024), (260, 1024), (20, 1024), (260, 130)])
+def test_brown_contexts_are_the_most_frequent_words_of_all_blocks(spark, monkeypatch, candidates, finalists):
+    from pyspark.sql import functions as F
+    monkeypatch.setattr(brown, "CANDIDATES", candidates)
+    monkeypatch.setattr(brown, "FINALISTS", finalists)
+    rng = random.Random(31)
+    rows = []
+    for i in range(4):  # each block has its own frequent words; those of all blocks are in the middle of each
+        words = [f"own{i}x{k}" for k in range(90) for _ in range(40 + k % 7)]
+        words += [f"all{k}" for k in range(90) for _ in range(20 + (k + 3 * i) % 11)]
+        words += [f"rare{i}x{k}" for k in range(300)]
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+    counts = Counter(w.encode() for _, t in rows for w in t.split())
+    want = sorted(counts, key=lambda w: (-counts[w], w))[:brown.CONTEXTS - 1]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", F.lit(False)).repartition(4, "doc_id")
+    assert brown.context_words(brown.blocks(df)) == want
+    assert brown.context_words(brown.blocks(df.withColumn("held_out", F.lit(True)))) == []
+
+
 def test_brown_learns_nothing(spark, docs):
     from pyspark.sql import functions as F
     rows = brown.score(docs, held_out=F.lit(True)).collect()
