@@ -104,15 +104,14 @@ def _loans_from_orders(orders: DataFrame, keep=()) -> DataFrame:
     )
 
 
-def _borrowers_from_customers(customer: DataFrame) -> DataFrame:
+def _borrower_columns() -> list[Column]:
+    """The borrowers columns from customer columns, without the keys."""
     c = F.col("c_custkey")
     acct = F.col("c_acctbal").cast(X.MONEY)
     open_acc = (c % 30 + 1).cast("int")
     fico = (740 - F.when(c % 7 == 0, 0).otherwise(10 + 30 * (c % 7))).cast("int")
     seg = F.col("c_mktsegment")
-    return customer.select(
-        c.alias("borrower_key"),
-        c.cast("string").alias("borrower_id"),
+    return [
         F.concat((c % 11).cast("string"), F.lit(" years")).alias("emp_length"),
         (F.when(seg == "BUILDING", "OWN").when(seg.isin("HOUSEHOLD", "FURNITURE"), "MORTGAGE")
          .otherwise("RENT")).alias("home_ownership"),
@@ -127,7 +126,12 @@ def _borrowers_from_customers(customer: DataFrame) -> DataFrame:
         acct.alias("revol_bal"),
         ((c * 29) % 1200 * D("0.1")).cast("decimal(6,1)").alias("revol_util"),
         (open_acc + c % 20).cast("int").alias("total_acc"),
-    )
+    ]
+
+
+def _borrowers_from_customers(customer: DataFrame) -> DataFrame:
+    c = F.col("c_custkey")
+    return customer.select(c.alias("borrower_key"), c.cast("string").alias("borrower_id"), *_borrower_columns())
 
 
 def _returned_value_per_order(lineitem: DataFrame) -> DataFrame:
@@ -184,17 +188,19 @@ class LoanBook:
     def borrowers(self) -> DataFrame:
         return self._memo("borrowers", lambda: _borrowers_from_customers(scan(self.spark, self.sf_dir, "customer")))
 
+    def _orders_with_lines(self) -> DataFrame:
+        """Raw order columns and ``_returned`` of the orders that have lines."""
+        ret = _returned_value_per_order(scan(self.spark, self.sf_dir, "lineitem"))
+        orders = scan(self.spark, self.sf_dir, "orders")
+        # One row per order on both sides: it grows with the data, so never broadcast it.
+        return orders.join(ret.hint("merge"), orders["o_orderkey"] == ret["loan_key"], "inner").drop("loan_key")
+
     def loans_with_payments(self) -> DataFrame:
         """Loans inner-joined with their payments (orders without lines drop out)."""
-        def build():
-            ret = _returned_value_per_order(scan(self.spark, self.sf_dir, "lineitem"))
-            orders = scan(self.spark, self.sf_dir, "orders")
-            # One row per order on both sides: it grows with the data, so never broadcast it.
-            # Join the raw order columns first and derive the loan columns after the join:
-            # the shuffle moves 5 raw columns, and the derivation runs in the join's tasks.
-            j = orders.join(ret.hint("merge"), orders["o_orderkey"] == ret["loan_key"], "inner").drop("loan_key")
-            return _with_payment_columns(_loans_from_orders(j, keep=["_returned"]))
-        return self._memo("loans_with_payments", build)
+        # Join the raw order columns first and derive the loan columns after the join:
+        # the shuffle moves 5 raw columns, and the derivation runs in the join's tasks.
+        return self._memo("loans_with_payments", lambda: _with_payment_columns(
+            _loans_from_orders(self._orders_with_lines(), keep=["_returned"])))
 
     def payments(self) -> DataFrame:
         return self._memo("payments", lambda: self.loans_with_payments().select("loan_key", *PAYMENT_COLUMNS))
@@ -208,6 +214,15 @@ class LoanBook:
         return self._memo("book", lambda: self.loans_with_payments().join(
             self.borrowers().drop("borrower_id"), "borrower_key", "inner"))
 
+    def dealt_book(self, deal=lambda raw: raw) -> DataFrame:
+        """:meth:`book` with ``deal`` done on its raw columns: what moves or sorts rows (by ``o_orderkey``,
+        say) then handles a dozen short columns, and the book's columns are derived in the tasks behind it."""
+        customer = scan(self.spark, self.sf_dir, "customer")
+        j = self._orders_with_lines()
+        raw = deal(j.join(customer, j["o_custkey"] == customer["c_custkey"], "inner"))
+        kept = _loans_from_orders(raw, keep=["_returned", *customer.columns])
+        return _with_payment_columns(kept).select("*", *_borrower_columns()).drop("_returned", *customer.columns)
+
     def inputs(self) -> list[str]:
         return [table_path(self.sf_dir, t) for t in ("orders", "customer", "lineitem")]
 

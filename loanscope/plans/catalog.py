@@ -280,11 +280,15 @@ def _cleaned(df):
 
 
 def _raw_rows(spark, sf):
-    """The raw rows with faults, in files ordered by position, as a stand-in for delivered files."""
+    """The raw rows with faults, in files ordered by position, as a stand-in for delivered files.
+
+    The position is the loan key: rows are put in order before they become wide text.
+    """
     from .book import dirty_raw_rows
     book = loan_book(spark, sf)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return Store(spark).table("raw_rows", book.inputs(), lambda: dirty_raw_rows(book.book()).repartitionByRange(n, "_pos").sortWithinPartitions("_pos"))
+    ordered = lambda raw: raw.repartitionByRange(n, "o_orderkey").sortWithinPartitions("o_orderkey")
+    return Store(spark).table("raw_rows", book.inputs(), lambda: dirty_raw_rows(book.dealt_book(ordered)))
 
 
 def _etl_tables(spark, sf):

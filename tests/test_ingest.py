@@ -191,3 +191,23 @@ def test_positions_in_file_order_move_no_rows(spark):
     index = file_row_index(with_place(spark.read.parquet(f"{tmp}/p")))
     assert sorted(r.row_no for r in index.collect()) == list(range(1, 101)) and index.columns == ["id", "_file", "_start", "row_no"]
     assert file_row_index(with_place(spark.read.parquet(f"{tmp}/p").where("id < 0"))).count() == 0
+
+
+def test_raw_rows_are_put_in_order_before_they_are_wide(spark, book, monkeypatch):
+    from loanscope.plans import catalog
+    from loanscope.plans.book import dirty_raw_rows
+
+    class Unwritten:
+        def __init__(self, spark):
+            pass
+
+        def table(self, name, inputs, build):
+            return build()
+
+    monkeypatch.setattr(catalog, "Store", Unwritten)
+    raw = catalog._raw_rows(spark, book.sf_dir)
+    plan = raw._jdf.queryExecution().optimizedPlan().toString()
+    assert "format_number" in plan and "format_number" not in plan[plan.index("RepartitionByExpression"):]
+    assert [r["_pos"] for r in raw.select("_pos").collect()] == sorted(r.loan_key for r in book.book().select("loan_key").collect())
+    plain = dirty_raw_rows(book.book())
+    assert raw.columns == plain.columns and raw.exceptAll(plain).count() == 0 and plain.exceptAll(raw).count() == 0
