@@ -154,18 +154,20 @@ def tables_of(wide: DataFrame) -> Tables:
     return Tables(wide.select(*BORROWER_COLUMNS), wide.select(*LOAN_COLUMNS), wide.select(*PAYMENT_COLUMNS), wide)
 
 
-def etl(raw: DataFrame, order_by: list[str] | str | None = None) -> Tables:
+def etl(raw: DataFrame, order_by: list[str] | str | None = None, columns: list[str] | None = None) -> Tables:
     """OP1 / SET3: borrowers, loans and payments tables from merged raw rows.
 
     Dense ids are unique by construction; hashed ids repeat where whole rows repeat, and
-    only then are borrowers deduplicated.
+    only then are borrowers deduplicated. For a caller that reads several of the tables, ``columns``
+    names what it reads: these are cleaned and written once, and the tables hold no others.
     """
     wide = clean_loans(raw, order_by)
-    borrowers = wide.select(*BORROWER_COLUMNS)
+    if columns:
+        wide = materialize(wide.select(*columns), "cleaned-rows")
+    borrowers, loans, payments = (wide.select(*[c for c in names if not columns or c in columns])
+                                  for names in (BORROWER_COLUMNS, LOAN_COLUMNS, PAYMENT_COLUMNS))
     if not order_by:
         borrowers = borrowers.dropDuplicates(["borrower_id"])
-    loans = wide.select(*LOAN_COLUMNS)
-    payments = wide.select(*PAYMENT_COLUMNS)
     return Tables(borrowers, loans, payments, wide)
 
 

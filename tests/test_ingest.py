@@ -211,3 +211,14 @@ def test_raw_rows_are_put_in_order_before_they_are_wide(spark, book, monkeypatch
     assert [r["_pos"] for r in raw.select("_pos").collect()] == sorted(r.loan_key for r in book.book().select("loan_key").collect())
     plain = dirty_raw_rows(book.book())
     assert raw.columns == plain.columns and raw.exceptAll(plain).count() == 0 and plain.exceptAll(raw).count() == 0
+
+
+def test_repeated_rows_are_joined_and_cleaned_once(spark, book):
+    from pyspark.sql import functions as F
+    from loanscope.plans.catalog import QUERIES
+    found = QUERIES["etl_repeated_rows"](spark, book.sf_dir)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and "xxhash64" not in plan
+    r = found.agg(F.sum("deliveries"), F.min("deliveries"), F.max("deliveries"), F.count("*")).first()
+    keys = [x.loan_key for x in book.book().select("loan_key").collect()]
+    assert tuple(r) == (sum(1 + (k % 3 == 0) + (k % 9 == 0) for k in keys), 1, 3, len(keys))
