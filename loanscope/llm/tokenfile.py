@@ -64,7 +64,8 @@ class ChunkEncoder:
         return self._pack[len(ids)](*ids) if len(ids) < 64 else np.array(ids, self.dtype).tobytes()
 
     def _chunk(self, chunk: bytes) -> bytes:
-        return b"".join([self.words[w] for w in self.split.words(chunk.decode())])
+        words = self.split.words(chunk.decode())
+        return self.words[words[0]] if len(words) == 1 else b"".join([self.words[w] for w in words])
 
     def encode(self, text: bytes, end: bytes) -> bytes:
         get = self.chunks.__getitem__
@@ -129,8 +130,7 @@ def write_tokens(df: DataFrame, tokenizer_path: str, folder: str, end_id: int =
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(x) // enc.dtype.itemsize for x in ids], pa.int64()),
                  pa.array([squeeze(x) for x in ids], pa.binary())], names=["doc_id", "n_tokens", "frame"])
-        enc.words.forget()
-        enc.chunks.forget()
+        enc.chunks.forget()  # the words, at most two generations of them, serve the worker's next task
 
     frames = materialize(docs.mapInArrow(compress, "doc_id long, n_tokens long, frame binary"), "token-frames")
     total = frames.agg(F.sum(F.length("frame"))).first()[0] or 0

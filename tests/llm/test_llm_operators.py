@@ -271,6 +271,23 @@ def test_long_and_short_merges_agree(monkeypatch):
     assert [own._merge(w + own.suffix) for w in words] == short
 
 
+def test_words_of_token_files_serve_the_next_task(spark, tmp_path, monkeypatch):
+    def watched(path):
+        enc = tokenfile.ChunkEncoder(path)
+
+        def forget():
+            raise AssertionError("words are forgotten between tasks")
+
+        enc.words.forget = forget
+        return enc
+
+    monkeypatch.setattr(tokenfile, "encoder", watched)
+    rows = [(i, f"alpha beta-{i} gamma") for i in range(6)]
+    made = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    manifest = tokenfile.write_tokens(made, BPE, f"file://{tmp_path}/ids")
+    assert [r.n_docs for r in manifest.collect()] == [6]
+
+
 def test_token_files_round_trip(spark, docs, tmp_path, monkeypatch):
     monkeypatch.setattr(tokenfile, "SHARD_BYTES", 4000)
     lib = Tokenizer.from_file(BPE)
