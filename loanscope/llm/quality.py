@@ -1,11 +1,11 @@
 """Operator 7: quality rules with n-gram perplexity.
 
-A modified Kneser-Ney model of order 4 is counted by Spark over all documents.
-Its symbols are classes of bytes (``ALPHABET`` of them), so a model has at most
-``ALPHABET ** 4`` n-grams at any corpus size: 2.56 million, 31 MB as arrays. That
-bound is what allows its counts to go to the driver and the model to every task.
-The model is kept as two arrays sorted by n-gram hash: hashes and log10
-probabilities.
+A modified Kneser-Ney model of order 4 over bytes is counted and worked out by Spark
+from all documents; every byte value is a symbol of its own and no n-gram is left out.
+The more frequent n-grams, ``COMMON`` at most, go to every task as two arrays sorted by
+n-gram hash: hashes and log10 probabilities. The n-grams of a document that are not
+among them are listed with it and meet the rest of the model in a join, so the sum over
+a document is exact at any size of the model.
 
 A document's perplexity is held against a band of its language (column ``lang``;
 null is a language of its own) around the median log perplexity of the language's
@@ -24,7 +24,7 @@ table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,19 +33,25 @@ from pyspark.sql import functions as F
 
 from loanscope.session import materialize
 
-from .common import byte_texts, id_and_text, mix64, pieces
+from .common import byte_texts, id_and_text, lean, mix64, pieces
 
-ORDER, ALPHABET = 4, 40
+ORDER, BYTES = 4, 256
+#: The most n-grams that go to every task; the others are joined.
+COMMON = 1 << 20
+#: N-grams a counting task holds before it passes them on.
+HELD = 1 << 21
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 WIDTH, LEAST, STEP = 7.0, 0.03, 0.001
 #: Bytes of text turned into n-gram codes at a time.
 BLOCK = 4 << 20
 _SYMBOLS = b"#*$%&|<>"
+#: Symbols of the coarse alphabet (:data:`CLASSES`), which :func:`judge` does not use.
+ALPHABET = 40
 _START = 27
 
 
 def _classes() -> np.ndarray:
-    """The class of each byte: letters without case, space, line end, digit, kinds of marks, other bytes by residue."""
+    """A coarse alphabet: letters without case, space, line end, digit, kinds of marks, other bytes by residue."""
     out = np.full(256, 32, dtype=np.int32)
     for k in range(26):
         out[97 + k] = out[65 + k] = k
@@ -60,9 +66,10 @@ def _classes() -> np.ndarray:
 
 
 CLASSES = _classes()
+EVERY_BYTE = np.arange(BYTES, dtype=np.uint32)
 
 
-def codes_of(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def codes_of(texts: list[bytes], classes: np.ndarray = CLASSES, alphabet: int = ALPHABET) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """N-gram codes of the texts in blocks, and each code's text; every text begins after line ends and closes with one."""
     at = 0
     while at < len(texts):
@@ -72,47 +79,96 @@ def codes_of(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             end += 1
         part = texts[at:end]
         lengths = np.array([len(t) + 1 for t in part])
-        data = CLASSES[np.frombuffer(b"\n\n\n" + b"\n\n\n\n".join(part) + b"\n", dtype=np.uint8)]
-        codes = ((data[:-3] * ALPHABET + data[1:-2]) * ALPHABET + data[2:-1]) * ALPHABET + data[3:]
+        data = classes[np.frombuffer(b"\n\n\n" + b"\n\n\n\n".join(part) + b"\n", dtype=np.uint8)]
+        codes = ((data[:-3] * alphabet + data[1:-2]) * alphabet + data[2:-1]) * alphabet + data[3:]
         owner = np.repeat(np.arange(len(part)), lengths)
         # Between two texts stand three padding symbols: no n-gram ends on them.
         yield codes[np.arange(len(owner)) + 3 * owner], owner + at
         at = end
 
 
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """One sorted array of codes and their summed counts."""
+    codes, counts = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(codes)
+    codes, counts = codes[order], counts[order]
+    first = np.flatnonzero(np.diff(codes, prepend=codes[:1] + 1))
+    return codes[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def counted_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``code, n`` of the byte n-grams of the column ``text``.
+
+    At most some ``HELD`` n-grams are held; where there are more, what is counted so far is passed on.
+    """
+    def told() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in _summed(parts)], names=["code", "n"])
+
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    for batch in pieces(batches):
+        for codes, _ in codes_of(byte_texts(batch), EVERY_BYTE, BYTES):
+            parts.append(np.unique(codes, return_counts=True))
+            if sum(len(c) for c, _ in parts) > HELD:
+                parts = [_summed(parts)]
+                if len(parts[0][0]) > HELD // 2:
+                    yield told()
+                    parts = []
+    if parts:
+        yield told()
+
+
 def count_ngrams(df: DataFrame) -> DataFrame:
-    """``code, n`` over the column ``text``, summed per task before the shuffle."""
+    """``code, n`` of the byte n-grams of the column ``text``, summed per task before the shuffle."""
+    counted = df.select("text").mapInArrow(lean(counted_batches), "code long, n long")
+    return counted.groupBy("code").agg(F.sum("n").alias("n"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(ALPHABET ** ORDER, dtype=np.int64)
-        for batch in batches:
-            for codes, _ in codes_of(byte_texts(batch)):
-                total += np.bincount(codes, minlength=len(total))
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], names=["code", "n"])
 
-    return df.select("text").mapInArrow(count, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+def _discounts(times: list[int]) -> list[float]:
+    """What is taken off counts of 0, 1, 2, and 3 or more, from how many n-grams occur 1, 2, 3 and 4 times."""
+    n1, n2, n3, n4 = (max(1, int(n)) for n in times)
+    y = n1 / (n1 + 2 * n2)
+    return np.clip([0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], 0.05, [1, 0.95, 1.9, 2.85]).tolist()
 
 
-def kneser_ney(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted n-gram hashes and log10 probabilities of the interpolated modified Kneser-Ney model."""
+def model_of(counted: DataFrame, alphabet: int = BYTES) -> DataFrame:
+    """``code, n, p``: the interpolated modified Kneser-Ney probability of each n-gram of the highest order, from its ``code, n``."""
+    grams = {ORDER: counted}
+    for n in range(ORDER - 1, 0, -1):  # continuation counts: distinct left extensions
+        shorter = (F.col("code") % alphabet ** n).alias("code")
+        grams[n] = materialize(grams[n + 1].groupBy(shorter).agg(F.count("*").alias("n")), "quality-ngrams")
+    context, model = Window.partitionBy("context"), None  # a context has ``alphabet`` n-grams at most
+    for n in range(1, ORDER + 1):
+        _, d1, d2, d3 = _discounts(grams[n].agg(*[F.count_if(F.col("n") == k) for k in (1, 2, 3, 4)]).first())
+        off = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
+        ones, twos = (F.count_if(F.col("n") == k).over(context) for k in (1, 2))
+        some = grams[n].withColumn("context", F.expr(f"code div {alphabet}")).withColumns({
+            "total": F.sum("n").over(context), "ones": ones, "twos": twos, "all": F.count("*").over(context)})
+        mass = (F.col("ones") * d1 + F.col("twos") * d2 + (F.col("all") - F.col("ones") - F.col("twos")) * d3) / F.col("total")
+        if model is None:
+            back = F.lit(1.0 / alphabet)
+        else:
+            lower = model.select(F.col("code").alias("_ending"), F.col("p").alias("_lower"))
+            some, back = some.join(lower, F.col("code") % alphabet ** (n - 1) == F.col("_ending")), F.col("_lower")
+        model = some.select("code", "n", ((F.col("n") - off) / F.col("total") + mass * back).alias("p"))
+    return model
+
+
+def kneser_ney(codes: np.ndarray, counts: np.ndarray, alphabet: int = ALPHABET) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted n-gram hashes and log10 probabilities of :func:`model_of` for a few n-grams, in arrays."""
     grams = {ORDER: (codes.astype(np.int64), counts.astype(np.int64))}
     for n in range(ORDER - 1, 0, -1):  # continuation counts: distinct left extensions
-        grams[n] = np.unique(grams[n + 1][0] % ALPHABET ** n, return_counts=True)
-    lower = np.full(ALPHABET, 1.0 / ALPHABET)
-    lower_codes = np.arange(ALPHABET)
+        grams[n] = np.unique(grams[n + 1][0] % alphabet ** n, return_counts=True)
+    lower = np.full(alphabet, 1.0 / alphabet)
+    lower_codes = np.arange(alphabet)
     for n in range(1, ORDER + 1):
         code, count = grams[n]
         order = np.argsort(code)
         code, count = code[order], count[order]
-        n1, n2, n3, n4 = (max(1, int((count == k).sum())) for k in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2)
-        discount = np.clip([0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], 0.05, [1, 0.95, 1.9, 2.85])
-        off = discount[np.minimum(count, 3)]
-        _, context = np.unique(code // ALPHABET, return_inverse=True)
+        off = np.array(_discounts([(count == k).sum() for k in (1, 2, 3, 4)]))[np.minimum(count, 3)]
+        _, context = np.unique(code // alphabet, return_inverse=True)
         total = np.bincount(context, weights=count)
         mass = np.bincount(context, weights=off) / total
-        back = lower[np.searchsorted(lower_codes, code % ALPHABET ** (n - 1) if n > 1 else code)]
+        back = lower[np.searchsorted(lower_codes, code % alphabet ** (n - 1) if n > 1 else code)]
         lower, lower_codes = (count - off) / total[context] + mass[context] * back, code
     keys = mix64(lower_codes.astype(np.uint64))
     order = np.argsort(keys)
@@ -120,7 +176,7 @@ def kneser_ney(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def look_up(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Log10 probability by n-gram code, from the sorted hash arrays; never seen n-grams cost the least seen."""
+    """Log10 probability by n-gram code of the coarse alphabet, from the sorted hash arrays; never seen n-grams cost the least seen."""
     wanted = mix64(np.arange(ALPHABET ** ORDER, dtype=np.uint64))
     if not len(keys):
         return np.full(len(wanted), -np.log10(ALPHABET))
@@ -154,25 +210,77 @@ def base_figures(text: bytes) -> tuple[int, int, int, int, int]:
     return n, chars, symbols, len(lines) - len(set(lines)), repeated
 
 
-def _figures(docs: DataFrame, keys: np.ndarray, values: np.ndarray) -> DataFrame:
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast((keys, values))
+class Common:
+    """Log10 probabilities of n-grams, sorted by hash; the hash's first bits tell where a search begins."""
+
+    def __init__(self, codes: np.ndarray, values: np.ndarray):
+        keys = mix64(codes.astype(np.uint64))
+        order = np.argsort(keys)
+        # behind the last key stands one that is never smaller
+        self.keys, self.values = np.append(keys[order], ~np.uint64(0)), np.append(values[order], 0.0)
+        bits = max(1, (2 * len(keys)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.starts = np.searchsorted(self.keys[:-1], np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The value of each code, zero where it is not held, and the places of those."""
+        wanted = mix64(codes.astype(np.uint64))
+        at = self.starts[wanted >> self.shift]
+        left = np.flatnonzero(self.keys[at] < wanted)
+        while len(left):
+            at[left] += 1
+            left = left[self.keys[at[left]] < wanted[left]]
+        missing = np.flatnonzero((self.keys[at] != wanted) | (at == len(self.keys) - 1))
+        values = self.values[at]
+        values[missing] = 0.0
+        return values, missing
+
+
+def _figures(docs: DataFrame, common: Common) -> DataFrame:
+    """Per row the base figures, ``n_bytes``, ``log`` (the sum over its common n-grams) and ``rest`` (its other n-grams)."""
+    model = docs.sparkSession.sparkContext.broadcast(common)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = look_up(*model.value)
         for batch in pieces(batches):
             texts = byte_texts(batch)
-            log = np.zeros(len(texts))
-            for codes, owner in codes_of(texts):
-                log += np.bincount(owner, weights=table[codes], minlength=len(texts))
+            log, others, owners = np.zeros(len(texts)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for codes, owner in codes_of(texts, EVERY_BYTE, BYTES):
+                values, missing = model.value.find(codes)
+                log += np.bincount(owner, weights=values, minlength=len(texts))
+                others.append(codes[missing].astype(np.int64))
+                owners.append(owner[missing])
+            ends = np.searchsorted(np.concatenate(owners), np.arange(len(texts) + 1)).astype(np.int32)
             figures = [base_figures(t) for t in texts]
-            level = -log / np.array([len(t) + 1 for t in texts])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("lang"), *(pa.array([f[k] for f in figures], pa.int64()) for k in range(5)),
-                 pa.array(level)], names=["doc_id", "lang", *names, "level"])
-
-    return docs.mapInArrow(measure, f"doc_id long, lang string, {', '.join(f'{n} long' for n in names)}, level double")
+                 pa.array([len(t) for t in texts], pa.int64()), pa.array(log), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(others)))],
+                names=["doc_id", "lang", *names, "n_bytes", "log", "rest"])
+
+    return docs.mapInArrow(lean(measure), f"doc_id long, lang string, {', '.join(f'{n} long' for n in names)}, n_bytes long, log double, rest array<long>")
+
+
+def measured_rows(docs: DataFrame, common: int = COMMON) -> DataFrame:
+    """The base figures and ``level``, the negative mean log10 probability per byte, of each row of ``doc_id, text, lang``."""
+    model = materialize(model_of(materialize(count_ngrams(docs), "quality-ngrams")), "quality-model")
+    size = F.length(F.bin("n"))  # binary digits of the count
+    taken, least = 0, 65
+    sizes = {r["size"]: r["many"] for r in model.groupBy(size.alias("size")).agg(F.count("*").alias("many")).collect()}
+    for digits in sorted(sizes, reverse=True):
+        if taken + sizes[digits] > common:
+            break
+        taken, least = taken + sizes[digits], digits
+    held = model.filter(size >= least).select("code", "p").toPandas()  # ``common`` rows at most
+    rows = _figures(docs, Common(held["code"].to_numpy(dtype=np.int64), np.log10(held["p"].to_numpy(dtype=np.float64))))
+    level = lambda log: (-log / (F.col("n_bytes") + 1)).alias("level")
+    names = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    if taken == sum(sizes.values()):
+        return materialize(rows.select(*names, level(F.col("log"))), "quality")
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "quality-rows")
+    rest = model.filter(size < least).select("code", F.log10("p").alias("value"))
+    found = rows.select("row", F.explode("rest").alias("code")).groupBy("row", "code").agg(F.count("*").alias("times")).join(rest, "code")
+    found = found.groupBy("row").agg(F.sum(F.col("times") * F.col("value")).alias("rest_log"))
+    return materialize(rows.join(found, "row", "left").select(*names, level(F.col("log") + F.coalesce("rest_log", F.lit(0.0)))), "quality")
 
 
 def _quartiles(values: DataFrame) -> DataFrame:
@@ -194,11 +302,10 @@ def bands(measured: DataFrame) -> DataFrame:
     return middle.join(spread, F.col("of").eqNullSafe(F.col("of2"))).drop("of2")
 
 
-def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Per row: the base figures, ``base_failed``, ``kept`` and ``perplexity`` (per byte)."""
+def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", common: int = COMMON) -> DataFrame:
+    """Per row: the base figures, ``base_failed``, ``kept`` and ``perplexity`` (per byte); at most ``common`` n-grams go to every task."""
     docs = id_and_text(df, id_col, text_col, F.col(lang_col).cast("string").alias("lang"))
-    counted = count_ngrams(docs).toPandas()  # at most ALPHABET ** ORDER rows
-    measured = materialize(_figures(docs, *kneser_ney(counted["code"].to_numpy(), counted["n"].to_numpy())), "quality")
+    measured = measured_rows(docs, common)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     measured = measured.withColumn("base_failed", failed)
     band = materialize(bands(measured.filter(~F.col("base_failed"))), "quality-bands")

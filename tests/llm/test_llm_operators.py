@@ -468,6 +468,50 @@ def test_kneser_ney_sums_to_one_and_equals_a_plain_model():
         assert 0 < p[seen].sum() <= 1 + 1e-9
 
 
+def plain_levels(texts):
+    """Negative mean log10 probability per byte under the Kneser-Ney model of all bytes, by definition."""
+    padded = [b"\n\n\n" + t + b"\n" for t in texts]
+    grams = {4: Counter(t[k:k + 4] for t in padded for k in range(len(t) - 3))}
+    for n in (3, 2, 1):
+        grams[n] = Counter(g[1:] for g in grams[n + 1])
+    lower = defaultdict(lambda: 1 / 256)
+    for n in (1, 2, 3, 4):
+        n1, n2, n3, n4 = (max(1, sum(c == k for c in grams[n].values())) for k in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        d = [0, max(0.05, min(0.95, 1 - 2 * y * n2 / n1)), max(0.05, min(1.9, 2 - 3 * y * n3 / n2)), max(0.05, min(2.85, 3 - 4 * y * n4 / n3))]
+        total, off = Counter(), Counter()
+        for g, c in grams[n].items():
+            total[g[:-1]] += c
+            off[g[:-1]] += d[min(c, 3)]
+        lower = {g: (c - d[min(c, 3)]) / total[g[:-1]] + off[g[:-1]] / total[g[:-1]] * (lower[b""] if n == 1 else lower[g[1:]]) for g, c in grams[n].items()}
+    return [-sum(np.log10(lower[t[k:k + 4]]) for k in range(len(t) - 3)) / (len(t) - 3) for t in padded]
+
+
+@pytest.mark.parametrize("common", [quality.COMMON, 300, 0])
+def test_quality_model_tells_every_byte_apart_with_any_number_of_common_ngrams(spark, common):
+    # letters by case, digits and the bytes from 128 on were not told apart: the last rows' levels were those of their twins
+    rows = [(i, t) for i, t in ROWS if t is None or len(t) < 3000]
+    rows += [(50, "1 2 3 4 " * 5), (51, "1 1 1 1 " * 5), (52, "AB Ab aB ab"), (53, "ab ab ab ab"), (54, "\u0440\u0447 " * 9), (55, "\u0440\u0440 " * 9)]
+    df = spark.createDataFrame([(i, t, None) for i, t in rows], "doc_id long, text string, lang string").repartition(3)
+    want = sorted(((i, round(float(x), 9)) for (i, _), x in zip(rows, plain_levels([raw(t) for _, t in rows]))), key=repr)
+    out = quality.measured_rows(quality.id_and_text(df, "doc_id", "text", "lang"), common)
+    assert sorted(((r.doc_id, round(r.level, 9)) for r in out.collect()), key=repr) == want
+
+
+def test_quality_counts_of_a_task_that_holds_few_ngrams(spark, docs, monkeypatch):
+    texts = [raw(t) for _, t in ROWS]
+    plain = Counter(int.from_bytes(t[k:k + 4]) for t in (b"\n\n\n" + x + b"\n" for x in texts) for k in range(len(t) - 3))
+    for held in (quality.HELD, 40):
+        monkeypatch.setattr(quality, "HELD", held)
+        monkeypatch.setattr(quality, "BLOCK", 2000)
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], names=["text"])
+        told = Counter()
+        for found in quality.counted_batches([batch]):
+            for code, n in zip(*(c.to_pylist() for c in found.columns)):
+                told[code] += n
+        assert told == plain
+
+
 # --- 8 -----------------------------------------------------------------------
 
 def brute_removed(rows):
