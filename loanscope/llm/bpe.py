@@ -25,12 +25,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .chunks import ChunkWords
-from .common import Memo, byte_texts, id_and_text, pieces
+from .common import Memo, byte_texts, id_and_text, lean, pieces
 
 #: Below this length a fragment is merged by scanning, above it with a heap.
 SCAN_LENGTH = 24
 #: Entries in each of the two generations of the lookups of words and of chunks.
 CACHE_ENTRIES = 180_000
+#: Ends a list within a looked up value; this byte is in no UTF-8 text.
+END = b"\xff"
+
+
+def parted(found: list[bytes]) -> tuple[bytes, bytes]:
+    """The ids and the token texts of looked up values in a row."""
+    lists = b"".join(found).split(END)
+    return b"".join(lists[::2]), b"".join(lists[1::2])
 
 
 class ForcedBoundaryBPE:
@@ -102,20 +110,25 @@ class ForcedBoundaryBPE:
                     heapq.heappush(heap, (r, k, live[k], live[m]))
         return [s for s in live if s is not None]
 
-    def _word(self, word: str) -> tuple[bytes, bytes]:
-        """Decimal ids and token texts of a word, each followed by a space."""
+    def _word(self, word: str) -> bytes:
+        """Decimal ids and token texts of a word, each followed by a space, and ``END`` after either list."""
         if word in self.split.added:
             ids = [self.split.added[word]]
         else:
             ids = [i for fragment in self.cut(word) for i in self._merge(fragment)]
-        return b"".join([b"%d " % i for i in ids]), "".join([self.tokens[i] + " " for i in ids]).encode()
+        return b"".join([b"%d " % i for i in ids]) + END + "".join([self.tokens[i] + " " for i in ids]).encode() + END
 
-    def _chunk(self, chunk: bytes) -> tuple[bytes, bytes]:
-        found = [self.words[w] for w in self.split.words(chunk.decode())]
-        return found[0] if len(found) == 1 else (b"".join([f[0] for f in found]), b"".join([f[1] for f in found]))
+    def _chunk(self, chunk: bytes) -> bytes:
+        if chunk.isalpha():  # letters A-Z alone are one word
+            low = chunk.lower()
+            return self._word(low.decode()) if low == chunk else self.chunks[low]
+        # such a word within a chunk is looked up as the chunk that it is elsewhere
+        found = [self.chunks[w.encode()] if w.isascii() and w.isalpha() and w.islower() else self.words[w]
+                 for w in self.split.words(chunk.decode())]
+        return found[0] if len(found) == 1 else END.join([*parted(found), b""])
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for c in text.encode().split() for i in self.chunks[c][0].split()]
+        return [int(i) for i in parted([self.chunks[c] for c in text.encode().split()])[0].split()]
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by spaces: the file names no decoder, and special tokens stay."""
@@ -142,8 +155,8 @@ def encode_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
         for batch in pieces(batches):
             cols: list[list] = [[] for _ in fields]
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), byte_texts(batch)):
-                found = [bpe.chunks[c] for c in text.split()]
-                ids, decoded = b"".join([v[0] for v in found]), b"".join([v[1] for v in found])[:-1]
+                ids, tokens = parted([bpe.chunks[c] for c in text.split()])
+                decoded = tokens[:-1]
                 row = [doc_id, ids.count(b" "), sha256(ids[:-1]).hexdigest(), sha256(decoded).hexdigest()]
                 if with_ids:
                     row += [[int(i) for i in ids.split()], decoded.decode()]
@@ -153,4 +166,4 @@ def encode_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
         bpe.words.forget()
         bpe.chunks.forget()
 
-    return id_and_text(df, id_col, text_col).mapInArrow(encode, ddl)
+    return id_and_text(df, id_col, text_col).mapInArrow(lean(encode), ddl)

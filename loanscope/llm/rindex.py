@@ -469,7 +469,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     by_doc = by_doc.join(later, F.col("sk") == F.col("lk"), "left").select("sk", "spots", "later")
     # Texts are dealt by k, with the same columns here and below, so that the exchange is made once.
     segments = docs.join(by_doc, F.col("k") == F.col("sk")).select("k", "d", "spots", "later", "text", *extra).mapInArrow(
-        lambda batches: _segments(batches, hot.value), _SEGMENT_DDL)
+        lean(lambda batches: _segments(batches, hot.value)), _SEGMENT_DDL)
     ranges = segments.repartition("key").sortWithinPartitions("key", "k", "d", "first").mapInArrow(lean(_judged), "k long, d int, start long, end long")
     by_doc = ranges.groupBy("k").agg(F.collect_list(F.struct("d", "start", "end")).alias("ranges")).withColumnRenamed("k", "sk")
     by_doc = by_doc.join(later, F.col("sk") == F.col("lk"), "full").select(F.coalesce("sk", "lk").alias("sk"), "ranges", "later")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from loanscope.session import materialize
 
-from .common import LOWER, byte_texts, id_and_text, mix64, pieces, span_hashes, spans
+from .common import LOWER, byte_texts, id_and_text, lean, mix64, pieces, span_hashes, spans
 
 MIN_MATCH, THRESHOLD = 5, 0.6
 SLICE_BYTES = 16 << 20
@@ -201,7 +201,7 @@ def _passes(source: DataFrame, kept: list[str], benchmark: DataFrame, threshold:
                 yield batch
 
         fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields[:-1]]
-        out = out.mapInArrow(scan, ", ".join([*fields, f"items {_ITEMS_DDL}"]))
+        out = out.mapInArrow(lean(scan), ", ".join([*fields, f"items {_ITEMS_DDL}"]))
     return out if keep_text else out.drop("text")
 
 

@@ -271,6 +271,30 @@ def test_long_and_short_merges_agree(monkeypatch):
     assert [own._merge(w + own.suffix) for w in words] == short
 
 
+def test_bpe_holds_a_word_once(monkeypatch):
+    own = bpe.ForcedBoundaryBPE(BPE)
+    text = "alpha, Alpha beta ALPHA. don't béta béta, <unk> alpha<unk> x1"
+    assert own.encode(text) == Tokenizer.from_file(BPE).encode(text, add_special_tokens=False).ids
+    assert not {"alpha", "beta", "don"} & own.words.keys() and {b"alpha", b"beta", b"don"} <= own.chunks.keys()
+    assert all(type(v) is bytes for v in [*own.words.values(), *own.chunks.values()])
+    assert own.chunks[b"Alpha"] is own.chunks[b"alpha"]
+    for text in ("", "\x00 \x00", "\xff ÿ\xff", "PAD pad <s>pad</s>"):
+        assert own.encode(text) == Tokenizer.from_file(BPE).encode(text, add_special_tokens=False).ids
+
+
+def test_workers_of_text_stages_give_memory_back(spark, docs, monkeypatch):
+    lean, given = bpe.lean, []
+    bench = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
+    for module in (bpe, tiling, rindex):
+        monkeypatch.setattr(module, "lean", lambda step: given.append(step) or lean(step))
+    bpe.encode_documents(docs, BPE)
+    tiling.contaminated(docs, bench)
+    assert [f.__name__ for f in given] == ["encode", "scan"]
+    plan = rindex.remove_repeats(docs)._jdf.queryExecution().analyzed().toString()
+    # every step over rows but the sample's, which has ended by then
+    assert plan.count("MapInArrow") == len([f for f in given[2:] if f.__name__ != "cut"])
+
+
 def test_words_of_token_files_serve_the_next_task(spark, tmp_path, monkeypatch):
     def watched(path):
         enc = tokenfile.ChunkEncoder(path)
