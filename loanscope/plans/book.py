@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..session import table_path
+from ..session import dealt, many_rows, table_path
 from ..sources.driver import scan
 from ..sources.store import Store
 
@@ -209,6 +209,14 @@ class LoanBook:
         return self._memo("loans_with_borrowers", lambda: self.loans().join(
             self.borrowers().drop("borrower_id"), "borrower_key", "inner"))
 
+    def dealt_loans_with_borrowers(self) -> DataFrame:
+        """:meth:`loans_with_borrowers` for work on each row; of many orders the raw rows are dealt evenly and joined first."""
+        orders, customer = scan(self.spark, self.sf_dir, "orders"), scan(self.spark, self.sf_dir, "customer")
+        if not many_rows(orders):
+            return self.loans_with_borrowers()
+        raw = dealt(orders).join(customer, orders["o_custkey"] == customer["c_custkey"], "inner")
+        return _loans_from_orders(raw, keep=customer.columns).select("*", *_borrower_columns()).drop(*customer.columns)
+
     def book(self) -> DataFrame:
         """The three-way join (JN3): loans x borrowers x payments."""
         return self._memo("book", lambda: self.loans_with_payments().join(

@@ -470,7 +470,7 @@ def _model(spark, sf) -> classifier.ClassifierBundle:
     """The default classifier of the tables in ``sf``, trained once per session and state of their files."""
     key = (spark.sparkContext.applicationId, inputs_digest(spark, loan_book(spark, sf).inputs()))
     if key not in _MODELS:
-        feats = materialize(classifier.loan_features(loan_book(spark, sf).loans_with_borrowers()), "loan-features")
+        feats = materialize(classifier.loan_features(loan_book(spark, sf).dealt_loans_with_borrowers()), "loan-features")
         _MODELS[key] = classifier.train_default_classifier(feats)
     return _MODELS[key]
 
@@ -479,7 +479,7 @@ def _model(spark, sf) -> classifier.ClassifierBundle:
 def _default_scores(spark, sf):
     b = loan_book(spark, sf)
     bundle = _model(spark, sf)
-    apps = classifier.resolved(b.loans_with_borrowers()).select(
+    apps = classifier.resolved(b.dealt_loans_with_borrowers()).select(
         "loan_id", "loan_amnt", "term", "int_rate", "installment", "grade", "annual_inc", "dti",
         "fico_range_low", "revol_util", "open_acc", "verification_status", "home_ownership")
     return classifier.score_loans(bundle.model, apps).select(

@@ -99,6 +99,62 @@ def test_score_loans_fills_defaults(spark):
     assert 0 <= r.default_probability_pct <= 100 and r.risk_tier and r.underwriting_recommendation
 
 
+def test_training_rows_of_one_file_are_dealt_to_all_cores(spark, monkeypatch):
+    from pyspark.ml import Pipeline
+
+    from loanscope import session
+    rng = np.random.default_rng(5)
+    n = 3000
+    pdf = pd.DataFrame({f: rng.integers(0, 40, n).astype(float) for f in classifier.FEATURES})
+    pdf["is_default"] = (pdf["int_rate"] + rng.uniform(0, 20, n) > 35).astype(int)
+    pdf["loan_id"] = [None if i % 50 == 0 else str(i // 2) for i in range(n)]
+    feats = session.materialize(spark.createDataFrame(pdf).coalesce(1), "one-part")
+    seen, fit = [], Pipeline.fit
+
+    def watched(self, df, *args):
+        seen.append(df)
+        return fit(self, df, *args)
+
+    monkeypatch.setattr(Pipeline, "fit", watched)
+    plain = classifier.train_default_classifier(feats, max_iter=3, max_depth=2)
+    monkeypatch.setattr(session, "DEALT_FROM", n - 1, raising=False)
+    one = classifier.train_default_classifier(feats, max_iter=3, max_depth=2)
+    parts = [sorted(r["n"] for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()) for df in seen]
+    assert max(parts[0]) > 0.9 * sum(parts[0])
+    assert len(parts[1]) >= 2 * spark.sparkContext.defaultParallelism and max(parts[1]) < 0.2 * n and sum(parts[1]) == sum(parts[0])
+    # the same rows, split and scores
+    rows = [sorted(df.select("loan_id", "label", *classifier.FEATURES).collect(), key=repr) for df in seen]
+    assert rows[0] == rows[1] and plain.metrics.first().n == one.metrics.first().n == n - len(rows[0])
+    scores = [[r.probability_default for r in classifier.score_frame(b.model, feats).select(*classifier.FEATURES, "probability_default").orderBy(*classifier.FEATURES).collect()] for b in (plain, one)]
+    assert np.allclose(*scores, atol=1e-9)
+    # other files of the rows give the same parts in the same order
+    other = [[tuple(r) for r in classifier.training_parts(df, 3).withColumn("p", F.spark_partition_id()).collect()] for df in (feats, feats.repartition(5))]
+    assert other[0] == other[1]
+
+
+def test_book_of_one_row_group_is_dealt_and_the_same(spark, tmp_path, monkeypatch):
+    import datetime as dt
+
+    from loanscope import session
+    from loanscope.plans.book import LoanBook
+    day = dt.datetime(1996, 1, 31)
+    orders = [(None if i % 61 == 0 else i // 2, None if i % 47 == 0 else i % 90, "FOP"[i % 3] if i % 53 else None,
+               None if i % 59 == 0 else 1000.0 + i, day + dt.timedelta(days=i) if i % 43 else None, f"{i % 5}-X") for i in range(900)]
+    people = [(None if i % 31 == 0 else i // 2 * 2, i % 25, None if i % 29 == 0 else 10.0 * i, ("BUILDING", "FURNITURE", None)[i % 3]) for i in range(80)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string") \
+        .coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(people, "c_custkey long, c_nationkey long, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    book = LoanBook(spark, str(tmp_path))
+    plain = book.loans_with_borrowers()
+    monkeypatch.setattr(session, "DEALT_FROM", 899, raising=False)
+    dealt = book.dealt_loans_with_borrowers()
+    assert sorted(dealt.columns) == sorted(plain.columns)
+    rows = [sorted(map(repr, df.select(*plain.columns).collect())) for df in (plain, dealt)]
+    assert rows[0] == rows[1] and len(rows[0]) > 300
+    parts = [df.groupBy(F.spark_partition_id()).count().count() for df in (plain, dealt)]
+    assert parts[0] == 1 and parts[1] >= spark.sparkContext.defaultParallelism
+
+
 def test_holt_on_a_trend_and_short_series(spark):
     months = [f"{2000 + i // 12}-{i % 12 + 1:02d}" for i in range(36)]
     rows = [(m, 5.0 + 0.1 * i, 2_000_000.0 + 10_000.0 * i) for i, m in enumerate(months)]
